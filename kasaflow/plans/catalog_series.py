@@ -1 +1,70 @@
 """Time-series queries (registered into the same catalogue)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kasaflow.operators import series as S
+from kasaflow.plans.catalog import lower, register
+from kasaflow.plans.workspace import workspace
+
+
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = workspace(spark, sf_dir)
+    lo, hi = ws.span
+    return S.series_long(ws.fact, lo, hi)
+
+
+def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.train_test_split(S.series_diff(long_series(spark, sf_dir)))
+
+
+@register("series_long")
+def q_series_long(spark, sf_dir):
+    return lower(long_series(spark, sf_dir))
+
+
+@register("series_diff")
+def q_series_diff(spark, sf_dir):
+    return lower(S.series_diff(long_series(spark, sf_dir)))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return lower(split_series(spark, sf_dir).select(*S.KEYS, "Data", "value", "diff", "rn", "n",
+                                                    "n_test", "split"))
+
+
+@register("last_train_value")
+def q_last_train_value(spark, sf_dir):
+    return lower(S.last_train_value(split_series(spark, sf_dir)))
+
+
+@register("train_series")
+def q_train_series(spark, sf_dir):
+    return lower(S.train_series(split_series(spark, sf_dir)).select(*S.KEYS, "Data", "value", "diff"))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    return lower(S.null_counts(S.train_series(split_series(spark, sf_dir))))
+
+
+@register("undiff_actual")
+def q_undiff_actual(spark, sf_dir):
+    return lower(S.undiff_actual(split_series(spark, sf_dir)))
+
+
+@register("diff_histogram")
+def q_diff_histogram(spark, sf_dir):
+    return lower(S.diff_histogram(S.series_diff(long_series(spark, sf_dir))))
+
+
+@register("measure_correlation")
+def q_measure_correlation(spark, sf_dir):
+    return lower(S.measure_correlation(workspace(spark, sf_dir).fact))
+
+
+@register("acf")
+def q_acf(spark, sf_dir):
+    return lower(S.acf(S.series_diff(long_series(spark, sf_dir))))

@@ -1 +1,80 @@
 """Oracle SQL for the time-series queries."""
+
+from __future__ import annotations
+
+from kasaflow.functions.constants import MEASURES
+from kasaflow.plans.oracle import sql
+
+_DENSE_COLS = ", ".join(f'COALESCE(f.{m.lower()}, 0.0) AS "{m}"' for m in MEASURES)
+_UNPIVOT_ON = ", ".join(f'"{m}"' for m in MEASURES)
+
+SERIES = f"""
+, branches AS (SELECT DISTINCT nazwa_kasy FROM fact)
+, grid AS (SELECT b.nazwa_kasy, CAST(g.d AS DATE) AS data
+           FROM branches b, span, generate_series(span.lo, span.hi, INTERVAL 1 DAY) AS g(d))
+, dense AS (SELECT g.nazwa_kasy, g.data, {_DENSE_COLS}
+            FROM grid g LEFT JOIN fact f ON f.nazwa_kasy = g.nazwa_kasy AND f.data = g.data)
+, series AS (SELECT nazwa_kasy, measure, data, value
+             FROM (UNPIVOT dense ON {_UNPIVOT_ON} INTO NAME measure VALUE value))
+, sdiff AS (SELECT nazwa_kasy, measure, data, value,
+                   value - lag(value) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS diff,
+                   row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS rn,
+                   count(*) OVER (PARTITION BY nazwa_kasy, measure) AS n
+            FROM series)
+, split AS (SELECT *, CAST(ceil(CAST(0.1 AS DOUBLE) * n) AS BIGINT) AS n_test,
+                   CASE WHEN rn > n - CAST(ceil(CAST(0.1 AS DOUBLE) * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+            FROM sdiff)
+, train AS (SELECT nazwa_kasy, measure, data, value,
+                   CASE WHEN rn = 1 THEN COALESCE(diff, 0.0) ELSE diff END AS diff
+            FROM split WHERE split = 'train')
+"""
+
+
+def ts_sql(name: str, body: str) -> None:
+    sql(name, SERIES + body)
+
+
+ts_sql("series_long", "SELECT nazwa_kasy, measure, data, value FROM series")
+ts_sql("series_diff", "SELECT nazwa_kasy, measure, data, value, diff FROM sdiff")
+ts_sql("train_test_split", "SELECT nazwa_kasy, measure, data, value, diff, rn, n, n_test, split FROM split")
+ts_sql("last_train_value", """SELECT nazwa_kasy, measure, max(data) AS last_date, arg_max(value, data) AS last_value
+  FROM split WHERE split = 'train' GROUP BY 1, 2""")
+ts_sql("train_series", "SELECT nazwa_kasy, measure, data, value, diff FROM train")
+ts_sql("null_counts", """SELECT nazwa_kasy, measure, count(*) AS n_rows,
+  count(*) FILTER (WHERE data IS NULL) AS null_data, count(*) FILTER (WHERE value IS NULL) AS null_value,
+  count(*) FILTER (WHERE diff IS NULL) AS null_diff FROM train GROUP BY 1, 2""")
+ts_sql("undiff_actual", """SELECT nazwa_kasy, measure, data, value, diff,
+  round(start_value + sum(CASE WHEN split = 'test' THEN diff END) OVER (PARTITION BY nazwa_kasy, measure
+        ORDER BY data ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) + 0.0 AS level
+  FROM (SELECT *, max(CASE WHEN rn = n - n_test THEN value END) OVER (PARTITION BY nazwa_kasy, measure) AS start_value
+        FROM split) t
+  QUALIFY split = 'test'""")
+ts_sql("diff_histogram", """SELECT nazwa_kasy, measure, bin, lo + bin * ((hi - lo) / 20.0) AS bin_lo,
+  lo + (bin + 1) * ((hi - lo) / 20.0) AS bin_hi, count(*) AS n
+  FROM (SELECT nazwa_kasy, measure, lo, hi,
+          CASE WHEN hi - lo = 0 THEN 0
+               ELSE least(19, CAST(floor((diff - lo) * 20.0 / (hi - lo)) AS INTEGER)) END AS bin
+        FROM (SELECT *, min(diff) OVER (PARTITION BY nazwa_kasy, measure) AS lo,
+                        max(diff) OVER (PARTITION BY nazwa_kasy, measure) AS hi
+              FROM sdiff WHERE diff IS NOT NULL) a) b
+  GROUP BY nazwa_kasy, measure, bin, lo, hi""")
+_PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1:]]
+ts_sql("measure_correlation", "SELECT nazwa_kasy, measure_a, measure_b, round(r, 9) AS corr FROM ("
+       + " UNION ALL ".join(
+           f"SELECT nazwa_kasy, '{a}' AS measure_a, '{b}' AS measure_b, corr({a.lower()}, {b.lower()}) AS r "
+           f"FROM fact GROUP BY nazwa_kasy" for a, b in _PAIRS) + ") t")
+_LAGS = ",\n    ".join(f"lag(u, {k}) OVER w AS l{k}" for k in range(1, 31))
+_SUMS = ", ".join(["sum(u * u) AS s0"] + [f"sum(u * l{k}) AS s{k}" for k in range(1, 31)])
+_ARR = ", ".join(f"s{k}" for k in range(0, 31))
+ts_sql("acf", f"""SELECT nazwa_kasy, measure, CAST(g.k - 1 AS INTEGER) AS lag,
+  round(COALESCE(s[g.k], 0.0) / NULLIF(s0, 0.0), 9) AS acf, nobs
+  FROM (SELECT nazwa_kasy, measure, nobs, s0, [{_ARR}] AS s FROM (
+          SELECT nazwa_kasy, measure, count(*) AS nobs, {_SUMS} FROM (
+            SELECT nazwa_kasy, measure, u,
+              {_LAGS}
+            FROM (SELECT nazwa_kasy, measure, data,
+                         diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS u
+                  FROM sdiff WHERE diff IS NOT NULL) x
+            WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) y
+          GROUP BY 1, 2) z) t,
+       generate_series(1, 31) AS g(k)""")
