@@ -149,7 +149,7 @@ def measure_correlation(fact: DataFrame, measures: list[str] = MEASURES) -> Data
             .select("nazwa_kasy", "e.measure_a", "e.measure_b", F.round("e.r", 9).alias("corr")))
 
 
-def acf(diffed: DataFrame, nlags: int = 30, column: str = "diff") -> DataFrame:
+def acf(diffed: DataFrame, nlags: int = 30, column: str = "diff", digits: int | None = 9) -> DataFrame:
     """Autocorrelation r_0..r_nlags of each series' non-NULL ``column``.
 
     r_k = sum_t u_t u_{t-k} / sum_t u_t^2 with u = x - mean(x) (the biased
@@ -166,6 +166,7 @@ def acf(diffed: DataFrame, nlags: int = 30, column: str = "diff") -> DataFrame:
     g = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("nobs"), *sums)
     arr = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(0, nlags + 1)])
     out = g.select(*KEYS, "nobs", "s0", F.explode(arr).alias("e"))
+    r = F.try_divide(F.coalesce(F.col("e.s"), F.lit(0.0)), F.col("s0"))
     return out.select(*KEYS, F.col("e.lag").cast("int").alias("lag"),
-                      F.round(F.try_divide(F.coalesce(F.col("e.s"), F.lit(0.0)), F.col("s0")), 9).alias("acf"),
+                      (r if digits is None else F.round(r, digits)).alias("acf"),
                       "nobs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kasaflow.operators import series as S
 from kasaflow.plans.catalog import lower, register
@@ -68,3 +69,26 @@ def q_measure_correlation(spark, sf_dir):
 @register("acf")
 def q_acf(spark, sf_dir):
     return lower(S.acf(S.series_diff(long_series(spark, sf_dir))))
+
+
+# ------------------------------------------------------------ diagnostics ---
+
+from kasaflow.operators import diagnostics as D  # noqa: E402
+
+
+@register("adf_gram")
+def q_adf_gram(spark, sf_dir):
+    g = D.adf_gram(S.series_diff(long_series(spark, sf_dir)))
+    return lower(g.select(*S.KEYS, "n", "L", "i", F.posexplode("g").alias("j", "g"))
+                 .select(*S.KEYS, "n", "L", "i", F.col("j").cast("int").alias("j"),
+                         F.round("g", 6).alias("g")))
+
+
+@register("adf_test")
+def q_adf_test(spark, sf_dir):
+    return lower(D.adf_test(S.series_diff(long_series(spark, sf_dir))))
+
+
+@register("pacf")
+def q_pacf(spark, sf_dir):
+    return lower(D.pacf(S.acf(S.series_diff(long_series(spark, sf_dir)), digits=None)))
