@@ -92,3 +92,56 @@ def q_adf_test(spark, sf_dir):
 @register("pacf")
 def q_pacf(spark, sf_dir):
     return lower(D.pacf(S.acf(S.series_diff(long_series(spark, sf_dir)), digits=None)))
+
+
+# --------------------------------------------------------------- forecast ---
+
+from kasaflow.operators import forecast as FC  # noqa: E402
+
+SEASONAL_MA = "sarima_010_011_7"
+
+
+def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FC.seasonal_ma_forecast(split_series(spark, sf_dir))
+
+
+@register("forecast_seasonal_ma")
+def q_forecast_seasonal_ma(spark, sf_dir):
+    fc = seasonal_forecast(spark, sf_dir)
+    return lower(fc.select(*S.KEYS, "Data", "h", "theta", F.round("pred_diff", 6).alias("pred_diff"),
+                           F.round("pred_level", 2).alias("pred_level")))
+
+
+@register("undiff_forecast")
+def q_undiff_forecast(spark, sf_dir):
+    fc = seasonal_forecast(spark, sf_dir)
+    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_level", 2).alias("level")))
+
+
+@register("forecast_metrics")
+def q_forecast_metrics(spark, sf_dir):
+    return lower(FC.forecast_metrics(seasonal_forecast(spark, sf_dir), SEASONAL_MA))
+
+
+@register("ljung_box")
+def q_ljung_box(spark, sf_dir):
+    lb = D.ljung_box(FC.residuals(seasonal_forecast(spark, sf_dir)))
+    return lower(lb.select(*S.KEYS, "n", "lags", F.round("lb_stat", 6).alias("lb_stat")))
+
+
+@register("ljung_box_pvalue")
+def q_ljung_box_pvalue(spark, sf_dir):
+    lb = D.with_ljung_box_pvalue(D.ljung_box(FC.residuals(seasonal_forecast(spark, sf_dir))))
+    return lower(lb.select(*S.KEYS, "n", "lags", F.round("lb_stat", 6).alias("lb_stat"),
+                           F.round("lb_pvalue", 9).alias("lb_pvalue")))
+
+
+@register("forecast_compare")
+def q_forecast_compare(spark, sf_dir):
+    return lower(FC.forecast_compare(seasonal_forecast(spark, sf_dir)))
+
+
+@register("forecast_mean_ratio")
+def q_forecast_mean_ratio(spark, sf_dir):
+    out = FC.mean_ratio(FC.forecast_compare(seasonal_forecast(spark, sf_dir)))
+    return lower(out.select(*S.KEYS, F.round("srednia_roznica", 6).alias("srednia_roznica")))

@@ -78,3 +78,87 @@ ts_sql("acf", f"""SELECT nazwa_kasy, measure, CAST(g.k - 1 AS INTEGER) AS lag,
             WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) y
           GROUP BY 1, 2) z) t,
        generate_series(1, 31) AS g(k)""")
+
+# ---------------------------------------------------------------- forecast --
+from kasaflow.operators.forecast import THETA_GRID  # noqa: E402
+
+_GRID = ", ".join(f"({k}, CAST({t!r} AS DOUBLE))" for k, t in enumerate(THETA_GRID))
+FORECAST = f"""
+, wrows AS (SELECT nazwa_kasy, measure, rn,
+                   ((value - lag(value, 1) OVER w) - lag(value, 7) OVER w) + lag(value, 8) OVER w AS w,
+                   CAST(rn % 7 AS INTEGER) AS phase
+            FROM split WHERE split = 'train'
+            WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data))
+, chain AS (SELECT nazwa_kasy, measure, phase, w,
+                   row_number() OVER (PARTITION BY nazwa_kasy, measure, phase ORDER BY rn) AS j
+            FROM wrows WHERE w IS NOT NULL)
+, tgrid AS (SELECT * FROM (VALUES {_GRID}) AS g(k, theta))
+, rec AS (
+    SELECT c.nazwa_kasy, c.measure, c.phase, g.k, g.theta, c.j,
+           c.w - g.theta * 0.0 AS e, 0.0 + (c.w - g.theta * 0.0) * (c.w - g.theta * 0.0) AS sse
+    FROM chain c, tgrid g WHERE c.j = 1
+    UNION ALL
+    SELECT r.nazwa_kasy, r.measure, r.phase, r.k, r.theta, c.j,
+           c.w - r.theta * r.e AS e, r.sse + (c.w - r.theta * r.e) * (c.w - r.theta * r.e) AS sse
+    FROM rec r JOIN chain c ON c.nazwa_kasy = r.nazwa_kasy AND c.measure = r.measure
+                           AND c.phase = r.phase AND c.j = r.j + 1)
+, ends AS (SELECT * FROM rec
+           QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure, phase, k ORDER BY j DESC) = 1)
+, css AS (SELECT nazwa_kasy, measure, k, any_value(theta) AS theta, sum(sse) AS css FROM ends GROUP BY 1, 2, 3)
+, fit AS (SELECT * FROM css
+          QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY css, k) = 1)
+, anchors AS (SELECT s.nazwa_kasy, s.measure, CAST(s.rn % 7 AS INTEGER) AS phase, s.diff AS v, f.theta,
+                     COALESCE(e.e, 0.0) AS e_last
+              FROM split s JOIN fit f ON f.nazwa_kasy = s.nazwa_kasy AND f.measure = s.measure
+              LEFT JOIN ends e ON e.nazwa_kasy = s.nazwa_kasy AND e.measure = s.measure
+                              AND e.k = f.k AND e.phase = CAST(s.rn % 7 AS INTEGER)
+              WHERE s.split = 'train' AND s.rn > s.n - s.n_test - 7)
+, fc0 AS (SELECT t.nazwa_kasy, t.measure, t.data, t.rn - (t.n - t.n_test) AS h, t.value, t.diff,
+                 t.y_t, a.theta, a.v + a.theta * a.e_last AS pred_diff
+          FROM (SELECT *, max(CASE WHEN rn = n - n_test THEN value END)
+                          OVER (PARTITION BY nazwa_kasy, measure) AS y_t FROM split) t
+          LEFT JOIN anchors a ON a.nazwa_kasy = t.nazwa_kasy AND a.measure = t.measure
+                             AND a.phase = CAST(t.rn % 7 AS INTEGER)
+          WHERE t.split = 'test')
+, fc AS (SELECT *, y_t + sum(pred_diff) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pred_level,
+                y_t + sum(diff) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS orig_level
+         FROM fc0)
+, lbx AS (SELECT nazwa_kasy, measure, data, diff - pred_diff AS resid FROM fc)
+, cmp AS (SELECT nazwa_kasy, measure, data, h, o AS dane_oryg,
+                 round(pred_level, 2) + 0.0 AS dane_pred,
+                 round(o - pred_level, 2) + 0.0 AS roznica,
+                 round(pred_level / NULLIF(o, 0.0) * 100.0, 2) + 0.0 AS "roznica_%"
+          FROM (SELECT *, round(orig_level, 2) + 0.0 AS o FROM fc) t)
+"""
+
+
+def fc_sql(name: str, body: str) -> None:
+    sql(name, SERIES + FORECAST + body)
+    from kasaflow.plans.oracle import _SQL
+    _SQL[name] = "WITH RECURSIVE " + _SQL[name][len("WITH "):]
+
+
+fc_sql("forecast_seasonal_ma", """SELECT nazwa_kasy, measure, data, h, theta, round(pred_diff, 6) + 0.0 AS pred_diff,
+  round(pred_level, 2) + 0.0 AS pred_level FROM fc""")
+fc_sql("undiff_forecast", "SELECT nazwa_kasy, measure, data, h, round(pred_level, 2) + 0.0 AS level FROM fc")
+fc_sql("forecast_metrics", """SELECT nazwa_kasy, measure, count(*) AS n,
+  round(sqrt(avg((diff - pred_diff) * (diff - pred_diff))), 6) AS rmse,
+  round(avg(abs(diff - pred_diff)), 6) AS mae,
+  round(1.0 - sum((diff - pred_diff) * (diff - pred_diff)) / NULLIF(sum(dev * dev), 0.0), 6) AS r2,
+  'sarima_010_011_7' AS model
+  FROM (SELECT *, diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS dev FROM fc) t
+  GROUP BY 1, 2""")
+fc_sql("ljung_box", """SELECT nazwa_kasy, measure, n, 1 AS lags,
+  round(n * (n + 2.0) * pow(COALESCE(s1, 0.0) / s0, 2) / (n - 1.0), 6) AS lb_stat
+  FROM (SELECT nazwa_kasy, measure, count(*) AS n, sum(u * u) AS s0, sum(u * l1) AS s1
+        FROM (SELECT nazwa_kasy, measure, u, lag(u, 1) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS l1
+              FROM (SELECT nazwa_kasy, measure, data,
+                           resid - avg(resid) OVER (PARTITION BY nazwa_kasy, measure) AS u
+                    FROM lbx WHERE resid IS NOT NULL) a) b
+        GROUP BY 1, 2) c""")
+fc_sql("forecast_compare", 'SELECT nazwa_kasy, measure, data, h, dane_oryg, dane_pred, roznica, "roznica_%" FROM cmp')
+fc_sql("forecast_mean_ratio", """SELECT nazwa_kasy, measure,
+  round(CAST(sum(CAST("roznica_%" AS DECIMAL(38,2))) AS DOUBLE) / count("roznica_%"), 6) AS srednia_roznica
+  FROM cmp GROUP BY 1, 2""")
