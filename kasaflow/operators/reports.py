@@ -1,7 +1,7 @@
 """Monthly, daily, weekday and deadline reports over the enriched fact.
 
-Sums of amounts go through DECIMAL(18,2) (the amounts are cents), so totals
-are exact and do not depend on how rows are partitioned.
+Sums of amounts are exact integer-cent sums (``functions.amounts``), so
+totals do not depend on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kasaflow.functions.amounts import exact_sum
 from kasaflow.functions.constants import (DEADLINE_LABELS, MEASURES, OTHER_WEEKDAY_RANK,
                                           WEEKDAY_DISPLAY_ORDER)
 from kasaflow.functions.dates import in_months, month_range
@@ -25,12 +26,6 @@ MONTHLY_NAMES = {
 }
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of cent amounts, exact, returned as DOUBLE."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c.cast("decimal(18,2)")).cast("double")
-
-
 def monthly_sums(enriched: DataFrame) -> DataFrame:
     """Per month, the six measure totals rounded to 2 places (numeric)."""
     aggs = [F.round(exact_sum(m), 2).alias(MONTHLY_NAMES[m]) for m in MEASURES]

@@ -17,9 +17,15 @@ def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivation, planned from the fact (used by the series queries themselves)."""
     return S.train_test_split(S.series_diff(long_series(spark, sf_dir)))
 
 
+def series_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, materialised once in the workspace (used downstream)."""
+    return workspace(spark, sf_dir).series
+
+
 @register("series_long")
 def q_series_long(spark, sf_dir):
     return lower(long_series(spark, sf_dir))
@@ -38,27 +44,27 @@ def q_train_test_split(spark, sf_dir):
 
 @register("last_train_value")
 def q_last_train_value(spark, sf_dir):
-    return lower(S.last_train_value(split_series(spark, sf_dir)))
+    return lower(S.last_train_value(series_table(spark, sf_dir)))
 
 
 @register("train_series")
 def q_train_series(spark, sf_dir):
-    return lower(S.train_series(split_series(spark, sf_dir)).select(*S.KEYS, "Data", "value", "diff"))
+    return lower(S.train_series(series_table(spark, sf_dir)).select(*S.KEYS, "Data", "value", "diff"))
 
 
 @register("null_counts")
 def q_null_counts(spark, sf_dir):
-    return lower(S.null_counts(S.train_series(split_series(spark, sf_dir))))
+    return lower(S.null_counts(S.train_series(series_table(spark, sf_dir))))
 
 
 @register("undiff_actual")
 def q_undiff_actual(spark, sf_dir):
-    return lower(S.undiff_actual(split_series(spark, sf_dir)))
+    return lower(S.undiff_actual(series_table(spark, sf_dir)))
 
 
 @register("diff_histogram")
 def q_diff_histogram(spark, sf_dir):
-    return lower(S.diff_histogram(S.series_diff(long_series(spark, sf_dir))))
+    return lower(S.diff_histogram(series_table(spark, sf_dir)))
 
 
 @register("measure_correlation")
@@ -68,7 +74,7 @@ def q_measure_correlation(spark, sf_dir):
 
 @register("acf")
 def q_acf(spark, sf_dir):
-    return lower(S.acf(S.series_diff(long_series(spark, sf_dir))))
+    return lower(S.acf(series_table(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ diagnostics ---
@@ -78,7 +84,7 @@ from kasaflow.operators import diagnostics as D  # noqa: E402
 
 @register("adf_gram")
 def q_adf_gram(spark, sf_dir):
-    g = D.adf_gram(S.series_diff(long_series(spark, sf_dir)))
+    g = D.adf_gram(series_table(spark, sf_dir))
     return lower(g.select(*S.KEYS, "n", "L", "i", F.posexplode("g").alias("j", "g"))
                  .select(*S.KEYS, "n", "L", "i", F.col("j").cast("int").alias("j"),
                          F.round("g", 6).alias("g")))
@@ -86,12 +92,12 @@ def q_adf_gram(spark, sf_dir):
 
 @register("adf_test")
 def q_adf_test(spark, sf_dir):
-    return lower(D.adf_test(S.series_diff(long_series(spark, sf_dir))))
+    return lower(D.adf_test(series_table(spark, sf_dir)))
 
 
 @register("pacf")
 def q_pacf(spark, sf_dir):
-    return lower(D.pacf(S.acf(S.series_diff(long_series(spark, sf_dir)), digits=None)))
+    return lower(D.pacf(S.acf(series_table(spark, sf_dir), digits=None)))
 
 
 # --------------------------------------------------------------- forecast ---
@@ -102,7 +108,7 @@ SEASONAL_MA = "sarima_010_011_7"
 
 
 def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FC.seasonal_ma_forecast(split_series(spark, sf_dir))
+    return FC.seasonal_ma_forecast(series_table(spark, sf_dir))
 
 
 @register("forecast_seasonal_ma")

@@ -8,6 +8,7 @@ reads it back as Parquet:
 * ``fact``      - one scan of the source tables -> (days x branches) rows
 * ``calendar``  - deadline calendar, one row per day of the fact's span
 * ``enriched``  - fact + weekday + month key + deadline tags
+* ``series``    - every (branch, measure) daily series, differenced and split
 
 The written tables cut lineage (a lost executor re-reads Parquet instead of
 re-running the scan) and give later reports Parquet pushdown on ``Data``.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kasaflow.operators.deadlines import deadline_calendar, dense_calendar
 from kasaflow.operators.enrich import enrich
+from kasaflow.operators.series import series_diff, series_long, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
 
@@ -49,6 +51,7 @@ class CashWorkspace:
         self._span = None
         self._calendar = None
         self._enriched = None
+        self._series = None
 
     @property
     def fact(self) -> DataFrame:
@@ -77,6 +80,16 @@ class CashWorkspace:
                                          f"calendar-{self._tag}")
         return self._calendar
 
+    @property
+    def series(self) -> DataFrame:
+        """Daily series of every (branch, measure), differenced and split
+        (KEYS, Data, value, diff, rn, n, n_test, split); days x series rows."""
+        if self._series is None:
+            lo, hi = self.span
+            split = train_test_split(series_diff(series_long(self.fact, lo, hi)))
+            self._series = materialize(self.spark, split, f"series-{self._tag}")
+        return self._series
+
     @property
     def enriched(self) -> DataFrame:
         if self._enriched is None:

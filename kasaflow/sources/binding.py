@@ -11,11 +11,14 @@ Plan at scale: one scan of ``lineitem`` (five columns, date range pushed down
 when given) joined to a supplier -> branch map, then a two-phase aggregate on
 (date, branch). The map-side partial aggregate collapses every task's rows to
 at most (days x branches) before the shuffle, so a hot supplier or branch does
-not concentrate rows in one reducer. The supplier join carries no hint:
-Catalyst broadcasts supplier when its size estimate is under
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise uses a sort-merge join
-whose skewed partitions AQE splits. Only the nation/region map (25 rows in
-TPC-H) is broadcast explicitly, behind a row-count check.
+not concentrate rows in one reducer.
+
+Broadcasts are explicit and size-checked: the nation/region map (25 rows in
+TPC-H) and the supplier -> branch map (one row per supplier) are broadcast
+only below a row bound; above it the supplier join is a sort-merge join on
+``l_suppkey`` whose skewed partitions (a hot supplier) AQE splits. Without
+the explicit hint Catalyst's default size estimate multiplies the join inputs
+of the supplier map and picks ``lineitem`` as the build side at small scale.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kasaflow.functions.amounts import cents_to_amount, to_cents
 from kasaflow.functions.dates import binding_day_flag
-from kasaflow.plans.sizing import bounded_broadcast
+from kasaflow.plans.sizing import broadcast_if, row_count_at_most
 
 # --- fixed values: (return flag, line status) -> measure ----------------------
 BINDING_MEASURES = [
@@ -37,23 +41,31 @@ BINDING_MEASURES = [
 ]
 
 GEO_MAX_ROWS = 100_000
+SUPPLIER_MAX_BROADCAST_ROWS = 2_000_000  # ~2M (key, name) pairs, a few tens of MB
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplier_branches(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
-    """(s_suppkey, nazwa_kasy): each supplier's region (or nation) name."""
+def supplier_branches(spark: SparkSession, sf_dir: str, level: str = "region",
+                      broadcast_geo: bool | None = None) -> DataFrame:
+    """(s_suppkey, nazwa_kasy): each supplier's region (or nation) name.
+
+    The nation -> branch map has one row per nation (region keys are unique),
+    so its broadcast is bounded by the nation table's row count.
+    """
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    if broadcast_geo is None:
+        broadcast_geo = row_count_at_most(nation, GEO_MAX_ROWS)
     if level == "nation":
         geo = nation.select("n_nationkey", F.col("n_name").alias("nazwa_kasy"))
     else:
         region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-        geo = (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+        geo = (nation.join(broadcast_if(region, broadcast_geo), nation.n_regionkey == region.r_regionkey)
                .select("n_nationkey", F.col("r_name").alias("nazwa_kasy")))
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    geo = bounded_broadcast(geo, GEO_MAX_ROWS)
+    geo = broadcast_if(geo, broadcast_geo)
     return (supplier.join(geo, supplier.s_nationkey == geo.n_nationkey)
             .select("s_suppkey", "nazwa_kasy"))
 
@@ -62,8 +74,9 @@ def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
               start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per (Data, nazwa_kasy) with the six daily measures (DOUBLE).
 
-    Sums are exact in DECIMAL(18,2) and cast to DOUBLE once, so the values do
-    not depend on partitioning. ``start``/``end`` bound ``Data`` half-open and
+    Sums are exact integer cents (LONG, overflow-checked in ANSI mode) turned
+    into DOUBLE once, so the values do not depend on partitioning, and the
+    aggregate stays in whole-stage codegen (a DECIMAL(28,2) buffer would not). ``start``/``end`` bound ``Data`` half-open and
     reach the Parquet scan as pushed filters.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
@@ -73,13 +86,15 @@ def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
         li = li.filter(F.col("Data") >= F.lit(start).cast("date"))
     if end is not None:
         li = li.filter(F.col("Data") < F.lit(end).cast("date"))
-    branches = supplier_branches(spark, sf_dir, level)
+    # The map has at most one row per supplier: bound it by the supplier table.
+    small = row_count_at_most(read_table(spark, sf_dir, "supplier"), SUPPLIER_MAX_BROADCAST_ROWS)
+    branches = broadcast_if(supplier_branches(spark, sf_dir, level), small)
     joined = li.join(branches, li.l_suppkey == branches.s_suppkey)
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    cents = to_cents(F.col("l_extendedprice"))
     sums = [
         F.coalesce(
-            F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), price))
-            .cast("double"), F.lit(0.0)).alias(name)
+            cents_to_amount(F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), cents))),
+            F.lit(0.0)).alias(name)
         for rf, ls, name in BINDING_MEASURES
     ]
     fact = joined.groupBy("Data", "nazwa_kasy").agg(*sums)

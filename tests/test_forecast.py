@@ -52,7 +52,7 @@ def test_seasonal_ma_matches_direct_recursion(spark, sims):
 
 def test_theta_recovered(spark, sims):
     split = S.train_test_split(S.series_diff(_series(spark, sims)))
-    fit, _ = FC.seasonal_ma_fit(split)
+    fit = FC.seasonal_ma_fit(split)
     got = {(r.nazwa_kasy, r.measure): r.theta for r in fit.collect()}
     assert abs(got[("B", "ma06")] + 0.6) <= 0.1
     assert abs(got[("B", "ma03")] - 0.3) <= 0.1
