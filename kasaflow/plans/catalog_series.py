@@ -151,3 +151,28 @@ def q_forecast_compare(spark, sf_dir):
 def q_forecast_mean_ratio(spark, sf_dir):
     out = FC.mean_ratio(FC.forecast_compare(seasonal_forecast(spark, sf_dir)))
     return lower(out.select(*S.KEYS, F.round("srednia_roznica", 6).alias("srednia_roznica")))
+
+
+# ------------------------------------------------ lag regression, order search ---
+
+from kasaflow.operators import lagreg as LR  # noqa: E402
+
+LAG_REGRESSION = "sarima_202_201_7_hr"
+
+
+@register("forecast_lag_regression")
+def q_forecast_lag_regression(spark, sf_dir):
+    fc = LR.lag_regression_forecast(series_table(spark, sf_dir))
+    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_diff", 6).alias("pred_diff"),
+                           F.round("pred_level", 2).alias("pred_level")))
+
+
+@register("forecast_lag_regression_metrics")
+def q_forecast_lag_regression_metrics(spark, sf_dir):
+    fc = LR.lag_regression_forecast(series_table(spark, sf_dir))
+    return lower(FC.forecast_metrics(fc, LAG_REGRESSION))
+
+
+@register("order_search")
+def q_order_search(spark, sf_dir):
+    return lower(LR.order_search(series_table(spark, sf_dir)))

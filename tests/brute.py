@@ -99,3 +99,28 @@ def seasonal_ma_forecast(y, theta, e, h, s=7):
         level = level + val
         out.append((val, level))
     return out
+
+
+def hannan_rissanen(x, ar_lags, ma_lags, long_ar, horizon):
+    """Two-stage least squares by explicit design matrices; forecast recursion."""
+    x = np.asarray(x, dtype=float)
+    T = len(x)
+    rows = [[x[t - k] for k in range(1, long_ar + 1)] for t in range(long_ar, T)]
+    a, *_ = np.linalg.lstsq(np.array(rows), x[long_ar:], rcond=None)
+    e = np.full(T, np.nan)
+    for t in range(long_ar, T):
+        e[t] = x[t] - np.dot(a, [x[t - k] for k in range(1, long_ar + 1)])
+    start = long_ar + max(ma_lags)
+    X2 = [[x[t - k] for k in ar_lags] + [e[t - k] for k in ma_lags] for t in range(start, T)]
+    coef, *_ = np.linalg.lstsq(np.array(X2), x[start:], rcond=None)
+    b, c = coef[:len(ar_lags)], coef[len(ar_lags):]
+    xs = list(x)
+    es = [0.0 if np.isnan(v) else v for v in e]
+    out = []
+    for h in range(1, horizon + 1):
+        t = T - 1 + h
+        val = sum(bk * xs[t - k] for bk, k in zip(b, ar_lags)) + \
+            sum(ck * (es[t - k] if t - k < T else 0.0) for ck, k in zip(c, ma_lags))
+        xs.append(val)
+        out.append(val)
+    return coef, out

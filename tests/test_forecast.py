@@ -74,3 +74,27 @@ def test_compare_and_metrics(spark, sims):
         assert m[key].rmse == pytest.approx(np.sqrt(np.mean(res ** 2)), rel=1e-6)
         assert m[key].mae == pytest.approx(np.mean(np.abs(res)), rel=1e-6)
         assert m[key].r2 == pytest.approx(1 - (res ** 2).sum() / ((d - d.mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
+
+
+def test_lag_regression_matches_direct_two_stage(spark, sims):
+    from brute import hannan_rissanen
+    from kasaflow.operators import lagreg as LR
+    split = S.train_test_split(S.series_diff(_series(spark, {k: v for k, v in sims.items() if len(v) > 100})))
+    fc = LR.lag_regression_forecast(split).collect()
+    for key in [("B", "ma06"), ("B", "ma03")]:
+        ys = sims[key]
+        n = len(ys)
+        n_test = int(np.ceil(0.1 * n))
+        x = np.diff(ys[: n - n_test], prepend=np.nan)
+        x[0] = 0.0
+        _, ref = hannan_rissanen(x, LR.AR_LAGS, LR.MA_LAGS, LR.LONG_AR, n_test)
+        rows = sorted([r for r in fc if (r.nazwa_kasy, r.measure) == key], key=lambda r: r.h)
+        assert [r.pred_diff for r in rows] == pytest.approx(ref, rel=1e-6, abs=1e-8)
+
+
+def test_order_search_prefers_true_seasonal_ma(spark, sims):
+    from kasaflow.operators import lagreg as LR
+    split = S.train_test_split(S.series_diff(_series(spark, {("B", "ma06"): sims[("B", "ma06")]})))
+    r = LR.order_search(split).collect()[0]
+    assert r.n_candidates == 54
+    assert r.sq == 1  # the seasonal MA term is picked
