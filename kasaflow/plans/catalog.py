@@ -16,7 +16,7 @@ from kasaflow.functions.constants import MEASURES
 from kasaflow.operators import deadlines, enrich, reports
 from kasaflow.plans import params as P
 from kasaflow.plans.workspace import workspace
-from kasaflow.session import ensure_checkpoint_dir
+from kasaflow.session import ensure_checkpoint_dir, ship_package
 from kasaflow.sources.csv_source import read_cash_csv, write_cash_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,11 @@ _REGISTRY: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        _REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        _REGISTRY[name] = run
         return fn
     return deco
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +32,7 @@ def get_or_create_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -53,3 +57,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="kasaflow-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kasaflow`` importable in Python workers (``applyInPandas`` and
+    pandas UDF bodies are pickled by reference to this package).
+
+    Zips the package once per application and adds it with ``addPyFile``, the
+    same mechanism as ``--py-files``; Spark copies the archive to every
+    executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    with _SHIP_LOCK:
+        if app in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg_dir)
+        out_dir = tempfile.mkdtemp(prefix="kasaflow-pyfiles-")
+        archive = os.path.join(out_dir, "kasaflow.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+            for folder, _, files in os.walk(pkg_dir):
+                if "__pycache__" in folder:
+                    continue
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        zf.write(full, os.path.relpath(full, root))
+        sc.addPyFile(archive)
+        _SHIPPED.add(app)
