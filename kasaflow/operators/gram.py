@@ -2,9 +2,11 @@
 
 A regression per series is split into
 1. a distributed aggregate: G[i][j] = sum over rows of a_i * a_j for the row
-   vector a = (y, x_1, ..., x_k). Rows are posexploded to (group, i) and one
-   ``groupBy(group, i)`` sums k + 1 products, so the data pass is a normal
-   two-phase hash aggregate (partial sums before the shuffle);
+   vector a = (y, x_1, ..., x_k). Each task turns its Arrow batches into one
+   partial matrix per group (numpy X^T X); a ``groupBy(group, i)`` adds the
+   partial rows, so the data pass is a two-phase aggregate with the partial
+   phase before the shuffle. (A posexplode of every row into k + 1 rows with
+   k + 1 sums each was measured ~10x slower.)
 2. a small solve per group over its (k+1) x (k+1) matrix, in numpy through
    ``applyInPandas``. A group there is k+1 rows of k+1 numbers, whatever the
    number of data rows.
@@ -13,18 +15,46 @@ A regression per series is split into
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _partial_gram(keys: list[str], k: int):
+    names = [f"_c{j}" for j in range(k)]
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = []
+            for key, grp in pdf.groupby(keys, sort=False, dropna=False):
+                X = grp[names].to_numpy(dtype=float)
+                G = X.T @ X
+                key = key if isinstance(key, tuple) else (key,)
+                out.extend((*key, i, G[i]) for i in range(k))
+            yield pd.DataFrame(out, columns=keys + ["i", "g"])
+    return run
 
 
 def gram_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """(keys..., i, g) where g[j] = sum(cols[i] * cols[j]) over the group's rows."""
+    """(keys..., i, g) where g[j] = sum(cols[i] * cols[j]) over the group's rows.
+
+    Two-phase aggregate: each task folds its Arrow batches into one partial
+    matrix per group with numpy (X^T X, no per-row explosion), then a grouped
+    sum over the partial rows finishes it. Rows of one group may sit in any
+    number of tasks.
+    """
     k = len(cols)
-    x = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    ex = x.select(*keys, "v", F.posexplode("v").alias("i", "vi"))
-    sums = [F.sum(F.col("vi") * F.col("v")[j]).alias(f"g{j}") for j in range(k)]
-    g = ex.groupBy(*keys, "i").agg(*sums)
-    return g.select(*keys, F.col("i").cast("int").alias("i"), F.array(*[f"g{j}" for j in range(k)]).alias("g"))
+    sub = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])
+    schema = T.StructType([sub.schema[name] for name in keys]
+                          + [T.StructField("i", T.IntegerType()),
+                             T.StructField("g", T.ArrayType(T.DoubleType()))])
+    part = sub.mapInPandas(_partial_gram(keys, k), schema)
+    sums = [F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(k)]
+    return (part.groupBy(*keys, "i").agg(*sums)
+            .select(*keys, "i", F.array(*[f"g{j}" for j in range(k)]).alias("g")))
 
 
 def matrix_from_rows(idx, arrays, size: int | None = None) -> np.ndarray:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
 from kasaflow.operators.series import KEYS, by_series
+from kasaflow.session import ensure_checkpoint_dir
 
 LONG_AR = 28
 SEASON = 7
@@ -92,6 +93,10 @@ def stage2_columns() -> list[str]:
 def lag_regression_fit(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stage-2 coefficients, stage-2 Gram rows, rows) per series."""
     rows, _ = stage_rows(train, x)
+    # The design rows feed the stage-2 Gram and the forecast tail; a reliable
+    # checkpoint (shared checkpoint folder) computes them once.
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint(eager=True)
     cols = stage2_columns()
     s2_rows = rows.filter(F.col(f"e{max(MA_LAGS)}").isNotNull())
     g = gram_rows(s2_rows.select(*KEYS, "x", *cols), KEYS, ["x"] + cols)

@@ -16,6 +16,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small CPU-heavy stages (per-series windows, Gram sums) keep several
+    # tasks instead of being coalesced into one; large shuffles are still
+    # sized by spark.sql.adaptive.advisoryPartitionSizeInBytes.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
