@@ -84,10 +84,14 @@ from kasaflow.operators import diagnostics as D  # noqa: E402
 
 @register("adf_gram")
 def q_adf_gram(spark, sf_dir):
+    """Common-sample Gram matrix of each series' ADF design: the (L+3)^2 block
+    of (dx, x_lag, 1, dx lags 1..L) on standardised x."""
     g = D.adf_gram(series_table(spark, sf_dir))
-    return lower(g.select(*S.KEYS, "n", "L", "i", F.posexplode("g").alias("j", "g"))
-                 .select(*S.KEYS, "n", "L", "i", F.col("j").cast("int").alias("j"),
-                         F.round("g", 6).alias("g")))
+    out = (g.select(*S.KEYS, "n", "L", "i", F.posexplode("g").alias("j", "g"))
+           .filter((F.col("i") <= F.col("L") + 2) & (F.col("j") <= F.col("L") + 2)))
+    return lower(out.select(*S.KEYS, F.col("n").cast("long").alias("n"), F.col("L").cast("int").alias("L"),
+                            F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+                            (F.round("g", 4) + F.lit(0.0)).alias("g")))
 
 
 @register("adf_test")

@@ -162,3 +162,27 @@ fc_sql("forecast_compare", 'SELECT nazwa_kasy, measure, data, h, dane_oryg, dane
 fc_sql("forecast_mean_ratio", """SELECT nazwa_kasy, measure,
   round(CAST(sum(CAST("roznica_%" AS DECIMAL(38,2))) AS DOUBLE) / count("roznica_%"), 6) AS srednia_roznica
   FROM cmp GROUP BY 1, 2""")
+
+
+# ------------------------------------------------------------------ adf gram --
+_ADF_MAX_LAG = 57  # static lag columns; the rule gives L <= 57 below ~5 million days
+_DZ_LAGS = ", ".join(f"COALESCE(lag(dz, {k}) OVER w, 0.0)" for k in range(1, _ADF_MAX_LAG + 1))
+ts_sql("adf_gram", f"""
+SELECT nazwa_kasy, measure, n, l AS "l", CAST(a.i - 1 AS INTEGER) AS i, CAST(b.j - 1 AS INTEGER) AS j,
+       round(sum(v[a.i] * v[b.j]), 4) + 0.0 AS g
+FROM (
+  SELECT nazwa_kasy, measure, n, l, s, [dz, zl, 1.0, {_DZ_LAGS}] AS v
+  FROM (SELECT *, z - lag(z) OVER w AS dz, lag(z) OVER w AS zl
+        FROM (SELECT *, CAST(least(floor(n / 2) - 2, ceil(12.0 * pow(CAST(n AS DOUBLE) / 100.0, 0.25))) AS INTEGER) AS l,
+                     CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0.0 END AS z,
+                     row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) - 1 AS s
+              FROM (SELECT nazwa_kasy, measure, data, diff AS x,
+                           count(*) OVER (PARTITION BY nazwa_kasy, measure) AS n,
+                           avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS m,
+                           stddev_samp(diff) OVER (PARTITION BY nazwa_kasy, measure) AS sd
+                    FROM sdiff WHERE diff IS NOT NULL) a0) a1
+        WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) a2
+  WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) d,
+  range(1, {_ADF_MAX_LAG + 4}) AS a(i), range(1, {_ADF_MAX_LAG + 4}) AS b(j)
+WHERE d.s >= 1 AND d.s >= d.l + 1 AND a.i <= d.l + 3 AND b.j <= d.l + 3
+GROUP BY nazwa_kasy, measure, n, l, a.i, b.j""")
