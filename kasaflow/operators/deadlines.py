@@ -13,10 +13,11 @@ Rule (per nominal day n in 1, 5, 10, 15, 20, 25 of every month):
   labels as an array for membership tests.
 
 Plan: instead of a chain of lag windows over the whole calendar (one
-partition), each nominal date is exploded into its 0..3 candidate dates and
-equi-joined to the calendar; ``min(struct(k, ...))`` picks the first date that
-is not a day off. Everything is keyed by date, so the work partitions, and a
-calendar key (branch, country) could be added to the join keys.
+partition), every day collects the flags of itself and the next six days with
+one explode and one grouped shuffle keyed by date (at most 7 entries per
+group). Due and eve tags are then row expressions over that
+map. Everything is keyed by date, so the work partitions, and a calendar key
+(branch, country) could be added to the grouping key.
 """
 
 from __future__ import annotations
@@ -62,54 +63,80 @@ def next_day_flag(cal: DataFrame) -> DataFrame:
             .select("data1", "dzien_wolny", "next_dzien_wolny"))
 
 
-def _first_working(anchors: DataFrame, cal: DataFrame, offsets: list[int]) -> DataFrame:
-    """For each anchor (anchor_date, n), the first candidate date at the given
-    offsets back that is not a day off, if it is a working day.
+def _ahead_flags(cal: DataFrame, span: int) -> DataFrame:
+    """(data1, dzien_wolny, ahead): ``ahead`` = (k, flag) entries of the days
+    k = 0..span later. One explode and one grouped shuffle; a group holds
+    span + 1 entries (more only if a date carries several flags). Each of the
+    day's own rows (k = 0) is kept, so a date with two flags yields two rows,
+    like a join on the date would."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(span))).alias("k")
+    spread = cal.select("data1", "dzien_wolny", k)
+    keyed = spread.select(F.date_sub("data1", F.col("k")).alias("day"), "k", "dzien_wolny")
+    grouped = keyed.groupBy("day").agg(F.collect_list(F.struct("k", "dzien_wolny")).alias("ahead"))
+    own = F.explode(F.filter("ahead", lambda e: e["k"] == 0)).alias("own")
+    return (grouped.select("day", "ahead", own)
+            .select(F.col("day").alias("data1"), F.col("own.dzien_wolny").alias("dzien_wolny"), "ahead"))
+
+
+def _lookahead_sql(span: int) -> list[str]:
+    """f<k> = flag of day + k, x<k> = day + k is in the calendar (k = 1..span)."""
+    out = []
+    for k in range(1, span + 1):
+        out.append(f"try_element_at(filter(ahead, e -> e.k = {k}), 1).dzien_wolny AS f{k}")
+        out.append(f"exists(ahead, e -> e.k = {k}) AS x{k}")
+    return out
+
+
+def _flag_sql(k: int) -> str:
+    return "dzien_wolny" if k == 0 else f"f{k}"
 
-    Returns (n, hit_date).
-    """
-    cand = anchors.select("anchor_date", "n", F.explode(F.array(*[F.lit(k) for k in offsets])).alias("k"))
-    cand = cand.withColumn("cand_date", F.date_sub("anchor_date", F.col("k")))
-    flags = cal.select(F.col("data1").alias("cand_date"), F.col("dzien_wolny").alias("flag"))
-    joined = cand.join(flags, "cand_date", "left")
-    not_off = ~F.col("flag").eqNullSafe(F.lit(DAY_OFF))
-    first = (joined.groupBy("anchor_date", "n")
-             .agg(F.min(F.when(not_off, F.struct("k", "flag", "cand_date"))).alias("hit")))
-    return (first.filter(F.col("hit.flag") == WORKING_DAY)
-            .select("n", F.col("hit.cand_date").alias("hit_date")))
-
-
-def _labels(hits: DataFrame, suffix: str, name: str) -> DataFrame:
-    """Per date, tags ordered by n and joined by ';'."""
-    ordered = F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("T"), F.col("n").cast("string"),
-                                                                 F.lit(suffix)).alias("tag"))))
-    return (hits.groupBy("hit_date").agg(ordered.alias("_t"))
-            .select(F.col("hit_date").alias("data1"),
-                    F.transform("_t", lambda s: s["tag"]).alias(name + "_tags")))
+
+def _candidate_sql(conds: list[str], nominal_offset: int, suffix: str) -> str:
+    dom = f"dayofmonth(date_add(data1, {nominal_offset}))"
+    days = ", ".join(str(d) for d in DEADLINE_DAYS)
+    exists = [] if nominal_offset == 0 else [f"x{nominal_offset}"]
+    cond = " AND ".join(conds + exists + [f"{dom} IN ({days})"])
+    return (f"CASE WHEN coalesce({cond}, false) THEN named_struct('n', {dom}, "
+            f"'tag', concat('T', CAST({dom} AS STRING), '{suffix}')) END")
+
+
+def _labels_sql(candidates: list[str]) -> str:
+    """Non-NULL (n, tag) candidates ordered by n -> array of tags."""
+    return f"transform(array_sort(filter(array({', '.join(candidates)}), c -> c IS NOT NULL)), c -> c.tag)"
 
 
 def deadline_calendar(cal: DataFrame) -> DataFrame:
-    """(data1, dzien_wolny, wyk_term, razemD_1, Terminy, tags) for every calendar date."""
-    cal = cal.select("data1", "dzien_wolny")
-    dom = F.dayofmonth("data1")
-    nominal = cal.filter(dom.isin(DEADLINE_DAYS)).select(F.col("data1").alias("anchor_date"),
-                                                         dom.alias("n"))
-    due = _first_working(nominal, cal, list(range(0, ROLL_DEPTH + 1)))
-    eve = _first_working(due.select(F.col("hit_date").alias("anchor_date"), "n"), cal,
-                         list(range(1, ROLL_DEPTH + 1)))
-    due_l = _labels(due, "", "due")
-    eve_l = _labels(eve, "D-1", "eve")
-    out = cal.join(due_l, "data1", "left").join(eve_l, "data1", "left")
-    due_txt = F.array_join(F.coalesce("due_tags", F.array().cast("array<string>")), ";")
-    eve_txt = F.array_join(F.coalesce("eve_tags", F.array().cast("array<string>")), ";")
-    return out.select(
-        "data1", "dzien_wolny",
-        due_txt.alias("wyk_term"),
-        eve_txt.alias("razemD_1"),
-        F.concat(due_txt, eve_txt).alias("Terminy"),
-        F.concat(F.coalesce("due_tags", F.array().cast("array<string>")),
-                 F.coalesce("eve_tags", F.array().cast("array<string>"))).alias("tags"),
-    )
+    """(data1, dzien_wolny, wyk_term, razemD_1, Terminy, tags) for every calendar date.
+
+    With f(i) the flag i days after day d:
+    * d is the due day of nominal day d+k (k = 0..3) iff f(0) = 'D' and
+      f(1..k) are all 'DW';
+    * d is the eve of due day d+j (j = 1..3) iff f(0) = 'D', f(1..j-1) are
+      'DW' and d+j is a due day (of nominal day d+j+k).
+    A missing day or a flag other than D/DW ends a search, as does a fourth
+    day off. The expressions are generated as SQL text (one call to build the
+    projection instead of hundreds of Column objects).
+    """
+    depth = ROLL_DEPTH
+    ahead = _ahead_flags(cal.select("data1", "dzien_wolny"), 2 * depth)
+    ahead = ahead.selectExpr("data1", "dzien_wolny", *_lookahead_sql(2 * depth))
+    work, off = f"'{WORKING_DAY}'", f"'{DAY_OFF}'"
+
+    def all_off(first: int, last: int) -> list[str]:
+        return [f"{_flag_sql(i)} = {off}" for i in range(first, last + 1)]
+
+    due = [_candidate_sql([f"dzien_wolny = {work}"] + all_off(1, k), k, "")
+           for k in range(0, depth + 1)]
+    eve = [_candidate_sql([f"dzien_wolny = {work}"] + all_off(1, j - 1) + [f"{_flag_sql(j)} = {work}"]
+                          + all_off(j + 1, j + k), j + k, "D-1")
+           for j in range(1, depth + 1) for k in range(0, depth + 1)]
+    out = ahead.selectExpr("data1", "dzien_wolny", f"{_labels_sql(due)} AS due_tags",
+                           f"{_labels_sql(eve)} AS eve_tags")
+    return out.selectExpr("data1", "dzien_wolny",
+                          "array_join(due_tags, ';') AS wyk_term",
+                          "array_join(eve_tags, ';') AS razemD_1",
+                          "concat(array_join(due_tags, ';'), array_join(eve_tags, ';')) AS Terminy",
+                          "concat(due_tags, eve_tags) AS tags")
 
 
 def has_tag(tags: Column, label: str) -> Column:

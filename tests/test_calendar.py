@@ -154,3 +154,12 @@ def test_closed_form_equals_lag_chain(spark, seed, p_off):
     cal = spark.createDataFrame(list(zip(days, flags)), "data1 date, dzien_wolny string")
     got = {r.data1: r.Terminy for r in DL.deadline_calendar(cal).collect()}
     assert [got[d] for d in days] == expected
+
+
+def test_two_flags_on_a_date_fan_out(spark):
+    days = [dt.date(2023, 5, 1) + dt.timedelta(days=i) for i in range(10)]
+    rows = [(d, "D") for d in days] + [(dt.date(2023, 5, 5), "DW")]
+    cal = spark.createDataFrame(rows, "data1 date, dzien_wolny string")
+    out = DL.deadline_calendar(cal).filter("data1 = DATE'2023-05-05'").collect()
+    assert sorted(r.dzien_wolny for r in out) == ["D", "DW"]
+    assert {r.dzien_wolny: r.Terminy for r in out}["D"] == "T5"
