@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kasaflow.functions.stats import adf_critical, adf_pvalue, chi2_sf_1df_col, levinson_pacf
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
-from kasaflow.operators.series import KEYS, by_series, whole_series
+from kasaflow.operators.series import KEYS, by_series, lags_sql, whole_series
 
 ADF_SCHEMA = ("nazwa_kasy string, measure string, adf_stat double, p_value double, used_lag int, "
               "nobs int, crit_1pct double, crit_5pct double, crit_10pct double, stationary boolean")
@@ -40,15 +40,18 @@ def adf_design(diffed: DataFrame, column: str = "diff") -> tuple[DataFrame, int]
     x = x.withColumns({"n": F.count(F.lit(1)).over(ws), "m": F.avg("x").over(ws),
                        "sd": F.stddev_samp("x").over(ws)})
     x = x.withColumn("L", adf_max_lag(F.col("n")))
-    lmax = x.agg(F.max("L")).first()[0]
+    # Largest lag over all series from a plain per-series count (no window sort).
+    counts = diffed.filter(F.col(column).isNotNull()).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    lmax = counts.agg(F.max(adf_max_lag(F.col("n")))).first()[0]
     lmax = int(lmax) if lmax is not None and lmax > 0 else 0
     z = F.when(F.col("sd") > 0, (F.col("x") - F.col("m")) / F.col("sd")).otherwise(F.lit(0.0))
     w = by_series()
     x = x.withColumns({"z": z, "s": (F.row_number().over(w) - 1).cast("int")})
     x = x.withColumns({"dz": F.col("z") - F.lag("z", 1).over(w), "zl": F.lag("z", 1).over(w)})
-    lags = [F.coalesce(F.lag("dz", k).over(w), F.lit(0.0)) for k in range(1, lmax + 1)]
-    v = F.array(F.col("dz"), F.col("zl"), F.lit(1.0), *lags)
-    rows = x.filter(F.col("s") >= 1).select(*KEYS, "n", "L", "s", v.alias("v"))
+    lag_cols = lags_sql("dz", range(1, lmax + 1), "dl", default="0.0")
+    x = x.selectExpr(*KEYS, "n", "L", "s", "dz", "zl", *lag_cols)
+    v = "array(dz, zl, 1.0D" + "".join(f", dl{k}" for k in range(1, lmax + 1)) + ") AS v"
+    rows = x.filter(F.col("s") >= 1).selectExpr(*KEYS, "n", "L", "s", v)
     return rows, lmax
 
 

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
-from kasaflow.operators.series import KEYS, by_series
+from kasaflow.operators.series import KEYS, lags_sql
+from kasaflow.plans.sizing import broadcast_if, row_count_at_most
 from kasaflow.session import ensure_checkpoint_dir
 
 LONG_AR = 28
@@ -41,48 +42,60 @@ MA_LAGS = [1, 2, 7, 8, 9]
 
 
 def _solve_rows(names: list[str]):
-    """applyInPandas body: Gram rows of one series -> (KEYS, coef array, ssr, n)."""
+    """applyInPandas body: Gram rows of one series -> (KEYS, coef array, ssr, nobs).
+
+    The Gram matrix carries a trailing column of ones, so G[-1, -1] is the
+    number of rows (no separate count and join)."""
     k = len(names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        G = matrix_from_rows(pdf["i"], pdf["g"], k + 1)
+        G = matrix_from_rows(pdf["i"], pdf["g"])
+        n = float(G[k + 1, k + 1])
         fit = ols_from_gram(G, 0, list(range(1, k + 1)))
         coef = list(map(float, fit[0])) if fit is not None else None
         ssr = fit[1] if fit is not None else np.nan
         return pd.DataFrame([{"nazwa_kasy": pdf["nazwa_kasy"].iloc[0], "measure": pdf["measure"].iloc[0],
-                              "coef": coef, "ssr": float(ssr), "nobs": float(pdf["n"].iloc[0])}])
+                              "coef": coef, "ssr": float(ssr), "nobs": n}])
     return solve
 
 
 COEF_SCHEMA = "nazwa_kasy string, measure string, coef array<double>, ssr double, nobs double"
+COEF_MAX_BROADCAST_ROWS = 1_000_000  # one row per series
+
+
+def _gram_with_count(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    with_one = rows.select(*KEYS, y, *xs, F.lit(1.0).alias("_one"))
+    return gram_rows(with_one, KEYS, [y] + xs + ["_one"])
 
 
 def _regress(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """Per-series OLS of y on xs (no constant) through the Gram aggregate."""
-    g = gram_rows(rows.select(*KEYS, y, *xs), KEYS, [y] + xs)
-    n = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    return g.join(n, KEYS).groupBy(*KEYS).applyInPandas(_solve_rows(xs), COEF_SCHEMA)
+    return _gram_with_count(rows, y, xs).groupBy(*KEYS).applyInPandas(_solve_rows(xs), COEF_SCHEMA)
 
 
-def _dot(coef: str, cols: list[str]):
-    """sum_k coef[k] * cols[k] as plain arithmetic (stays in codegen)."""
-    terms = [F.col(coef)[i] * F.col(c) for i, c in enumerate(cols)]
-    return sum(terms[1:], terms[0])
+def _dot(coef: str, cols: list[str]) -> str:
+    """sum_k coef[k] * cols[k] as SQL arithmetic (stays in codegen)."""
+    return " + ".join(f"{coef}[{i}] * {c}" for i, c in enumerate(cols))
 
 
 def stage_rows(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame]:
-    """(rows with x, e_hat and their lags, stage-1 coefficients)."""
-    w = by_series()
+    """(rows with x, e_hat and their lags, stage-1 coefficients).
+
+    The lag rows are checkpointed once (shared checkpoint folder): they feed
+    the stage-1 Gram and the residuals.
+    """
     base = train.select(*KEYS, "Data", "rn", F.col(x).alias("x"))
-    lag_x = {f"x{k}": F.lag("x", k).over(w) for k in range(1, LONG_AR + 1)}
-    rows = base.withColumns(lag_x)
+    rows = base.selectExpr("*", *lags_sql("x", range(1, LONG_AR + 1), "x"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint(eager=True)
     ar_cols = [f"x{k}" for k in range(1, LONG_AR + 1)]
-    s1_rows = rows.filter(F.col(f"x{LONG_AR}").isNotNull())
-    s1 = _regress(s1_rows, "x", ar_cols)
-    with_coef = rows.join(s1.select(*KEYS, F.col("coef").alias("a")), KEYS)
-    e_hat = F.when(F.col(f"x{LONG_AR}").isNotNull(), F.col("x") - _dot("a", ar_cols))
-    rows2 = with_coef.withColumn("e", e_hat).drop("a")
-    rows2 = rows2.withColumns({f"e{k}": F.lag("e", k).over(w) for k in MA_LAGS})
+    s1 = _regress(rows.filter(F.col(f"x{LONG_AR}").isNotNull()), "x", ar_cols)
+    coef = s1.select(*KEYS, F.col("coef").alias("a"))
+    coef = broadcast_if(coef, row_count_at_most(coef, COEF_MAX_BROADCAST_ROWS))
+    with_coef = rows.join(coef, KEYS)
+    rows2 = with_coef.selectExpr(*KEYS, "Data", "rn", "x", *[f"x{k}" for k in AR_LAGS],
+                                 f"CASE WHEN x{LONG_AR} IS NOT NULL THEN x - ({_dot('a', ar_cols)}) END AS e")
+    rows2 = rows2.selectExpr("*", *lags_sql("e", MA_LAGS, "e"))
     return rows2, s1
 
 
@@ -93,15 +106,8 @@ def stage2_columns() -> list[str]:
 def lag_regression_fit(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stage-2 coefficients, stage-2 Gram rows, rows) per series."""
     rows, _ = stage_rows(train, x)
-    # The design rows feed the stage-2 Gram and the forecast tail; a reliable
-    # checkpoint (shared checkpoint folder) computes them once.
-    ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint(eager=True)
     cols = stage2_columns()
-    s2_rows = rows.filter(F.col(f"e{max(MA_LAGS)}").isNotNull())
-    g = gram_rows(s2_rows.select(*KEYS, "x", *cols), KEYS, ["x"] + cols)
-    n = s2_rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    g = g.join(n, KEYS)
+    g = _gram_with_count(rows.filter(F.col(f"e{max(MA_LAGS)}").isNotNull()), "x", cols)
     coef = g.groupBy(*KEYS).applyInPandas(_solve_rows(cols), COEF_SCHEMA)
     return coef, g, rows
 
@@ -161,8 +167,8 @@ def _lags_for(p: int, P: int, s: int = SEASON) -> list[int]:
 def _order_search_one(pdf: pd.DataFrame) -> pd.DataFrame:
     cols = stage2_columns()
     k = len(cols)
-    G = matrix_from_rows(pdf["i"], pdf["g"], k + 1)
-    n = float(pdf["n"].iloc[0])
+    G = matrix_from_rows(pdf["i"], pdf["g"])
+    n = float(G[k + 1, k + 1])
     results = []
     for p, q, P, Q in candidate_orders():
         ar = [f"x{lag}" for lag in _lags_for(p, P)]

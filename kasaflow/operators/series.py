@@ -22,6 +22,23 @@ HIST_BINS = 20
 TEST_SIZE = 0.1
 
 
+SERIES_ORDER_SQL = "PARTITION BY nazwa_kasy, measure ORDER BY Data"
+
+
+def lags_sql(col: str, lags, prefix: str, default: str | None = None) -> list[str]:
+    """SQL text for lag(col, k) over the series order, one column per k.
+
+    Bulk expressions are built as text: one ``selectExpr`` call instead of
+    several Py4J calls per Column object."""
+    out = []
+    for k in lags:
+        e = f"lag({col}, {k}) OVER ({SERIES_ORDER_SQL})"
+        if default is not None:
+            e = f"coalesce({e}, {default})"
+        out.append(f"{e} AS {prefix}{k}")
+    return out
+
+
 def by_series() -> Window:
     return Window.partitionBy(*KEYS).orderBy("Data")
 
@@ -159,12 +176,11 @@ def acf(diffed: DataFrame, nlags: int = 30, column: str = "diff", digits: int |
     x = diffed.filter(F.col(column).isNotNull()).select(*KEYS, "Data", F.col(column).alias("x"))
     u = F.col("x") - F.avg("x").over(whole_series())
     x = x.withColumn("u", u)
-    lags = {f"l{k}": F.lag("u", k).over(by_series()) for k in range(1, nlags + 1)}
-    x = x.withColumns(lags)
-    sums = [F.sum(F.col("u") * F.col("u")).alias("s0")] + \
-           [F.sum(F.col("u") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, nlags + 1)]
-    g = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("nobs"), *sums)
-    arr = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(0, nlags + 1)])
+    x = x.selectExpr("*", *lags_sql("u", range(1, nlags + 1), "l"))
+    sums = ["sum(u * u) AS s0"] + [f"sum(u * l{k}) AS s{k}" for k in range(1, nlags + 1)]
+    g = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("nobs"), *[F.expr(e) for e in sums])
+    entries = ", ".join(f"named_struct('lag', {k}, 's', s{k})" for k in range(0, nlags + 1))
+    arr = F.expr(f"array({entries})")
     out = g.select(*KEYS, "nobs", "s0", F.explode(arr).alias("e"))
     r = F.try_divide(F.coalesce(F.col("e.s"), F.lit(0.0)), F.col("s0"))
     return out.select(*KEYS, F.col("e.lag").cast("int").alias("lag"),
