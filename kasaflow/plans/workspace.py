@@ -52,9 +52,14 @@ class CashWorkspace:
         self._calendar = None
         self._enriched = None
         self._series = None
+        self._lock = threading.RLock()  # one writer per stage table
 
     @property
     def fact(self) -> DataFrame:
+        with self._lock:
+            return self._fact_locked()
+
+    def _fact_locked(self) -> DataFrame:
         if self._fact is None:
             self._fact = materialize(self.spark, cash_fact(self.spark, self.sf_dir, self.level),
                                      f"fact-{self._tag}")
@@ -63,6 +68,10 @@ class CashWorkspace:
     @property
     def span(self) -> tuple[str, str]:
         """(first, last) date of the fact as ISO strings (one tiny aggregate)."""
+        with self._lock:
+            return self._span_locked()
+
+    def _span_locked(self) -> tuple[str, str]:
         if self._span is None:
             row = self.fact.agg(F.min("Data").alias("lo"), F.max("Data").alias("hi")).first()
             self._span = (row["lo"].isoformat(), row["hi"].isoformat())
@@ -75,6 +84,10 @@ class CashWorkspace:
 
     @property
     def calendar(self) -> DataFrame:
+        with self._lock:
+            return self._calendar_locked()
+
+    def _calendar_locked(self) -> DataFrame:
         if self._calendar is None:
             self._calendar = materialize(self.spark, deadline_calendar(self.calendar_flags),
                                          f"calendar-{self._tag}")
@@ -84,6 +97,10 @@ class CashWorkspace:
     def series(self) -> DataFrame:
         """Daily series of every (branch, measure), differenced and split
         (KEYS, Data, value, diff, rn, n, n_test, split); days x series rows."""
+        with self._lock:
+            return self._series_locked()
+
+    def _series_locked(self) -> DataFrame:
         if self._series is None:
             lo, hi = self.span
             split = train_test_split(series_diff(series_long(self.fact, lo, hi)))
@@ -92,6 +109,10 @@ class CashWorkspace:
 
     @property
     def enriched(self) -> DataFrame:
+        with self._lock:
+            return self._enriched_locked()
+
+    def _enriched_locked(self) -> DataFrame:
         if self._enriched is None:
             self._enriched = materialize(self.spark, enrich(self.fact, self.calendar, self.spark),
                                          f"enriched-{self._tag}")
