@@ -76,8 +76,9 @@ def series_diff(series: DataFrame) -> DataFrame:
 
 
 def test_count(n: Column, test_size: float = TEST_SIZE) -> Column:
-    """ceil(test_size * n) in double arithmetic, as the usual split helper does
-    (so 0.1 * 30 = 3.0000000000000004 gives 4)."""
+    """ceil(test_size * n) in double arithmetic, as the usual chronological
+    split helper computes the test size (for test_size = 0.1 this equals
+    ceil(n / 10) for every n below 400 at least)."""
     return F.ceil(F.lit(float(test_size)) * n).cast("long")
 
 
