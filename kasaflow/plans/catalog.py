@@ -55,6 +55,15 @@ def q_csv_scan(spark, sf_dir):
     return lower(read_cash_csv(spark, path))
 
 
+@register("csv_scan_inferred")
+def q_csv_scan_inferred(spark, sf_dir):
+    """Same file read the notebook's way: header, ';', inferSchema (an extra pass)."""
+    ws = workspace(spark, sf_dir)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/kasaflow/csv-inferred-{ws._tag}"
+    write_cash_csv(ws.fact, path)
+    return lower(read_cash_csv(spark, path, schema=None, infer=True))
+
+
 @register("weekday_dim")
 def q_weekday_dim(spark, sf_dir):
     """Weekday dimension rows that occur in the enriched fact."""

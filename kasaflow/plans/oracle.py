@@ -119,6 +119,7 @@ def _xsum(c: str) -> str:
 
 
 sql("csv_scan", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact")
+sql("csv_scan_inferred", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact")
 sql("weekday_dim", "SELECT DISTINCT id, dzien FROM enriched")
 sql("filter_day", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact WHERE data = DATE '{P.REPORT_DAY}'")
 sql("filter_month", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact WHERE {_IN_MONTH}")

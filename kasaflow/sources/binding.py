@@ -71,7 +71,8 @@ def supplier_branches(spark: SparkSession, sf_dir: str, level: str = "region",
 
 
 def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
-              start: str | None = None, end: str | None = None) -> DataFrame:
+              start: str | None = None, end: str | None = None,
+              supplier_broadcast_rows: int = SUPPLIER_MAX_BROADCAST_ROWS) -> DataFrame:
     """One row per (Data, nazwa_kasy) with the six daily measures (DOUBLE).
 
     Sums are exact integer cents (LONG, overflow-checked in ANSI mode) turned
@@ -87,7 +88,7 @@ def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
     if end is not None:
         li = li.filter(F.col("Data") < F.lit(end).cast("date"))
     # The map has at most one row per supplier: bound it by the supplier table.
-    small = row_count_at_most(read_table(spark, sf_dir, "supplier"), SUPPLIER_MAX_BROADCAST_ROWS)
+    small = row_count_at_most(read_table(spark, sf_dir, "supplier"), supplier_broadcast_rows)
     branches = broadcast_if(supplier_branches(spark, sf_dir, level), small)
     joined = li.join(branches, li.l_suppkey == branches.s_suppkey)
     cents = to_cents(F.col("l_extendedprice"))

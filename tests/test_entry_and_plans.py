@@ -51,3 +51,17 @@ def test_csv_round_trip(spark):
     fact = workspace(spark, SF).fact
     back = queries()["csv_scan"](spark, SF)
     assert back.count() == fact.count()
+
+
+def test_shuffle_join_fallback_equals_broadcast(spark):
+    """Above the supplier bound the join is a sort-merge join; same rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = cash_fact(spark, SF, supplier_broadcast_rows=0)
+        big.collect()
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        small = cash_fact(spark, SF)
+        assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
