@@ -186,3 +186,40 @@ FROM (
   range(1, {_ADF_MAX_LAG + 4}) AS a(i), range(1, {_ADF_MAX_LAG + 4}) AS b(j)
 WHERE d.s >= 1 AND d.s >= d.l + 1 AND a.i <= d.l + 3 AND b.j <= d.l + 3
 GROUP BY nazwa_kasy, measure, n, l, a.i, b.j""")
+
+# --------------------------------------------------------------------- pacf --
+_R_LIST = ", ".join(["s0 / s0"] + [f"COALESCE(s{k}, 0.0) / s0" for k in range(1, 31)])
+
+
+def rec_sql(name: str, body: str) -> None:
+    sql(name, SERIES + body)
+    from kasaflow.plans.oracle import _SQL
+    _SQL[name] = "WITH RECURSIVE " + _SQL[name][len("WITH "):]
+
+
+# Durbin-Levinson on the unrounded biased ACF (lags 0..30), as a recursion over k
+rec_sql("pacf", f"""
+, acf_sums AS (
+    SELECT nazwa_kasy, measure, {_SUMS} FROM (
+      SELECT nazwa_kasy, measure, u,
+        {_LAGS}
+      FROM (SELECT nazwa_kasy, measure, data,
+                   diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS u
+            FROM sdiff WHERE diff IS NOT NULL) x
+      WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) y
+    GROUP BY 1, 2)
+, acf_list AS (SELECT nazwa_kasy, measure, [{_R_LIST}] AS r FROM acf_sums)
+, lev AS (
+    SELECT nazwa_kasy, measure, r, 1 AS k, [r[2] / r[1]] AS phi,
+           r[1] * (1 - (r[2] / r[1]) * (r[2] / r[1])) AS v, r[2] / r[1] AS pk
+    FROM acf_list
+    UNION ALL
+    SELECT nazwa_kasy, measure, r, k + 1,
+           list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - pk2 * phi[k + 1 - j]), [pk2]),
+           v * (1 - pk2 * pk2), pk2
+    FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i]))) / v
+                    AS pk2 FROM lev) t
+    WHERE k < 30)
+SELECT nazwa_kasy, measure, 0 AS lag, 1.0 AS pacf FROM acf_list
+UNION ALL
+SELECT nazwa_kasy, measure, CAST(k AS INTEGER) AS lag, round(pk, 9) + 0.0 AS pacf FROM lev""")
