@@ -163,3 +163,11 @@ def test_two_flags_on_a_date_fan_out(spark):
     out = DL.deadline_calendar(cal).filter("data1 = DATE'2023-05-05'").collect()
     assert sorted(r.dzien_wolny for r in out) == ["D", "DW"]
     assert {r.dzien_wolny: r.Terminy for r in out}["D"] == "T5"
+
+
+def test_month_crossing_roll(spark):
+    # 2022-05-01 is a Sunday and a holiday, 04-30 a Saturday: T1 rolls back into April
+    t = _terminy(spark, "2022-04-15", "2022-05-15")
+    assert t["2022-04-29"] == "T1"
+    assert t["2022-04-28"] == "T1D-1"
+    assert t["2022-05-05"] == "T5" and t["2022-05-04"] == "T5D-1"

@@ -65,3 +65,13 @@ def test_shuffle_join_fallback_equals_broadcast(spark):
         assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_daily_long_equals_pivot(spark):
+    q = queries()
+    piv = q["daily_pivot_nad_kz"](spark, SF).collect()
+    long_rows = {(r.nazwa_kasy, r.data.isoformat()): r.value
+                 for r in q["daily_long"](spark, SF).filter("measure = 'nad_kz'").collect()}
+    from_pivot = {(r["nazwa_kasy"], k): v for r in piv for k, v in r.asDict().items()
+                  if k != "nazwa_kasy" and v is not None}
+    assert from_pivot == long_rows
