@@ -41,7 +41,7 @@ def run_noop(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     spark = get_or_create_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
@@ -63,20 +63,27 @@ def main() -> None:
     times["workspace_build"] = round(statistics.median(samples), 3)
     build(workspace(spark, sf_dir))  # the memoised workspace the queries read
 
+    errors: dict[str, str] = {}
     for name in HEADLINE:
         if name not in qs:
             continue
-        run_noop(qs[name](spark, sf_dir))  # warm-up
-        samples = []
-        for _ in range(repeat):
-            t = time.perf_counter()
-            run_noop(qs[name](spark, sf_dir))
-            samples.append(time.perf_counter() - t)
-        times[name] = round(statistics.median(samples), 3)
+        try:
+            run_noop(qs[name](spark, sf_dir))  # warm-up
+            samples = []
+            for _ in range(repeat):
+                t = time.perf_counter()
+                run_noop(qs[name](spark, sf_dir))
+                samples.append(time.perf_counter() - t)
+            times[name] = round(statistics.median(samples), 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep measuring the rest
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
 
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times,
-                      "sf": sf, "cpus": int(cpus), "repeat": repeat}))
+    result = {"metric": "total_sec", "value": total, "unit": "sec", "queries": times,
+              "sf": sf, "cpus": int(cpus), "repeat": repeat}
+    if errors:
+        result["errors"] = errors
+    print(json.dumps(result))
     spark.stop()
 
 
