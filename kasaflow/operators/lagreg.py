@@ -81,8 +81,8 @@ def _dot(coef: str, cols: list[str]) -> str:
 def stage_rows(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame]:
     """(rows with x, e_hat and their lags, stage-1 coefficients).
 
-    The lag rows are checkpointed once (shared checkpoint folder): they feed
-    the stage-1 Gram and the residuals.
+    The lag rows and the residual rows are each checkpointed once (reliable
+    checkpoints in the shared folder): each feeds two later steps.
     """
     base = train.select(*KEYS, "Data", "rn", F.col(x).alias("x"))
     rows = base.selectExpr("*", *lags_sql("x", range(1, LONG_AR + 1), "x"))
@@ -96,7 +96,8 @@ def stage_rows(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame]
     rows2 = with_coef.selectExpr(*KEYS, "Data", "rn", "x", *[f"x{k}" for k in AR_LAGS],
                                  f"CASE WHEN x{LONG_AR} IS NOT NULL THEN x - ({_dot('a', ar_cols)}) END AS e")
     rows2 = rows2.selectExpr("*", *lags_sql("e", MA_LAGS, "e"))
-    return rows2, s1
+    # Feeds the stage-2 Gram and the forecast tail: computed once.
+    return rows2.checkpoint(eager=True), s1
 
 
 def stage2_columns() -> list[str]:
