@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kasaflow.functions.stats import adf_critical, adf_pvalue, chi2_sf_1df_col, levinson_pacf
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
 from kasaflow.operators.series import KEYS, by_series, lags_sql, whole_series
+from kasaflow.session import ensure_checkpoint_dir
 
 ADF_SCHEMA = ("nazwa_kasy string, measure string, adf_stat double, p_value double, used_lag int, "
               "nobs int, crit_1pct double, crit_5pct double, crit_10pct double, stationary boolean")
@@ -121,6 +122,9 @@ def adf_test(diffed: DataFrame, column: str = "diff") -> DataFrame:
     series, which the refit at the chosen lag adds back.
     """
     rows, lmax = adf_design(diffed, column)
+    # The design rows feed the Gram aggregate and the head rows: computed once.
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint(eager=True)
     g = _design_gram(rows, lmax)
     grams = g.select(*KEYS, "n", "L", F.lit(0).alias("kind"), F.col("i").alias("idx"), F.col("g").alias("arr"))
     head = (rows.filter(F.col("s") <= F.col("L"))
