@@ -18,6 +18,13 @@ from kasaflow.session import ensure_checkpoint_dir
 
 ADF_SCHEMA = ("nazwa_kasy string, measure string, adf_stat double, p_value double, used_lag int, "
               "nobs int, crit_1pct double, crit_5pct double, crit_10pct double, stationary boolean")
+ADF_LEVEL = 0.05
+
+
+def with_verdict(adf: DataFrame, level: float = ADF_LEVEL) -> DataFrame:
+    """Adds the test verdict at ``level``: unit root rejected (stationary) or not."""
+    return adf.withColumn("verdict", F.when(F.col("p_value") <= level, "stationary")
+                          .when(F.col("p_value") > level, "possibly non-stationary"))
 
 
 def adf_max_lag(n):
@@ -98,7 +105,7 @@ def _adf_solve(pdf: pd.DataFrame) -> pd.DataFrame:
     crit = adf_critical(nobs)
     pval = adf_pvalue(stat)
     out.update(adf_stat=stat, p_value=pval, used_lag=p, nobs=nobs, crit_1pct=crit["1%"],
-               crit_5pct=crit["5%"], crit_10pct=crit["10%"], stationary=bool(pval <= 0.05))
+               crit_5pct=crit["5%"], crit_10pct=crit["10%"], stationary=bool(pval <= ADF_LEVEL))
     return pd.DataFrame([out])
 
 

@@ -96,7 +96,7 @@ def q_adf_gram(spark, sf_dir):
 
 @register("adf_test")
 def q_adf_test(spark, sf_dir):
-    return lower(D.adf_test(series_table(spark, sf_dir)))
+    return lower(D.with_verdict(D.adf_test(series_table(spark, sf_dir))))
 
 
 @register("pacf")
