@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
