@@ -75,3 +75,23 @@ def test_daily_long_equals_pivot(spark):
     from_pivot = {(r["nazwa_kasy"], k): v for r in piv for k, v in r.asDict().items()
                   if k != "nazwa_kasy" and v is not None}
     assert from_pivot == long_rows
+
+
+def test_nation_level_binding_sums_to_region_level(spark):
+    from pyspark.sql import functions as F
+    nat = cash_fact(spark, SF, level="nation")
+    reg = cash_fact(spark, SF)
+    nations = spark.read.parquet(f"{SF}/supplier.parquet").select("s_nationkey").distinct().count()
+    assert nat.select("nazwa_kasy").distinct().count() == nations
+    tot = lambda df: df.agg(*[F.sum(F.col(m) * 100).cast("long").alias(m)
+                              for m in ["zas_pl_R", "nad_kz", "zas_kz_W"]]).first()
+    assert tot(nat) == tot(reg)
+
+
+def test_csv_utf8_round_trip_of_weekday_names(spark, tmp_path):
+    from kasaflow.sources.csv_source import read_cash_csv, write_cash_csv
+    enriched = workspace(spark, SF).enriched.select("Data", "dzien")
+    write_cash_csv(enriched, str(tmp_path / "days"))
+    back = read_cash_csv(spark, str(tmp_path / "days"), schema=None, infer=True)
+    names = {r.dzien for r in back.select("dzien").distinct().collect()}
+    assert {"środa", "piątek", "poniedziałek", "niedziela"} <= names
