@@ -14,6 +14,8 @@ from kasaflow.plans.oracle import oracle_sql  # noqa: E402
 
 SF = os.environ.get("KASAFLOW_TEST_SF", "/root/testdata/sf0.001")
 NAMES = sorted(oracle_sql())
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "float": "FLOAT", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,7 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(scols) == sorted(dcols)
     order = sorted(scols)
     assert rows_of(scols, srows, order) == rows_of(dcols, drows, order)
+    # column types agree too (Spark simple type -> DuckDB type name)
+    rel = con.sql(f"SELECT * FROM ({oracle_sql()[name]}) LIMIT 0")
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == dtypes
