@@ -95,3 +95,17 @@ def test_csv_utf8_round_trip_of_weekday_names(spark, tmp_path):
     back = read_cash_csv(spark, str(tmp_path / "days"), schema=None, infer=True)
     names = {r.dzien for r in back.select("dzien").distinct().collect()}
     assert {"środa", "piątek", "poniedziałek", "niedziela"} <= names
+
+
+def test_all_query_plans_stay_distributed(spark):
+    """Every registered query: no row-at-a-time Python UDF, and no window or
+    aggregate fed by a single-partition exchange (a final ORDER BY/LIMIT may
+    gather to one partition; that is the feature)."""
+    for name, fn in queries().items():
+        plan = _plan(fn(spark, SF))
+        assert "BatchEvalPython" not in plan, name
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                above = "\n".join(lines[max(0, i - 3):i])
+                assert "Window" not in above and "HashAggregate" not in above, (name, above)
