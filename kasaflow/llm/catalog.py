@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kasaflow.llm.mixing import op4_mixing
+from kasaflow.llm.quality import op10_quality
 from kasaflow.llm.sharding import op1_sharding
+from kasaflow.llm.token_counts import op6_token_counts
+from kasaflow.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_toxicity": op2_toxicity,
         "op4_mixing": op4_mixing,
+        "op6_token_counts": op6_token_counts,
+        "op10_quality": op10_quality,
     }
 
 
