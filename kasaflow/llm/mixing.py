@@ -34,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 4096
 ROWS_PER_CHUNK = 20_000
+ORDER_BITS = 60
 SLOTS_PER_CHUNK = 65_536
 GOLDEN = 2_654_435_769        # 2**32 / golden ratio, to the nearest odd number
 
@@ -55,6 +56,12 @@ def targets(sizes: dict, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> dict:
     return got
 
 
+def shuffle_key(doc_id: str, size: str):
+    """60 bits of the md5 of id and size: a fixed shuffle that any SQL engine can repeat."""
+    text = F.concat_ws("-", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long")
+
+
 def with_size(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
 
@@ -114,16 +121,16 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     df = df.drop(*added)
     packed = with_size(df.select(*([F.struct(*df.columns).alias("_row")] if carry else []), F.col(doc_id).alias("_id"),
                                  F.col(source).alias("_source"), F.col(text).alias("_text")), "_text").drop("_text")
-    packed = packed.withColumn("_order", F.xxhash64(F.col("_id").cast("string"), "_size", F.lit(11)))
+    packed = packed.withColumn("_order", shuffle_key("_id", "_size"))
     sized = written(packed.drop("_row"), "mix-sized")
     plan = plan_sources(sized, "_source", block)
     rows = sized.count()
     info = spark.createDataFrame(
         [(p["k"], p["source"], p["size"], p["target"], p["take"], p["blocks"]) for p in plan],
         "k int, s string, source_size long, target double, take long, blocks long")
-    chunks = max(64, rows // ROWS_PER_CHUNK)
+    chunk_bits = max(6, (rows // ROWS_PER_CHUNK).bit_length())
     sized = (sized.join(F.broadcast(info), F.col("_source").eqNullSafe(F.col("s"))).drop("s")
-             .withColumn("_chunk", F.pmod(F.col("_order"), F.lit(chunks))))
+             .withColumn("_chunk", F.shiftright("_order", ORDER_BITS - chunk_bits)))
     per = sized.groupBy("k", "_chunk").agg(F.sum("_size").alias("w"))
     before = Window.partitionBy("k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("k", "_chunk", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_base"))
@@ -160,5 +167,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     return mine.alias("m").join(done.alias("d"), cond).select("m._row.*", *[f"d.{c}" for c in added])
 
 
+def mixed_documents(df: DataFrame, **how) -> DataFrame:
+    """The mix in whole documents: every row as many times as the schedule takes it (a row at a
+    source's cut counts if half of it or more is taken; rows without words are not in a mix of words)."""
+    names = df.columns
+    mixed = mix(df.select(F.struct(*names).alias("_doc"), "text", "source", "doc_id"), **how)
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    return (mixed.withColumn("_n", copies).where("_n > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*"))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), carry=False)
