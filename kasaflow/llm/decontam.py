@@ -230,6 +230,15 @@ def leaks(bench: Benchmark, texts: list) -> list[list[tuple[int, int, int, int]]
 LEAK = "array<struct<item_id:long,distance:int,item_words:int,word_end:int>>"
 
 
+def _finder(shared):
+    @F.pandas_udf(LEAK)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[dict(zip(("item_id", "distance", "item_words", "word_end"), x)) for x in found]
+                             for found in leaks(shared.value, s.tolist())], index=s.index, dtype=object)
+    return find
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "leaks") -> DataFrame:
     """``docs`` and an array of the benchmark items that each row's text holds."""
     spark = docs.sparkSession
@@ -239,13 +248,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toPandas()
         shared = spark.sparkContext.broadcast(Benchmark(block["item_id"].tolist(), block["text"].tolist()))
-
-        @F.pandas_udf(LEAK)
-        def find(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for s in batches:
-                yield pd.Series([[dict(zip(("item_id", "distance", "item_words", "word_end"), x)) for x in found]
-                                 for found in leaks(shared.value, s.tolist())], index=s.index, dtype=object)
-        out = out.withColumn(column, F.concat(column, find(F.col(text))))
+        out = out.withColumn(column, F.concat(column, _finder(shared)(F.col(text))))
     return out
 
 
