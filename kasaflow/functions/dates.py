@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def month_range(year: int, month: int) -> tuple[str, str]:
     return start, f"{ny:04d}-{nm:02d}-01"
 
 
+def month_starts(years: list[int]) -> list[dt.date]:
+    """First days of all months of the given years."""
+    return [dt.date(y, m, 1) for y in years for m in range(1, 13)]
+
+
+def days_of_month(year: int, month: int) -> list[dt.date]:
+    start, end = (dt.date.fromisoformat(d) for d in month_range(year, month))
+    return [start + dt.timedelta(days=i) for i in range((end - start).days)]
+
+
 def in_months(d: Column, year: int, months: list[int]) -> Column:
     """Disjunction of half-open month ranges (pushable)."""
     cond = None

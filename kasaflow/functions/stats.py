@@ -45,21 +45,43 @@ def adf_critical(nobs: int) -> dict[str, float]:
     return {k: sum(c / nobs ** i for i, c in enumerate(v)) for k, v in ADF_C_CRIT.items()}
 
 
-def chi2_sf_1df(q: float) -> float:
-    """Upper tail of chi-square with one degree of freedom."""
-    if q is None or math.isnan(q):
-        return float("nan")
-    return math.erfc(math.sqrt(max(q, 0.0) / 2.0))
+def chi2_sf(q: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Upper tail of chi-square: the regularised upper gamma function of
+    (df / 2, q / 2), by its series below a + 1 and by Lentz's continued
+    fraction above, for whole arrays."""
+    q, df = np.asarray(q, float), np.asarray(df, float)
+    a, x = df / 2.0, np.maximum(q, 0.0) / 2.0
+    log_gamma = np.array([math.lgamma(v) if v > 0 else np.nan for v in a.ravel()]).reshape(a.shape)
+    with np.errstate(all="ignore"):
+        front = np.where(x > 0, np.exp(-x + a * np.log(np.where(x > 0, x, 1.0)) - log_gamma), 0.0)
+        term = total = 1.0 / a
+        for k in range(1, 500):
+            term = term * x / (a + k)
+            total = total + term
+        low = 1.0 - front * total
+        tiny = 1e-300
+        b = x + 1.0 - a
+        c, d = np.full_like(x, 1.0 / tiny), 1.0 / np.where(b == 0, tiny, b)
+        h = d
+        for k in range(1, 500):
+            an = -k * (k - a)
+            b = b + 2.0
+            d = an * d + b
+            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+            c = b + an / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        return np.where(x <= 0, 1.0, np.where(x < a + 1.0, low, front * h)) + q * 0.0
 
 
 @F.pandas_udf(T.DoubleType())
-def _chi2_sf_1df_udf(q: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((chi2_sf_1df(v) for v in q.to_numpy(dtype=float)), float, len(q)))
+def _chi2_sf_udf(q: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(chi2_sf(q.to_numpy(dtype=float), df.to_numpy(dtype=float)))
 
 
-def chi2_sf_1df_col(q: Column) -> Column:
+def chi2_sf_col(q: Column, df: Column) -> Column:
     """Vectorised (Arrow batch) p-value column; one value per series."""
-    return _chi2_sf_1df_udf(q)
+    return _chi2_sf_udf(q, df)
 
 
 def levinson_pacf(r: np.ndarray) -> np.ndarray:

@@ -22,25 +22,30 @@ map. Everything is keyed by date, so the work partitions, and a calendar key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kasaflow.functions.constants import DAY_OFF, DEADLINE_DAYS, ROLL_DEPTH, WORKING_DAY
 from kasaflow.functions.dates import binding_day_flag
 
 
-def dense_calendar(spark: SparkSession, start: str, end: str, flag=binding_day_flag) -> DataFrame:
-    """(data1, dzien_wolny) for every day in [start, end] with a day-off rule."""
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("data1"))
-    return days.select("data1", flag(F.col("data1")).alias("dzien_wolny"))
-
-
 def calendar_from_fact(fact: DataFrame) -> DataFrame:
     """Distinct (date, flag) pairs of a fact, key renamed to ``data1``."""
     return fact.select("Data", "dzien_wolny").distinct().withColumnRenamed("Data", "data1")
 
 
+def dense_calendar(fact: DataFrame, flag=binding_day_flag) -> DataFrame:
+    """(data1, dzien_wolny) for every day of the fact's span. Flags are the
+    fact's own; only dates without a row in the fact get the day-off rule. A
+    date with two flags gives two rows."""
+    own = calendar_from_fact(fact)
+    days = (own.agg(F.min("data1").alias("lo"), F.max("data1").alias("hi"))
+            .select(F.explode(F.sequence("lo", "hi")).alias("data1")))
+    known = days.join(own.withColumn("known", F.lit(True)), "data1", "left")
+    return known.select("data1", F.when(F.col("known"), F.col("dzien_wolny")).otherwise(flag(F.col("data1")))
+                        .alias("dzien_wolny"))
+
+
 def nominal_tags(cal: DataFrame) -> DataFrame:
     """``T<n>`` on a working nominal day, ``T<n>x`` on a day off, '' otherwise."""
     dom = F.dayofmonth("data1")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kasaflow.functions.stats import adf_critical, adf_pvalue, chi2_sf_1df_col, levinson_pacf
+from kasaflow.functions.stats import adf_critical, adf_pvalue, chi2_sf_col, levinson_pacf
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
 from kasaflow.operators.series import KEYS, by_series, lags_sql, whole_series
 from kasaflow.session import ensure_checkpoint_dir
@@ -153,6 +153,27 @@ def pacf(acf_df: DataFrame) -> DataFrame:
             .applyInPandas(_pacf_solve, "nazwa_kasy string, measure string, lag int, pacf double"))
 
 
+Z95 = 1.959963984540054  # two-sided 95 % point of the normal distribution
+
+
+def acf_bounds(acf_df: DataFrame) -> DataFrame:
+    """(KEYS, lag, acf, bound): 95 % bounds around 0 by Bartlett's formula,
+    z * sqrt((1 + 2 * sum of the squared earlier r) / n); lag 0 has none."""
+    from pyspark.sql import Window
+    earlier = Window.partitionBy(*KEYS).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
+    sq = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(earlier)
+    var = (F.lit(1.0) + F.lit(2.0) * F.coalesce(sq, F.lit(0.0))) / F.col("nobs")
+    bound = F.when(F.col("lag") > 0, F.lit(Z95) * F.sqrt(var)).otherwise(F.lit(0.0))
+    return acf_df.select(*KEYS, "lag", F.round("acf", 9).alias("acf"), F.round(bound, 9).alias("bound"))
+
+
+def pacf_bounds(acf_df: DataFrame) -> DataFrame:
+    """(KEYS, lag, pacf, bound): z / sqrt(n) for every lag but 0."""
+    n = acf_df.where("lag = 0").select(*KEYS, "nobs")
+    bound = F.when(F.col("lag") > 0, F.lit(Z95) / F.sqrt("nobs")).otherwise(F.lit(0.0))
+    return pacf(acf_df).join(n, KEYS).select(*KEYS, "lag", "pacf", F.round(bound, 9).alias("bound"))
+
+
 def ljung_box(resid: DataFrame, order_col: str = "Data", value_col: str = "resid",
               group: list[str] | None = None, lag: int = 1) -> DataFrame:
     """Ljung-Box Q at ``lag`` lags per group (default lag 1):
@@ -175,5 +196,5 @@ def ljung_box(resid: DataFrame, order_col: str = "Data", value_col: str = "resid
 
 
 def with_ljung_box_pvalue(lb: DataFrame) -> DataFrame:
-    """Adds the chi-square(lags) upper tail; implemented for lags = 1."""
-    return lb.withColumn("lb_pvalue", F.when(F.col("lags") == 1, chi2_sf_1df_col(F.col("lb_stat"))))
+    """Adds the chi-square(lags) upper tail."""
+    return lb.withColumn("lb_pvalue", chi2_sf_col(F.col("lb_stat"), F.col("lags")))

@@ -4,13 +4,13 @@ Seasonal MA, orders (0,1,0)(0,1,1,s)
 -----------------------------------
 w_t = (1-B)(1-B^s) y_t = e_t + theta e_{t-s}. By conditional sum of squares
 (e = 0 before the first w), e_t = w_t - theta e_{t-s}: the recursion splits
-into s independent chains (t mod s). The recursion is sequential, so it runs
-per series in ``applyInPandas``: numpy folds every chain for all grid values
-of theta at once (a vector of 39 per step) and keeps the smallest sum of
-squares (smallest theta on ties). A series holds one row per training day: its
-size is bounded by the calendar span, not by the data volume. (A JVM-side
-``aggregate`` fold over ``collect_list`` arrays expresses the same thing but
-is interpreted per element and ran ~20x slower.)
+into s independent chains (t mod s). Theta is the minimum over (-1, 1), found
+on a coarse grid and then on two finer ones around the best value so far
+(``REFINE``), to 0.0005. The recursion is sequential, so it runs per series in
+``applyInPandas``: a series is a matrix of (T / s, s), and numpy folds all s
+chains and all candidate thetas of a grid at once, row by row. A series holds
+one row per training day: its size is bounded by the calendar span, not by the
+data volume. A NULL in the series leaves its chain as it is.
 
 The forecast needs no recursion: with v = (1-B) y and h' = ((h-1) mod s) + 1,
 v_hat(T+h) = v(T+h'-s) + theta e(T+h'-s), and y_hat = y_T + running sum of
@@ -18,7 +18,7 @@ v_hat. The anchors (last training row of each phase) are joined to the test
 rows on (series, phase), so the test rows never pass through Python.
 
 This estimates the same model family as an exact-likelihood state-space fit,
-not the same numbers: theta is the CSS minimiser on the grid.
+not the same numbers: theta is the CSS minimiser.
 """
 
 from __future__ import annotations
@@ -31,16 +31,30 @@ from pyspark.sql import functions as F
 from kasaflow.operators.series import KEYS, running
 
 SEASON = 7
-# Parameter grid for theta: -0.95, -0.90, ..., 0.95 (39 values).
+# Coarse grid for theta: -0.95, -0.90, ..., 0.95 (39 values).
 THETA_GRID = [round(-0.95 + 0.05 * i, 2) for i in range(39)]
+# Then -9..9 steps around the best: up to the neighbouring value of the grid before.
+REFINE = [(0.005, 3), (0.0005, 4)]  # (step, decimals)
 
 
 FIT_SCHEMA = ("nazwa_kasy string, measure string, phase int, theta double, css double, "
               "e_last double, v double, y_T double")
 
 
-def _fit_one_series(thetas: list[float], s: int, on: str):
-    grid = np.asarray(thetas, dtype=float)
+def _fold(w: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last residual of each chain, sum of squares) for every theta; ``w`` is
+    (steps, chains), NaN where there is no value."""
+    e = np.zeros((w.shape[1], len(grid)))
+    sse = np.zeros_like(e)
+    for row in w:
+        here = ~np.isnan(row)[:, None]
+        e = np.where(here, row[:, None] - grid * e, e)
+        sse += np.where(here, e * e, 0.0)
+    return e, sse.sum(axis=0)
+
+
+def _fit_one_series(thetas: list[float], s: int, on: str, refine: list[tuple[float, int]]):
+    coarse = np.asarray(thetas, dtype=float)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
@@ -48,43 +62,35 @@ def _fit_one_series(thetas: list[float], s: int, on: str):
         v = pdf["diff"].to_numpy(dtype=float)
         rn = pdf["rn"].to_numpy()
         T = len(y)
-        # w_t = (1-B)(1-B^s) y_t, defined from the (s+2)-th row on
-        e_last = np.zeros((s, len(grid)))
-        sse = np.zeros((s, len(grid)))
-        for ph in range(s):
-            e = np.zeros(len(grid))
-            acc = np.zeros(len(grid))
-            for t in range(s + 1, T):
-                if rn[t] % s != ph:
-                    continue
-                w = ((y[t] - y[t - 1]) - y[t - s]) + y[t - s - 1]
-                e = w - grid * e
-                acc = acc + e * e
-            e_last[ph], sse[ph] = e, acc
-        css = sse.sum(axis=0)
-        k = int(np.lexsort((np.arange(len(grid)), css))[0]) if len(grid) else 0
-        rows = []
-        for i in range(max(0, T - s), T):
-            ph = int(rn[i] % s)
-            rows.append((pdf["nazwa_kasy"].iloc[0], pdf["measure"].iloc[0], ph, float(grid[k]),
-                         float(css[k]), float(e_last[ph, k]), float(v[i]) if i > 0 else np.nan,
-                         float(y[-1])))
-        return pd.DataFrame(rows, columns=["nazwa_kasy", "measure", "phase", "theta", "css",
-                                           "e_last", "v", "y_T"])
+        # w_t = (1-B)(1-B^s) y_t, defined from the (s+2)-th row on; chain = rn mod s
+        w = ((y[s + 1:] - y[s:-1]) - y[1:T - s]) + y[:T - s - 1] if T > s + 1 else np.zeros(0)
+        lead = int(rn[s + 1] % s) if T > s + 1 else 0
+        table = np.concatenate((np.full(lead, np.nan), w, np.full(-(lead + len(w)) % s, np.nan))).reshape(-1, s)
+        grid = coarse
+        for step, places in [*refine, (None, 0)]:
+            e, css = _fold(table, grid)
+            k = int(np.argmin(css))  # the smallest theta on ties
+            if step is not None:
+                grid = np.round(grid[k] + step * np.arange(-9, 10), places)
+        last = np.arange(max(0, T - s), T)
+        phase = rn[last] % s
+        return pd.DataFrame({"nazwa_kasy": pdf["nazwa_kasy"].iloc[0], "measure": pdf["measure"].iloc[0],
+                             "phase": phase.astype("int32"), "theta": float(grid[k]), "css": float(css[k]),
+                             "e_last": e[phase, k], "v": np.where(last > 0, v[last], np.nan), "y_T": float(y[-1])})
     return fit
 
 
 def seasonal_ma_fit(split: DataFrame, thetas: list[float] = THETA_GRID, on: str = "value",
-                    s: int = SEASON) -> DataFrame:
-    """Theta by conditional least squares on the grid, per series, plus the
-    forecast anchors: one row per phase with the last training residual
+                    s: int = SEASON, refine: list[tuple[float, int]] = REFINE) -> DataFrame:
+    """Theta by conditional least squares, per series, plus the forecast
+    anchors: one row per phase with the last training residual
     ``e_last``, first difference ``v`` and the last training level ``y_T``.
 
     One group per series (its training days, bounded by the calendar span).
-    Inside, the s chains are folded for all grid values at once with numpy.
+    Inside, the s chains are folded for all candidates of a grid at once.
     """
     train = split.filter(F.col("split") == "train").select(*KEYS, "rn", F.col(on), "diff")
-    return train.groupBy(*KEYS).applyInPandas(_fit_one_series(list(thetas), s, on), FIT_SCHEMA)
+    return train.groupBy(*KEYS).applyInPandas(_fit_one_series(list(thetas), s, on, refine), FIT_SCHEMA)
 
 
 def seasonal_ma_forecast(split: DataFrame, thetas: list[float] = THETA_GRID, on: str = "value",
@@ -95,7 +101,7 @@ def seasonal_ma_forecast(split: DataFrame, thetas: list[float] = THETA_GRID, on:
     ``fixed_theta`` skips the search and uses that value (grid of one).
     """
     grid = [fixed_theta] if fixed_theta is not None else thetas
-    anchors = seasonal_ma_fit(split, grid, on, s)
+    anchors = seasonal_ma_fit(split, grid, on, s, [] if fixed_theta is not None else REFINE)
     test = (split.filter(F.col("split") == "test")
             .withColumn("phase", (F.col("rn") % F.lit(s)).cast("int")))
     joined = test.join(anchors, KEYS + ["phase"], "left")

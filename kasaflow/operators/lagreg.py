@@ -15,9 +15,13 @@ Data passes are Spark windows and grouped Gram sums; the solves get one
 (k + 1) x (k + 1) matrix per series. The multi-step forecast runs per series
 over its last 16 rows and the horizon only.
 
-The order search scores every (p, q, P, Q) with p, q, P <= 2 and Q <= 1 by
-AIC = n log(SSR / n) + 2 k on the stage-2 Gram matrix: the candidates are
-column subsets of the full stage-2 design, so no further data pass is needed.
+The order search picks the differencing first and the orders then. D (0 or 1)
+by the strength of the weekly pattern, d (0, 1 or 2) by the KPSS level test,
+one differencing at a time. Every (p, q, P, Q) with p, q <= 5, P, Q <= 2 and
+p + q + P + Q <= 5 (the usual limits of automatic searches) is then scored by
+AIC = n log(SSR / n) + 2 k on one stage-2 Gram matrix of the differenced
+series: the candidates are column subsets of the full design, so no further
+data pass is needed, and the chosen candidate's coefficients are returned.
 """
 
 from __future__ import annotations
@@ -32,8 +36,6 @@ from pyspark.sql import functions as F
 
 from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
 from kasaflow.operators.series import KEYS, lags_sql
-from kasaflow.plans.sizing import broadcast_if, row_count_at_most
-from kasaflow.session import ensure_checkpoint_dir
 
 LONG_AR = 28
 SEASON = 7
@@ -60,7 +62,6 @@ def _solve_rows(names: list[str]):
 
 
 COEF_SCHEMA = "nazwa_kasy string, measure string, coef array<double>, ssr double, nobs double"
-COEF_MAX_BROADCAST_ROWS = 1_000_000  # one row per series
 
 
 def _gram_with_count(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -78,39 +79,38 @@ def _dot(coef: str, cols: list[str]) -> str:
     return " + ".join(f"{coef}[{i}] * {c}" for i, c in enumerate(cols))
 
 
-def stage_rows(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame]:
-    """(rows with x, e_hat and their lags, stage-1 coefficients).
-
-    The lag rows and the residual rows are each checkpointed once (reliable
-    checkpoints in the shared folder): each feeds two later steps.
-    """
+def _lagged(train: DataFrame, x: str) -> DataFrame:
     base = train.select(*KEYS, "Data", "rn", F.col(x).alias("x"))
-    rows = base.selectExpr("*", *lags_sql("x", range(1, LONG_AR + 1), "x"))
-    ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint(eager=True)
-    ar_cols = [f"x{k}" for k in range(1, LONG_AR + 1)]
-    s1 = _regress(rows.filter(F.col(f"x{LONG_AR}").isNotNull()), "x", ar_cols)
-    coef = s1.select(*KEYS, F.col("coef").alias("a"))
-    coef = broadcast_if(coef, row_count_at_most(coef, COEF_MAX_BROADCAST_ROWS))
-    with_coef = rows.join(coef, KEYS)
-    rows2 = with_coef.selectExpr(*KEYS, "Data", "rn", "x", *[f"x{k}" for k in AR_LAGS],
-                                 f"CASE WHEN x{LONG_AR} IS NOT NULL THEN x - ({_dot('a', ar_cols)}) END AS e")
-    rows2 = rows2.selectExpr("*", *lags_sql("e", MA_LAGS, "e"))
-    # Feeds the stage-2 Gram and the forecast tail: computed once.
-    return rows2.checkpoint(eager=True), s1
+    return base.selectExpr("*", *lags_sql("x", range(1, LONG_AR + 1), "x"))
+
+
+AR_COLUMNS = [f"x{k}" for k in range(1, LONG_AR + 1)]
+
+
+def stage1_fit(train: DataFrame, x: str = "diff") -> DataFrame:
+    """Stage-1 coefficients: (KEYS, coef, ssr, nobs), one row a series."""
+    return _regress(_lagged(train, x).filter(F.col(f"x{LONG_AR}").isNotNull()), "x", AR_COLUMNS)
+
+
+def stage_rows(train: DataFrame, coefficients: DataFrame, x: str = "diff", ar_lags: list[int] = AR_LAGS,
+               ma_lags: list[int] = MA_LAGS) -> DataFrame:
+    """Rows with x, the stage-1 residual e and their lags. ``coefficients``
+    should be a written table (one row a series): its size lets Spark choose
+    the join, and it is not fitted again for each use."""
+    coef = coefficients.select(*KEYS, F.col("coef").alias("a"))
+    rows = _lagged(train, x).join(coef, KEYS)
+    rows = rows.selectExpr(*KEYS, "Data", "rn", "x", *[f"x{k}" for k in ar_lags],
+                           f"CASE WHEN x{LONG_AR} IS NOT NULL THEN x - ({_dot('a', AR_COLUMNS)}) END AS e")
+    return rows.selectExpr("*", *lags_sql("e", ma_lags, "e"))
 
 
 def stage2_columns() -> list[str]:
     return [f"x{k}" for k in AR_LAGS] + [f"e{k}" for k in MA_LAGS]
 
 
-def lag_regression_fit(train: DataFrame, x: str = "diff") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stage-2 coefficients, stage-2 Gram rows, rows) per series."""
-    rows, _ = stage_rows(train, x)
-    cols = stage2_columns()
-    g = _gram_with_count(rows.filter(F.col(f"e{max(MA_LAGS)}").isNotNull()), "x", cols)
-    coef = g.groupBy(*KEYS).applyInPandas(_solve_rows(cols), COEF_SCHEMA)
-    return coef, g, rows
+def lag_regression_fit(rows: DataFrame) -> DataFrame:
+    """Stage-2 coefficients per series from the rows of ``stage_rows``."""
+    return _regress(rows.filter(F.col(f"e{max(MA_LAGS)}").isNotNull()), "x", stage2_columns())
 
 
 def _forecast_one(horizon_col: str):
@@ -137,17 +137,15 @@ def _forecast_one(horizon_col: str):
     return run
 
 
-def lag_regression_forecast(split: DataFrame, x: str = "diff") -> DataFrame:
-    """Test-period forecast of x for every series: (KEYS, Data, h, value, diff,
+def forecast_from_rows(split: DataFrame, rows: DataFrame) -> DataFrame:
+    """Test-period forecast for every series: (KEYS, Data, h, value, diff, y_T,
     pred_diff, pred_level) with pred_level = last training level + running
-    sum of pred_diff."""
-    from kasaflow.operators.series import running, train_series
-    train = train_series(split)
-    coef, _, rows = lag_regression_fit(train, x)
+    sum of pred_diff. ``rows``: ``stage_rows`` of the training part."""
+    from kasaflow.operators.series import running
     meta = split.groupBy(*KEYS).agg((F.max("n") - F.max("n_test")).alias("n_train"),
                                     F.max("n_test").alias("horizon"))
     tail = (rows.join(meta, KEYS).filter(F.col("rn") > F.col("n_train") - F.lit(max(AR_LAGS)))
-            .select(*KEYS, "rn", "x", "e", "horizon").join(coef.select(*KEYS, "coef"), KEYS))
+            .select(*KEYS, "rn", "x", "e", "horizon").join(lag_regression_fit(rows).select(*KEYS, "coef"), KEYS))
     preds = tail.groupBy(*KEYS).applyInPandas(
         _forecast_one("horizon"), "nazwa_kasy string, measure string, h long, pred_diff double")
     test = split.filter(F.col("split") == "test").withColumn("h", F.col("rn") - (F.col("n") - F.col("n_test")))
@@ -157,8 +155,63 @@ def lag_regression_forecast(split: DataFrame, x: str = "diff") -> DataFrame:
     return out.select(*KEYS, "Data", "h", "value", "diff", "y_T", "pred_diff", "pred_level")
 
 
+def lag_regression_forecast(split: DataFrame) -> DataFrame:
+    """The whole chain without written intermediates (each series is fitted twice)."""
+    from kasaflow.operators.series import train_series
+    train = train_series(split)
+    return forecast_from_rows(split, stage_rows(train, stage1_fit(train)))
+
+
+# ---- order search --------------------------------------------------------------
+
+MAX_ARMA, MAX_SEASONAL, MAX_SUM = 5, 2, 5
+SEARCH_LAGS = sorted({i + SEASON * j for i in range(MAX_ARMA + 1) for j in range(MAX_SEASONAL + 1)} - {0})
+# --- fixed values: published 5 % point of the KPSS level test, and the strength of a
+# seasonal pattern from which the usual rule takes a seasonal difference
+KPSS_5PCT = 0.463
+SEASONAL_STRENGTH = 0.64
+
+
+def kpss_level(x: np.ndarray) -> float:
+    """KPSS statistic around a level, Bartlett weights, trunc(4 (n/100)^(1/4)) lags."""
+    u = x - x.mean()
+    n = len(u)
+    lags = int(4 * (n / 100.0) ** 0.25)
+    s2 = u @ u / n + 2 / n * sum((1 - k / (lags + 1)) * (u[k:] @ u[:n - k]) for k in range(1, lags + 1))
+    return float((np.cumsum(u) ** 2).sum() / (n * n * s2)) if s2 > 0 else 0.0
+
+
+def seasonal_strength(x: np.ndarray, s: int = SEASON) -> float:
+    """1 - var(rest) / var(season + rest), by a moving average of one season and the means of its phases."""
+    if len(x) < 3 * s:
+        return 0.0
+    trend = np.convolve(x, np.ones(s) / s, "valid")
+    detrended = x[s // 2:s // 2 + len(trend)] - trend
+    phase = np.arange(len(detrended)) % s
+    season = np.bincount(phase, detrended, s) / np.bincount(phase, minlength=s)
+    total = detrended.var()
+    return max(0.0, 1 - (detrended - season[phase]).var() / total) if total > 0 else 0.0
+
+
+def _difference_one(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One series, differenced as the tests say: (KEYS, Data, rn, x, d, sd)."""
+    pdf = pdf.sort_values("rn")
+    x = pdf["x"].to_numpy(dtype=float)
+    known = np.where(np.isnan(x), 0.0, x)
+    sd = int(seasonal_strength(known) > SEASONAL_STRENGTH)
+    skip = SEASON * sd
+    z = known[skip:] - known[:len(known) - skip] if sd else known
+    d = 0
+    while d < 2 and len(z) > 10 and kpss_level(z) > KPSS_5PCT:
+        z, d = np.diff(z), d + 1
+    kept = pdf.iloc[len(pdf) - len(z):]
+    return pd.DataFrame({"nazwa_kasy": kept["nazwa_kasy"], "measure": kept["measure"], "Data": kept["Data"],
+                         "rn": kept["rn"].astype("int64"), "x": z, "d": np.int32(d), "sd": np.int32(sd)})
+
+
 def candidate_orders() -> list[tuple[int, int, int, int]]:
-    return [o for o in itertools.product(range(3), range(3), range(3), range(2))]
+    ranges = (range(MAX_ARMA + 1), range(MAX_ARMA + 1), range(MAX_SEASONAL + 1), range(MAX_SEASONAL + 1))
+    return [o for o in itertools.product(*ranges) if sum(o) <= MAX_SUM]
 
 
 def _lags_for(p: int, P: int, s: int = SEASON) -> list[int]:
@@ -166,37 +219,43 @@ def _lags_for(p: int, P: int, s: int = SEASON) -> list[int]:
 
 
 def _order_search_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    cols = stage2_columns()
-    k = len(cols)
+    cols = [f"x{k}" for k in SEARCH_LAGS] + [f"e{k}" for k in SEARCH_LAGS]
+    at = {c: 1 + i for i, c in enumerate(cols)}
     G = matrix_from_rows(pdf["i"], pdf["g"])
-    n = float(G[k + 1, k + 1])
-    results = []
+    n = float(G[len(cols) + 1, len(cols) + 1])
+    best, tried = None, 0
     for p, q, P, Q in candidate_orders():
-        ar = [f"x{lag}" for lag in _lags_for(p, P)]
-        ma = [f"e{lag}" for lag in _lags_for(q, Q)]
-        idx = [1 + cols.index(c) for c in ar + ma]
-        if not idx:
-            ssr = float(G[0, 0])
-        else:
-            fit = ols_from_gram(G, 0, idx)
+        names = [f"x{k}" for k in _lags_for(p, P)] + [f"e{k}" for k in _lags_for(q, Q)]
+        coef, ssr = [], float(G[0, 0])
+        if names:
+            fit = ols_from_gram(G, 0, [at[c] for c in names])
             if fit is None:
                 continue
-            ssr = fit[1]
-        if ssr <= 0 or n <= 0:
+            coef, ssr = list(map(float, fit[0])), fit[1]
+        if ssr <= 0 or n <= len(names):
             continue
-        aic = n * math.log(ssr / n) + 2.0 * len(idx)
-        results.append((aic, len(idx), p, q, P, Q))
-    results.sort()
-    best = results[0] if results else (np.nan, 0, None, None, None, None)
-    return pd.DataFrame([{"nazwa_kasy": pdf["nazwa_kasy"].iloc[0], "measure": pdf["measure"].iloc[0],
-                          "p": best[2], "q": best[3], "sp": best[4], "sq": best[5], "s": SEASON,
-                          "aic": float(best[0]), "n_params": int(best[1]), "n_candidates": len(results)}])
-
-
-def order_search(split: DataFrame, x: str = "diff") -> DataFrame:
-    """Best (p, q, P, Q) per series by AIC over the 54 sub-models."""
+        tried += 1
+        found = (n * math.log(ssr / n) + 2.0 * len(names), len(names), p, q, P, Q)
+        if best is None or found < best[0]:
+            best = (found, names, coef)
+    (aic, k, p, q, P, Q), names, coef = best or ((np.nan, 0, None, None, None, None), [], [])
+    first = pdf.iloc[0]
+    return pd.DataFrame([{"nazwa_kasy": first["nazwa_kasy"], "measure": first["measure"], "p": p, "d": first["d"], "q": q,
+                          "sp": P, "sd": first["sd"], "sq": Q, "s": SEASON, "aic": float(aic), "n_params": int(k),
+                          "n_candidates": tried, "terms": names, "coef": coef}])
+
+
+def order_search(split: DataFrame, x: str = "diff", write=lambda df, name: df) -> DataFrame:
+    """Differencing and best (p, q, P, Q) per series with the terms' coefficients.
+    ``write`` may store an intermediate table that is used twice."""
     from kasaflow.operators.series import train_series
-    _, g, _ = lag_regression_fit(train_series(split), x)
-    schema = ("nazwa_kasy string, measure string, p int, q int, sp int, sq int, s int, aic double, "
-              "n_params int, n_candidates int")
-    return g.groupBy(*KEYS).applyInPandas(_order_search_one, schema)
+    start = train_series(split).select(*KEYS, "Data", "rn", F.col(x).alias("x"))
+    z = write(start.groupBy(*KEYS).applyInPandas(
+        _difference_one, "nazwa_kasy string, measure string, Data date, rn long, x double, d int, sd int"), "search-series")
+    coef = write(stage1_fit(z, "x"), "search-coef")
+    rows = stage_rows(z, coef, "x", SEARCH_LAGS, SEARCH_LAGS).filter(F.col(f"e{max(SEARCH_LAGS)}").isNotNull())
+    g = _gram_with_count(rows, "x", [f"x{k}" for k in SEARCH_LAGS] + [f"e{k}" for k in SEARCH_LAGS])
+    orders = z.groupBy(*KEYS).agg(F.max("d").alias("d"), F.max("sd").alias("sd"))
+    schema = ("nazwa_kasy string, measure string, p int, d int, q int, sp int, sd int, sq int, s int, aic double, "
+              "n_params int, n_candidates int, terms array<string>, coef array<double>")
+    return g.join(orders, KEYS).groupBy(*KEYS).applyInPandas(_order_search_one, schema)

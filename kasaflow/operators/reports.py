@@ -6,16 +6,18 @@ totals do not depend on how rows are partitioned.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kasaflow.functions.amounts import exact_sum
 from kasaflow.functions.constants import (DEADLINE_LABELS, MEASURES, OTHER_WEEKDAY_RANK,
                                           WEEKDAY_DISPLAY_ORDER)
-from kasaflow.functions.dates import in_months, month_range
+from kasaflow.functions.dates import days_of_month, in_months, month_range
 from kasaflow.functions.formatting import money_text, whole_text
 
-# Report column names, in measure order.
+# --- fixed values: report column names, in measure order
 MONTHLY_NAMES = {
     "zas_pl_R": "suma_mc_zasilki_do_placowek_R",
     "zas_kz_R": "suma_mc_zasilki_dla_klientaZ_R",
@@ -39,18 +41,11 @@ def monthly_report(enriched: DataFrame) -> DataFrame:
                                         for m in MEASURES])
 
 
-def distinct_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a low-cardinality column (pivot headers)."""
-    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
-
-
-def monthly_pivot(enriched: DataFrame, measure: str, months: list | None = None) -> DataFrame:
-    """Branch x month matrix of a measure's monthly total.
-
-    Headers are ISO dates ('1998-07-01'). Passing ``months`` skips the
-    value-discovery job.
+def monthly_pivot(enriched: DataFrame, measure: str, months: list[dt.date]) -> DataFrame:
+    """Branch x month matrix of a measure's monthly total over the given month
+    starts (NULL where a branch has no rows in a month). Headers are ISO dates
+    ('1998-07-01'); as they are given, no job looks for them.
     """
-    months = distinct_values(enriched, "miesiac_rok") if months is None else months
     return enriched.groupBy("nazwa_kasy").pivot("miesiac_rok", months).agg(exact_sum(measure))
 
 
@@ -66,13 +61,11 @@ def one_month(enriched: DataFrame, year: int, month: int) -> DataFrame:
     return enriched.filter((F.col("Data") >= F.lit(lo).cast("date")) & (F.col("Data") < F.lit(hi).cast("date")))
 
 
-def daily_pivot(enriched: DataFrame, measure: str, year: int, month: int,
-                days: list | None = None) -> DataFrame:
-    """Branch x day matrix for one month: the day's value (``first``; the
-    fact has one row per (date, branch))."""
-    month_df = one_month(enriched, year, month)
-    days = distinct_values(month_df, "Data") if days is None else days
-    return month_df.groupBy("nazwa_kasy").pivot("Data", days).agg(F.first(measure))
+def daily_pivot(enriched: DataFrame, measure: str, year: int, month: int) -> DataFrame:
+    """Branch x day matrix for every day of one month: the day's value
+    (``first``; the fact has one row per (date, branch)), NULL without one."""
+    return (one_month(enriched, year, month).groupBy("nazwa_kasy")
+            .pivot("Data", days_of_month(year, month)).agg(F.first(measure)))
 
 
 def daily_pivot_top(enriched: DataFrame, measure: str, year: int, month: int, n: int = 5) -> DataFrame:

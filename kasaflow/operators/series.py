@@ -52,15 +52,18 @@ def running() -> Window:
 
 
 def densify(fact: DataFrame, start: str, end: str, measures: list[str] = MEASURES) -> DataFrame:
-    """Wide fact with one row per (branch, day) of [start, end]; missing days are 0.
+    """Wide fact with one row per (branch, day) of [start, end]; a day without a
+    row is 0, a NULL in a row stays NULL.
 
     Each branch row generates its own day sequence (a generator, not a cross
     join), then the fact is left-joined on (branch, day).
     """
     days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
     grid = fact.select("nazwa_kasy").distinct().select("nazwa_kasy", F.explode(days).alias("Data"))
-    joined = grid.join(fact.select("nazwa_kasy", "Data", *measures), ["nazwa_kasy", "Data"], "left")
-    return joined.select("nazwa_kasy", "Data", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in measures])
+    rows = fact.select("nazwa_kasy", "Data", *measures, F.lit(True).alias("known"))
+    joined = grid.join(rows, ["nazwa_kasy", "Data"], "left")
+    return joined.select("nazwa_kasy", "Data", *[F.when(F.col("known"), F.col(m)).otherwise(F.lit(0.0)).alias(m)
+                                                 for m in measures])
 
 
 def series_long(fact: DataFrame, start: str, end: str, measures: list[str] = MEASURES) -> DataFrame:
@@ -139,7 +142,8 @@ def diff_histogram(diffed: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width histogram of each series' differences (last bin closed).
 
     bin = floor((x - min) * bins / (max - min)), capped at bins - 1; a constant
-    series puts everything in bin 0. Only non-empty bins are returned.
+    series puts everything in bin 0. Every series gets all its bins, empty ones
+    with 0; one conditional count for each bin, so one shuffle.
     """
     x = diffed.filter(F.col("diff").isNotNull())
     w = Window.partitionBy(*KEYS)
@@ -148,7 +152,9 @@ def diff_histogram(diffed: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("diff") - F.col("lo")) * F.lit(float(bins)) / width)
                 .cast("int")))
-    counted = x.withColumn("bin", b).groupBy(*KEYS, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.array(*[F.count_if(F.col("bin") == k) for k in range(bins)])
+    per = x.withColumn("bin", b).groupBy(*KEYS, "lo", "hi").agg(counts.alias("counts"))
+    counted = per.select(*KEYS, "lo", "hi", F.posexplode("counts").alias("bin", "n"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return counted.select(*KEYS, "bin",
                           (F.col("lo") + F.col("bin") * step).alias("bin_lo"),

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasaflow.functions.constants import MEASURES
+from kasaflow.functions.dates import month_starts
 from kasaflow.operators import deadlines, enrich, reports
 from kasaflow.plans import params as P
 from kasaflow.plans.workspace import workspace
-from kasaflow.session import ensure_checkpoint_dir, ship_package
-from kasaflow.sources.csv_source import read_cash_csv, write_cash_csv
+from kasaflow.session import ship_package
+from kasaflow.sources.csv_source import read_cash_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -48,20 +49,14 @@ def queries() -> dict[str, Query]:
 
 @register("csv_scan")
 def q_csv_scan(spark, sf_dir):
-    """Fact written as ';' CSV with a header to the shared folder, read back."""
-    ws = workspace(spark, sf_dir)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/kasaflow/csv-{ws._tag}"
-    write_cash_csv(ws.fact, path)
-    return lower(read_cash_csv(spark, path))
+    """The fact as a ';' CSV with a header in the shared folder (written once), read back."""
+    return lower(read_cash_csv(spark, workspace(spark, sf_dir).csv_path))
 
 
 @register("csv_scan_inferred")
 def q_csv_scan_inferred(spark, sf_dir):
-    """Same file read the notebook's way: header, ';', inferSchema (an extra pass)."""
-    ws = workspace(spark, sf_dir)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/kasaflow/csv-inferred-{ws._tag}"
-    write_cash_csv(ws.fact, path)
-    return lower(read_cash_csv(spark, path, schema=None, infer=True))
+    """The same file read the notebook's way: header, ';', inferSchema (an extra pass)."""
+    return lower(read_cash_csv(spark, workspace(spark, sf_dir).csv_path, schema=None, infer=True))
 
 
 @register("weekday_dim")
@@ -159,12 +154,12 @@ def q_monthly_report(spark, sf_dir):
 
 @register("monthly_pivot_nad_kz")
 def q_monthly_pivot_nad_kz(spark, sf_dir):
-    return lower(reports.monthly_pivot(workspace(spark, sf_dir).enriched, "nad_kz"))
+    return lower(reports.monthly_pivot(workspace(spark, sf_dir).enriched, "nad_kz", month_starts(P.PIVOT_YEARS)))
 
 
 @register("monthly_pivot_zas_pl_r")
 def q_monthly_pivot_zas_pl_r(spark, sf_dir):
-    return lower(reports.monthly_pivot(workspace(spark, sf_dir).enriched, "zas_pl_R"))
+    return lower(reports.monthly_pivot(workspace(spark, sf_dir).enriched, "zas_pl_R", month_starts(P.PIVOT_YEARS)))
 
 
 @register("monthly_pivot_selected")
@@ -173,6 +168,12 @@ def q_monthly_pivot_selected(spark, sf_dir):
                                                 P.SELECTED_BRANCHES))
 
 
+@register("monthly_pivot_selected_zas_pl_r")
+def q_monthly_pivot_selected_zas_pl_r(spark, sf_dir):
+    return lower(reports.monthly_pivot_selected(workspace(spark, sf_dir).enriched, "zas_pl_R",
+                                                P.SELECTED_BRANCHES))
+
+
 def _daily_pivot_query(measure: str) -> Query:
     def q(spark, sf_dir):
         return lower(reports.daily_pivot(workspace(spark, sf_dir).enriched, measure,
@@ -185,10 +186,17 @@ for _m in MEASURES:
     register(f"daily_pivot_{_m.lower()}")(_daily_pivot_query(_m))
 
 
-@register("daily_pivot_top5")
-def q_daily_pivot_top5(spark, sf_dir):
-    return lower(reports.daily_pivot_top(workspace(spark, sf_dir).enriched, "nad_kz",
-                                         P.REPORT_YEAR, P.REPORT_MONTH, P.TOP_N))
+def _daily_top_query(measure: str) -> Query:
+    def q(spark, sf_dir):
+        # nations: more branches than the report shows, so the choice matters
+        return lower(reports.daily_pivot_top(workspace(spark, sf_dir, "nation").enriched, measure,
+                                             P.REPORT_YEAR, P.REPORT_MONTH, P.TOP_N))
+    q.__doc__ = f"First branches by name of the daily matrix of {measure}."
+    return q
+
+
+for _m in MEASURES:
+    register("daily_pivot_top5" if _m == "nad_kz" else f"daily_pivot_top5_{_m.lower()}")(_daily_top_query(_m))
 
 
 @register("daily_long")

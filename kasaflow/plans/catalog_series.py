@@ -104,6 +104,16 @@ def q_pacf(spark, sf_dir):
     return lower(D.pacf(S.acf(series_table(spark, sf_dir), digits=None)))
 
 
+@register("acf_bounds")
+def q_acf_bounds(spark, sf_dir):
+    return lower(D.acf_bounds(S.acf(series_table(spark, sf_dir), digits=None)))
+
+
+@register("pacf_bounds")
+def q_pacf_bounds(spark, sf_dir):
+    return lower(D.pacf_bounds(S.acf(series_table(spark, sf_dir), digits=None)))
+
+
 # --------------------------------------------------------------- forecast ---
 
 from kasaflow.operators import forecast as FC  # noqa: E402
@@ -112,7 +122,7 @@ SEASONAL_MA = "sarima_010_011_7"
 
 
 def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FC.seasonal_ma_forecast(series_table(spark, sf_dir))
+    return workspace(spark, sf_dir).seasonal_forecast
 
 
 @register("forecast_seasonal_ma")
@@ -164,19 +174,48 @@ from kasaflow.operators import lagreg as LR  # noqa: E402
 LAG_REGRESSION = "sarima_202_201_7_hr"
 
 
+def lag_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace(spark, sf_dir).lag_forecast
+
+
 @register("forecast_lag_regression")
 def q_forecast_lag_regression(spark, sf_dir):
-    fc = LR.lag_regression_forecast(series_table(spark, sf_dir))
+    fc = lag_forecast(spark, sf_dir)
     return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_diff", 6).alias("pred_diff"),
                            F.round("pred_level", 2).alias("pred_level")))
 
 
 @register("forecast_lag_regression_metrics")
 def q_forecast_lag_regression_metrics(spark, sf_dir):
-    fc = LR.lag_regression_forecast(series_table(spark, sf_dir))
-    return lower(FC.forecast_metrics(fc, LAG_REGRESSION))
+    return lower(FC.forecast_metrics(lag_forecast(spark, sf_dir), LAG_REGRESSION))
+
+
+# The notebook un-differences, compares and tests its second fit; these follow it.
+
+@register("ljung_box_lag_regression")
+def q_ljung_box_lag_regression(spark, sf_dir):
+    lb = D.with_ljung_box_pvalue(D.ljung_box(FC.residuals(lag_forecast(spark, sf_dir))))
+    return lower(lb.select(*S.KEYS, "n", "lags", F.round("lb_stat", 6).alias("lb_stat"),
+                           F.round("lb_pvalue", 9).alias("lb_pvalue")))
+
+
+@register("undiff_forecast_lag_regression")
+def q_undiff_forecast_lag_regression(spark, sf_dir):
+    fc = lag_forecast(spark, sf_dir)
+    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_level", 2).alias("level")))
+
+
+@register("forecast_compare_lag_regression")
+def q_forecast_compare_lag_regression(spark, sf_dir):
+    return lower(FC.forecast_compare(lag_forecast(spark, sf_dir)))
+
+
+@register("forecast_mean_ratio_lag_regression")
+def q_forecast_mean_ratio_lag_regression(spark, sf_dir):
+    out = FC.mean_ratio(FC.forecast_compare(lag_forecast(spark, sf_dir)))
+    return lower(out.select(*S.KEYS, F.round("srednia_roznica", 6).alias("srednia_roznica")))
 
 
 @register("order_search")
 def q_order_search(spark, sf_dir):
-    return lower(LR.order_search(series_table(spark, sf_dir)))
+    return lower(workspace(spark, sf_dir).order_search)

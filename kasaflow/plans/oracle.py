@@ -9,10 +9,21 @@ DuckDB's dayofweek is 0-6 from Sunday; Spark's is 1-7.
 
 from __future__ import annotations
 
-from kasaflow.functions.constants import DEADLINE_LABELS, MEASURES, WEEKDAY_DISPLAY_ORDER, WEEKDAYS
-from kasaflow.functions.dates import BINDING_HOLIDAYS
-from kasaflow.plans import params as P
-from kasaflow.sources.binding import BINDING_MEASURES
+import datetime as dt
+from types import SimpleNamespace
+
+# --- fixed values, written out here and not taken from the package, so that a
+# wrong constant there shows up as a difference
+MEASURES = ["zas_pl_R", "zas_kz_R", "nad_pl", "nad_kz", "zas_pl_W", "zas_kz_W"]
+BINDING_MEASURES = [("A", "F", "zas_pl_R"), ("A", "O", "zas_kz_R"), ("N", "F", "nad_pl"),
+                    ("N", "O", "nad_kz"), ("R", "F", "zas_pl_W"), ("R", "O", "zas_kz_W")]
+BINDING_HOLIDAYS = ["01-01", "05-01", "05-03", "12-25", "12-26"]
+WEEKDAYS = [(1, "niedziela"), (2, "poniedziałek"), (3, "wtorek"), (4, "środa"), (5, "czwartek"),
+            (6, "piątek"), (7, "sobota")]
+WEEKDAY_DISPLAY_ORDER = ["poniedziałek", "wtorek", "środa", "czwartek", "piątek", "sobota", "niedziela"]
+DEADLINE_LABELS = ["T1", "T1D-1", "T5", "T5D-1", "T10", "T10D-1", "T15", "T15D-1", "T20", "T20D-1", "T25", "T25D-1"]
+P = SimpleNamespace(REPORT_YEAR=1998, REPORT_MONTH=7, REPORT_MONTHS_PAIR=[7, 8], REPORT_DAY="1998-07-01",
+                    REPORT_BRANCH="ASIA", SELECTED_BRANCHES=["AMERICA", "ASIA", "EUROPE"])
 
 _SQL: dict[str, str] = {}
 
@@ -47,8 +58,10 @@ fact AS (SELECT data, nazwa_kasy, {_flag('data')} AS dzien_wolny, {_M} FROM fact
 
 CAL_CTE = f"""
 span AS (SELECT min(data) AS lo, max(data) AS hi FROM fact),
-cal AS (SELECT CAST(g.d AS DATE) AS data1, {_flag('CAST(g.d AS DATE)')} AS dzien_wolny
-        FROM span, generate_series(span.lo, span.hi, INTERVAL 1 DAY) AS g(d)),
+own AS (SELECT DISTINCT data AS day, dzien_wolny AS flag FROM fact),
+cal AS (SELECT x.d AS data1, CASE WHEN own.day IS NOT NULL THEN own.flag ELSE {_flag('x.d')} END AS dzien_wolny
+        FROM (SELECT CAST(g.d AS DATE) AS d FROM span, generate_series(span.lo, span.hi, INTERVAL 1 DAY) AS g(d)) x
+        LEFT JOIN own ON own.day = x.d),
 nominal AS (SELECT data1 AS anchor_date, CAST(day(data1) AS INTEGER) AS n FROM cal
             WHERE day(data1) IN (1, 5, 10, 15, 20, 25)),
 due_c AS (SELECT a.anchor_date, a.n, k.k, CAST(a.anchor_date - k.k AS DATE) AS cand_date
@@ -82,6 +95,14 @@ enriched AS (
   FROM fact f JOIN wd w ON dayofweek(f.data) + 1 = w.id
   JOIN calendar c ON f.data = c.data1)"""
 
+NATION_FACT = f"""
+nation_sb AS (SELECT s.s_suppkey, n.n_name AS nazwa_kasy FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey),
+nation_fact AS (
+  SELECT CAST(l.l_shipdate AS DATE) AS data, b.nazwa_kasy,
+    {_MEASURE_SUMS}
+  FROM lineitem l JOIN nation_sb b ON l.l_suppkey = b.s_suppkey
+  GROUP BY 1, 2)"""
+
 BASE = "WITH " + FACT_CTE.strip() + ",\n" + CAL_CTE.strip() + ",\n" + ENRICHED_CTE.strip()
 
 
@@ -148,25 +169,33 @@ sql("monthly_report", "SELECT miesiac_rok, " + ", ".join(
     + " FROM enriched GROUP BY 1")
 
 
-def _pivot(src: str, col: str, measure_expr: str, agg: str, group: str) -> str:
-    return (f"SELECT * FROM (PIVOT (SELECT {group}, {col}, {measure_expr} AS v FROM {src}) "
-            f"ON {col} USING {agg} GROUP BY {group})")
+def _columns(days: list[dt.date], col: str, value: str) -> str:
+    """One column a date, named by it."""
+    return ", ".join(value.format(f"CASE WHEN {col} = DATE '{d}' THEN") + f' AS "{d}"' for d in days)
 
 
-sql("monthly_pivot_nad_kz", _pivot("enriched", "miesiac_rok", "CAST(nad_kz AS DECIMAL(18,2))",
-                                   "CAST(SUM(v) AS DOUBLE)", "nazwa_kasy"))
-sql("monthly_pivot_zas_pl_r", _pivot("enriched", "miesiac_rok", "CAST(zas_pl_R AS DECIMAL(18,2))",
-                                     "CAST(SUM(v) AS DOUBLE)", "nazwa_kasy"))
+_MONTHS = [dt.date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
+_DAYS = [dt.date(P.REPORT_YEAR, P.REPORT_MONTH, 1) + dt.timedelta(days=i) for i in range(31)]
+for _m in ("nad_kz", "zas_pl_R"):
+    sql(f"monthly_pivot_{_m.lower()}", "SELECT nazwa_kasy, " + _columns(
+        _MONTHS, "miesiac_rok", f"CAST(SUM({{}} CAST({_m} AS DECIMAL(18,2)) END) AS DOUBLE)")
+        + " FROM enriched GROUP BY nazwa_kasy")
 sql("monthly_pivot_selected", "SELECT miesiac_rok, " + ", ".join(
     f"{_xsum(f'CASE WHEN nazwa_kasy = {_q(b)} THEN nad_kz END')} AS \"{b.lower()}\""
     for b in P.SELECTED_BRANCHES)
     + " FROM enriched WHERE nazwa_kasy IN (" + ", ".join(_q(b) for b in P.SELECTED_BRANCHES)
     + ") GROUP BY 1")
+sql("monthly_pivot_selected_zas_pl_r", "SELECT miesiac_rok, " + ", ".join(
+    f"{_xsum(f'CASE WHEN nazwa_kasy = {_q(b)} THEN zas_pl_R END')} AS \"{b.lower()}\""
+    for b in P.SELECTED_BRANCHES)
+    + " FROM enriched WHERE nazwa_kasy IN (" + ", ".join(_q(b) for b in P.SELECTED_BRANCHES)
+    + ") GROUP BY 1")
 for _m in MEASURES:
-    sql(f"daily_pivot_{_m.lower()}",
-        _pivot(f"(SELECT * FROM enriched WHERE {_IN_MONTH})", "data", _m, "first(v)", "nazwa_kasy"))
-sql("daily_pivot_top5", _pivot(f"(SELECT * FROM enriched WHERE {_IN_MONTH})", "data", "nad_kz",
-                               "first(v)", "nazwa_kasy") + " ORDER BY nazwa_kasy LIMIT 5")
+    sql(f"daily_pivot_{_m.lower()}", "SELECT nazwa_kasy, " + _columns(_DAYS, "data", f"max({{}} {_m} END)")
+        + f" FROM enriched WHERE {_IN_MONTH} GROUP BY nazwa_kasy")
+    _SQL["daily_pivot_top5" if _m == "nad_kz" else f"daily_pivot_top5_{_m.lower()}"] = (
+        "WITH " + NATION_FACT.strip() + "\nSELECT nazwa_kasy, " + _columns(_DAYS, "data", f"max({{}} {_m} END)")
+        + f" FROM nation_fact WHERE {_IN_MONTH} GROUP BY nazwa_kasy ORDER BY nazwa_kasy LIMIT 5")
 sql("daily_long", f"""SELECT nazwa_kasy, data, measure, value FROM (
   UNPIVOT (SELECT nazwa_kasy, data, {", ".join(f'{m.lower()} AS "{m}"' for m in MEASURES)}
            FROM enriched WHERE {_IN_MONTH})

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from kasaflow.functions.constants import MEASURES
-from kasaflow.plans.oracle import sql
+from kasaflow.plans.oracle import MEASURES, sql
 
-_DENSE_COLS = ", ".join(f'COALESCE(f.{m.lower()}, 0.0) AS "{m}"' for m in MEASURES)
+_DENSE_COLS = ", ".join(f'CASE WHEN f.data IS NULL THEN 0.0 ELSE f.{m.lower()} END AS "{m}"' for m in MEASURES)
 _UNPIVOT_ON = ", ".join(f'"{m}"' for m in MEASURES)
 
 SERIES = f"""
@@ -15,7 +14,7 @@ SERIES = f"""
 , dense AS (SELECT g.nazwa_kasy, g.data, {_DENSE_COLS}
             FROM grid g LEFT JOIN fact f ON f.nazwa_kasy = g.nazwa_kasy AND f.data = g.data)
 , series AS (SELECT nazwa_kasy, measure, data, value
-             FROM (UNPIVOT dense ON {_UNPIVOT_ON} INTO NAME measure VALUE value))
+             FROM dense UNPIVOT INCLUDE NULLS (value FOR measure IN ({_UNPIVOT_ON})))
 , sdiff AS (SELECT nazwa_kasy, measure, data, value,
                    value - lag(value) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS diff,
                    row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS rn,
@@ -49,15 +48,16 @@ ts_sql("undiff_actual", """SELECT nazwa_kasy, measure, data, value, diff,
   FROM (SELECT *, max(CASE WHEN rn = n - n_test THEN value END) OVER (PARTITION BY nazwa_kasy, measure) AS start_value
         FROM split) t
   QUALIFY split = 'test'""")
-ts_sql("diff_histogram", """SELECT nazwa_kasy, measure, bin, lo + bin * ((hi - lo) / 20.0) AS bin_lo,
-  lo + (bin + 1) * ((hi - lo) / 20.0) AS bin_hi, count(*) AS n
-  FROM (SELECT nazwa_kasy, measure, lo, hi,
-          CASE WHEN hi - lo = 0 THEN 0
-               ELSE least(19, CAST(floor((diff - lo) * 20.0 / (hi - lo)) AS INTEGER)) END AS bin
-        FROM (SELECT *, min(diff) OVER (PARTITION BY nazwa_kasy, measure) AS lo,
-                        max(diff) OVER (PARTITION BY nazwa_kasy, measure) AS hi
-              FROM sdiff WHERE diff IS NOT NULL) a) b
-  GROUP BY nazwa_kasy, measure, bin, lo, hi""")
+ts_sql("diff_histogram", """SELECT h.nazwa_kasy, h.measure, CAST(g.k AS INTEGER) AS bin, lo + g.k * ((hi - lo) / 20.0) AS bin_lo,
+  lo + (g.k + 1) * ((hi - lo) / 20.0) AS bin_hi, c[g.k + 1] AS n
+  FROM (SELECT nazwa_kasy, measure, lo, hi, [""" + ", ".join(f"count(*) FILTER (bin = {k})" for k in range(20)) + """] AS c
+        FROM (SELECT nazwa_kasy, measure, lo, hi,
+                CASE WHEN hi - lo = 0 THEN 0
+                     ELSE least(19, CAST(floor((diff - lo) * 20.0 / (hi - lo)) AS INTEGER)) END AS bin
+              FROM (SELECT *, min(diff) OVER (PARTITION BY nazwa_kasy, measure) AS lo,
+                              max(diff) OVER (PARTITION BY nazwa_kasy, measure) AS hi
+                    FROM sdiff WHERE diff IS NOT NULL) a) b
+        GROUP BY nazwa_kasy, measure, lo, hi) h, range(0, 20) AS g(k)""")
 _PAIRS = [(a, b) for i, a in enumerate(MEASURES) for b in MEASURES[i + 1:]]
 ts_sql("measure_correlation", "SELECT nazwa_kasy, measure_a, measure_b, round(r, 9) AS corr FROM ("
        + " UNION ALL ".join(
@@ -79,10 +79,50 @@ ts_sql("acf", f"""SELECT nazwa_kasy, measure, CAST(g.k - 1 AS INTEGER) AS lag,
           GROUP BY 1, 2) z) t,
        generate_series(1, 31) AS g(k)""")
 
+ts_sql("acf_bounds", f"""SELECT nazwa_kasy, measure, lag, round(r, 9) + 0.0 AS acf,
+  round(CASE WHEN lag = 0 THEN 0.0 ELSE 1.959963984540054 * sqrt((1.0 + 2.0 * COALESCE(sum(CASE WHEN lag > 0 THEN r * r END)
+    OVER (PARTITION BY nazwa_kasy, measure ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / nobs) END, 9) AS bound
+  FROM (SELECT nazwa_kasy, measure, CAST(g.k - 1 AS INTEGER) AS lag, COALESCE(s[g.k], 0.0) / NULLIF(s0, 0.0) AS r, nobs
+  FROM (SELECT nazwa_kasy, measure, nobs, s0, [{_ARR}] AS s FROM (
+          SELECT nazwa_kasy, measure, count(*) AS nobs, {_SUMS} FROM (
+            SELECT nazwa_kasy, measure, u,
+              {_LAGS}
+            FROM (SELECT nazwa_kasy, measure, data,
+                         diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS u
+                  FROM sdiff WHERE diff IS NOT NULL) x
+            WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data)) y
+          GROUP BY 1, 2) z) t,
+       generate_series(1, 31) AS g(k)) q""")
+
 # ---------------------------------------------------------------- forecast --
-from kasaflow.operators.forecast import THETA_GRID  # noqa: E402
+_GRID = ", ".join(f"({k}, CAST({round(-0.95 + 0.05 * k, 2)!r} AS DOUBLE))" for k in range(39))
+
+
+def _fold(level: int, candidates: str) -> str:
+    """Residual chains and the best theta for the candidates (nazwa_kasy, measure, k, theta) of a level."""
+    return f"""
+, cand{level} AS ({candidates})
+, rec{level} AS (
+    SELECT c.nazwa_kasy, c.measure, c.phase, g.k, g.theta, c.j,
+           c.w - g.theta * 0.0 AS e, 0.0 + (c.w - g.theta * 0.0) * (c.w - g.theta * 0.0) AS sse
+    FROM chain c JOIN cand{level} g ON c.nazwa_kasy = g.nazwa_kasy AND c.measure = g.measure WHERE c.j = 1
+    UNION ALL
+    SELECT r.nazwa_kasy, r.measure, r.phase, r.k, r.theta, c.j,
+           c.w - r.theta * r.e AS e, r.sse + (c.w - r.theta * r.e) * (c.w - r.theta * r.e) AS sse
+    FROM rec{level} r JOIN chain c ON c.nazwa_kasy = r.nazwa_kasy AND c.measure = r.measure
+                           AND c.phase = r.phase AND c.j = r.j + 1)
+, ends{level} AS (SELECT * FROM rec{level}
+           QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure, phase, k ORDER BY j DESC) = 1)
+, css{level} AS (SELECT nazwa_kasy, measure, k, any_value(theta) AS theta, sum(sse) AS css FROM ends{level} GROUP BY 1, 2, 3)
+, fit{level} AS (SELECT * FROM css{level}
+          QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY css, k) = 1)"""
+
+
+def _around(level: int, step: str, places: int) -> str:
+    return (f"SELECT nazwa_kasy, measure, g.i + 9 AS k, round(theta + {step} * g.i, {places}) AS theta "
+            f"FROM fit{level}, range(-9, 10) AS g(i)")
+
 
-_GRID = ", ".join(f"({k}, CAST({t!r} AS DOUBLE))" for k, t in enumerate(THETA_GRID))
 FORECAST = f"""
 , wrows AS (SELECT nazwa_kasy, measure, rn,
                    ((value - lag(value, 1) OVER w) - lag(value, 7) OVER w) + lag(value, 8) OVER w AS w,
@@ -92,25 +132,13 @@ FORECAST = f"""
 , chain AS (SELECT nazwa_kasy, measure, phase, w,
                    row_number() OVER (PARTITION BY nazwa_kasy, measure, phase ORDER BY rn) AS j
             FROM wrows WHERE w IS NOT NULL)
-, tgrid AS (SELECT * FROM (VALUES {_GRID}) AS g(k, theta))
-, rec AS (
-    SELECT c.nazwa_kasy, c.measure, c.phase, g.k, g.theta, c.j,
-           c.w - g.theta * 0.0 AS e, 0.0 + (c.w - g.theta * 0.0) * (c.w - g.theta * 0.0) AS sse
-    FROM chain c, tgrid g WHERE c.j = 1
-    UNION ALL
-    SELECT r.nazwa_kasy, r.measure, r.phase, r.k, r.theta, c.j,
-           c.w - r.theta * r.e AS e, r.sse + (c.w - r.theta * r.e) * (c.w - r.theta * r.e) AS sse
-    FROM rec r JOIN chain c ON c.nazwa_kasy = r.nazwa_kasy AND c.measure = r.measure
-                           AND c.phase = r.phase AND c.j = r.j + 1)
-, ends AS (SELECT * FROM rec
-           QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure, phase, k ORDER BY j DESC) = 1)
-, css AS (SELECT nazwa_kasy, measure, k, any_value(theta) AS theta, sum(sse) AS css FROM ends GROUP BY 1, 2, 3)
-, fit AS (SELECT * FROM css
-          QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY css, k) = 1)
+{_fold(0, f"SELECT DISTINCT c.nazwa_kasy, c.measure, g.k, g.theta FROM chain c, (VALUES {_GRID}) AS g(k, theta)")}
+{_fold(1, _around(0, "0.005::DOUBLE", 3))}
+{_fold(2, _around(1, "0.0005::DOUBLE", 4))}
 , anchors AS (SELECT s.nazwa_kasy, s.measure, CAST(s.rn % 7 AS INTEGER) AS phase, s.diff AS v, f.theta,
                      COALESCE(e.e, 0.0) AS e_last
-              FROM split s JOIN fit f ON f.nazwa_kasy = s.nazwa_kasy AND f.measure = s.measure
-              LEFT JOIN ends e ON e.nazwa_kasy = s.nazwa_kasy AND e.measure = s.measure
+              FROM split s JOIN fit2 f ON f.nazwa_kasy = s.nazwa_kasy AND f.measure = s.measure
+              LEFT JOIN ends2 e ON e.nazwa_kasy = s.nazwa_kasy AND e.measure = s.measure
                               AND e.k = f.k AND e.phase = CAST(s.rn % 7 AS INTEGER)
               WHERE s.split = 'train' AND s.rn > s.n - s.n_test - 7)
 , fc0 AS (SELECT t.nazwa_kasy, t.measure, t.data, t.rn - (t.n - t.n_test) AS h, t.value, t.diff,
@@ -158,6 +186,23 @@ fc_sql("ljung_box", """SELECT nazwa_kasy, measure, n, 1 AS lags,
                            resid - avg(resid) OVER (PARTITION BY nazwa_kasy, measure) AS u
                     FROM lbx WHERE resid IS NOT NULL) a) b
         GROUP BY 1, 2) c""")
+# erf by its series with positive terms, exp(-z^2) * sum of 2^k z^(2k+1) / (2k+1)!!, as a running product
+fc_sql("ljung_box_pvalue", """, lb AS (
+  SELECT nazwa_kasy, measure, n, n * (n + 2.0) * pow(COALESCE(s1, 0.0) / s0, 2) / (n - 1.0) AS q
+  FROM (SELECT nazwa_kasy, measure, count(*) AS n, sum(u * u) AS s0, sum(u * l1) AS s1
+        FROM (SELECT nazwa_kasy, measure, u, lag(u, 1) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS l1
+              FROM (SELECT nazwa_kasy, measure, data,
+                           resid - avg(resid) OVER (PARTITION BY nazwa_kasy, measure) AS u
+                    FROM lbx WHERE resid IS NOT NULL) a) b
+        GROUP BY 1, 2) c)
+, terms AS (
+  SELECT nazwa_kasy, measure, n, q, sqrt(q / 2.0) AS z, 0 AS k, sqrt(q / 2.0) AS term, sqrt(q / 2.0) AS total FROM lb
+  UNION ALL
+  SELECT nazwa_kasy, measure, n, q, z, k + 1, term * 2.0 * z * z / (2 * k + 3), total + term * 2.0 * z * z / (2 * k + 3)
+  FROM terms WHERE k < 400)
+SELECT nazwa_kasy, measure, n, 1 AS lags, round(q, 6) AS lb_stat,
+  round(greatest(0.0, 1.0 - 2.0 / sqrt(pi()) * exp(-z * z) * total), 9) + 0.0 AS lb_pvalue
+FROM terms WHERE k = 400""")
 fc_sql("forecast_compare", 'SELECT nazwa_kasy, measure, data, h, dane_oryg, dane_pred, roznica, "roznica_%" FROM cmp')
 fc_sql("forecast_mean_ratio", """SELECT nazwa_kasy, measure,
   round(CAST(sum(CAST("roznica_%" AS DECIMAL(38,2))) AS DOUBLE) / count("roznica_%"), 6) AS srednia_roznica
@@ -198,7 +243,7 @@ def rec_sql(name: str, body: str) -> None:
 
 
 # Durbin-Levinson on the unrounded biased ACF (lags 0..30), as a recursion over k
-rec_sql("pacf", f"""
+_PACF = f"""
 , acf_sums AS (
     SELECT nazwa_kasy, measure, {_SUMS} FROM (
       SELECT nazwa_kasy, measure, u,
@@ -220,6 +265,14 @@ rec_sql("pacf", f"""
     FROM (SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i]))) / v
                     AS pk2 FROM lev) t
     WHERE k < 30)
-SELECT nazwa_kasy, measure, 0 AS lag, 1.0 AS pacf FROM acf_list
+"""
+rec_sql("pacf", _PACF + """SELECT nazwa_kasy, measure, 0 AS lag, 1.0 AS pacf FROM acf_list
 UNION ALL
 SELECT nazwa_kasy, measure, CAST(k AS INTEGER) AS lag, round(pk, 9) + 0.0 AS pacf FROM lev""")
+
+rec_sql("pacf_bounds", _PACF + """, obs AS (SELECT nazwa_kasy, measure, count(*) AS nobs FROM sdiff WHERE diff IS NOT NULL GROUP BY 1, 2)
+SELECT nazwa_kasy, measure, 0 AS lag, 1.0 AS pacf, 0.0 AS bound FROM acf_list
+UNION ALL
+SELECT lev.nazwa_kasy, lev.measure, CAST(k AS INTEGER) AS lag, round(pk, 9) + 0.0 AS pacf,
+  round(1.959963984540054 / sqrt(nobs), 9) AS bound
+FROM lev JOIN obs ON obs.nazwa_kasy = lev.nazwa_kasy AND obs.measure = lev.measure""")

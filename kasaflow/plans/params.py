@@ -8,4 +8,5 @@ REPORT_DAY = "1998-07-01"
 REPORT_BRANCH = "ASIA"
 SELECTED_BRANCHES = ["AMERICA", "ASIA", "EUROPE"]
 TOP_N = 5
+PIVOT_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]  # months shown by the branch x month matrices
 CALENDAR_HEAD = 10

@@ -9,25 +9,31 @@ reads it back as Parquet:
 * ``calendar``  - deadline calendar, one row per day of the fact's span
 * ``enriched``  - fact + weekday + month key + deadline tags
 * ``series``    - every (branch, measure) daily series, differenced and split
+* forecasts and regression rows that several queries follow up
 
 The written tables cut lineage (a lost executor re-reads Parquet instead of
 re-running the scan) and give later reports Parquet pushdown on ``Data``.
-Workspaces are memoised per (application, source folder, branch level).
+Workspaces are memoised per (application, source folder and the state of its
+files, branch level).
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasaflow.operators.deadlines import deadline_calendar, dense_calendar
 from kasaflow.operators.enrich import enrich
-from kasaflow.operators.series import series_diff, series_long, train_test_split
+from kasaflow.operators.forecast import seasonal_ma_forecast
+from kasaflow.operators.lagreg import forecast_from_rows, order_search, stage1_fit, stage_rows
+from kasaflow.operators.series import series_diff, series_long, train_series, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
+from kasaflow.sources.csv_source import read_cash_csv, write_cash_csv
 
 _LOCK = threading.Lock()
 _WORKSPACES: dict[tuple, "CashWorkspace"] = {}
@@ -41,89 +47,121 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Names, sizes and times of the files under ``paths`` (through Hadoop's file
+    system, so any store that Spark reads): changed input gives a new workspace."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
+    return hashlib.sha1("\n".join(found).encode()).hexdigest()[:12]
+
+
+SOURCE_TABLES = ["lineitem", "supplier", "nation", "region"]
+
+
 class CashWorkspace:
-    def __init__(self, spark: SparkSession, sf_dir: str, level: str = "region"):
+    """Materialised stages over one fact: the test tables' binding
+    (``CashWorkspace(spark, sf_dir)``), a cash CSV (``from_csv``) or any frame
+    with the fact's columns (``from_fact``)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, level: str = "region",
+                 source: Callable[[], DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.level = level
-        self._tag = hashlib.sha1(f"{self.sf_dir}|{level}".encode()).hexdigest()[:12]
-        self._fact = None
-        self._span = None
-        self._calendar = None
-        self._enriched = None
-        self._series = None
+        self._source = source or (lambda: cash_fact(spark, self.sf_dir, level))
+        files = [self.sf_dir] if source else [f"{self.sf_dir}/{t}.parquet" for t in SOURCE_TABLES]
+        self._tag = hashlib.sha1(f"{self.sf_dir}|{level}|{fingerprint(spark, files)}".encode()).hexdigest()[:12]
+        self._made: dict[str, object] = {}
         self._lock = threading.RLock()  # one writer per stage table
 
+    @classmethod
+    def from_csv(cls, spark: SparkSession, path: str, **options) -> CashWorkspace:
+        """Workspace over a ';' CSV of daily cash (``options`` as for ``read_cash_csv``)."""
+        return cls(spark, path, "csv", lambda: read_cash_csv(spark, path, **options))
+
+    @classmethod
+    def from_fact(cls, fact: DataFrame, name: str) -> CashWorkspace:
+        """Workspace over a frame with the fact's columns; ``name`` must be new for new data."""
+        return cls(fact.sparkSession, f"fact:///{name}" if ":" not in name else name, "frame", lambda: fact)
+
+    def _stage(self, name: str, build: Callable[[], DataFrame]):
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = materialize(self.spark, build(), f"{name}-{self._tag}")
+            return self._made[name]
+
     @property
     def fact(self) -> DataFrame:
-        with self._lock:
-            return self._fact_locked()
+        return self._stage("fact", self._source)
 
-    def _fact_locked(self) -> DataFrame:
-        if self._fact is None:
-            self._fact = materialize(self.spark, cash_fact(self.spark, self.sf_dir, self.level),
-                                     f"fact-{self._tag}")
-        return self._fact
+    @property
+    def csv_path(self) -> str:
+        """The fact as a ';' CSV in the shared folder, written once."""
+        with self._lock:
+            if "csv" not in self._made:
+                path = ensure_checkpoint_dir(self.spark).rstrip("/") + f"/kasaflow/csv-{self._tag}"
+                write_cash_csv(self.fact, path)
+                self._made["csv"] = path
+            return self._made["csv"]
 
     @property
     def span(self) -> tuple[str, str]:
         """(first, last) date of the fact as ISO strings (one tiny aggregate)."""
         with self._lock:
-            return self._span_locked()
-
-    def _span_locked(self) -> tuple[str, str]:
-        if self._span is None:
-            row = self.fact.agg(F.min("Data").alias("lo"), F.max("Data").alias("hi")).first()
-            self._span = (row["lo"].isoformat(), row["hi"].isoformat())
-        return self._span
+            if "span" not in self._made:
+                row = self.fact.agg(F.min("Data").alias("lo"), F.max("Data").alias("hi")).first()
+                self._made["span"] = (row["lo"].isoformat(), row["hi"].isoformat())
+            return self._made["span"]
 
     @property
     def calendar_flags(self) -> DataFrame:
-        lo, hi = self.span
-        return dense_calendar(self.spark, lo, hi)
+        return dense_calendar(self.fact)
 
     @property
     def calendar(self) -> DataFrame:
-        with self._lock:
-            return self._calendar_locked()
-
-    def _calendar_locked(self) -> DataFrame:
-        if self._calendar is None:
-            self._calendar = materialize(self.spark, deadline_calendar(self.calendar_flags),
-                                         f"calendar-{self._tag}")
-        return self._calendar
+        return self._stage("calendar", lambda: deadline_calendar(self.calendar_flags))
 
     @property
     def series(self) -> DataFrame:
         """Daily series of every (branch, measure), differenced and split
         (KEYS, Data, value, diff, rn, n, n_test, split); days x series rows."""
-        with self._lock:
-            return self._series_locked()
-
-    def _series_locked(self) -> DataFrame:
-        if self._series is None:
-            lo, hi = self.span
-            split = train_test_split(series_diff(series_long(self.fact, lo, hi)))
-            self._series = materialize(self.spark, split, f"series-{self._tag}")
-        return self._series
+        return self._stage("series", lambda: train_test_split(series_diff(series_long(self.fact, *self.span))))
 
     @property
     def enriched(self) -> DataFrame:
-        with self._lock:
-            return self._enriched_locked()
+        return self._stage("enriched", lambda: enrich(self.fact, self.calendar, self.spark))
 
-    def _enriched_locked(self) -> DataFrame:
-        if self._enriched is None:
-            self._enriched = materialize(self.spark, enrich(self.fact, self.calendar, self.spark),
-                                         f"enriched-{self._tag}")
-        return self._enriched
+    @property
+    def seasonal_forecast(self) -> DataFrame:
+        """Forecast of the (0,1,0)(0,1,1,7) model, used by its five followers."""
+        return self._stage("seasonal", lambda: seasonal_ma_forecast(self.series))
+
+    @property
+    def lag_rows(self) -> DataFrame:
+        """Stage-1 residuals and lags of the lag regression, used by its fit, forecast and order search."""
+        return self._stage("lagrows", lambda: stage_rows(train_series(self.series), self.lag_coefficients))
+
+    @property
+    def lag_coefficients(self) -> DataFrame:
+        return self._stage("lagcoef", lambda: stage1_fit(train_series(self.series)))
+
+    @property
+    def lag_forecast(self) -> DataFrame:
+        return self._stage("lagforecast", lambda: forecast_from_rows(self.series, self.lag_rows))
+
+    @property
+    def order_search(self) -> DataFrame:
+        return self._stage("orders", lambda: order_search(
+            self.series, write=lambda df, name: self._stage(name, lambda: df)))
 
 
 def workspace(spark: SparkSession, sf_dir: str, level: str = "region") -> CashWorkspace:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), level)
+    fresh = CashWorkspace(spark, sf_dir, level)  # lists the input files, reads none
+    key = (spark.sparkContext.applicationId, fresh._tag)
     with _LOCK:
-        ws = _WORKSPACES.get(key)
-        if ws is None:
-            ws = CashWorkspace(spark, sf_dir, level)
-            _WORKSPACES[key] = ws
-        return ws
+        return _WORKSPACES.setdefault(key, fresh)

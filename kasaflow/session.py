@@ -50,12 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
+    if current and sc.master.startswith("local"):
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
+        if configured.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is {configured}: executors on other machines cannot see it")
+        if not current:
+            sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if current:
+        return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/DBFS)")
     folder = tempfile.mkdtemp(prefix="kasaflow-ckpt-")

@@ -15,15 +15,16 @@ not concentrate rows in one reducer.
 
 Broadcasts are explicit and size-checked: the nation/region map (25 rows in
 TPC-H) and the supplier -> branch map (one row per supplier) are broadcast
-only below a row bound; above it the supplier join is a sort-merge join on
-``l_suppkey`` whose skewed partitions (a hot supplier) AQE splits. Without
+only below a row bound; above it the rows are first summed up by (supplier,
+day), map-side, so that a hot supplier reaches the sort-merge join on
+``l_suppkey`` as a few thousand rows. Without
 the explicit hint Catalyst's default size estimate multiplies the join inputs
 of the supplier map and picks ``lineitem`` as the build side at small scale.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasaflow.functions.amounts import cents_to_amount, to_cents
@@ -48,6 +49,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_date(kind: str) -> Column:
+    """The calendar day of ``l_shipdate``: as written for dates and timestamps without a
+    zone, the UTC day for instants, whatever the session's time zone is."""
+    c = F.col("l_shipdate")
+    return F.to_date(F.expr("timestampadd(MICROSECOND, unix_micros(l_shipdate), TIMESTAMP_NTZ'1970-01-01')")) if kind == "timestamp" else c.cast("date")
+
+
 def supplier_branches(spark: SparkSession, sf_dir: str, level: str = "region",
                       broadcast_geo: bool | None = None) -> DataFrame:
     """(s_suppkey, nazwa_kasy): each supplier's region (or nation) name.
@@ -80,9 +88,11 @@ def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
     aggregate stays in whole-stage codegen (a DECIMAL(28,2) buffer would not). ``start``/``end`` bound ``Data`` half-open and
     reach the Parquet scan as pushed filters.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    li_type = dict(lineitem.dtypes)["l_shipdate"]
+    li = lineitem.select(
         "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus",
-        F.col("l_shipdate").cast("date").alias("Data"))
+        ship_date(li_type).alias("Data"))
     if start is not None:
         li = li.filter(F.col("Data") >= F.lit(start).cast("date"))
     if end is not None:
@@ -90,14 +100,15 @@ def cash_fact(spark: SparkSession, sf_dir: str, level: str = "region",
     # The map has at most one row per supplier: bound it by the supplier table.
     small = row_count_at_most(read_table(spark, sf_dir, "supplier"), supplier_broadcast_rows)
     branches = broadcast_if(supplier_branches(spark, sf_dir, level), small)
-    joined = li.join(branches, li.l_suppkey == branches.s_suppkey)
     cents = to_cents(F.col("l_extendedprice"))
-    sums = [
-        F.coalesce(
-            cents_to_amount(F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), cents))),
-            F.lit(0.0)).alias(name)
-        for rf, ls, name in BINDING_MEASURES
-    ]
+    parts = {name: F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), cents)
+             for rf, ls, name in BINDING_MEASURES}
+    if not small:
+        # A hot supplier collapses to its days map-side, before anything is dealt out by supplier.
+        li = li.groupBy("l_suppkey", "Data").agg(*[F.sum(c).alias(name) for name, c in parts.items()])
+        parts = {name: F.col(name) for name in parts}
+    joined = li.join(branches, li.l_suppkey == branches.s_suppkey)
+    sums = [F.coalesce(cents_to_amount(F.sum(c)), F.lit(0.0)).alias(name) for name, c in parts.items()]
     fact = joined.groupBy("Data", "nazwa_kasy").agg(*sums)
     return fact.select("Data", "nazwa_kasy", binding_day_flag(F.col("Data")).alias("dzien_wolny"),
                        *[name for _, _, name in BINDING_MEASURES])

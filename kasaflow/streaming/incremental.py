@@ -8,10 +8,10 @@ the same stages run incrementally:
                            stream-static joins (weekday dimension: 7 rows;
                            calendar: one row per day, broadcast after a
                            row-count check)
-* ``monthly_totals_stream`` - the monthly sums of the six measures with a
-                           watermark on the month: a month's row is emitted
-                           once a later month arrives, and its state is then
-                           dropped, so state stays bounded by the open months.
+* ``monthly_totals_stream`` - the monthly sums of the six measures; every
+                           batch emits the months it changed (update mode), so
+                           rows that arrive late correct their month instead of
+                           being dropped. State is one row a month of the data.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasaflow.functions.amounts import to_cents
+from kasaflow.functions.amounts import cents_to_amount, to_cents
 from kasaflow.functions.constants import MEASURES
 from kasaflow.operators.enrich import add_deadlines, add_month_key, add_weekday
 from kasaflow.operators.reports import MONTHLY_NAMES
@@ -35,20 +35,11 @@ def enrich_stream(stream: DataFrame, calendar: DataFrame, spark: SparkSession) -
     return add_deadlines(add_month_key(add_weekday(stream, spark)), calendar)
 
 
-def monthly_totals_stream(enriched: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Monthly totals (exact cent sums), finalised by the watermark.
-
-    The event-time column is the month start itself, so the watermark is the
-    latest month seen minus ``lateness`` (Spark drops state at or below the
-    watermark, so a lateness under one month keeps the newest month open): with
-    the default a month is emitted
-    (append mode) when rows of a later month arrive, and rows arriving for a
-    closed month are dropped by the watermark.
-    """
-    month_ts = F.date_trunc("month", F.col("Data").cast("timestamp"))
+def monthly_totals_stream(enriched: DataFrame) -> DataFrame:
+    """Monthly totals (exact cent sums) for an ``update`` mode sink: each batch
+    emits the new total of every month it touched; the last one emitted for a
+    month holds. No watermark: its state never needs to be cut (twelve rows a
+    year), so no row is too late."""
     sums = [F.sum(to_cents(F.col(m))).alias(f"_{m}") for m in MEASURES]
-    agg = (enriched.withColumn("_mts", month_ts).withWatermark("_mts", lateness)
-           .groupBy("_mts").agg(*sums))
-    return agg.select(F.col("_mts").cast("date").alias("miesiac_rok"),
-                      *[F.round(F.col(f"_{m}").cast("double") / F.lit(100.0), 2).alias(MONTHLY_NAMES[m])
-                        for m in MEASURES])
+    agg = enriched.groupBy(F.trunc("Data", "MM").alias("miesiac_rok")).agg(*sums)
+    return agg.select("miesiac_rok", *[F.round(cents_to_amount(F.col(f"_{m}")), 2).alias(MONTHLY_NAMES[m]) for m in MEASURES])

@@ -82,6 +82,15 @@ def seasonal_ma_css(y, thetas, s=7):
     return best
 
 
+def seasonal_ma_refined(y, s=7):
+    """The best theta on the coarse grid, then on two finer ones around it."""
+    grid = [round(-0.95 + 0.05 * i, 2) for i in range(39)]
+    best = seasonal_ma_css(y, grid, s)
+    for step, places in ((0.005, 3), (0.0005, 4)):
+        best = seasonal_ma_css(y, [round(best[0] + step * i, places) for i in range(-9, 10)], s)
+    return best
+
+
 def seasonal_ma_forecast(y, theta, e, h, s=7):
     y = np.asarray(y, dtype=float)
     T = len(y)

@@ -5,11 +5,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kasaflow.functions.constants import DEADLINE_DAYS
+from pyspark.sql import functions as F
+
+from kasaflow.functions.dates import binding_day_flag
 from kasaflow.operators import deadlines as DL
 
 
 def _cal(spark, start, end):
-    return DL.deadline_calendar(DL.dense_calendar(spark, start, end))
+    """Calendar of a fact that has no rows but on the first and last day."""
+    fact = spark.sql(f"SELECT explode(array(DATE'{start}', DATE'{end}')) AS Data")
+    fact = fact.withColumn("dzien_wolny", binding_day_flag(F.col("Data")))
+    return DL.deadline_calendar(DL.dense_calendar(fact))
 
 
 def _terminy(spark, start, end):

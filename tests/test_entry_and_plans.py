@@ -16,6 +16,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _single_partitions_are_aggregates(plan):
+    """Every exchange to one partition gets one row a task: the partial result of an ungrouped aggregate."""
+    lines = plan.splitlines()
+    return all("HashAggregate(keys=[], functions=[partial_" in lines[i + 1]
+               for i, line in enumerate(lines) if "Exchange SinglePartition" in line)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
@@ -33,12 +40,13 @@ def test_binding_scan_prunes_and_broadcasts_small_side(spark):
     # supplier map is the broadcast side, lineitem is streamed
     assert "BroadcastHashJoin" in plan
     text = df._jdf.queryExecution().toString()
-    assert "l_shipdate" in text and "PushedFilters" in plan or "PushedFilters" in text
+    scan = [line for line in text.splitlines() if "FileScan" in line and "l_shipdate" in line]
+    assert scan and all("l_tax" not in line and "l_shipdate" in line.split("PushedFilters")[1].split("]")[0] for line in scan)
 
 
 def test_no_single_partition_window_in_calendar(spark):
     plan = _plan(queries()["deadline_calendar"](spark, SF))
-    assert "SinglePartition" not in plan
+    assert "Window" not in plan and _single_partitions_are_aggregates(plan)
 
 
 def test_no_row_at_a_time_python_udf(spark):
@@ -47,10 +55,67 @@ def test_no_row_at_a_time_python_udf(spark):
         assert "BatchEvalPython" not in plan, name
 
 
-def test_csv_round_trip(spark):
+def test_csv_scan_twice_leaves_the_first_frame_readable(spark):
     fact = workspace(spark, SF).fact
-    back = queries()["csv_scan"](spark, SF)
-    assert back.count() == fact.count()
+    first = queries()["csv_scan"](spark, SF)
+    queries()["csv_scan_inferred"](spark, SF)
+    assert queries()["csv_scan"](spark, SF).count() == fact.count() == first.count()
+
+
+def _cash_rows(days):
+    import datetime as dt
+    import math
+    out = []
+    for i in range(days):
+        d = dt.date(2024, 1, 1) + dt.timedelta(days=i)
+        off = "DW" if d.weekday() >= 5 or d == dt.date(2024, 5, 15) else "D"  # 15 May: off by the file, not by the rule
+        for k, b in enumerate(("Houston", "Miami")):
+            out.append((d, b, off, *[round(1000 + 100 * math.sin(i * (m + 1)) + 10 * (i % 7) + k, 2) for m in range(6)]))
+    return out
+
+
+def test_csv_to_report_to_forecast(spark, tmp_path):
+    from kasaflow.operators import reports
+    from kasaflow.operators.forecast import forecast_compare
+    from kasaflow.plans.workspace import CashWorkspace
+    from kasaflow.sources.csv_source import CASH_SCHEMA, write_cash_csv
+    rows = _cash_rows(200)
+    write_cash_csv(spark.createDataFrame(rows, CASH_SCHEMA), str(tmp_path / "cash"))
+    ws = CashWorkspace.from_csv(spark, str(tmp_path / "cash"))
+    tags = {r.data1.isoformat(): r.Terminy for r in ws.calendar.collect()}
+    assert tags["2024-05-14"] == "T15" and tags["2024-05-13"] == "T15D-1"  # the file's own flag decides
+    sums = {r.miesiac_rok.isoformat(): r.suma_mc_nadmiary_od_kientaZ for r in reports.monthly_sums(ws.enriched).collect()}
+    assert sums["2024-02-01"] == round(sum(r[6] for r in rows if r[0].month == 2), 2)
+    assert forecast_compare(ws.seasonal_forecast).count() == 2 * 6 * 20
+    assert forecast_compare(ws.lag_forecast).count() == 2 * 6 * 20
+    # new rows in the folder: a new workspace sees them
+    write_cash_csv(spark.createDataFrame(_cash_rows(210), CASH_SCHEMA), str(tmp_path / "cash"))
+    assert CashWorkspace.from_csv(spark, str(tmp_path / "cash")).fact.count() == 420
+
+
+def test_calendar_plans_scan_the_fact(spark):
+    for name in ("calendar_next_flag", "deadline_nominal", "deadline_due", "deadline_eve", "deadline_calendar"):
+        assert "FileScan" in _plan(queries()[name](spark, SF)), name
+
+
+def test_hot_supplier_collapses_before_the_shuffle_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(cash_fact(spark, SF, supplier_broadcast_rows=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan.index("SortMergeJoin")
+    assert "keys=[l_suppkey" in plan[join:]  # the aggregate by supplier and day is below the join
+
+
+def test_file_checkpoint_folder_is_refused_on_a_cluster(spark):
+    import pytest
+    from types import SimpleNamespace
+    from kasaflow.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: "file:/tmp/x")
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, getConf=lambda: conf)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
 
 
 def test_shuffle_join_fallback_equals_broadcast(spark):
@@ -106,6 +171,6 @@ def test_all_query_plans_stay_distributed(spark):
         assert "BatchEvalPython" not in plan, name
         lines = plan.splitlines()
         for i, line in enumerate(lines):
-            if "Exchange SinglePartition" in line:
+            if "Exchange SinglePartition" in line and "keys=[], functions=[partial_" not in lines[i + 1]:
                 above = "\n".join(lines[max(0, i - 3):i])
                 assert "Window" not in above and "HashAggregate" not in above, (name, above)

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from brute import seasonal_ma_css, seasonal_ma_forecast
+from brute import seasonal_ma_forecast, seasonal_ma_refined
 from kasaflow.operators import forecast as FC
 from kasaflow.operators import series as S
 
@@ -27,7 +27,7 @@ def _sim(rng, n, theta):
 def sims():
     rng = np.random.default_rng(11)
     return {("B", "ma06"): _sim(rng, 700, -0.6), ("B", "ma03"): _sim(rng, 500, 0.3),
-            ("C", "short"): _sim(rng, 40, -0.2)}
+            ("C", "short"): _sim(rng, 40, -0.2), ("C", "ma098"): _sim(rng, 2800, -0.98)}
 
 
 def test_seasonal_ma_matches_direct_recursion(spark, sims):
@@ -40,7 +40,7 @@ def test_seasonal_ma_matches_direct_recursion(spark, sims):
         n = len(ys)
         n_test = int(np.ceil(0.1 * n))
         train = ys[: n - n_test]
-        th, sse, e = seasonal_ma_css(train, FC.THETA_GRID)
+        th, sse, e = seasonal_ma_refined(train)
         ref = seasonal_ma_forecast(train, th, e, n_test)
         rows = sorted(by[key], key=lambda r: r.h)
         assert len(rows) == n_test
@@ -56,6 +56,14 @@ def test_theta_recovered(spark, sims):
     got = {(r.nazwa_kasy, r.measure): r.theta for r in fit.collect()}
     assert abs(got[("B", "ma06")] + 0.6) <= 0.1
     assert abs(got[("B", "ma03")] - 0.3) <= 0.1
+    assert abs(got[("C", "ma098")] + 0.98) <= 0.012   # beyond the coarse grid's end
+
+
+def test_missing_value_leaves_its_chain_alone():
+    w = np.array([[1.0, 2.0], [np.nan, 1.0], [3.0, np.nan]])
+    e, sse = FC._fold(w, np.array([0.0, 0.5]))
+    assert e.tolist() == [[3.0, 2.5], [1.0, 0.0]]
+    assert sse.tolist() == [1 + 9 + 4 + 1, 1 + 2.5 ** 2 + 4 + 0]
 
 
 def test_compare_and_metrics(spark, sims):
@@ -96,5 +104,30 @@ def test_order_search_prefers_true_seasonal_ma(spark, sims):
     from kasaflow.operators import lagreg as LR
     split = S.train_test_split(S.series_diff(_series(spark, {("B", "ma06"): sims[("B", "ma06")]})))
     r = LR.order_search(split).collect()[0]
-    assert r.n_candidates == 54
-    assert r.sq == 1  # the seasonal MA term is picked
+    assert r.n_candidates == len(LR.candidate_orders()) == 96
+    assert r.sd == 1 or r.sp + r.sq >= 1  # the weekly pattern is picked up
+    assert len(r.terms) == len(r.coef) == r.n_params
+
+
+def test_order_search_differencing(spark):
+    from kasaflow.operators import lagreg as LR
+    rng = np.random.default_rng(4)
+    week = np.tile([0, 5, 9, 3, -4, -7, -6], 90).astype(float)
+    named = {("B", "noise"): np.cumsum(rng.normal(size=630)), ("B", "walk"): np.cumsum(np.cumsum(rng.normal(size=630))),
+             ("B", "weekly"): np.cumsum(week + rng.normal(size=630) * 0.5)}
+    split = S.train_test_split(S.series_diff(_series(spark, named)))
+    got = {r.measure: (r.d, r.sd) for r in LR.order_search(split).collect()}
+    assert got["noise"] == (0, 0)       # its differences are white noise
+    assert got["walk"][0] == 1          # its differences are a random walk
+    assert got["weekly"][1] == 1        # a strong weekly pattern
+
+
+def test_kpss_and_strength_on_known_cases():
+    from kasaflow.operators import lagreg as LR
+    rng = np.random.default_rng(1)
+    rejected = np.mean([LR.kpss_level(rng.normal(size=400)) > LR.KPSS_5PCT for _ in range(1000)])
+    assert 0.03 < rejected < 0.07  # the 5 % point
+    x = rng.normal(size=500)
+    assert LR.KPSS_5PCT < LR.kpss_level(np.cumsum(x))
+    assert LR.seasonal_strength(x) < 0.3 < 0.9 < LR.seasonal_strength(x + 8 * np.tile(np.arange(7), 72)[:500])
+    assert LR.kpss_level(np.zeros(50)) == 0.0 and LR.seasonal_strength(np.zeros(50)) == 0.0

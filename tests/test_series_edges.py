@@ -47,8 +47,33 @@ def test_histogram_counts_sum_to_n_and_constant_series(spark):
     d = S.series_diff(_series(spark, named))
     h = S.diff_histogram(d).collect()
     assert sum(r.n for r in h if r.measure == "noise") == 199
-    assert [(r.bin, r.n) for r in h if r.measure == "const"] == [(0, 49)]
-    assert max(r.bin for r in h) <= 19
+    assert sorted((r.bin, r.n) for r in h if r.measure == "const") == [(0, 49)] + [(k, 0) for k in range(1, 20)]
+    assert sorted(r.bin for r in h if r.measure == "noise") == list(range(20))  # empty bins too
+
+
+def test_null_amount_stays_null_and_missing_day_is_zero(spark):
+    rows = [("B", dt.date(2022, 1, 1), 5.0), ("B", dt.date(2022, 1, 2), None), ("B", dt.date(2022, 1, 4), 7.0)]
+    fact = spark.createDataFrame(rows, "nazwa_kasy string, Data date, nad_kz double")
+    long = S.series_long(fact, "2022-01-01", "2022-01-04", ["nad_kz"])
+    assert [r.value for r in long.orderBy("Data").collect()] == [5.0, None, 0.0, 7.0]
+    counts = S.null_counts(S.series_diff(long)).collect()[0]
+    assert (counts.n_rows, counts.null_value, counts.null_diff) == (4, 1, 3)
+
+
+def test_chi_square_tail_for_any_lags():
+    from kasaflow.functions.stats import chi2_sf
+    q = np.array([0.0, 0.5, 3.84, 20.0, 60.0])
+    assert chi2_sf(q, np.ones(5)) == pytest.approx([math.erfc(math.sqrt(v / 2)) for v in q], rel=1e-9)
+    assert chi2_sf(q, np.full(5, 4.0)) == pytest.approx([math.exp(-v / 2) * (1 + v / 2) for v in q], rel=1e-9)
+
+
+def test_cents_are_exact_and_rounded_like_decimals(spark):
+    from kasaflow.functions.amounts import cents_sum, exact_sum
+    df = spark.createDataFrame([(0.1,)] * 1000 + [(9_000_000_000_000.07,)] * 20, "x double")
+    assert df.select(cents_sum("x")).first()[0] == 1000 * 10 + 20 * 900_000_000_000_007
+    assert df.where("x < 1").select(exact_sum("x")).first()[0] == 100.0
+    odd = spark.createDataFrame([(0.125,), (-0.125,)], "x double")
+    assert [r[0] for r in odd.select(cents_sum("x")).union(odd.where("x > 0").select(cents_sum("x"))).collect()] == [0, 13]
 
 
 def test_constant_and_short_series_do_not_fail(spark):
