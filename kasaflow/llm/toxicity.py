@@ -10,7 +10,9 @@ function of its largest window logit.
 Everything is numpy. Training draws a bounded, balanced sample of labelled
 documents (TRAIN_ROWS; never those with crc32(doc_id as text) mod 5 = 0) and,
 as a label holds for a document and not for a window, follows the soft maximum
-of the document's windows. For scoring, the input part of the gates is
+of the document's windows. Embedding rows that few training documents use, or
+that occur under both labels alike, stay zero: they would only learn documents
+by heart. For scoring, the input part of the gates is
 computed once for each distinct word of a slice, and all windows of the slice
 step together.
 
@@ -41,7 +43,8 @@ WINDOW, STRIDE = 24, 16      # words; neighbouring windows share a third
 HIDDEN, DIM = 8, 8
 WORD_BITS, GRAM_BITS, GRAM_SIZES = 15, 14, (3, 4, 5)
 EPOCHS, BATCH, RATE = 5, 32, 0.02
-MIN_DOCS = 4                 # embedding rows used by fewer training documents stay zero
+HEAD_START, SHRINK = 1.0, 2.0
+MIN_DOCS, LEAST_Z = 4, 3.0   # embedding rows used by fewer training documents, or less one-sidedly, stay zero
 CHUNK = 4096                 # windows that step together
 
 
@@ -251,15 +254,23 @@ def train(texts: list, y: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> di
     short = size <= TRAIN_BYTES
     use = np.flatnonzero(short) if min(y[short].sum(), (1 - y[short]).sum()) >= 5 else np.arange(len(y))
     rng, state = np.random.default_rng(seed), {}
-    # Rows that few documents use would only learn those documents by heart: they stay zero.
-    seen = {k: np.zeros(len(m[k]), np.int64) for k in ("word", "gram")}
+    # Rows that few documents use, or documents of both labels alike, would only learn
+    # documents by heart: they stay zero.
+    seen = {k: np.zeros((2, len(m[k]))) for k in ("word", "gram")}  # documents of either label that use a row
     for i in use:
         e = Encoded([raw[i]])
-        seen["word"][np.unique(e.word_rows[1:])] += 1
-        seen["gram"][np.unique(e.gram_rows)] += 1
-    for k, n in seen.items():
-        state[k + " on"] = n >= MIN_DOCS
-        m[k][n < MIN_DOCS] = 0
+        seen["word"][int(y[i]), np.unique(e.word_rows[1:])] += 1
+        seen["gram"][int(y[i]), np.unique(e.gram_rows)] += 1
+    docs = np.bincount(y[use].astype(int), minlength=2)
+    for k, (clean, toxic) in seen.items():
+        n = clean + toxic
+        # The first number of a row starts from its (shrunk) log odds: a head start where labels are few.
+        odds = np.log((toxic + 0.5) / (docs[1] + 1)) - np.log((clean + 0.5) / (docs[0] + 1))
+        m[k][:, 0] = HEAD_START * odds * n / (n + SHRINK)
+        share = docs[1] / docs.sum()
+        z = (toxic - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+        state[k + " on"] = (n >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
+        m[k][~state[k + " on"]] = 0
     epochs = max(epochs, min(40, MIN_STEPS * BATCH // len(use)))
     for _ in range(epochs):
         order = rng.permutation(use)
