@@ -50,8 +50,9 @@ from kasaflow.llm.textarrays import as_bytes, mix64, shingle_sets, slices
 WIDTH, NUM, DEN = 3, 90, 100   # of the op9 contract; the operator's own default is WIDTH 5, 80 / 100
 BLOCK = 256                    # texts in a block
 COLUMNS = 8_192                # columns of the matrix multiplied at once
-POSTINGS_PER_BUCKET = 2_000_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 65_536
+POSTINGS_PER_BUCKET = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 65_536
+TEXTS_PER_UNIT, MIN_UNITS = 1_500, 16   # of small components
 BYTES_PER_WORD = 6
 WIDE_FROM = 1 << 29
 NO_ID = (1 << 63) - 1
@@ -217,9 +218,9 @@ def _unit(num: int, den: int):
     """One unit of the product: components (cc) of texts (cid, packed n-grams), each within itself
     (side 0 only) or side 0 against side 1."""
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         for _, part in pdf.groupby("cc", sort=False):
-            cids = part["cid"].to_numpy()
+            cids, least = part["cid"].to_numpy(), part["least"].to_numpy()
             sets = [np.frombuffer(g, np.uint64) for g in part["grams"]]
             side = part["side"].to_numpy()
             if (side == 0).all():
@@ -231,8 +232,9 @@ def _unit(num: int, den: int):
                     continue
                 idx = np.concatenate((l, r))
                 links = overlaps([sets[i] for i in l], [sets[i] for i in r], num, den)
-            out += [(int(cids[idx[x]]), int(cids[idx[y]])) for x, y in forest(links, bool((side == 0).all()))]
-        return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+            out += [(int(least[idx[x]]), int(cids[idx[x]]), int(least[idx[y]]), int(cids[idx[y]]))
+                    for x, y in forest(links, bool((side == 0).all()))]
+        return pd.DataFrame(out, columns=["x_least", "x", "y_least", "y"]).astype("int64")
     return multiply
 
 
@@ -242,18 +244,18 @@ def _sets(width: int):
             raw = [as_bytes(t, "ascii") for t in pdf["text"]]
             for lo, hi in slices(raw):
                 got = shingle_sets(raw[lo:hi], width)
-                part = pdf.iloc[lo:hi][["cc", "cid", "band", "members", "sizes"]].copy()
+                part = pdf.iloc[lo:hi][["cc", "cid", "least", "band", "members", "sizes"]].copy()
                 part["grams"] = [g.tobytes() for g in got]
                 yield part
     return sets
 
 
 def _units(members: DataFrame, width: int, num: int, den: int, partitions: int) -> DataFrame:
-    """Texts of candidate components -> units of the product -> links (x, y)."""
-    sets = members.mapInPandas(_sets(width), "cc long, cid long, band int, members long, sizes map<int,long>, grams binary")
+    """Texts of candidate components -> units of the product -> links (classes x and y with their smallest ids)."""
+    sets = members.mapInPandas(_sets(width), "cc long, cid long, least long, band int, members long, sizes map<int,long>, grams binary")
     small = (sets.where(F.col("members") <= BLOCK)
              .select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cc"), F.lit(partitions)).cast("string")).alias("unit"),
-                     "cc", "cid", F.lit(0).alias("side"), "grams"))
+                     "cc", "cid", "least", F.lit(0).alias("side"), "grams"))
     blocks = lambda b: F.coalesce(F.ceil(F.element_at("sizes", b) / F.lit(BLOCK)), F.lit(0)).cast("int")
     up_to = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
     own = F.pmod(F.xxhash64("cid"), blocks(F.col("band"))).cast("int")
@@ -267,8 +269,9 @@ def _units(members: DataFrame, width: int, num: int, den: int, partitions: int)
                      name(band, F.least("own", j), band, F.greatest("own", j)), F.when(F.col("own") <= j, F.lit(0)).otherwise(1))),
                  F.transform(up_to(blocks(band + 1)), lambda j: entry(name(band, F.col("own"), band + 1, j), F.lit(0))),
                  F.transform(up_to(blocks(band - 1)), lambda j: entry(name(band - 1, j, band, F.col("own")), F.lit(1)))))
-             .select(F.explode("units").alias("u"), "cc", "cid", "grams").select("u.unit", "cc", "cid", "u.side", "grams"))
-    return small.unionByName(large).groupBy("unit").applyInPandas(_unit(num, den), "x long, y long")
+             .select(F.explode("units").alias("u"), "cc", "cid", "least", "grams").select("u.unit", "cc", "cid", "least", "u.side", "grams"))
+    return small.unionByName(large).groupBy("unit").applyInPandas(
+        _unit(num, den), "x_least long, x long, y_least long, y long")
 
 
 def _class_id(text: Column) -> Column:
@@ -291,8 +294,8 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     # one text of each class; sorted, so that a repeated task packs the same slices
     chosen = source.withColumn("least", F.coalesce("id", F.lit(NO_ID))).join(
-        classes.select("cid", "least"), ["cid", "least"], "left_semi").select("cid", "text")
-    packed = chosen.sortWithinPartitions("cid").mapInPandas(_postings(width, buckets, wide), PACKED)
+        classes.select("cid", "least"), ["cid", "least"], "left_semi").select("cid", "least", "text")
+    packed = chosen.select("cid", "text").sortWithinPartitions("cid").mapInPandas(_postings(width, buckets, wide), PACKED)
     shared = packed.groupBy("bucket").applyInPandas(_shared(wide), PACKED)
     stage = written(shared.groupBy("block").applyInPandas(_prefixes(num, den, wide), "cid long, n long, token long, is_text boolean"),
                     "join-prefixes")
@@ -313,15 +316,15 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                                       F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("sizes"))  # an entry a band
     members = candidates.select("cid", "cc", "band").join(counts, "cc")
 
-    texts = chosen.join(members, "cid").select("cc", "cid", "band", "members", "sizes", "text")
-    links = written(_units(texts, width, num, den, max(MIN_BUCKETS, int(rows // 5_000))), "join-links")
-    groups = connected_components(links, "x", "y")
-
-    of = (classes.select("cid", "least").join(sizes.distinct(), "cid")
-          .join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-          .withColumn("component", F.coalesce("component", "cid")))
-    low = of.groupBy("component").agg(F.min(F.when(F.col("n") > 0, F.col("least"))).alias("low"))
-    of = of.join(low, "component").select("cid", "n", "low", "component")
+    texts = chosen.join(members, "cid").select("cc", "cid", "least", "band", "members", "sizes", "text")
+    links = written(_units(texts, width, num, den, max(MIN_UNITS, int(rows // TEXTS_PER_UNIT))), "join-links")
+    # A node is (smallest id, class), so a group's smallest node names the group's smallest id at once:
+    # no join on the group, which may hold a large part of all classes.
+    links = links.select(F.struct(F.col("x_least").alias("least"), F.col("x").alias("cid")).alias("x"),
+                         F.struct(F.col("y_least").alias("least"), F.col("y").alias("cid")).alias("y"))
+    groups = connected_components(links, "x", "y").select(F.col("node.cid").alias("cid"), "component")
+    of = (classes.select("cid", "least").join(sizes.distinct(), "cid").join(groups, "cid", "left")
+          .select("cid", "n", F.coalesce("component.least", "least").alias("low"), F.coalesce("component.cid", "cid").alias("component")))
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("low") < NO_ID, F.col("low")))
     return digest.select("id", "cid").join(of, "cid").select(
         F.col("id").alias(doc_id), "cid", F.col("n").alias("n_shingles"), name.alias("component_id"),
