@@ -202,7 +202,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
         return pairs.select("bucket", "ids", "m", "q_ids", "q_m", "floor").mapInPandas(_search(dim, k), found)
 
     no_floor = F.lit(None).cast("binary")
-    first = written(meet(queries.withColumn("bucket", F.lit(0)).withColumn("floor", no_floor),
+    first = written(meet(queries.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(0)))).withColumn("floor", no_floor),
                          buckets.where("bucket = 0")), "topk-first")
     # k-th best so far of each query, packed in the order of its block
     least = (first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # k at most
