@@ -178,16 +178,21 @@ def lag_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace(spark, sf_dir).lag_forecast
 
 
+def seven_digits(*columns: str):
+    """Columns to single precision (about 7 significant digits): the fit is good to about 11, and a
+    forecast of unstable coefficients grows without bound, so decimals would not say what holds."""
+    return [F.col(f"`{c}`").cast("float").cast("double").alias(c) for c in columns]
+
+
 @register("forecast_lag_regression")
 def q_forecast_lag_regression(spark, sf_dir):
-    fc = lag_forecast(spark, sf_dir)
-    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_diff", 6).alias("pred_diff"),
-                           F.round("pred_level", 2).alias("pred_level")))
+    return lower(lag_forecast(spark, sf_dir).select(*S.KEYS, "Data", "h", *seven_digits("pred_diff", "pred_level")))
 
 
 @register("forecast_lag_regression_metrics")
 def q_forecast_lag_regression_metrics(spark, sf_dir):
-    return lower(FC.forecast_metrics(lag_forecast(spark, sf_dir), LAG_REGRESSION))
+    m = FC.forecast_metrics(lag_forecast(spark, sf_dir), LAG_REGRESSION)
+    return lower(m.select(*S.KEYS, "n", *seven_digits("rmse", "mae", "r2"), "model"))
 
 
 # The notebook un-differences, compares and tests its second fit; these follow it.
@@ -201,13 +206,14 @@ def q_ljung_box_lag_regression(spark, sf_dir):
 
 @register("undiff_forecast_lag_regression")
 def q_undiff_forecast_lag_regression(spark, sf_dir):
-    fc = lag_forecast(spark, sf_dir)
-    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_level", 2).alias("level")))
+    return lower(lag_forecast(spark, sf_dir).select(*S.KEYS, "Data", "h", *seven_digits("pred_level"))
+                 .withColumnRenamed("pred_level", "level"))
 
 
 @register("forecast_compare_lag_regression")
 def q_forecast_compare_lag_regression(spark, sf_dir):
-    return lower(FC.forecast_compare(lag_forecast(spark, sf_dir)))
+    c = FC.forecast_compare(lag_forecast(spark, sf_dir))
+    return lower(c.select(*S.KEYS, "Data", "h", "dane_oryg", *seven_digits("dane_pred", "roznica", "roznica_%")))
 
 
 @register("forecast_mean_ratio_lag_regression")

@@ -276,3 +276,82 @@ UNION ALL
 SELECT lev.nazwa_kasy, lev.measure, CAST(k AS INTEGER) AS lag, round(pk, 9) + 0.0 AS pacf,
   round(1.959963984540054 / sqrt(nobs), 9) AS bound
 FROM lev JOIN obs ON obs.nazwa_kasy = lev.nazwa_kasy AND obs.measure = lev.measure""")
+
+
+# ------------------------------------------------------------ lag regression --
+# Two least-squares stages by the normal equations, solved by elimination (a recursion over
+# the pivots of an augmented matrix), then the forecast recursion step by step.
+from kasaflow.plans.oracle import _SQL as _ALL  # noqa: E402
+
+
+def _solve(name: str, gram: str, size: int) -> str:
+    """CTEs: ``{name}_x`` (nazwa_kasy, measure, b) solves the equations whose (i, j, g) are in
+    ``gram``; entry 1 is the dependent variable."""
+    return f"""
+, {name}_row AS (
+    SELECT nazwa_kasy, measure, i, list(g ORDER BY CASE WHEN j = 1 THEN 9999 ELSE j END) AS r
+    FROM {gram} WHERE i > 1 GROUP BY 1, 2, 3)
+, {name}_e AS (
+    SELECT nazwa_kasy, measure, 1 AS k, list(r ORDER BY i) AS m FROM {name}_row GROUP BY 1, 2
+    UNION ALL
+    SELECT nazwa_kasy, measure, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p
+             ELSE list_transform(r, lambda x, c: x - r[k] * p[c]) END)
+    FROM (SELECT *, list_transform(m[k], lambda x: x / m[k][k]) AS p FROM {name}_e) t WHERE k <= {size})
+, {name}_x AS (SELECT nazwa_kasy, measure, list_transform(m, lambda r: r[{size + 1}]) AS b FROM {name}_e WHERE k = {size + 1})"""
+
+
+_AR, _MA = [1, 2, 7, 8, 9, 14, 15, 16], [1, 2, 7, 8, 9]
+_X28 = ", ".join(f"lag(x, {k}) OVER w" for k in range(1, 29))
+LAG_REGRESSION = f"""
+, lx AS (SELECT nazwa_kasy, measure, rn, x, [x, {_X28}] AS v FROM (SELECT nazwa_kasy, measure, data, diff AS x,
+           row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS rn FROM train) t
+         WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY rn))
+, g1 AS (SELECT nazwa_kasy, measure, a.i, b.j, sum(v[a.i] * v[b.j]) AS g
+         FROM lx, range(1, 30) AS a(i), range(1, 30) AS b(j) WHERE v[29] IS NOT NULL GROUP BY 1, 2, 3, 4)
+{_solve("s1", "g1", 28)}
+, le AS (SELECT lx.nazwa_kasy, lx.measure, rn, x, CASE WHEN v[29] IS NOT NULL THEN x - list_dot_product(b, v[2:29]) END AS e
+         FROM lx JOIN s1_x ON s1_x.nazwa_kasy = lx.nazwa_kasy AND s1_x.measure = lx.measure)
+, l2 AS (SELECT nazwa_kasy, measure, [x, {", ".join(f"lag(x, {k}) OVER w" for k in _AR)}, {", ".join(f"lag(e, {k}) OVER w" for k in _MA)}] AS v
+         FROM le WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY rn))
+, g2 AS (SELECT nazwa_kasy, measure, a.i, b.j, sum(v[a.i] * v[b.j]) AS g
+         FROM l2, range(1, 15) AS a(i), range(1, 15) AS b(j) WHERE v[14] IS NOT NULL GROUP BY 1, 2, 3, 4)
+{_solve("s2", "g2", 13)}
+, ends AS (SELECT nazwa_kasy, measure, list(x ORDER BY rn) AS xs, list(COALESCE(e, 0.0) ORDER BY rn) AS es FROM le GROUP BY 1, 2)
+, fr AS (
+    SELECT s.nazwa_kasy, s.measure, b, xs[-16:] AS xs, es[-16:] AS es, 0 AS h, 0.0::DOUBLE AS pred_diff
+    FROM ends s JOIN s2_x ON s2_x.nazwa_kasy = s.nazwa_kasy AND s2_x.measure = s.measure
+    UNION ALL
+    SELECT nazwa_kasy, measure, b, list_append(xs, p)[-16:], list_append(es, 0.0)[-16:], h + 1, p
+    FROM (SELECT *, {" + ".join(f"b[{i}] * xs[-{k}]" for i, k in enumerate(_AR, 1))} + {" + ".join(f"b[{i}] * es[-{k}]" for i, k in enumerate(_MA, 9))} AS p FROM fr) t
+    WHERE h < (SELECT max(n_test) FROM split))
+, fc0 AS (SELECT t.nazwa_kasy, t.measure, t.data, t.h, t.diff, t.y_t, fr.pred_diff
+          FROM (SELECT *, rn - (n - n_test) AS h, max(CASE WHEN rn = n - n_test THEN value END)
+                          OVER (PARTITION BY nazwa_kasy, measure) AS y_t FROM split) t
+          LEFT JOIN fr ON fr.nazwa_kasy = t.nazwa_kasy AND fr.measure = t.measure AND fr.h = t.h
+          WHERE t.split = 'test')
+""" + FORECAST[FORECAST.index(", fc AS ("):]
+
+
+def _seven(*columns: str) -> str:
+    return ", ".join(f'CAST(CAST("{c}" AS FLOAT) AS DOUBLE) AS "{c}"' for c in columns)
+
+
+def lag_sql(name: str, like: str, columns: str = "*") -> None:
+    """The query ``like`` of the first model, on the second one's forecast."""
+    from kasaflow.plans.oracle import _SQL, BASE
+    tail = FORECAST[FORECAST.index(", fc AS ("):]
+    body = _SQL[like].split(tail)[1].strip()
+    ctes, select = (body.split("\nSELECT", 1)[0], "SELECT" + body.split("\nSELECT", 1)[1]) if body.startswith(",") else ("", body)
+    _SQL[name] = ("WITH RECURSIVE " + BASE[len("WITH "):] + "\n" + (SERIES + LAG_REGRESSION).strip() + "\n" + ctes
+                  + f"\nSELECT {columns} FROM ({select}) q").replace("sarima_010_011_7", "sarima_202_201_7_hr")
+
+
+_STEP = "nazwa_kasy, measure, data, h, "
+lag_sql("ljung_box_lag_regression", "ljung_box_pvalue")
+lag_sql("forecast_mean_ratio_lag_regression", "forecast_mean_ratio")
+lag_sql("forecast_lag_regression_metrics", "forecast_metrics", "nazwa_kasy, measure, n, " + _seven("rmse", "mae", "r2") + ", model")
+lag_sql("forecast_compare_lag_regression", "forecast_compare", _STEP + "dane_oryg, " + _seven("dane_pred", "roznica", "roznica_%"))
+for _name, _columns in (("undiff_forecast_lag_regression", "CAST(CAST(pred_level AS FLOAT) AS DOUBLE) AS level"),
+                        ("forecast_lag_regression", _seven("pred_diff", "pred_level"))):
+    sql(_name, SERIES + LAG_REGRESSION + f"SELECT {_STEP}{_columns} FROM fc")
+    _ALL[_name] = "WITH RECURSIVE " + _ALL[_name][len("WITH "):]

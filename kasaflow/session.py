@@ -68,6 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+def drop_intermediates(spark: SparkSession) -> bool:
+    """Delete the application's own folder of checkpoints and written stages.
+
+    Frames returned by queries read from it, so call this only when their
+    results have been written or collected; later queries build their stages
+    anew. Spark gives every application a folder of its own under
+    ``spark.checkpoint.dir``; that folder alone is deleted.
+    """
+    from kasaflow.plans import workspace as stages
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    with stages._LOCK:
+        stages._WORKSPACES.clear()
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.delete(path, True)
+    fs.mkdirs(path)
+    return done
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

@@ -174,3 +174,10 @@ def test_all_query_plans_stay_distributed(spark):
             if "Exchange SinglePartition" in line and "keys=[], functions=[partial_" not in lines[i + 1]:
                 above = "\n".join(lines[max(0, i - 3):i])
                 assert "Window" not in above and "HashAggregate" not in above, (name, above)
+
+
+def test_intermediates_can_be_dropped_and_are_built_anew(spark):
+    from kasaflow.session import drop_intermediates
+    before = sorted(map(tuple, queries()["monthly_sums"](spark, SF).collect()))
+    assert drop_intermediates(spark)
+    assert sorted(map(tuple, queries()["monthly_sums"](spark, SF).collect())) == before
