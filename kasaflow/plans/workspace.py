@@ -69,12 +69,12 @@ class CashWorkspace:
     with the fact's columns (``from_fact``)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, level: str = "region",
-                 source: Callable[[], DataFrame] | None = None):
+                 source: Callable[[], DataFrame] | None = None, files: list[str] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.level = level
         self._source = source or (lambda: cash_fact(spark, self.sf_dir, level))
-        files = [self.sf_dir] if source else [f"{self.sf_dir}/{t}.parquet" for t in SOURCE_TABLES]
+        files = [f"{self.sf_dir}/{t}.parquet" for t in SOURCE_TABLES] if files is None else files
         self._tag = hashlib.sha1(f"{self.sf_dir}|{level}|{fingerprint(spark, files)}".encode()).hexdigest()[:12]
         self._made: dict[str, object] = {}
         self._lock = threading.RLock()  # one writer per stage table
@@ -82,12 +82,12 @@ class CashWorkspace:
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str, **options) -> CashWorkspace:
         """Workspace over a ';' CSV of daily cash (``options`` as for ``read_cash_csv``)."""
-        return cls(spark, path, "csv", lambda: read_cash_csv(spark, path, **options))
+        return cls(spark, path, "csv", lambda: read_cash_csv(spark, path, **options), [path])
 
     @classmethod
     def from_fact(cls, fact: DataFrame, name: str) -> CashWorkspace:
         """Workspace over a frame with the fact's columns; ``name`` must be new for new data."""
-        return cls(fact.sparkSession, f"fact:///{name}" if ":" not in name else name, "frame", lambda: fact)
+        return cls(fact.sparkSession, name, "frame", lambda: fact, [])
 
     def _stage(self, name: str, build: Callable[[], DataFrame]):
         with self._lock:

@@ -88,6 +88,9 @@ def test_csv_to_report_to_forecast(spark, tmp_path):
     assert sums["2024-02-01"] == round(sum(r[6] for r in rows if r[0].month == 2), 2)
     assert forecast_compare(ws.seasonal_forecast).count() == 2 * 6 * 20
     assert forecast_compare(ws.lag_forecast).count() == 2 * 6 * 20
+    same = CashWorkspace.from_fact(spark.createDataFrame(rows, CASH_SCHEMA), f"frame-{tmp_path.name}")
+    assert sorted(map(tuple, same.calendar.select("data1", "Terminy").collect())) == \
+        sorted(map(tuple, ws.calendar.select("data1", "Terminy").collect()))
     # new rows in the folder: a new workspace sees them
     write_cash_csv(spark.createDataFrame(_cash_rows(210), CASH_SCHEMA), str(tmp_path / "cash"))
     assert CashWorkspace.from_csv(spark, str(tmp_path / "cash")).fact.count() == 420
