@@ -35,7 +35,7 @@ def formatted(df) -> str:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_or_create_session("local[8]")
+    spark = get_or_create_session("local[4]")
     out = ["# Physical plans", "",
            f"Generated by `python tools/explain_plans.py {sf_dir}` (final adaptive plans after the",
            "query ran; long lines cut).", ""]
