@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kasaflow.functions.dates import month_key, weekday_number
-from kasaflow.plans.sizing import bounded_broadcast
 from kasaflow.sources.dims import weekday_dim
 
-CALENDAR_MAX_BROADCAST_ROWS = 1_000_000  # one row per calendar day: ~2,700 years
-
 
 def add_weekday(fact: DataFrame, spark: SparkSession) -> DataFrame:
     """Adds ``id_dnia_tygodnia`` (Sunday = 1) and the weekday name.
@@ -29,16 +26,14 @@ def add_month_key(df: DataFrame) -> DataFrame:
     return df.withColumn("miesiac_rok", month_key(F.col("Data")))
 
 
-def add_deadlines(df: DataFrame, calendar: DataFrame, check_size: bool = True) -> DataFrame:
+def add_deadlines(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Inner join of facts to the deadline calendar on date; drops the calendar key.
 
     A date present twice in the calendar (two day-off flags) fans out, as in
-    the source. The calendar has one row per day, so it is broadcast after a
-    row-count check; above the bound the join is a shuffle join.
+    the source. No hint: the calendar is a written table with one row a day,
+    and its size lets Spark choose a broadcast or a shuffle join.
     """
     cal = calendar.select("data1", "Terminy")
-    if check_size:
-        cal = bounded_broadcast(cal, CALENDAR_MAX_BROADCAST_ROWS)
     return df.join(cal, df.Data == cal.data1, "inner").drop("data1")
 
 

@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side is shipped to every executor; keep it to a few MB.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the frame is
-    returned unhinted and the join falls back to a shuffle join chosen by
-    Catalyst/AQE.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
