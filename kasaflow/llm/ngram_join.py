@@ -52,6 +52,7 @@ BLOCK = 256                    # texts in a block
 COLUMNS = 8_192                # columns of the matrix multiplied at once
 POSTINGS_PER_BUCKET = 1_000_000
 MIN_BUCKETS, MAX_BUCKETS = 16, 65_536
+PER_ROW, LEAST_IN_BLOCK, MOST_IN_BLOCK = 2_000, 100_000, 4_000_000  # n-grams
 TEXTS_PER_UNIT, MIN_UNITS = 1_500, 16   # of small components
 BYTES_PER_WORD = 6
 WIDE_FROM = 1 << 29
@@ -69,37 +70,51 @@ PACKED = "bucket int, block long, a binary, b binary, c binary"
 
 
 def _postings(width: int, buckets: int, wide: bool):
-    """(cid, text) rows to packed rows: for each slice of texts and bucket, the n-grams and the texts'
-    numbers in the slice; and one row (bucket below 0) with the slice's class ids and sizes. A slice is
-    named by its first class id: rows come sorted by class, so a task run again makes the same slices."""
+    """(cid, text) rows to packed rows: for each block of texts and bucket, the n-grams and the texts'
+    numbers in the block; and one row (bucket below 0) with the block's class ids and sizes. A block is
+    named by its first class id: rows come sorted by class, so a task run again makes the same blocks.
+    Blocks grow with the number of buckets (PER_ROW n-grams a row), up to what fits in a task."""
     dtype, shift = (np.uint64, 0) if wide else (np.uint32, 32)
 
+    limit = max(LEAST_IN_BLOCK, min(MOST_IN_BLOCK, buckets * PER_ROW))
+
+    def block(cids: np.ndarray, sets: list[np.ndarray]) -> pd.DataFrame:
+        n = np.array([len(s) for s in sets], np.int64)
+        grams = np.concatenate(sets)
+        text = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+        token = (grams >> np.uint64(shift)).astype(dtype)
+        bucket = (mix64(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        token, text, bucket = token[order], text[order], bucket[order]
+        used, first = np.unique(bucket, return_index=True)
+        cut = np.append(first, len(bucket))
+        name = int(cids[0])
+        meta = -1 - int(mix64(np.array([name], np.int64).astype(np.uint64))[0] % np.uint64(buckets))
+        rows = [(meta, name, cids.tobytes(), n.tobytes(), b"")]
+        rows += [(int(k), name, token[cut[i]:cut[i + 1]].tobytes(), text[cut[i]:cut[i + 1]].tobytes(), b"") for i, k in enumerate(used)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c"])
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cids, sets, held = [], [], 0
         for pdf in batches:
             raw = [as_bytes(t, "ascii") for t in pdf["text"]]
-            cids = pdf["cid"].to_numpy(np.int64)
+            ids = pdf["cid"].to_numpy(np.int64)
             for lo, hi in slices(raw):
-                sets = shingle_sets(raw[lo:hi], width)
-                n = np.array([len(s) for s in sets], np.int64)
-                grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                text = np.repeat(np.arange(hi - lo, dtype=np.int32), n)
-                token = (grams >> np.uint64(shift)).astype(dtype)
-                bucket = (mix64(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                token, text, bucket = token[order], text[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                block = int(cids[lo])
-                meta = -1 - int(mix64(np.array([block], np.int64).astype(np.uint64))[0] % np.uint64(buckets))
-                rows = [(meta, block, cids[lo:hi].tobytes(), n.astype(np.int64).tobytes(), b"")]
-                rows += [(k, block, token[cut[k]:cut[k + 1]].tobytes(), text[cut[k]:cut[k + 1]].tobytes(), b"")
-                         for k in range(buckets) if cut[k + 1] > cut[k]]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c"])
+                got = shingle_sets(raw[lo:hi], width)
+                cids.append(ids[lo:hi])
+                sets += got
+                held += sum(map(len, got))
+                if held >= limit:
+                    yield block(np.concatenate(cids), sets)
+                    cids, sets, held = [], [], 0
+        if sets:
+            yield block(np.concatenate(cids), sets)
     return pack
 
 
 def _shared(wide: bool):
-    """One bucket: the n-grams that occur in two texts or more, back to the slices they came from, with
-    the number of texts. Rows that describe slices pass through."""
+    """One bucket: the n-grams that occur in two texts or more, back to the blocks they came from, with
+    the number of texts. Rows that describe blocks pass through."""
     dtype = np.uint64 if wide else np.uint32
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +141,7 @@ def _shared(wide: bool):
 
 
 def _prefixes(num: int, den: int, wide: bool):
-    """One slice: (cid, n) of every text (token NULL), and (cid, n, token) for the shared n-grams among
+    """One block: (cid, n) of every text (token NULL), and (cid, n, token) for the shared n-grams among
     the first n - needed + 1 in order of (number of texts, n-gram)."""
     dtype = np.uint64 if wide else np.uint32
 
