@@ -307,9 +307,10 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wide = grams > WIDE_FROM
     buckets = int(max(MIN_BUCKETS, min(MAX_BUCKETS, grams // POSTINGS_PER_BUCKET)))
 
-    # one text of each class; sorted, so that a repeated task packs the same slices
-    chosen = source.withColumn("least", F.coalesce("id", F.lit(NO_ID))).join(
-        classes.select("cid", "least"), ["cid", "least"], "left_semi").select("cid", "least", "text")
+    # One row of each class, also where rows repeat or ids are NULL: blocks are named by their first class.
+    # Repeats collapse before the exchange; sorted, so that a repeated task packs the same slices.
+    chosen = (source.groupBy("cid", F.coalesce("id", F.lit(NO_ID)).alias("least")).agg(F.min("text").alias("text"))
+              .join(classes.select("cid", "least"), ["cid", "least"], "left_semi").select("cid", "least", "text"))
     packed = chosen.select("cid", "text").sortWithinPartitions("cid").mapInPandas(_postings(width, buckets, wide), PACKED)
     shared = packed.groupBy("bucket").applyInPandas(_shared(wide), PACKED)
     stage = written(shared.groupBy("block").applyInPandas(_prefixes(num, den, wide), "cid long, n long, token long, is_text boolean"),

@@ -154,6 +154,23 @@ def test_product_equals_set_arithmetic(monkeypatch):
         (square | np.eye(40, dtype=bool)).astype(float), 40) > 0 if r.sum() > 1})
 
 
+def test_join_with_classes_of_many_rows(spark):
+    """A thousand repeated rows and a thousand copies without ids, and near copies among the classes after
+    them: no block may share its name with another, or prefix n-grams go to the wrong texts."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    same, nameless = " ".join(words(700)), " ".join(words(700))
+    rows = [(1, same)] * 1000 + [(None, nameless)] * 1000
+    for f in range(100):
+        base = words(60)
+        rows += [(10 + 2 * f, " ".join(base)), (11 + 2 * f, " ".join(base[:-1] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = ngram_join.similar_groups(df, width=3, num=90, den=100).collect()
+    assert len(got) == len(rows)
+    name = {(r.doc_id, r.component_id) for r in got}
+    assert name == {(1, 1), (None, None)} | {(10 + i, 10 + i - i % 2) for i in range(200)}
+
+
 def test_one_of_each(spark):
     rows = _corpus(4, families=5) + [(5, None), (6, ""), (5, None), (None, "solo text without a number"), (None, "solo text without a number")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("kept")).withColumn("id", F.lit(1))
