@@ -15,12 +15,15 @@ Query blocks are sent to the buckets by an equi-join on the bucket number (a
 stated query set against all rows, in blocks); a bucket is one row of packed
 arrays. Only candidates that reach the threshold are shuffled at the end.
 
-Components x become floor(1024 * x), x as double. Defined cases: vectors that
-are NULL, or hold NULL or non-finite components or components beyond
-+-2**26 after scaling, take no part, nor do NULL ids; shorter vectors count as
-padded with zeros; a vec_id that repeats keeps its smallest vector (arrays
-compared in order); ties go to the smaller vec_id; an empty table gives an
-empty result.
+Components x become floor(1024 * x), x as double. Scores are exact: products
+run in doubles below 2**53, else in int64, else in Python's integers. Defined
+cases: vectors that are NULL, or hold NULL or non-finite components (also
+after scaling), take no part, nor do NULL ids; a pair whose score does not fit
+a long is no result; shorter vectors count as padded with zeros; rows of a
+repeated vec_id are all candidates and all queries, and the queries of one id
+share its ranking (``one_per_id``: only the smallest vector of an id, arrays
+compared in order, takes part); ties go to the smaller vec_id; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,19 +40,35 @@ from kasaflow.llm.common import table, written
 K, EVERY = 10, 100
 SCALE = 1024
 BUCKET, QUERY_BLOCK = 4_096, 512
-LARGEST = 1 << 26
+NONE = -(1 << 63)              # no threshold yet
 LEVELS = 16
 FOCUS = 4                     # coordinates looked at in coordinate pruning
 COORDINATE_FROM = 0.35        # local cosine threshold from which coordinates prune better than lengths
 
 
-def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v, dim) of the vectors that take part, one row an id; v holds whole numbers as doubles."""
-    x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * SCALE))
-    fit = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) <= LARGEST / SCALE)
-    return (df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(F.forall(vector, fit))
-            .select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+def quantised(df: DataFrame, vec_id: str, vector: str, one_per_id: bool) -> DataFrame:
+    """(vec_id, v) of the vectors that take part; v holds whole numbers as doubles (from 2**53 on every
+    double is one; F.floor gives a long, which they need not fit)."""
+    scaled = lambda c: c.cast("double") * SCALE
+    x = F.transform(F.col(vector), lambda c: F.when(F.abs(scaled(c)) < 2.0 ** 53, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
+    fit = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(scaled(c)) < float("inf"))
+    out = (df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(F.forall(vector, fit))
+           .select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v")))
+    return out.groupBy("vec_id").agg(F.min("v").alias("v")) if one_per_id else out
+
+
+def _bytes(m: np.ndarray) -> bytes:
+    """int32 where all entries fit, else doubles; ``_entries`` tells them apart by their size."""
+    return (m.astype(np.int32) if np.abs(m).max(initial=0) < 1 << 31 else m).tobytes()
+
+
+def _entries(b: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(b, np.int32 if len(b) == 4 * rows * dim else np.float64).reshape(rows, dim).astype(np.float64)
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):  # infinite lengths prune nothing
+        return np.sqrt((m * m).sum(1))
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -60,15 +79,15 @@ def _matrix(rows, dim: int) -> np.ndarray:
 
 
 def _pack(dim: int, size: int):
-    """Rows (already in their order) to blocks of up to ``size``: ids, matrix of int32."""
+    """Rows (already in their order) to blocks of up to ``size``: ids, matrix."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, rows = [], []
 
         def block():
             m = _matrix(rows, dim)
-            norm = np.sqrt((m * m).sum(1))
-            return pd.DataFrame({"ids": [np.array(ids, np.int64).tobytes()], "m": [m.astype(np.int32).tobytes()],
-                                 "lo": [float(norm.min())], "hi": [float(norm.max())], "least_id": [int(min(ids))]})
+            norm = _lengths(m)
+            return pd.DataFrame({"ids": [np.array(ids, np.int64).tobytes()], "m": [_bytes(m)],
+                                 "lo": [float(norm.min())], "hi": [float(norm.max())]})
         for pdf in batches:
             for i, v in zip(pdf["vec_id"], pdf["v"]):
                 ids.append(i)
@@ -81,7 +100,7 @@ def _pack(dim: int, size: int):
     return pack
 
 
-PACKED = "ids binary, m binary, lo double, hi double, least_id long"
+PACKED = "ids binary, m binary, lo double, hi double"
 
 
 class Bucket:
@@ -89,8 +108,9 @@ class Bucket:
 
     def __init__(self, ids: bytes, m: bytes, dim: int):
         self.ids = np.frombuffer(ids, np.int64)
-        self.m = np.frombuffer(m, np.int32).reshape(-1, dim).astype(np.float64) if dim else np.zeros((len(self.ids), 0))
-        self.norm = np.sqrt((self.m * self.m).sum(1))
+        self.m = _entries(m, len(self.ids), dim)
+        self.norm = _lengths(self.m)
+        self.largest = float(np.abs(self.m).max(initial=0))
         order = np.argsort(-self.norm, kind="stable")
         self.ids, self.m, self.norm = self.ids[order], self.m[order], self.norm[order]
         self.unit = self.m / np.maximum(self.norm, 1e-300)[:, None]
@@ -139,6 +159,21 @@ class Bucket:
         return rows
 
 
+def _scores(m: np.ndarray, q: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exact products of the rows (entries up to ``largest``) with q, and which of them fit a long."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        # whole numbers below 2**53 / dim: exact in doubles, whatever the order of the sum
+        if len(q) * float(np.abs(q).max(initial=0)) * largest < 2.0 ** 53:
+            return (m @ q).astype(np.int64), np.ones(len(m), bool)
+        bound = np.abs(m) @ np.abs(q)
+        score, fits = (m.astype(np.int64) * q.astype(np.int64)).sum(1), np.ones(len(m), bool)
+        for i in np.flatnonzero(~(bound < 2.0 ** 62)):
+            exact = sum(int(x) * int(y) for x, y in zip(m[i].tolist(), q.tolist()))
+            fits[i] = -1 << 63 <= exact < 1 << 63
+            score[i] = exact if fits[i] else 0
+    return score, fits
+
+
 def _search(dim: int, k: int):
     """A (query block, bucket) row to the best k of the bucket for each query that reach its threshold."""
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,21 +183,18 @@ def _search(dim: int, k: int):
                 if b != last:
                     last, bucket = b, Bucket(ids, m, dim)
                 q_id = np.frombuffer(q_ids, np.int64)
-                q = np.frombuffer(q_m, np.int32).reshape(-1, dim).astype(np.float64) if dim else np.zeros((len(q_id), 0))
-                least = np.frombuffer(floor_, np.float64) if floor_ is not None else np.full(len(q_id), -np.inf)
-                norms = np.sqrt((q * q).sum(1))
+                q = _entries(q_m, len(q_id), dim)
+                least = np.frombuffer(floor_, np.int64) if floor_ is not None else np.full(len(q_id), NONE, np.int64)
+                threshold = np.where(least == NONE, -np.inf, least.astype(np.float64))
+                norms = _lengths(q)
                 got = [], [], []
                 for i in range(len(q_id)):
-                    rows = bucket.candidates(q[i], norms[i], least[i])
+                    rows = bucket.candidates(q[i], norms[i], threshold[i])
                     rows = rows[bucket.ids[rows] != q_id[i]]
-                    # whole numbers below 2**53 / dim: exact in doubles, whatever the order of the sum
-                    if dim * float(np.abs(q[i]).max(initial=0)) * float(np.abs(bucket.m).max(initial=0)) < 2.0 ** 53:
-                        score = (bucket.m[rows] @ q[i]).astype(np.int64)
-                    else:
-                        score = (bucket.m[rows].astype(np.int64) * q[i].astype(np.int64)).sum(1)
-                    on = score >= least[i]
+                    score, fits = _scores(bucket.m[rows], q[i], bucket.largest)
+                    on = fits & (score >= least[i])
                     rows, score = rows[on], score[on]
-                    order = np.lexsort((bucket.ids[rows], -score))[:k]
+                    order = np.lexsort((bucket.ids[rows], ~score))[:k]  # ~: falling, without overflow
                     got[0].append(np.full(len(order), q_id[i]))
                     got[1].append(bucket.ids[rows[order]])
                     got[2].append(score[order])
@@ -171,10 +203,11 @@ def _search(dim: int, k: int):
     return search
 
 
-def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best for every row with ``is_query`` (an expression on vec_id)."""
+def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K,
+          one_per_id: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best for every id with ``is_query`` (an expression on vec_id)."""
     spark = vectors.sparkSession
-    clean = written(quantised(vectors, vec_id, vector), "topk-vectors")
+    clean = written(quantised(vectors, vec_id, vector, one_per_id), "topk-vectors")
     rows, dim = clean.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_buckets, norm2 = max(1, -(-rows // BUCKET)), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     # longest first; ties (a common vector) are dealt on by id, so no bucket grows with them
@@ -191,8 +224,8 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     buckets = buckets.drop("hi").join(numbered.select("key", "bucket"), "key")
     queries = (clean.where(is_query).repartition(max(1, rows // (EVERY * QUERY_BLOCK)), "vec_id").sortWithinPartitions("vec_id")
                .mapInPandas(_pack(dim, QUERY_BLOCK), PACKED)
-               .select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("hi").alias("q_hi"), F.col("least_id").alias("block")))
-    queries = written(queries, "topk-queries")
+               .select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("hi").alias("q_hi")))
+    queries = written(queries.withColumn("block", F.monotonically_increasing_id()), "topk-queries")
     found = "query_id long, vec_id long, score long"
     if not levels:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -205,16 +238,16 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     first = written(meet(queries.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(0)))).withColumn("floor", no_floor),
                          buckets.where("bucket = 0")), "topk-first")
     # k-th best so far of each query, packed in the order of its block
-    least = (first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # k at most
-             .select("query_id", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1)).cast("double")).alias("least")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    least = first.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("score").alias("least"))
 
     def floors(pdf: pd.DataFrame) -> pd.DataFrame:
         q = np.frombuffer(pdf["q_ids"].dropna().iloc[0], np.int64)
-        known = pdf[pdf["query_id"].notna()]
-        known = dict(zip(known["query_id"].astype("int64"), known["least"].astype(float)))
-        f = np.array([known.get(int(i), -np.inf) for i in q])
-        f[np.isnan(f)] = -np.inf
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "floor": [f.tobytes()], "lowest": [float(f.min(initial=np.inf))]})
+        known = pdf[pdf["q_ids"].isna()]
+        known = dict(zip(known["query_id"].tolist(), known["least"].tolist()))
+        f = np.array([known.get(i, NONE) for i in q.tolist()], np.int64)
+        lowest = float(f.min()) if f.min() > NONE else -np.inf
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "floor": [f.tobytes()], "lowest": [lowest]})
 
     # each query's block: its ids unpacked once
     def unpack(batches):
@@ -222,10 +255,11 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
             for b, ids in zip(pdf["block"], pdf["q_ids"]):
                 q = np.frombuffer(ids, np.int64)
                 yield pd.DataFrame({"query_id": q, "block": b})
-    of_block = queries.select("block", "q_ids").mapInPandas(unpack, "query_id long, block long")
+    of_block = queries.select("block", "q_ids").mapInPandas(unpack, "query_id long, block long").distinct()
     member = of_block.join(least, "query_id").select("block", "query_id", "least", F.lit(None).cast("binary").alias("q_ids"))
-    packed = member.unionByName(queries.select("block", F.lit(None).cast("long").alias("query_id"),
-                                               F.lit(None).cast("double").alias("least"), "q_ids"))
+    # no NULL longs: pandas would read them as doubles and round ids and scores
+    packed = member.unionByName(queries.select("block", F.lit(0).cast("long").alias("query_id"),
+                                               F.lit(0).cast("long").alias("least"), "q_ids"))
     floor_of = packed.groupBy("block").applyInPandas(floors, "block long, floor binary, lowest double")
     armed = queries.join(floor_of, "block")
     # A block meets the buckets up to the last one whose length bound reaches its lowest threshold.
@@ -242,4 +276,4 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return top_k(vectors, F.col("vec_id") % EVERY == 0)
+    return top_k(vectors, F.col("vec_id") % EVERY == 0, one_per_id=False)

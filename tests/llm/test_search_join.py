@@ -46,6 +46,36 @@ def test_top_k_odd_vectors(spark):
     assert _run(spark, [(1, None)], 1) == set() and _run(spark, [(0, [1.0])], 1) == set()
 
 
+def _brute_pairs(rows, is_query, k):
+    """As the query's SQL: every row is a vector, the rows of a query id share one ranking; exact integers."""
+    q = [(i, [int(np.floor(1024 * np.float64(x))) for x in v]) for i, v in rows]
+    by: dict = {}
+    for a, u in q:
+        if is_query(a):
+            by.setdefault(a, []).extend((-sum(x * y for x, y in zip(u, v)), b) for b, v in q if b != a)
+    return sorted((a, r + 1, b, -s) for a, found in by.items()
+                  for r, (s, b) in enumerate(sorted(x for x in found if -2 ** 63 <= -x[0] < 2 ** 63)[:k]))
+
+
+def test_top_k_of_long_vectors_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i % 150, [float(x) for x in rng.normal(size=4) * 10.0 ** (i % 9)]) for i in range(300)]
+    rows += [(400, [1.0, 2.0, 3.0, 4.0])] * 12 + [(401, [1e300, 0.0, 0.0, 0.0]), (410, [0.0, 1.0, 0.0, 0.0]),
+                                                (2 ** 60, [5e6, 1.0, 0.0, 0.0]), (2 ** 60 + 2, [5e6, 1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, one_per_id=False).collect()
+    assert sorted(map(tuple, got)) == _brute_pairs(rows, lambda a: a % 10 == 0, 5)
+
+
+def test_query_keeps_long_vectors_and_repeated_ids(spark, tmp_path):
+    rows = [(0, [1.0, 0.5]), (100, [70_000.0, 1.0]), (1, [100_000.0, 0.0]), (1, [2.0, 2.0]), (2, [3.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = topk.op7_topk(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == _brute_pairs(rows, lambda a: a % 100 == 0, 10)
+
+
 def test_pruning_never_loses_a_candidate():
     rng = np.random.default_rng(2)
     m = (rng.normal(size=(300, 6)) * rng.uniform(0.1, 3, (300, 1)) * 1000).astype(np.int32)
