@@ -33,6 +33,7 @@ DEPTH = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object datalist".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())  # others end an open head
 # block elements and the blank lines around them
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd figcaption "
@@ -67,8 +68,15 @@ def parse(html: str) -> Node:
     root = Node("html", {})
     open_ = [root]
 
+    def end_head() -> None:
+        """What does not belong in a head that is still open ends it."""
+        if open_[-1].tag == "head":
+            del open_[-1]
+
     def add_text(s: str) -> None:
         if s:
+            if WHITE.sub("", s):
+                end_head()
             open_[-1].kids.append(unescape(s) if "&" in s else s)
 
     def close_to(names: set, fence: set) -> None:
@@ -91,8 +99,8 @@ def parse(html: str) -> Node:
                 close_to(CLOSES[tag], fence)
         if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
-        if open_[-1].tag == "head" and tag not in RAW and tag not in VOID and tag not in ("noscript", "template"):
-            del open_[-1]
+        if tag not in IN_HEAD:
+            end_head()
         node = Node(tag, attrs)
         open_[-1].kids.append(node)
         if tag not in VOID and len(open_) < DEPTH:
@@ -113,6 +121,7 @@ def parse(html: str) -> Node:
         at = m.end()
         if m.re is TAG and m.group(3) is None:
             if m.group(1):
+                end_head()
                 open_[-1].kids.append(m.group(1))
             continue
         end, tag, rest = m.groups()[-3:]
@@ -121,6 +130,7 @@ def parse(html: str) -> Node:
             if tag == "p" and not any(n.tag == "p" for n in open_):
                 open_[-1].kids.append(Node("p", {}))
             elif tag == "br":
+                end_head()
                 open_[-1].kids.append(Node("br", {}))
             elif tag not in ("html", "body"):
                 close_to({tag}, TABLE_FENCE if tag not in BLOCK else TABLE_FENCE - {tag})

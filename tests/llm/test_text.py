@@ -79,6 +79,20 @@ def test_layout(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<head><title>T</title>Some text<br>more<p>x", "Some text\nmore\n\nx"),
+    ("<head><meta charset=x>\n<textarea>kept</textarea>", "kept"),
+    ("<head><title>T</title><xmp><b></xmp>", "<b>"),
+    ("<head><title>T</title><br>a", "a"),
+    ("<head><title>T</title><input type=submit value=Go>", "Go"),
+    ("<head>&nbsp;a", "\xa0a"),
+    ("<head><title>T</title><![CDATA[a]]>", "a"),
+    ("<head>\n<script>no</script> <noscript>no</noscript><template>no</template><link><title>T</title>\n</head>yes", "yes"),
+])
+def test_an_open_head_ends_where_the_body_begins(html, text):
+    assert html_text.page_text(html).lstrip("\n") == text
+
+
 def test_deep_nesting_keeps_all_text():
     n = 3000
     words = [f"w{i}" for i in range(n)]
