@@ -33,7 +33,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = fresh(docs, "leaks")
-    return decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"), column=found).where(F.size(found) == 0).drop(found)
+    return decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"), column=found, every_item=True).where(F.size(found) == 0).drop(found)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,15 +19,22 @@ The benchmark is a reference set: blocks of ITEMS_AT_ONCE items (a bounded
 size) are broadcast one after the other and every document meets each block;
 documents never shuffle.
 
+Words are runs of letters and digits, as ever ending at punctuation, also beyond
+ASCII; in scripts written without spaces each character is a word.
+
 Defined cases: items that are NULL or have no words match nothing; items of
-fewer than MIN_WORDS words match only documents with exactly those words;
-NULL, empty and short texts simply hold no long window; texts of any length
+fewer than MIN_WORDS words match exactly, anywhere in a text, and items without
+an id match like others, under a NULL id (``with_leaks`` without
+``every_item``: short items match only documents of exactly those words, items
+without an id nothing); NULL, empty and short texts simply hold no long window; texts of any length
 are read whole; repeated rows are treated alike; an empty benchmark leaves
 every document clean; other columns are carried by ``with_leaks``.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +53,42 @@ ITEMS_AT_ONCE = 20_000
 VERIFY_AT_ONCE = 2_000
 
 
+# Thai, Lao, Myanmar, Khmer, Tai, Javanese and Balinese, kana, bopomofo, ideographs, Yi
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+            (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+            (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F),
+            (0x20000, 0x3FFFF))
+ENDS_WORD, ALONE = 1, 2
+
+
+def _kinds() -> np.ndarray:
+    """For each code point: ENDS_WORD (punctuation, white space and control characters beyond ASCII), ALONE or 0."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for lo, hi in UNSPACED:
+        kinds[lo:hi + 1] = ALONE
+    ends = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in
+            ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Zs", "Zl", "Zp", "Cc")]
+    kinds[ends + [0x200B, 0xFEFF]] = ENDS_WORD
+    return kinds
+
+
+KINDS = _kinds()
+
+
+def spaced(text) -> bytes:
+    """Lower-case UTF-8 of a text in which every word is a run of WORD_BYTES."""
+    if text is not None and not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = KINDS[points]
+        if kinds.any():
+            alone = kinds == ALONE
+            out = np.repeat(np.where(kinds == ENDS_WORD, np.uint32(32), points), 1 + 2 * alone)
+            at = (np.arange(len(points)) + 2 * np.cumsum(alone))[alone]  # each ends up between two spaces
+            out[at], out[at - 2] = 32, 32
+            text = out.tobytes().decode("utf-32-le", "surrogatepass")
+    return as_bytes(text, "all")
+
+
 def edits(n) -> np.ndarray:
     """Edits allowed for items of n words."""
     return np.floor((1 - SIMILARITY) * np.asarray(n) + 1e-9).astype(np.int64)
@@ -117,17 +160,27 @@ class Walks:
 class Benchmark:
     """A block of items, indexed: word pairs, and for each length class the walks and the items' keys."""
 
-    def __init__(self, ids: list[int], texts: list):
-        raw = [as_bytes(t, "all") for t in texts]
+    def __init__(self, ids: list, texts: list, short_anywhere: bool = False):
+        raw = [spaced(t) for t in texts]
         flat = Flat(raw)
         starts, ends = flat.runs(WORD_BYTES)
         self.words = flat.hashes(starts, ends)
         owner = flat.owner(starts)
         n = np.bincount(owner, minlength=len(raw))
-        self.ids, self.n, self.first = np.array(ids, np.int64), n, np.cumsum(n) - n
-        self.whole = {}
-        for i in np.flatnonzero((n > 0) & (n < MIN_WORDS)):
-            self.whole.setdefault(self.words[self.first[i]:self.first[i] + n[i]].tobytes(), []).append(int(i))
+        self.ids, self.n, self.first = ids, n, np.cumsum(n) - n
+        self.whole, self.short = {}, []
+        for size in range(1, MIN_WORDS) if short_anywhere else ():
+            items = np.flatnonzero(n == size)
+            if len(items):
+                key = np.concatenate([grams_of(self.words[f:f + size], size) for f in self.first[items]])
+                keys, group = np.unique(key, return_inverse=True)
+                same: list[list[int]] = [[] for _ in keys]
+                for k, g in zip(items.tolist(), group.tolist()):
+                    same[g].append(k)
+                self.short.append((size, keys, same))
+        if not short_anywhere:
+            for i in np.flatnonzero((n > 0) & (n < MIN_WORDS)):
+                self.whole.setdefault(self.words[self.first[i]:self.first[i] + n[i]].tobytes(), []).append(int(i))
         long = n >= MIN_WORDS
         marked = np.where(long[owner], owner, -1) if len(owner) else owner
         self.grams = {g: Grams(self.words, marked, g) for g in (2, 3)}
@@ -172,7 +225,7 @@ def distances(bench: Benchmark, items: np.ndarray, words: np.ndarray, lo: np.nda
 def leaks(bench: Benchmark, texts: list) -> list[list[tuple[int, int, int, int]]]:
     """For each text its (item_id, distance, item's words, word at which the match ends), one for each item."""
     out: list[list] = [[] for _ in texts]
-    raw = [as_bytes(t, "all") for t in texts]
+    raw = [spaced(t) for t in texts]
     for a, b in slices(raw):
         flat = Flat(raw[a:b])
         starts, ends = flat.runs(WORD_BYTES)
@@ -184,7 +237,17 @@ def leaks(bench: Benchmark, texts: list) -> list[list[tuple[int, int, int, int]]
         if bench.whole:
             for i in np.flatnonzero((n_words > 0) & (n_words < MIN_WORDS)):
                 for k in bench.whole.get(words[first[i]:stop[i]].tobytes(), ()):
-                    out[a + i].append((int(bench.ids[k]), 0, int(bench.n[k]), int(n_words[i])))
+                    out[a + i].append((bench.ids[k], 0, int(bench.n[k]), int(n_words[i])))
+        for size, keys, same in bench.short:
+            if len(words) < size:
+                continue
+            g = grams_of(words, size)
+            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            hit = np.flatnonzero((keys[at] == g) & (owner[size - 1:] == owner[:len(g)]))
+            _, one = np.unique(owner[hit] * len(keys) + at[hit], return_index=True)  # the first place in each text
+            for p in hit[one].tolist():
+                d = int(owner[p])
+                out[a + d] += [(bench.ids[k], 0, size, int(p + size - first[d])) for k in same[at[p]]]
         if len(words) < MIN_WORDS or not bench.classes:
             continue
         before = {g: bench.grams[g].before(words, owner) for g in {c["gram"] for c in bench.classes}}
@@ -223,7 +286,7 @@ def leaks(bench: Benchmark, texts: list) -> list[list[tuple[int, int, int, int]]
                 key = (int(d[i]), int(k[i]))
                 best[key] = min(best.get(key, new), new)
         for (d, k), (dist, end) in sorted(best.items()):
-            out[a + d].append((int(bench.ids[k]), dist, int(bench.n[k]), end))
+            out[a + d].append((bench.ids[k], dist, int(bench.n[k]), end))
     return out
 
 
@@ -239,15 +302,22 @@ def _finder(shared):
     return find
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "leaks") -> DataFrame:
-    """``docs`` and an array of the benchmark items that each row's text holds."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "leaks",
+               every_item: bool = False) -> DataFrame:
+    """``docs`` and an array of the benchmark items that each row's text holds; with ``every_item`` also
+    short items inside longer texts and items without an id."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+    if not every_item:
+        items = items.where(F.col("item_id").isNotNull())
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     out = docs.withColumn(column, F.array().cast(LEAK))
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toPandas()
-        shared = spark.sparkContext.broadcast(Benchmark(block["item_id"].tolist(), block["text"].tolist()))
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
+        # a NULL apart from the number: pandas would read ids as doubles
+        block = block.select(F.coalesce("item_id", F.lit(0)).alias("item_id"), F.col("item_id").isNull().alias("nameless"), "text").toPandas()
+        ids = [None if x else int(i) for i, x in zip(block["item_id"], block["nameless"])]
+        shared = spark.sparkContext.broadcast(Benchmark(ids, block["text"].tolist(), every_item))
         out = out.withColumn(column, F.concat(column, _finder(shared)(F.col(text))))
     return out
 
@@ -255,4 +325,4 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, distance, item_words, word_end): the best match of every leaked item in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), every_item=True).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

@@ -198,3 +198,23 @@ def test_odd_items_and_texts(spark):
     assert all(not v for k, v in got.items() if k not in (3, 10, 11, 12))
     assert decontam.with_leaks(df, items.where("false")).where("size(leaks) > 0").count() == 0
     assert decontam.with_leaks(df.where("false"), items).count() == 0
+
+
+def test_every_item_is_found_inside_longer_texts(spark, tmp_path):
+    import corpus_pipeline
+    zh, th = "床前明月光疑是地上霜举头望明月低头思故乡", "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรค"
+    texts = ["long before: Deep blue SEA, and after", "前文很长" + zh + "，后面还有", "ก่อนหน้า" + th + "และต่อไป", "il a dit «un deux trois quatre cinq» hier",
+             "deep blue", "nothing of it", "a nameless passage of seven words stands here", None, "deep blue sea deep blue sea"]
+    docs = docs_of(spark, texts)
+    items = spark.createDataFrame([(1, "deep blue sea"), (2, zh), (3, th), (4, "un deux trois quatre cinq"), (2 ** 60 + 1, "Sea"),
+                                   (None, "nameless passage of seven words"), (None, "hier")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries()["op3_decontamination"](spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.item_id, r.distance) for r in rows}
+    sea = 2 ** 60 + 1
+    assert len(rows) == len(got) == 9
+    assert got == {(0, 1, 0), (0, sea, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (3, None, 0), (6, None, 0), (8, 1, 0), (8, sea, 0)}
+    assert {(r.item_words, r.word_end) for r in rows if r.doc_id in (0, 8) and r.item_id == 1} == {(3, 5), (3, 3)}
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == [4, 5, 7]
