@@ -64,3 +64,80 @@ low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, s.n AS n_shingles, coalesce(low.component_id, s.doc_id) AS component_id
 FROM sizes s LEFT JOIN low USING (doc_id)
 """
+
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (  -- crc32, a byte at a time
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z:
+    CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+per_doc AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      [('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(len(x) // 2)]),
+    lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])))::BIGINT AS h
+  FROM per_doc, crc_table),
+typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(len(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cut c JOIN v ON c.rest = v.word),
+best AS (
+  SELECT p.word, count(*) AS n_near, arg_min(p.other, (-o.n, p.other)) AS other, max(o.n) AS other_n
+  FROM pairs p JOIN v o ON p.other = o.word GROUP BY p.word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE len(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT r, i, line, key IN (SELECT key FROM common) AS gone FROM k),
+kept AS (
+  SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept.text) AS kept_sha256 FROM d JOIN kept USING (r)
+"""
+
+LEXICAL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+q AS (
+  SELECT i, item_id, unnest(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark WHERE text IS NOT NULL)),
+scored AS (
+  SELECT i, item_id, d.doc_id, d.r,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(d.terms) * docs) // total)))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d ON d.r = tf.r, whole GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
