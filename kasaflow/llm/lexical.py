@@ -215,12 +215,14 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, doc_id: str
     totals, out = None, None
     for b in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b).select("_item", "term").collect()
+        if not rows:
+            continue
         block = Block([(r[0], r[1]) for r in rows])
         shared = spark.sparkContext.broadcast(block)
         counted = texts.mapInArrow(_statistics(shared, totals is None), "term long, n long")
         df = {r[0]: r[1] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         shared.unpersist()
-        if totals is None:  # the first block's scan counts the documents for all
+        if totals is None:  # the first scan counts the documents for all blocks
             totals = df.pop(-1, 0), df.pop(-2, 0)
         block.n_docs, block.n_all = totals
         block.weights = np.array([weight(totals[0], df.get(t, 0)) for t in range(len(block.terms))], np.int64)
@@ -228,6 +230,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, doc_id: str
         found = written(merged(pairs.mapInArrow(_ranker(shared, k), "_item long, doc_id long, score long"), k), "lexical-best")
         shared.unpersist()
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     names = terms.select("_item", "item_id").distinct()
     return out.join(names, "_item").select("item_id", "rank", "doc_id", "score")
 

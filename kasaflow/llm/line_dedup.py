@@ -82,10 +82,13 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs as one, in a merge join: a union of bucketed tables is not safe to group by the bucket
+        columns in Spark 4.1 (it may give up one table's buckets after it dropped the shuffle)."""
         out = runs[0]
         for run in runs[1:]:
-            out = out.unionByName(run)
-        return out if len(runs) == 1 else out.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+            out = (out.join(run.withColumnRenamed("docs", "_more"), KEY, "full")
+                   .select(*KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("docs")))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: one row a (document, key), hashed."""
