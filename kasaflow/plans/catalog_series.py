@@ -225,3 +225,62 @@ def q_forecast_mean_ratio_lag_regression(spark, sf_dir):
 @register("order_search")
 def q_order_search(spark, sf_dir):
     return lower(workspace(spark, sf_dir).order_search)
+
+
+# ------------------------------------------------ exact likelihood ---
+
+from kasaflow.operators import sarma as SA  # noqa: E402
+
+EXACT = {"sarima_010_011_7_exact": ("exact_seasonal", SA.SEASONAL, "value"),
+         "sarima_202_201_7_exact": ("exact_full", SA.FULL, "diff")}
+
+
+def exact_forecast(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    ws = workspace(spark, sf_dir)
+    stage, _, x = EXACT[model]
+    return SA.exact_forecast(ws.series, getattr(ws, stage), x)
+
+
+@register("sarma_factors")
+def q_sarma_factors(spark, sf_dir):
+    """Factors of the (2,0,2)(2,0,1,7) model by Gauss-Newton on the Gram rows."""
+    return lower(SA.factor_table(workspace(spark, sf_dir).factors))
+
+
+@register("exact_fit_seasonal")
+def q_exact_fit_seasonal(spark, sf_dir):
+    fit = SA.exact_summary(workspace(spark, sf_dir).exact_seasonal, SA.SEASONAL)
+    return lower(fit.select(*S.KEYS, F.round("coef", 3).alias("theta"), F.round("llf", 2).alias("llf"),
+                            F.round("aic", 2).alias("aic"), "nobs"))
+
+
+@register("exact_fit_full")
+def q_exact_fit_full(spark, sf_dir):
+    return lower(SA.exact_summary(workspace(spark, sf_dir).exact_full, SA.FULL))
+
+
+@register("forecast_exact_seasonal")
+def q_forecast_exact_seasonal(spark, sf_dir):
+    fc = exact_forecast(spark, sf_dir, "sarima_010_011_7_exact")
+    return lower(fc.select(*S.KEYS, "Data", "h", F.round("pred_diff", 2).alias("pred_diff"), F.round("pred_level", 2).alias("pred_level")))
+
+
+@register("forecast_exact_full")
+def q_forecast_exact_full(spark, sf_dir):
+    fc = exact_forecast(spark, sf_dir, "sarima_202_201_7_exact")
+    return lower(fc.select(*S.KEYS, "Data", "h", "pred_diff", "pred_level"))
+
+
+@register("forecast_exact_seasonal_metrics")
+def q_forecast_exact_seasonal_metrics(spark, sf_dir):
+    model = "sarima_010_011_7_exact"
+    return lower(FC.forecast_metrics(exact_forecast(spark, sf_dir, model), model, digits=4))
+
+
+@register("forecast_exact_full_metrics")
+def q_forecast_exact_full_metrics(spark, sf_dir):
+    """RMSE, MAE and R2 of the exact (2,0,2)(2,0,1,7) fit, with the Ljung-Box test of its errors."""
+    model = "sarima_202_201_7_exact"
+    fc = exact_forecast(spark, sf_dir, model)
+    lb = D.with_ljung_box_pvalue(D.ljung_box(FC.residuals(fc))).select(*S.KEYS, "lb_stat", "lb_pvalue")
+    return lower(FC.forecast_metrics(fc, model).join(lb, S.KEYS))

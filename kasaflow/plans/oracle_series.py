@@ -355,3 +355,57 @@ for _name, _columns in (("undiff_forecast_lag_regression", "CAST(CAST(pred_level
                         ("forecast_lag_regression", _seven("pred_diff", "pred_level"))):
     sql(_name, SERIES + LAG_REGRESSION + f"SELECT {_STEP}{_columns} FROM fc")
     _ALL[_name] = "WITH RECURSIVE " + _ALL[_name][len("WITH "):]
+
+
+# ----------------------------------------------------------- exact likelihood --
+# The (0,1,0)(0,1,1,7) model: with t mod 7 fixed, w is a moving average of order 1 whose exact likelihood
+# follows from r_1 = 1 + theta^2, r_t = 1 + theta^2 - theta^2 / r_(t-1), e_t = w_t - theta e_(t-1) / r_(t-1).
+# Theta is searched for on ever finer grids.
+
+def _exact_level(level: int, candidates: str) -> str:
+    return f"""
+, xcand{level} AS (SELECT DISTINCT nazwa_kasy, measure, greatest(-0.999, least(0.999, theta)) AS theta FROM ({candidates}) c)
+, xend{level} AS (
+    SELECT nazwa_kasy, measure, phase, m, theta, list_reduce(list_prepend([0.0, 'infinity'::DOUBLE, 0.0, 0.0], ws), lambda a, b:
+        [b[1] - theta * a[1] / a[2], 1 + theta * theta - theta * theta / a[2],
+         a[3] + (b[1] - theta * a[1] / a[2]) ** 2 / (1 + theta * theta - theta * theta / a[2]),
+         a[4] + ln(1 + theta * theta - theta * theta / a[2])]) AS z
+    FROM wlists JOIN xcand{level} USING (nazwa_kasy, measure))
+, xll{level} AS (
+    SELECT nazwa_kasy, measure, theta, sum(m) AS n, -0.5 * (sum(m) * (ln(2 * pi() * sum(z[3]) / sum(m)) + 1) + sum(z[4])) AS llf
+    FROM xend{level} GROUP BY 1, 2, 3)
+, xfit{level} AS (SELECT * FROM xll{level} QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY llf DESC, theta) = 1)"""
+
+
+_finer = "".join(_exact_level(i, f"SELECT nazwa_kasy, measure, theta + {step} * g.i AS theta FROM xfit{i - 1}, range(-10, 11) AS g(i)")
+                 for i, step in enumerate(("0.005", "0.0005", "0.00005", "0.000005"), 1))
+EXACT_SEASONAL = f"""
+, wrows AS (SELECT nazwa_kasy, measure, rn, CAST(rn % 7 AS INTEGER) AS phase,
+                   ((value - lag(value, 1) OVER w) - lag(value, 7) OVER w) + lag(value, 8) OVER w AS w
+            FROM split WHERE split = 'train' WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data))
+, wlists AS (SELECT nazwa_kasy, measure, phase, count(*) AS m, list([w, 0.0, 0.0, 0.0] ORDER BY rn) AS ws
+             FROM wrows WHERE w IS NOT NULL GROUP BY 1, 2, 3)
+{_exact_level(0, "SELECT DISTINCT nazwa_kasy, measure, 0.0333 * g.i AS theta FROM wlists, range(-30, 31) AS g(i)")}
+{_finer}
+{_exact_level(5, "SELECT nazwa_kasy, measure, round(theta, 4) AS theta FROM xfit4")}
+, fc0 AS (SELECT t.nazwa_kasy, t.measure, t.data, t.rn - (t.n - t.n_test) AS h, t.value, t.diff, t.y_t, x.theta,
+                 a.diff + x.theta * x.z[1] / x.z[2] AS pred_diff
+          FROM (SELECT *, max(CASE WHEN rn = n - n_test THEN value END) OVER (PARTITION BY nazwa_kasy, measure) AS y_t
+                FROM split) t
+          JOIN split a ON a.nazwa_kasy = t.nazwa_kasy AND a.measure = t.measure AND a.split = 'train'
+                      AND a.rn > a.n - a.n_test - 7 AND a.rn % 7 = t.rn % 7
+          JOIN xend5 x ON x.nazwa_kasy = t.nazwa_kasy AND x.measure = t.measure AND x.phase = t.rn % 7
+          WHERE t.split = 'test')
+, fc AS (SELECT *, y_t + sum(pred_diff) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pred_level FROM fc0)
+"""
+ts_sql("exact_fit_seasonal", EXACT_SEASONAL + """SELECT nazwa_kasy, measure, round(theta, 3) + 0.0 AS theta, round(llf, 2) AS llf,
+  round(4.0 - 2.0 * llf, 2) AS aic, CAST(n AS BIGINT) AS nobs FROM xfit5""")
+ts_sql("forecast_exact_seasonal", EXACT_SEASONAL + """SELECT nazwa_kasy, measure, data, h, round(pred_diff, 2) + 0.0 AS pred_diff,
+  round(pred_level, 2) + 0.0 AS pred_level FROM fc""")
+ts_sql("forecast_exact_seasonal_metrics", EXACT_SEASONAL + """SELECT nazwa_kasy, measure, count(*) AS n,
+  round(sqrt(avg((diff - pred_diff) * (diff - pred_diff))), 4) AS rmse,
+  round(avg(abs(diff - pred_diff)), 4) AS mae,
+  round(1.0 - sum((diff - pred_diff) * (diff - pred_diff)) / NULLIF(sum(dev * dev), 0.0), 4) AS r2,
+  'sarima_010_011_7_exact' AS model
+  FROM (SELECT *, diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS dev FROM fc) t GROUP BY 1, 2""")

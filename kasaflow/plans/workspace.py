@@ -30,6 +30,7 @@ from kasaflow.operators.deadlines import deadline_calendar, dense_calendar
 from kasaflow.operators.enrich import enrich
 from kasaflow.operators.forecast import seasonal_ma_forecast
 from kasaflow.operators.lagreg import forecast_from_rows, order_search, stage1_fit, stage_rows
+from kasaflow.operators.sarma import FULL, SEASONAL, exact_fit, product_fit
 from kasaflow.operators.series import series_diff, series_long, train_series, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
@@ -154,6 +155,21 @@ class CashWorkspace:
     def lag_forecast(self) -> DataFrame:
         return self._stage("lagforecast", lambda: forecast_from_rows(self.series, self.lag_rows))
 
+    @property
+    def factors(self) -> DataFrame:
+        """Product structure of the (2,0,2)(2,0,1,7) model by least squares; one row a series."""
+        return self._stage("factors", lambda: product_fit(self.lag_rows))
+
+    @property
+    def exact_seasonal(self) -> DataFrame:
+        """Exact-likelihood fit and forecast of the (0,1,0)(0,1,1,7) model; one row a series."""
+        return self._stage("exactseasonal", lambda: exact_fit(self.series, SEASONAL, "value"))
+
+    @property
+    def exact_full(self) -> DataFrame:
+        """Exact-likelihood fit and forecast of the (2,0,2)(2,0,1,7) model; one row a series."""
+        return self._stage("exactfull", lambda: exact_fit(self.series, FULL, "diff", self.factors))
+
     @property
     def order_search(self) -> DataFrame:
         return self._stage("orders", lambda: order_search(
