@@ -18,7 +18,7 @@ from kasaflow.operators import deadlines, enrich, reports
 from kasaflow.plans import params as P
 from kasaflow.plans.workspace import workspace
 from kasaflow.session import ship_package
-from kasaflow.sources.csv_source import read_cash_csv
+from kasaflow.sources.csv_source import bad_counts, bad_rows, read_cash_csv, scan_cash_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -59,6 +59,19 @@ def q_csv_scan_inferred(spark, sf_dir):
     return lower(read_cash_csv(spark, workspace(spark, sf_dir).csv_path, schema=None, infer=True))
 
 
+@register("csv_scan_checked")
+def q_csv_scan_checked(spark, sf_dir):
+    """Good rows of a CSV with its columns in another order, one more of them, and some bad cells."""
+    return lower(read_cash_csv(spark, workspace(spark, sf_dir).odd_csv_path, on_bad="quarantine"))
+
+
+@register("csv_rejected")
+def q_csv_rejected(spark, sf_dir):
+    """How many rows of that file went to the quarantine, by reason."""
+    scan = scan_cash_csv(spark, workspace(spark, sf_dir).odd_csv_path)
+    return bad_counts(bad_rows(scan)).select("reason", "n_rows")
+
+
 @register("weekday_dim")
 def q_weekday_dim(spark, sf_dir):
     """Weekday dimension rows that occur in the enriched fact."""

@@ -141,6 +141,9 @@ def _xsum(c: str) -> str:
 
 sql("csv_scan", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact")
 sql("csv_scan_inferred", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact")
+sql("csv_scan_checked", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact WHERE day(data) NOT IN (13, 29)")
+sql("csv_rejected", """SELECT CASE day(data) WHEN 13 THEN 'nad_kz' ELSE 'Data' END AS reason, count(*) AS n_rows
+  FROM fact WHERE day(data) IN (13, 29) GROUP BY 1""")
 sql("weekday_dim", "SELECT DISTINCT id, dzien FROM enriched")
 sql("filter_day", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact WHERE data = DATE '{P.REPORT_DAY}'")
 sql("filter_month", f"SELECT data, nazwa_kasy, dzien_wolny, {_ML} FROM fact WHERE {_IN_MONTH}")

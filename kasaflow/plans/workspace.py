@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ from kasaflow.operators.sarma import FULL, SEASONAL, exact_fit, product_fit
 from kasaflow.operators.series import series_diff, series_long, train_series, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
-from kasaflow.sources.csv_source import read_cash_csv, write_cash_csv
+from kasaflow.sources.csv_source import bad_counts, bad_rows, good_rows, read_cash_csv, scan_cash_csv, write_cash_csv
 
 _LOCK = threading.Lock()
 _WORKSPACES: dict[tuple, "CashWorkspace"] = {}
@@ -57,8 +58,11 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
         if fs.exists(path):
-            found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
-    return hashlib.sha1("\n".join(found).encode()).hexdigest()[:12]
+            each = fs.listFiles(path, True)  # partition folders too: their files need not touch the top folder
+            while each.hasNext():
+                f = each.next()
+                found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
 
 
 SOURCE_TABLES = ["lineitem", "supplier", "nation", "region"]
@@ -74,6 +78,7 @@ class CashWorkspace:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.level = level
+        self._scan: Callable[[], DataFrame] | None = None
         self._source = source or (lambda: cash_fact(spark, self.sf_dir, level))
         files = [f"{self.sf_dir}/{t}.parquet" for t in SOURCE_TABLES] if files is None else files
         self._tag = hashlib.sha1(f"{self.sf_dir}|{level}|{fingerprint(spark, files)}".encode()).hexdigest()[:12]
@@ -81,14 +86,20 @@ class CashWorkspace:
         self._lock = threading.RLock()  # one writer per stage table
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, path: str, **options) -> CashWorkspace:
-        """Workspace over a ';' CSV of daily cash (``options`` as for ``read_cash_csv``)."""
-        return cls(spark, path, "csv", lambda: read_cash_csv(spark, path, **options), [path])
+    def from_csv(cls, spark: SparkSession, path: str, on_bad: str = "fail", **options) -> CashWorkspace:
+        """Workspace over a ';' CSV of daily cash (``options`` as for ``read_cash_csv``). With
+        ``on_bad='quarantine'`` bad rows go to ``rejected`` and the stages are built from the others."""
+        if on_bad != "quarantine":
+            return cls(spark, path, "csv", lambda: read_cash_csv(spark, path, on_bad=on_bad, **options), [path])
+        ws = cls(spark, path, "csv-checked", lambda: good_rows(ws.scanned, on_bad=on_bad), [path])
+        ws._scan = lambda: scan_cash_csv(spark, path, **options)
+        return ws
 
     @classmethod
     def from_fact(cls, fact: DataFrame, name: str) -> CashWorkspace:
-        """Workspace over a frame with the fact's columns; ``name`` must be new for new data."""
-        return cls(fact.sparkSession, name, "frame", lambda: fact, [])
+        """Workspace over a frame with the fact's columns. Its stages are its own: another workspace of the
+        same name does not touch them."""
+        return cls(fact.sparkSession, f"{name}-{uuid.uuid4().hex}", "frame", lambda: fact, [])
 
     def _stage(self, name: str, build: Callable[[], DataFrame]):
         with self._lock:
@@ -100,6 +111,20 @@ class CashWorkspace:
     def fact(self) -> DataFrame:
         return self._stage("fact", self._source)
 
+    @property
+    def scanned(self) -> DataFrame:
+        """Every row of a CSV with the reasons against it, read and judged once."""
+        return self._stage("scanned", self._scan)
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Rows of a CSV that could not be read whole: (file, reasons, cells, line)."""
+        return bad_rows(self.scanned)
+
+    @property
+    def rejected_counts(self) -> DataFrame:
+        return bad_counts(self.rejected)
+
     @property
     def csv_path(self) -> str:
         """The fact as a ';' CSV in the shared folder, written once."""
@@ -110,6 +135,21 @@ class CashWorkspace:
                 self._made["csv"] = path
             return self._made["csv"]
 
+    @property
+    def odd_csv_path(self) -> str:
+        """The fact as a CSV that only its header explains: other order, a column more, and on two days of
+        each month a cell that cannot be read."""
+        with self._lock:
+            if "oddcsv" not in self._made:
+                path = ensure_checkpoint_dir(self.spark).rstrip("/") + f"/kasaflow/oddcsv-{self._tag}"
+                day = F.dayofmonth("Data")
+                cells = {"uwagi": F.lit("a;b"), **{c: F.col(c).cast("string") for c in reversed(self.fact.columns)}}
+                cells["nad_kz"] = F.when(day == 13, F.lit("x1")).otherwise(cells["nad_kz"])
+                cells["Data"] = F.when(day == 29, F.lit("29 luty")).otherwise(cells["Data"])
+                write_cash_csv(self.fact.select(*[cell.alias(c) for c, cell in cells.items()]), path)
+                self._made["oddcsv"] = path
+            return self._made["oddcsv"]
+
     @property
     def span(self) -> tuple[str, str]:
         """(first, last) date of the fact as ISO strings (one tiny aggregate)."""
