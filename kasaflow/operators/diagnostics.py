@@ -5,6 +5,7 @@ solves run on matrices of at most (lags + 3)^2 numbers."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kasaflow.functions.stats import adf_critical, adf_pvalue, chi2_sf_col, levinson_pacf
-from kasaflow.operators.gram import gram_rows, matrix_from_rows, ols_from_gram
-from kasaflow.operators.series import KEYS, by_series, lags_sql, whole_series
-from kasaflow.session import ensure_checkpoint_dir
+from kasaflow.operators.series import KEYS
 
 ADF_SCHEMA = ("nazwa_kasy string, measure string, adf_stat double, p_value double, used_lag int, "
               "nobs int, crit_1pct double, crit_5pct double, crit_10pct double, stationary boolean")
@@ -27,116 +26,133 @@ def with_verdict(adf: DataFrame, level: float = ADF_LEVEL) -> DataFrame:
                           .when(F.col("p_value") > level, "possibly non-stationary"))
 
 
-def adf_max_lag(n):
-    """Schwert's rule capped at n/2 - 2 (constant-only regression), as a column."""
-    schwert = F.ceil(F.lit(12.0) * F.pow(n.cast("double") / F.lit(100.0), F.lit(0.25)))
-    return F.least(F.floor(n / F.lit(2)) - F.lit(2), schwert).cast("int")
-
-
-def adf_design(diffed: DataFrame, column: str = "diff") -> tuple[DataFrame, int]:
-    """Rows of the ADF regression for every series.
-
-    For x = the series' non-NULL ``column``: y_s = dx_s, regressors x_{s-1},
-    1, dx_{s-1..s-L}. x is standardised per series first (the t statistic and
-    the AIC ranking are invariant to it; the Gram matrix is much better
-    conditioned). Returns (rows with KEYS, n, L, s, v[0..Lmax+2]) and Lmax.
-    ``Lmax`` (largest lag over all series) is read with one small aggregate so
-    the plan has exactly the lag columns the data needs.
-    """
-    x = diffed.filter(F.col(column).isNotNull()).select(*KEYS, "Data", F.col(column).alias("x"))
-    ws = whole_series()
-    x = x.withColumns({"n": F.count(F.lit(1)).over(ws), "m": F.avg("x").over(ws),
-                       "sd": F.stddev_samp("x").over(ws)})
-    x = x.withColumn("L", adf_max_lag(F.col("n")))
-    # Largest lag over all series from a plain per-series count (no window sort).
-    counts = diffed.filter(F.col(column).isNotNull()).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    lmax = counts.agg(F.max(adf_max_lag(F.col("n")))).first()[0]
-    lmax = int(lmax) if lmax is not None and lmax > 0 else 0
-    z = F.when(F.col("sd") > 0, (F.col("x") - F.col("m")) / F.col("sd")).otherwise(F.lit(0.0))
-    w = by_series()
-    x = x.withColumns({"z": z, "s": (F.row_number().over(w) - 1).cast("int")})
-    x = x.withColumns({"dz": F.col("z") - F.lag("z", 1).over(w), "zl": F.lag("z", 1).over(w)})
-    lag_cols = lags_sql("dz", range(1, lmax + 1), "dl", default="0.0")
-    x = x.selectExpr(*KEYS, "n", "L", "s", "dz", "zl", *lag_cols)
-    v = "array(dz, zl, 1.0D" + "".join(f", dl{k}" for k in range(1, lmax + 1)) + ") AS v"
-    rows = x.filter(F.col("s") >= 1).selectExpr(*KEYS, "n", "L", "s", v)
-    return rows, lmax
-
-
-def _adf_solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = {k: pdf[k].iloc[0] for k in KEYS}
-    n_x, L = int(pdf["n"].iloc[0]), int(pdf["L"].iloc[0])
-    out = dict(key, adf_stat=np.nan, p_value=np.nan, used_lag=None, nobs=None,
-               crit_1pct=np.nan, crit_5pct=np.nan, crit_10pct=np.nan, stationary=None)
-    gram = pdf[pdf["kind"] == 0]
-    head = pdf[pdf["kind"] == 1]
-    if L < 0 or gram.empty:
-        return pd.DataFrame([out])
-    G = matrix_from_rows(gram["idx"], gram["arr"], L + 3)
-    n_c = G[2, 2]
+def adf_max_lag(n: int) -> int:
+    """Schwert's rule capped at n/2 - 2 (constant-only regression); below 0 the series is too short."""
+    return min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25))
+
+
+def _standardised(x: np.ndarray) -> np.ndarray:
+    """The t statistic and the AIC ranking do not change with scale and level; the Gram matrix is far better
+    conditioned."""
+    sd = x.std(ddof=1) if len(x) > 1 else 0.0
+    return (x - x.mean()) / sd if sd > 0 else np.zeros_like(x)
+
+
+def _adf_columns(z: np.ndarray, lags: int, first: int) -> tuple[np.ndarray, ...]:
+    """y = dz, ones, z one day before, and a column a lag of dz (0 before the series), for days ``first``.. (views
+    of one array: a lag is a shift)."""
+    dz = np.diff(z)
+    padded = np.concatenate((np.zeros(lags), dz))
+    days = np.arange(first - 1, len(dz))
+    shifted = [padded[lags - k + first - 1:lags - k + len(dz)] for k in range(1, lags + 1)]
+    return dz[days], np.ones(len(days)), z[days], *shifted
+
+
+def _gram_of(columns: tuple[np.ndarray, ...]) -> np.ndarray:
+    X = np.stack(columns)
+    return X @ X.T
+
+
+def eliminated(G: np.ndarray, pivots: int, tiny: float = 1e-10) -> Iterator[np.ndarray]:
+    """The Gram matrix with its first 0, 1, ... columns taken out of the others (the steps of one Cholesky factor).
+    Ends early where a column depends on those before it."""
+    G = G.astype(float).copy()
+    size = np.diag(G).copy()
+    yield G
+    for k in range(pivots):
+        if G[k, k] <= tiny * max(size[k], 1e-300):
+            return
+        G[k + 1:, k + 1:] -= np.outer(G[k + 1:, k], G[k, k + 1:]) / G[k, k]
+        yield G
+
+
+def adf_statistic(x: np.ndarray) -> tuple[float, int, int] | None:
+    """(statistic, lag, nobs) of one series. The residual sums of all lags come from one elimination of the Gram
+    matrix of the days that every lag has; the chosen lag is fitted again on all days it has."""
+    n = len(x)
+    top = adf_max_lag(n)
+    if top < 0:
+        return None
+    z = _standardised(x)
+    y, one, before, *lagged = _adf_columns(z, top, top + 1)
+    rows = len(y)
     best = None
-    for p in range(0, L + 1):
-        fit = ols_from_gram(G, 0, [2, 1] + list(range(3, 3 + p)))
-        if fit is None or fit[1] <= 0:
-            continue
-        ssr = fit[1]
-        llf = -n_c / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n_c) + 1.0)
-        cand = (-2.0 * llf + 2.0 * (p + 2), p)
-        best = cand if best is None or cand < best else best
+    for k, G in enumerate(eliminated(_gram_of((one, before, *lagged, y)), top + 2)):
+        ssr = G[-1, -1]
+        if k >= 2 and ssr > 0:
+            aic = rows * (math.log(2 * math.pi) + math.log(ssr / rows) + 1.0) + 2.0 * k
+            best = (aic, k - 2) if best is None or (aic, k - 2) < best else best
     if best is None:
-        return pd.DataFrame([out])
+        return None
     p = best[1]
-    k = p + 3
-    Gr = G[:k, :k].copy()
-    for s, a in zip(head["idx"], head["arr"]):
-        if s >= p + 1:
-            a = np.asarray(a, dtype=float)[:k]
-            Gr += np.outer(a, a)
-    nobs = n_x - 1 - p
-    fit = ols_from_gram(Gr, 0, [1, 2] + list(range(3, 3 + p)))
-    if fit is None:
-        return pd.DataFrame([out])
-    beta, ssr, XtX = fit
-    dof = nobs - (p + 2)
-    if dof <= 0 or ssr <= 0:
-        return pd.DataFrame([out])
-    se = math.sqrt(ssr / dof * np.linalg.inv(XtX)[0, 0])
-    stat = float(beta[0] / se)
-    crit = adf_critical(nobs)
-    pval = adf_pvalue(stat)
-    out.update(adf_stat=stat, p_value=pval, used_lag=p, nobs=nobs, crit_1pct=crit["1%"],
-               crit_5pct=crit["5%"], crit_10pct=crit["10%"], stationary=bool(pval <= ADF_LEVEL))
-    return pd.DataFrame([out])
+    y, one, before, *lagged = _adf_columns(z, p, p + 1)
+    steps = list(eliminated(_gram_of((one, *lagged, before, y)), p + 1))
+    dof = len(y) - (p + 2)
+    if len(steps) <= p + 1 or dof <= 0:
+        return None
+    (sxx, sxy), (_, syy) = steps[-1][-2:, -2:]
+    ssr = syy - sxy * sxy / sxx if sxx > 0 else 0.0
+    if sxx <= 0 or ssr <= 0:
+        return None
+    return sxy / sxx / math.sqrt(ssr / dof / sxx), p, len(y)
+
+
+def _values(pdf: pd.DataFrame) -> Iterator[tuple[dict, np.ndarray]]:
+    for i, y in enumerate(pdf["y"]):
+        yield {k: pdf[k].iloc[i] for k in KEYS}, np.asarray(y, dtype=float)
+
+
+def _adf_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for key, x in _values(pdf):
+            row = dict(key, adf_stat=np.nan, p_value=np.nan, used_lag=None, nobs=None,
+                       crit_1pct=np.nan, crit_5pct=np.nan, crit_10pct=np.nan, stationary=None)
+            found = adf_statistic(x)
+            if found is not None:
+                stat, lag, nobs = found
+                crit, pval = adf_critical(nobs), adf_pvalue(stat)
+                row.update(adf_stat=float(stat), p_value=pval, used_lag=lag, nobs=nobs, crit_1pct=crit["1%"],
+                           crit_5pct=crit["5%"], crit_10pct=crit["10%"], stationary=bool(pval <= ADF_LEVEL))
+            out.append(row)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ADF_SCHEMA.split(", ")])
+
+
+def _gram_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for key, x in _values(pdf):
+            top = adf_max_lag(len(x))
+            if top >= 0 and len(x) > top + 1:
+                G = _gram_of(_reordered(_adf_columns(_standardised(x), top, top + 1)))
+                yield pd.DataFrame(key | {"n": len(x), "L": top, "i": np.arange(len(G)), "g": list(G)})
+
+
+def _reordered(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    y, one, before, *lagged = columns
+    return y, before, one, *lagged
+
+
+def _series_values(diffed: DataFrame, column: str) -> DataFrame:
+    """One row a series: its non-NULL values in order; the calendar bounds the array."""
+    x = diffed.filter(F.col(column).isNotNull())
+    pairs = F.sort_array(F.collect_list(F.struct("Data", F.col(column).cast("double").alias("x"))))
+    return x.groupBy(*KEYS).agg(F.transform(pairs, lambda p: p["x"]).alias("y"))
 
 
 def adf_gram(diffed: DataFrame, column: str = "diff") -> DataFrame:
-    """Common-sample Gram matrix of the ADF design, long form (KEYS, n, L, i, g)."""
-    return _design_gram(*adf_design(diffed, column))
-
-
-def _design_gram(rows: DataFrame, lmax: int) -> DataFrame:
-    common = rows.filter(F.col("s") >= F.col("L") + 1)
-    cols = [f"c{j}" for j in range(lmax + 3)]
-    flat = common.select(*KEYS, "n", "L", *[F.col("v")[j].alias(c) for j, c in enumerate(cols)])
-    return gram_rows(flat, KEYS + ["n", "L"], cols)
+    """Common-sample Gram matrix of each series' ADF design (dz, z before, 1, dz lags), long form (KEYS, n, L, i, g)."""
+    return _series_values(diffed, column).mapInPandas(
+        _gram_batch, "nazwa_kasy string, measure string, n long, L int, i int, g array<double>")
 
 
 def adf_test(diffed: DataFrame, column: str = "diff") -> DataFrame:
     """Augmented Dickey-Fuller test (constant, lag by AIC up to Schwert's rule)
     of every series: statistic, MacKinnon p-value, lag, nobs, critical values.
 
-    One data pass: the common-sample Gram matrix plus the first L rows of each
-    series, which the refit at the chosen lag adds back.
+    One shuffle brings a series' days together; its largest lag, the Gram
+    matrix and both fits are worked out there. Nothing runs before the action.
     """
-    rows, lmax = adf_design(diffed, column)
-    # The design rows feed the Gram aggregate and the head rows: computed once.
-    ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.checkpoint(eager=True)
-    g = _design_gram(rows, lmax)
-    grams = g.select(*KEYS, "n", "L", F.lit(0).alias("kind"), F.col("i").alias("idx"), F.col("g").alias("arr"))
-    head = (rows.filter(F.col("s") <= F.col("L"))
-            .select(*KEYS, "n", "L", F.lit(1).alias("kind"), F.col("s").alias("idx"), F.col("v").alias("arr")))
-    return grams.unionByName(head).groupBy(*KEYS).applyInPandas(_adf_solve, ADF_SCHEMA)
+    return _series_values(diffed, column).mapInPandas(_adf_batch, ADF_SCHEMA)
 
 
 def _pacf_solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -96,7 +96,9 @@ def q_adf_gram(spark, sf_dir):
 
 @register("adf_test")
 def q_adf_test(spark, sf_dir):
-    return lower(D.with_verdict(D.adf_test(series_table(spark, sf_dir))))
+    t = D.with_verdict(D.adf_test(series_table(spark, sf_dir)))
+    rounded = {c: F.round(c, 6) for c in ("adf_stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct")}
+    return lower(t.withColumns(rounded))
 
 
 @register("pacf")

@@ -232,6 +232,57 @@ FROM (
 WHERE d.s >= 1 AND d.s >= d.l + 1 AND a.i <= d.l + 3 AND b.j <= d.l + 3
 GROUP BY nazwa_kasy, measure, n, l, a.i, b.j""")
 
+# ------------------------------------------------------------------ adf test --
+# The Gram matrix of list columns (a lag is a slice), eliminated column by column: the last entry is the
+# residual sum of each nested lag. The chosen lag is fitted again on all its days.
+
+def _eliminate(name: str, source: str, keep: str = "") -> str:
+    """Recursion: ``g`` of ``source`` (nazwa_kasy, measure, g, pivots, ...) with its first k columns taken out."""
+    return f"""
+, {name} AS (
+    SELECT nazwa_kasy, measure, pivots, {keep} 0 AS k, g FROM {source}
+    UNION ALL
+    SELECT nazwa_kasy, measure, pivots, {keep} k + 1, list_transform(g, lambda r, i: CASE WHEN i <= k + 1 THEN r
+             ELSE list_transform(r, lambda x, j: x - r[k + 1] * g[k + 1][j] / g[k + 1][k + 1]) END)
+    FROM {name} WHERE k < pivots)"""
+
+
+_GRAM = "list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b)))"
+_ADF = f"""
+, ax AS (SELECT nazwa_kasy, measure, data, diff AS x, count(*) OVER s AS n, avg(diff) OVER s AS m, stddev_samp(diff) OVER s AS sd
+         FROM sdiff WHERE diff IS NOT NULL WINDOW s AS (PARTITION BY nazwa_kasy, measure))
+, az AS (SELECT nazwa_kasy, measure, data, n, CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0.0 END AS z FROM ax)
+, al AS (SELECT nazwa_kasy, measure, n, list(z ORDER BY data) AS zs, list(dz ORDER BY data) AS ds,
+                CAST(least(floor(n / 2) - 2, ceil(12.0 * pow(CAST(n AS DOUBLE) / 100.0, 0.25))) AS BIGINT) AS l
+         FROM (SELECT *, z - lag(z) OVER (PARTITION BY nazwa_kasy, measure ORDER BY data) AS dz FROM az) t GROUP BY 1, 2, 3)
+, ac AS (SELECT nazwa_kasy, measure, n, zs, ds, l, l + 2 AS pivots, list_concat(
+             [list_transform(zs[l + 2:n], lambda v: 1.0), zs[l + 1:n - 1]],
+             list_transform(range(1, l + 1), lambda k: ds[l + 2 - k:n - k]), [ds[l + 2:n]]) AS c FROM al)
+, ag AS (SELECT nazwa_kasy, measure, n, l, pivots, {_GRAM} AS g FROM ac)
+{_eliminate("ae", "ag", "n, l,")}
+, ap AS (SELECT nazwa_kasy, measure, k - 2 AS p FROM (
+           SELECT *, (n - l - 1) * (ln(2 * pi()) + ln(g[-1][-1] / (n - l - 1)) + 1.0) + 2.0 * k AS aic FROM ae WHERE k >= 2) t
+         QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY aic, k) = 1)
+, bc AS (SELECT nazwa_kasy, measure, n, p, p + 1 AS pivots, list_concat([list_transform(zs[p + 2:n], lambda v: 1.0)],
+             list_transform(range(1, p + 1), lambda k: ds[p + 2 - k:n - k]), [zs[p + 1:n - 1], ds[p + 2:n]]) AS c
+         FROM al JOIN ap USING (nazwa_kasy, measure))
+, bg AS (SELECT nazwa_kasy, measure, n, p, pivots, {_GRAM} AS g FROM bc)
+{_eliminate("be", "bg", "n, p,")}
+, bt AS (SELECT nazwa_kasy, measure, p, n - p - 1 AS nobs, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - p - 1 - p - 2) / sxx) AS t
+         FROM (SELECT *, g[-2][-2] AS sxx, g[-2][-1] AS sxy, g[-1][-1] AS syy FROM be WHERE k = pivots) u)
+, bp AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t
+                        ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END / sqrt(2.0) AS q FROM bt)
+, bv AS (SELECT *, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 OR q < -5 THEN 0.0
+           ELSE 0.5 + exp(-q * q) / sqrt(pi()) * list_reduce(list_prepend([q, q], list_transform(range(1, 300), lambda k: [k * 1.0, 0.0])),
+                lambda a, b: [a[1] * 2 * q * q / (2 * b[1] + 1), a[2] + a[1] * 2 * q * q / (2 * b[1] + 1)])[2] END AS pv FROM bp)
+SELECT nazwa_kasy, measure, round(t, 6) AS adf_stat, round(pv, 6) + 0.0 AS p_value, CAST(p AS INTEGER) AS used_lag, CAST(nobs AS INTEGER) AS nobs,
+  round(-3.43035 - 6.5393 / nobs - 16.786 / nobs ** 2 - 79.433 / nobs ** 3, 6) AS crit_1pct,
+  round(-2.86154 - 2.8903 / nobs - 4.234 / nobs ** 2 - 40.040 / nobs ** 3, 6) AS crit_5pct,
+  round(-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2, 6) AS crit_10pct, pv <= 0.05 AS stationary,
+  CASE WHEN pv <= 0.05 THEN 'stationary' ELSE 'possibly non-stationary' END AS verdict
+FROM bv"""
+
+
 # --------------------------------------------------------------------- pacf --
 _R_LIST = ", ".join(["s0 / s0"] + [f"COALESCE(s{k}, 0.0) / s0" for k in range(1, 31)])
 
@@ -266,6 +317,7 @@ _PACF = f"""
                     AS pk2 FROM lev) t
     WHERE k < 30)
 """
+rec_sql("adf_test", _ADF)
 rec_sql("pacf", _PACF + """SELECT nazwa_kasy, measure, 0 AS lag, 1.0 AS pacf FROM acf_list
 UNION ALL
 SELECT nazwa_kasy, measure, CAST(k AS INTEGER) AS lag, round(pk, 9) + 0.0 AS pacf FROM lev""")
