@@ -9,12 +9,15 @@ own, paragraphs, headings, lists and tables between blank lines; list items
 have bullets or numbers and are indented by level; table cells are padded so
 that columns line up; pre keeps its white space.
 
-A page is one row, worked on by itself; pages never shuffle. Elements nested
-deeper than DEPTH hang on the element at that depth, so that no text is lost.
+A page is one row, worked on by itself; pages never shuffle. What visible
+elements nested deeper than DEPTH hold hangs on their ancestor at that depth, so
+no text is lost; they are opened, closed and hidden like any other.
 
 Defined cases: NULL and empty pages give an empty text; broken markup is read
-as far as it makes sense, a "<" that starts no tag is text; repeated rows give
-equal texts; other columns are carried by ``with_text``.
+as far as it makes sense, a "<" that starts no tag is text; numbers in
+attributes are read as the standard says (ASCII digits, what follows them does
+not count), others and those out of range stand for the default or the limit;
+repeated rows give equal texts; other columns are carried by ``with_text``.
 """
 
 from __future__ import annotations
@@ -51,6 +54,19 @@ PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 WHITE = re.compile(r"[ \t\n\r\f\v]+")
+NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?)0*([0-9]+)", re.A)
+MOST_DIGITS = 9
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
+
+
+def number(text: str | None, default: int, lo: int, hi: int) -> int:
+    """An attribute's whole number within its limits; the default if it is none or below ``lo``."""
+    m = NUMBER.match(text) if text else None
+    if not m:
+        return default
+    value = int(m.group(2)) if len(m.group(2)) <= MOST_DIGITS else 10 ** MOST_DIGITS
+    value = -value if m.group(1) == "-" else value
+    return default if value < lo else min(value, hi)
 
 
 class Node:
@@ -64,47 +80,74 @@ def _attributes(text: str) -> dict:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if text else {}
 
 
+class Open:
+    """The open elements, innermost last, with the places of every tag. ``holder`` takes what an element holds:
+    the element itself, or beyond DEPTH the holder of the one around it (a hidden element keeps its own)."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.holders, self.places = [root], [root], {"html": [0]}
+
+    def push(self, node: Node) -> None:
+        deep = len(self.nodes) >= DEPTH and visible(node)
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.holders.append(self.holders[-1] if deep else node)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside it."""
+        for node in self.nodes[k:]:
+            self.places[node.tag].pop()
+        del self.nodes[k:], self.holders[k:]
+
+    def innermost(self, names) -> int:
+        """Place of the innermost open element of ``names`` (below the root), or 0."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    @property
+    def tag(self) -> str:
+        return self.nodes[-1].tag
+
+    def add(self, kid) -> None:
+        self.holders[-1].kids.append(kid)
+
+
 def parse(html: str) -> Node:
     root = Node("html", {})
-    open_ = [root]
+    open_ = Open(root)
 
     def end_head() -> None:
         """What does not belong in a head that is still open ends it."""
-        if open_[-1].tag == "head":
-            del open_[-1]
+        if open_.tag == "head":
+            open_.cut(len(open_.nodes) - 1)
 
     def add_text(s: str) -> None:
         if s:
             if WHITE.sub("", s):
                 end_head()
-            open_[-1].kids.append(unescape(s) if "&" in s else s)
+            open_.add(unescape(s) if "&" in s else s)
 
-    def close_to(names: set, fence: set) -> None:
+    def close_to(names: set, fence: set) -> bool:
         """Close the innermost open element of ``names`` (and what it holds), not crossing ``fence``."""
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in fence:
-                return
-            if open_[k].tag in names:
-                del open_[k:]
-                return
+        k = open_.innermost(names)
+        if k <= open_.innermost(fence - names):
+            return False
+        open_.cut(k)
+        return True
 
     def start(tag: str, attrs: dict) -> None:
         if tag in BLOCK or tag == "body":
             close_to({"p"}, {"td", "th", "table", "button", "caption", "object", "html"} if tag != "p" else {"td", "th", "table", "button", "li", "div"})
         if tag in CLOSES:
-            fence = FENCE.get(tag, TABLE_FENCE)
-            last = len(open_) + 1
-            while len(open_) < last:  # a row closes the cell before it and the row before it
-                last = len(open_)
-                close_to(CLOSES[tag], fence)
-        if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            while close_to(CLOSES[tag], FENCE.get(tag, TABLE_FENCE)):  # a row closes the cell before it and the row before it
+                pass
+        if tag in ("td", "th") and open_.tag in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
         if tag not in IN_HEAD:
             end_head()
         node = Node(tag, attrs)
-        open_[-1].kids.append(node)
-        if tag not in VOID and len(open_) < DEPTH:
-            open_.append(node)
+        open_.add(node)
+        if tag not in VOID:
+            open_.push(node)
 
     at = 0
     while True:
@@ -122,16 +165,16 @@ def parse(html: str) -> Node:
         if m.re is TAG and m.group(3) is None:
             if m.group(1):
                 end_head()
-                open_[-1].kids.append(m.group(1))
+                open_.add(m.group(1))
             continue
         end, tag, rest = m.groups()[-3:]
         tag = tag.lower()
         if end:
-            if tag == "p" and not any(n.tag == "p" for n in open_):
-                open_[-1].kids.append(Node("p", {}))
+            if tag == "p" and not open_.places.get("p"):
+                open_.add(Node("p", {}))
             elif tag == "br":
                 end_head()
-                open_[-1].kids.append(Node("br", {}))
+                open_.add(Node("br", {}))
             elif tag not in ("html", "body"):
                 close_to({tag}, TABLE_FENCE if tag not in BLOCK else TABLE_FENCE - {tag})
             continue
@@ -142,11 +185,8 @@ def parse(html: str) -> Node:
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             body = html[at:stop.start() if stop else len(html)]
-            pushed = open_[-1].tag == tag  # not so at the greatest depth
-            holder = open_[-1] if pushed else open_[-1].kids[-1]
-            holder.kids.append(unescape(body) if tag in ("textarea", "title") else body)
-            if pushed:
-                del open_[-1]
+            open_.nodes[-1].kids.append(unescape(body) if tag in ("textarea", "title") else body)
+            open_.cut(len(open_.nodes) - 1)
             at = stop.end() if stop else len(html)
 
 
@@ -198,7 +238,7 @@ def lines_of(node: Node, raw: bool = False) -> list[str]:
 
 
 def fill(out: Lines, node: Node, raw: bool) -> None:
-    number = 0
+    count = number(node.attrs.get("start"), 1, -10 ** MOST_DIGITS, 10 ** MOST_DIGITS) - 1  # of an ordered list
     for kid in node.kids:
         if isinstance(kid, str):
             if not raw:
@@ -223,11 +263,9 @@ def fill(out: Lines, node: Node, raw: bool) -> None:
             out.margin(1)
         elif tag == "li":
             out.margin(0)
-            number += 1
             if node.tag == "ol":
-                if number == 1 and node.attrs.get("start", "").lstrip("-").isdigit():
-                    number = int(node.attrs["start"])
-                mark = f"{number}. "
+                count += 1
+                mark = f"{count}. "
             else:
                 mark = "- "
             body = lines_of(kid)
@@ -254,10 +292,13 @@ def fill(out: Lines, node: Node, raw: bool) -> None:
 
 
 def table_lines(node: Node) -> list[str]:
-    """A table's caption, then its rows with every column as wide as its widest cell."""
-    above, rows = [], []
+    """A table's caption, then its rows with every column as wide as its widest cell. A cell of several rows
+    keeps its columns in them, up to the end of its table part."""
+    above: list[str] = []
+    rows: list[list[tuple[list[str], int, int]]] = []        # lines, column, columns, of each cell
 
     def gather(n: Node) -> None:
+        taken: dict[int, int] = {}                           # column -> rows it is still taken for
         for kid in n.kids:
             if isinstance(kid, str):
                 if kid.strip():
@@ -265,40 +306,55 @@ def table_lines(node: Node) -> list[str]:
             elif not visible(kid):
                 continue
             elif kid.tag in ("thead", "tbody", "tfoot"):
+                taken.clear()
                 gather(kid)
             elif kid.tag == "tr":
-                cells = []
-                for c in kid.kids:
-                    if isinstance(c, str):
-                        if c.strip():
-                            above.append(WHITE.sub(" ", c).strip())
-                    elif visible(c):
-                        span = c.attrs.get("colspan", "1")
-                        holder = c if c.tag in ("td", "th") else Node("td", {})
-                        if holder is not c:
-                            holder.kids.append(c)
-                        cells.append((lines_of(holder), min(int(span), 1000) if span.isdigit() and span != "0" else 1))
-                rows.append(cells)
+                rows.append(row(kid, taken))
             else:
                 holder = Node("div", {})
                 holder.kids.append(kid)
                 above.extend(lines_of(holder))
+
+    def row(tr: Node, taken: dict[int, int]) -> list[tuple[list[str], int, int]]:
+        cells, k, new = [], 0, {}
+        for c in tr.kids:
+            if isinstance(c, str):
+                if c.strip():
+                    above.append(WHITE.sub(" ", c).strip())
+            elif visible(c):
+                while taken.get(k):
+                    k += 1
+                holder = c if c.tag in ("td", "th") else Node("td", {})
+                if holder is not c:
+                    holder.kids.append(c)
+                span = number(c.attrs.get("colspan"), 1, 1, MOST_COLUMNS)
+                down = number(c.attrs.get("rowspan"), 1, 0, MOST_ROWS) or MOST_ROWS  # 0: to the end of the part
+                cells.append((lines_of(holder), k, span))
+                if down > 1:
+                    new |= dict.fromkeys(range(k, k + span), down - 1)
+                k += span
+        for col in [c for c, left in taken.items() if left <= 1]:
+            del taken[col]
+        for col in taken:
+            taken[col] -= 1
+        taken |= new
+        return cells
+
     gather(node)
     width: dict[int, int] = {}
     for cells in rows:
-        k = 0
-        for lines, span in cells:
+        for lines, k, span in cells:
             if span == 1:
                 width[k] = max(width.get(k, 0), max(map(len, lines), default=0))
-            k += span
     out = above
     for cells in rows:
         for i in range(max((len(c[0]) for c in cells), default=0)):
-            line, k = "", 0
-            for lines, span in cells:
+            line, upto = "", 0
+            for lines, k, span in cells:
+                line += " " * sum(width.get(j, 0) + 2 for j in range(upto, k))
                 wide = sum(width.get(j, 0) for j in range(k, k + span)) + 2 * (span - 1)
                 line += (lines[i] if i < len(lines) else "").ljust(wide) + "  "
-                k += span
+                upto = k + span
             out.append(line.rstrip())
     return out
 

@@ -10,6 +10,12 @@ at once (all of its occurrences where that is the same as one after the other,
 else the leftmost). What survives is counted: 1 for a piece, the number of
 UTF-8 bytes for a character outside the vocabulary.
 
+Two things keep long units linear. Of a long run of blanks, the front settles
+into whole pieces that merge with nothing any more, before the rest has changed
+(checked for the vocabulary); so many of them are counted at once. Units that
+still merge after STEPS steps are finished one merge after the other from a
+queue of their pairs.
+
 The vocabulary file is read through its library (pieces and scores only); the
 pair table (bounded by the vocabulary) is broadcast. Texts never shuffle.
 
@@ -20,6 +26,7 @@ carried by ``with_token_counts``.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -35,6 +42,8 @@ LIMIT = 4096
 MARK = "▁"
 UNITS_AT_ONCE = 8_192
 CACHE_UNITS = 1_000_000      # distinct units whose counts a task keeps; beyond it starts anew
+CACHE_LETTERS = 64           # of a unit that is kept: bounds the bytes
+STEPS = 64
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -73,6 +82,45 @@ class Vocabulary:
                 at += 1
             self.slots[at], self.ranks[at], self.merged[at] = k, r, i
 
+        self._pairs: dict | None = None
+        self.blanks = self._blank_run(max((len(p) for p in piece if set(p) == {MARK}), default=1))
+
+    def pairs(self) -> dict:
+        """(rank, merged symbol) by pair, for merges one after the other; made when first needed."""
+        if self._pairs is None:
+            used = np.flatnonzero(self.slots >= 0)
+            self._pairs = dict(zip(self.slots[used].tolist(), zip(self.ranks[used].tolist(), self.merged[used].tolist())))
+        return self._pairs
+
+    def _blank_run(self, longest: int) -> int:
+        """Length of the piece that the front of a long run of blanks becomes while all behind it is still
+        single blanks, if that piece merges with no piece of blanks any more; 0 if there is none."""
+        one = self.chars.get(MARK)
+        if one is None or longest < 2:
+            return 0
+        sizes, alive = {one: 1}, [one] * (8 * longest)
+        blanks = set(sizes)
+        pairs = self.pairs()
+        grown = True
+        while grown:  # all pieces of blanks
+            grown = False
+            for a in list(blanks):
+                for b in list(blanks):
+                    made = pairs.get(self.key(a, b))
+                    if made and made[1] not in blanks:
+                        blanks.add(made[1])
+                        sizes[made[1]] = sizes[a] + sizes[b]
+                        grown = True
+        while True:  # one merge after the other, from the left
+            ranks = [pairs.get(self.key(a, b), (NO_RANK,))[0] for a, b in zip(alive, alive[1:])]
+            if not ranks or min(ranks) == NO_RANK:
+                return 0
+            at = ranks.index(min(ranks))
+            alive[at:at + 2] = [pairs[self.key(alive[at], alive[at + 1])][1]]
+            front = alive[0]
+            if not any(self.key(front, b) in pairs for b in blanks):
+                return sizes[front] if all(x == one for x in alive[1:]) else 0
+
     @staticmethod
     def key(a, b):
         """One number for a pair; symbols outside the vocabulary are minus their code point."""
@@ -118,7 +166,9 @@ def merge_counts(units: list[str], vocabulary: Vocabulary) -> np.ndarray:
         rank[ok], into[ok] = vocabulary.look_up(sym[ok], sym[ok + 1])
 
     refresh(np.arange(len(sym)))
-    while len(sym):
+    for _ in range(STEPS):
+        if not len(sym):
+            return counts
         first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         best = np.minimum.reduceat(rank, first)
         size = np.diff(np.r_[first, len(sym)])
@@ -129,7 +179,7 @@ def merge_counts(units: list[str], vocabulary: Vocabulary) -> np.ndarray:
             keep = ~out
             sym, unit, weight, rank, into = sym[keep], unit[keep], weight[keep], rank[keep], into[keep]
             if not len(sym):
-                break
+                return counts
             best, size = best[~done], size[~done]
         at = np.flatnonzero(rank == np.repeat(best, size))
         lead = np.r_[True, unit[at[1:]] != unit[at[:-1]]]
@@ -145,9 +195,43 @@ def merge_counts(units: list[str], vocabulary: Vocabulary) -> np.ndarray:
         near[where] = True
         near[np.maximum(where - 1, 0)] = True
         refresh(np.flatnonzero(near))
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(sym) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(sym)]):
+        counts[unit[lo]] += _one_by_one(sym[lo:hi], weight[lo:hi], rank[lo:hi], vocabulary)
     return counts
 
 
+def _one_by_one(sym: np.ndarray, weight: np.ndarray, rank: np.ndarray, vocabulary: Vocabulary) -> int:
+    """Tokens of one unit, merged from a queue of (rank, place): n log n."""
+    pairs, key = vocabulary.pairs(), vocabulary.key
+    sym, weight = sym.tolist(), weight.tolist()
+    n = len(sym)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    starts = np.flatnonzero(rank != NO_RANK)
+    queue = [(r, i, sym[i], sym[i + 1]) for r, i in zip(rank[starts].tolist(), starts.tolist()) if i + 1 < n]
+    heapq.heapify(queue)
+    while queue:
+        _, i, a, b = heapq.heappop(queue)
+        j = after[i]
+        if j >= n or sym[i] != a or sym[j] != b:            # one of the two has merged meanwhile
+            continue
+        made = pairs[key(a, b)][1]
+        sym[i], weight[i] = made, 1
+        sym[j], weight[j] = None, 0
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            found = pairs.get(key(made, sym[k]))
+            if found:
+                heapq.heappush(queue, (found[0], i, made, sym[k]))
+        h = before[i]
+        if h >= 0:
+            found = pairs.get(key(sym[h], made))
+            if found:
+                heapq.heappush(queue, (found[0], h, sym[h], made))
+    return sum(weight)
+
+
 def _together(at, lead, sym, unit, into, best, vocabulary) -> np.ndarray:
     """Of the places where each unit's lowest-rank pair starts, those to merge in
     one step: all that do not overlap, read from the left, unless a merge would
@@ -185,6 +269,21 @@ def _together(at, lead, sym, unit, into, best, vocabulary) -> np.ndarray:
 
 
 UNIT = re.compile(r" *[^ \n]+| +")
+RUN = re.compile(r" {64,}")
+
+
+def shortened(text: str, vocabulary: Vocabulary) -> tuple[str, int]:
+    """The text with its long runs of blanks cut by whole pieces, and the number of pieces cut out."""
+    size, cut = vocabulary.blanks, 0
+    if not size or not RUN.search(text):
+        return text, 0
+
+    def less(m: re.Match) -> str:
+        nonlocal cut
+        pieces = max(0, (len(m.group()) - 4 * size) // size)
+        cut += pieces
+        return " " * (len(m.group()) - pieces * size)
+    return RUN.sub(less, text), cut
 
 
 def count_tokens(texts: list, vocabulary: Vocabulary, cache: dict) -> list[int]:
@@ -194,9 +293,9 @@ def count_tokens(texts: list, vocabulary: Vocabulary, cache: dict) -> list[int]:
         if not t:
             split.append(None)
             continue
-        t = " " + t.replace(MARK, " ")
+        t, cut = shortened(" " + t.replace(MARK, " "), vocabulary)
         units = UNIT.findall(t)
-        split.append((units, t.count("\n")))
+        split.append((units, t.count("\n") + cut))
         new.update(units)
     new.difference_update(cache)
     if new:
@@ -205,7 +304,11 @@ def count_tokens(texts: list, vocabulary: Vocabulary, cache: dict) -> list[int]:
             new = {u for s in split if s for u in s[0]}
         todo = sorted(new)
         cache.update(zip(todo, merge_counts([u.replace(" ", MARK) for u in todo], vocabulary).tolist()))
-    return [0 if s is None else sum(map(cache.__getitem__, s[0])) + s[1] for s in split]
+    out = [0 if s is None else sum(map(cache.__getitem__, s[0])) + s[1] for s in split]
+    for u in new:
+        if len(u) > CACHE_LETTERS:
+            del cache[u]
+    return out
 
 
 def with_token_counts(docs: DataFrame, model_path: str, text: str = "text", column: str = "n_tokens") -> DataFrame:

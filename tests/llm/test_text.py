@@ -218,3 +218,95 @@ def test_every_item_is_found_inside_longer_texts(spark, tmp_path):
     assert {(r.item_words, r.word_end) for r in rows if r.doc_id in (0, 8) and r.item_id == 1} == {(3, 5), (3, 3)}
     left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in left) == [4, 5, 7]
+
+
+# ---- pages and texts that used to stop a task or hold it for hours ------------------------------------
+
+@pytest.mark.parametrize("html,text", [
+    ('<ol start="--5"><li>a', "1. a"), ('<ol start="²"><li>a', "1. a"), ('<ol start="-3"><li>a<li>b', "-3. a\n-2. b"),
+    ('<ol start=" +7px"><li>a<li>b', "7. a\n8. b"), ('<ol start=""><li>a', "1. a"), ("<ol start><li>a", "1. a"),
+    ('<table><tr><td colspan="²">x<td>y', "x  y"), ('<table><tr><td colspan="-2">x<td>y', "x  y"),
+    ('<table><tr><td rowspan="x">x<td>y<tr><td>zz<td>w', "x   y\nzz  w")])
+def test_malformed_numbers_stand_for_the_default(html, text):
+    assert html_text.page_text(html) == text
+
+
+def test_numbers_of_thousands_of_digits_are_limited():
+    digits = "9" * 5_000
+    assert html_text.page_text(f'<ol start="{digits}"><li>a').endswith(". a")
+    line = html_text.page_text(f'<table><tr><td colspan="{digits}">x<td rowspan="{digits}">y<tr><td>z</table>')
+    assert line.split() == ["x", "y", "z"] and len(line) < 5_000
+
+
+def test_cells_of_several_rows_keep_their_columns():
+    assert html_text.page_text("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A  b\n   c\nd  e"
+    assert html_text.page_text("<table><tr><td>aa<td rowspan=3 colspan=2>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") \
+        == "aa  B   c\nd       e\nf       g"
+    # 0: to the end of the part; the next part begins with all columns free
+    assert html_text.page_text("<table><thead><tr><td rowspan=0>A<td>b<tr><td>c</thead><tbody><tr><td>d<td>e</table>") == "A  b\n   c\nd  e"
+
+
+def test_hidden_and_closing_elements_count_beyond_any_depth():
+    deep = "<div>" * (html_text.DEPTH + 10)
+    assert html_text.page_text(deep + "<div hidden>SECRET<b>SECRET</b></div>seen") == "seen"
+    assert html_text.page_text(deep + "<script>SECRET</script><span style='display:none'>SECRET</span>seen<template>x") == "seen"
+    assert html_text.page_text("<p>a<em>" + "<i>" * 200 + "b" + "</i>" * 200 + "</em><p>c") == "ab\n\nc"
+    assert html_text.page_text("<div hidden>" + "<div>" * 300 + "SECRET" + "</div>" * 300 + "</div>seen") == "seen"
+
+
+def test_deep_and_open_markup_stays_linear():
+    import time
+    start = time.time()
+    assert html_text.page_text("<p><button>" + "<div>" * 50_000 + "x").endswith("x")
+    assert html_text.page_text("<table><tr><td>" * 20_000 + "y").count("y") == 1
+    assert len(html_text.page_text("<div><span>t" * 20_000).split()) == 20_000
+    assert time.time() - start < 20
+
+
+def test_a_page_of_malformed_numbers_among_others(spark):
+    pages = spark.createDataFrame([(1, '<ol start="--5"><li>a'), (2, None), (3, "<td colspan='²' rowspan=1e9>x")], "page_id long, html string")
+    assert {r.page_id: r.text for r in html_text.with_text(pages).collect()} == {1: "1. a", 2: "", 3: "x"}
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    import public_tokenizers
+    import sentencepiece
+    path = public_tokenizers.path(token_counts.MODEL)
+    return token_counts.Vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_runs_of_blanks_of_every_length(pieces):
+    vocabulary, library = pieces
+    assert vocabulary.blanks > 1
+    texts = [" " * k for k in range(1, 300)] + [f"{' ' * k}word{' ' * (k // 2)}\n{' ' * k}-" for k in range(1, 300)]
+    assert token_counts.count_tokens(texts, vocabulary, {}) == [len(library.encode(t)) for t in texts]
+
+
+def test_long_runs_take_no_time(pieces):
+    import time
+    vocabulary, library = pieces
+    texts = [" " * 1_000_000, "a" * 100_000, "\t" * 100_000, "=-" * 50_000, "中文" * 50_000, (" " * 5_000 + "x") * 100, "▁" * 50_000, "\xa0" * 50_000]
+    want = [len(library.encode(t)) for t in texts]
+    for t, n in zip(texts, want):
+        start = time.time()
+        assert token_counts.count_tokens([t], vocabulary, {}) == [n], t[:4]
+        assert time.time() - start < 10
+
+
+def test_merges_from_the_queue_equal_the_library(pieces, monkeypatch):
+    import random
+    vocabulary, library = pieces
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["ab", "the", "ing", "é", "x1", "-", "--", "▁", "中", chr(rng.randint(33, 0x2FF))]) for _ in range(rng.randint(50, 400)))
+             for _ in range(150)]
+    want = [len(library.encode(t)) for t in texts]
+    for steps in (0, 3, token_counts.STEPS):
+        monkeypatch.setattr(token_counts, "STEPS", steps)
+        assert token_counts.count_tokens(texts, vocabulary, {}) == want
+
+
+def test_long_units_are_not_kept(pieces):
+    cache = {}
+    token_counts.count_tokens(["x" * 10_000 + " word"], pieces[0], cache)
+    assert all(len(u) <= token_counts.CACHE_LETTERS for u in cache) and " word" in cache
