@@ -5,7 +5,9 @@ a group. One inserted, deleted or replaced code point adds at most one letter
 to one group (surplus) and takes at most one from another (deficit), so a
 depth-first search that follows equal counts, and once each a count one higher
 and one lower, meets every near word; the words at the leaves it reaches are
-verified letter by letter. A word's form is its near word of largest n (ties:
+verified letter by letter. A pair is looked for once, from the word that has
+fewer letters of the first group in which the two differ: its search spends the
+surplus first. A word's form is its near word of largest n (ties:
 smallest in code-point order) if that n is at least ``RATIO`` times its own;
 its root is the end of the chain of forms.
 
@@ -45,17 +47,19 @@ RATIO = 2
 TYPO = 97                     # a run whose hash this divides loses a letter
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 
-# Levels of the trie: the letters of each group, frequent ones first. Any split gives the same result.
-GROUPS = ("e", "t", "a", "o", "n", "i", "s", "r", "h", "l", "du", "cg", "mf", "pw", "by", "vkjxqz",
-          "àáâäèéêë", "ñóôöùúüí")
+# Levels of the trie: the letters of each group. Any split gives the same result; frequent letters part the
+# subtrees well, and below them rare ones let a search end soon.
+GROUPS = ("e", "t", "a", "o", "n", "i", "s", "r", "àáâäèéêë", "ñóôöùúüí", "vkjxqz", "by", "pw", "mf", "cg", "du", "l", "h")
 REST = len(GROUPS)            # the last group: every other code point up to U+00FF
 LEVELS = REST + 1
 
 CUT_LEVELS = 8                # at most so many levels above the subtrees
+BUCKETS_PER_TASK = 4          # evens out subtrees of different sizes
 SUBTREE = 50_000              # words
 LEAST_SUBTREE = 5_000
 HOT_SUBTREES = 20_000         # at most so many subtrees exceed their size: bounds what is broadcast
 PAIR_BYTES = 1 << 23          # of letters compared at once
+KEEP_WIDTH = 32               # letters of a word that are kept ready for comparisons
 FLUSH_BYTES = 1 << 25          # of texts whose words a task holds before it hands them on
 
 
@@ -122,11 +126,19 @@ class Words:
         self.letters = np.frombuffer(b"".join(raw), np.uint8)
         self.n = np.array([len(r) for r in raw], np.int64)
         self.start = np.cumsum(self.n) - self.n
+        self.tables: dict[int, np.ndarray] = {}
         owner = np.repeat(np.arange(len(raw)), self.n)
         self.counts = np.bincount(owner * LEVELS + GROUP_OF[self.letters], minlength=len(raw) * LEVELS).reshape(-1, LEVELS)
 
     def padded(self, which: np.ndarray, width: int) -> np.ndarray:
         """Letters of the chosen words, a row each, zeros behind."""
+        if width <= KEEP_WIDTH:                             # one table of all words that fit
+            if width not in self.tables:
+                self.tables[width] = self._rows(np.arange(len(self.n)), width)
+            return self.tables[width][which]
+        return self._rows(which, width)
+
+    def _rows(self, which: np.ndarray, width: int) -> np.ndarray:
         at = np.arange(width)
         inside = at < self.n[which][:, None]
         return np.where(inside, self.letters[np.where(inside, self.start[which][:, None] + at, 0)], 0)
@@ -153,69 +165,67 @@ class Trie:
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return at, (keys[at] == want) & (count >= 0) & (count < self.width)
 
-    def leaves(self, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, leaf) pairs within a surplus and a deficit of one each, depth first; all queries that
-        spend their budgets at the same levels walk together."""
+    def leaves(self, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(queries, leaves, unspent): leaves within a surplus and, at a later level, a deficit of one each, depth
+        first; all queries that spend their budgets at the same levels walk together."""
         if not len(self.order) or not len(counts):
             return
-        all_of = np.arange(len(counts))
-        stack = [(0, np.zeros(len(counts), np.int64), all_of, True, True)]
+        stack = [(0, np.zeros(len(counts), np.int64), np.arange(len(counts)), 1, 0)]
         while stack:
             level, node, query, surplus, deficit = stack.pop()
             while level < LEVELS and len(query):
                 here = counts[query, level]
-                for may, step, left in ((surplus, 1, (False, deficit)), (deficit, -1, (surplus, False))):
-                    if may:
-                        at, ok = self.child(level, node, here + step)
-                        if ok.any():
-                            stack.append((level + 1, at[ok], query[ok], *left))
+                if surplus or deficit:                      # the surplus opens the deficit
+                    at, ok = self.child(level, node, here + surplus - deficit)
+                    if ok.any():
+                        stack.append((level + 1, at[ok], query[ok], 0, surplus))
                 at, ok = self.child(level, node, here)
                 node, query, level = at[ok], query[ok], level + 1
             if len(query):
-                yield query, node
-
-    def near(self, other: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, word) pairs that differ by exactly one code point."""
-        for query, leaf in self.leaves(other.counts):
-            size = self.leaf[leaf + 1] - self.leaf[leaf]
-            upto = np.cumsum(size)
-            lo = 0
-            while lo < len(query):                          # some million pairs at a time
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (PAIR_BYTES >> 3), "right")))
-                part = size[lo:hi]
-                q = np.repeat(query[lo:hi], part)
-                place = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-                w = self.order[np.repeat(self.leaf[leaf[lo:hi]], part) + place]
-                ok = one_apart(other, q, self.words, w)
-                if ok.any():
-                    yield q[ok], w[ok]
-                lo = hi
+                yield query, node, bool(surplus)
+
+    def verified(self, query: np.ndarray, leaf: np.ndarray, other: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, word) pairs below the leaves that differ by exactly one code point, a million at a time."""
+        size = self.leaf[leaf + 1] - self.leaf[leaf]
+        upto = np.cumsum(size)
+        lo = 0
+        while lo < len(query):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (PAIR_BYTES >> 3), "right")))
+            part = size[lo:hi]
+            q = np.repeat(query[lo:hi], part)
+            place = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+            w = self.order[np.repeat(self.leaf[leaf[lo:hi]], part) + place]
+            ok = one_apart(other, q, self.words, w)
+            if ok.any():
+                yield q[ok], w[ok]
+            lo = hi
 
 
 def one_apart(a: Words, left: np.ndarray, b: Words, right: np.ndarray) -> np.ndarray:
     """Whether the pairs of words differ by exactly one inserted, deleted or replaced code point."""
     out = np.zeros(len(left), bool)
-    longest = np.maximum(a.n[left], b.n[right])
-    close = np.abs(a.n[left] - b.n[right]) <= 1
-    class_of = np.maximum(4, np.ceil(np.log2(longest + 1)).astype(np.int64))
-    for c in np.unique(class_of[close]):
-        members = np.flatnonzero(close & (class_of == c))
+    more = b.n[right] - a.n[left]
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(a.n[left], b.n[right]) + 1)).astype(np.int64))
+    for c in np.unique(bits):
         width = 1 << int(c)
         step = max(1, PAIR_BYTES // width)
-        for lo in range(0, len(members), step):
-            m = members[lo:lo + step]
-            x, y = a.padded(left[m], width), b.padded(right[m], width)
-            swap = a.n[left[m]] > b.n[right[m]]
-            x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)  # x is not the longer one
-            differ = x != y
-            first = np.where(differ.any(1), differ.argmax(1), width)
-            shifted = x[:, :-1] != y[:, 1:]                 # from the first difference on, y runs one ahead
-            last = np.where(shifted.any(1), width - 2 - shifted[:, ::-1].argmax(1), -1)
-            same = a.n[left[m]] == b.n[right[m]]
-            out[m] = np.where(same, differ.sum(1) == 1, last < first)
+        for longer in (0, 1, -1):
+            members = np.flatnonzero((bits == c) & (more == longer))
+            for lo in range(0, len(members), step):
+                m = members[lo:lo + step]
+                x, y = a.padded(left[m], width), b.padded(right[m], width)
+                out[m] = (x != y).sum(1) == 1 if longer == 0 else _one_more(*((x, y) if longer == 1 else (y, x)))
     return out
 
 
+def _one_more(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each row of y is that of x with one letter inserted: from the first difference on, y runs one ahead."""
+    first = (x != y).argmax(1)
+    apart = x[:, :-1] != y[:, 1:]
+    last = np.where(apart.any(1), apart.shape[1] - 1 - apart[:, ::-1].argmax(1), -1)
+    return last < first
+
+
 # ---- subtrees over the cluster --------------------------------------------------------------------
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -255,11 +265,10 @@ def cut(words: DataFrame, n: int, tasks: int, subtree: int = SUBTREE) -> tuple[i
 
 
 def reachable(levels: int) -> np.ndarray:
-    """What a surplus and a deficit of at most one each can add to the first ``levels`` counts."""
+    """What a surplus of at most one, and after it a deficit, can add to the first ``levels`` counts."""
     unit = np.eye(levels, dtype=np.int64)
-    none = np.zeros((1, levels), np.int64)
-    both = [unit[i] - unit[j] for i in range(levels) for j in range(levels) if i != j]
-    return np.vstack([none, unit, -unit, *[b[None] for b in both]])
+    both = [unit[i] - unit[j] for i in range(levels) for j in range(i + 1, levels)]
+    return np.vstack([np.zeros((1, levels), np.int64), unit, *[b[None] for b in both]])
 
 
 def _dealt(levels: int, hot: dict[int, int], buckets: int):
@@ -297,39 +306,57 @@ def _dealt(levels: int, hot: dict[int, int], buckets: int):
     return deal
 
 
+class Best:
+    """For each of a set of words: how many near words, and the best of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.count = words, np.zeros(len(words), np.int64)
+        self.n, self.best = np.zeros(len(words), np.int64), np.full(len(words), None, object)
+
+    def add(self, mine: np.ndarray, other: np.ndarray, other_n: np.ndarray) -> None:
+        """Pairs: places among the words, and near words with their n."""
+        self.count += np.bincount(mine, minlength=len(self.words))
+        top = self.n.copy()
+        np.maximum.at(top, mine, other_n)
+        for i in np.flatnonzero(other_n == top[mine]).tolist():     # few a word: those of its largest n
+            m = mine[i]
+            if self.best[m] is None or other_n[i] > self.n[m] or other[i] < self.best[m]:
+                self.best[m], self.n[m] = other[i], other_n[i]
+
+    def rows(self) -> pd.DataFrame:
+        hit = np.flatnonzero(self.count)
+        return pd.DataFrame({"word": self.words[hit], "n_near": self.count[hit], "best": self.best[hit], "best_n": self.n[hit]})
+
+
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (bucket, is_query): a bucket's own words make its trie, then words are looked up in it
-    as they stream by. One row a (word, bucket) with near words: how many, and the best of them."""
-    at, held, trie, entry_n, entries, rank = None, [], None, None, None, None
+    as they stream by. One row a (word, bucket) with near words, for either side of the pairs."""
+    at, held, trie, own_n, own = None, [], None, None, None
     for pdf in batches:
         for bucket, rows in pdf.groupby("bucket", sort=True):
             if bucket != at:
+                if trie is not None:
+                    yield own.rows()
                 at, held, trie = bucket, [], None
-            own, looked_up = rows[~rows["is_query"]], rows[rows["is_query"]]
-            if len(own):
-                held.append(own)
+            mine, looked_up = rows[~rows["is_query"]], rows[rows["is_query"]]
+            if len(mine):
+                held.append(mine)
             if not len(looked_up) or not held:
                 continue
             if trie is None:
-                all_own = pd.concat(held, ignore_index=True)
-                entries, entry_n = all_own["word"].to_numpy(object), all_own["n"].to_numpy(np.int64)
-                rank = np.empty(len(entries), np.int64)
-                rank[sorted(range(len(entries)), key=entries.__getitem__)] = np.arange(len(entries))
-                trie = Trie(Words(entries.tolist()))
-            words = looked_up["word"].tolist()
-            count = np.zeros(len(words), np.int64)
-            best = np.full(len(words), -1, np.int64)
-            for q, w in trie.near(Words(words)):
-                count += np.bincount(q, minlength=len(words))
-                old = np.flatnonzero(best >= 0)
-                q, w = np.r_[q, old], np.r_[w, best[old]]
-                order = np.lexsort((rank[w], -entry_n[w], q))
-                first = order[np.r_[True, q[order][1:] != q[order][:-1]]]
-                best[q[first]] = w[first]
-            hit = np.flatnonzero(count)
-            if len(hit):
-                yield pd.DataFrame({"word": [words[i] for i in hit], "n_near": count[hit],
-                                    "best": entries[best[hit]], "best_n": entry_n[best[hit]]})
+                both = pd.concat(held, ignore_index=True)
+                own, own_n = Best(both["word"].to_numpy(object)), both["n"].to_numpy(np.int64)
+                trie = Trie(Words(own.words.tolist()))
+            asked, asked_n = Best(looked_up["word"].to_numpy(object)), looked_up["n"].to_numpy(np.int64)
+            words = Words(asked.words.tolist())
+            for query, leaf, unspent in trie.leaves(words.counts):
+                for q, w in trie.verified(query, leaf, words):
+                    asked.add(q, own.words[w], own_n[w])
+                    if not unspent:                         # words of equal counts look each other up
+                        own.add(w, asked.words[q], asked_n[q])
+            yield asked.rows()
+    if trie is not None:
+        yield own.rows()
 
 
 def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
@@ -337,9 +364,9 @@ def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
     spark = words.sparkSession
     n, tasks = words.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels, hot = cut(words, n, tasks, subtree)
-    buckets = max(tasks, -(-n // subtree))
+    buckets = max(tasks * BUCKETS_PER_TASK, -(-n // subtree))
     rows = words.mapInPandas(_dealt(levels, hot, buckets), "bucket long, is_query boolean, word string, n long")
-    found = (rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "is_query")
+    found = (rows.repartition(max(tasks, buckets // BUCKETS_PER_TASK), "bucket").sortWithinPartitions("bucket", "is_query")
              .mapInPandas(_search, "word string, n_near long, best string, best_n long"))
     top = F.min(F.struct((-F.col("best_n")).alias("m"), "best"))
     return (found.groupBy("word").agg(F.sum("n_near").alias("n_near"), top.alias("top"))

@@ -63,20 +63,22 @@ def test_spelling_groups_equal_brute_force_whole_and_in_many_parts(spark, letter
 
 def test_trie_meets_every_pair_one_code_point_apart():
     words = list(random_words(7, 120, "etaoé×"))
-    trie, found = spelling.Trie(spelling.Words(words)), set()
-    for q, w in trie.near(spelling.Words(words)):
-        new = {(words[i], words[j]) for i, j in zip(q, w)}
-        assert len(new) == len(q) and not new & found
-        found |= new
-    assert found == {(a, b) for a in words for b in words if one_edit(a, b)}
+    packed = spelling.Words(words)
+    trie, found = spelling.Trie(packed), []
+    for query, leaf, unspent in trie.leaves(packed.counts):
+        for q, w in trie.verified(query, leaf, packed):
+            found += [(words[i], words[j]) for i, j in zip(q, w)]
+            found += [] if unspent else [(words[j], words[i]) for i, j in zip(q, w)]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a in words for b in words if one_edit(a, b)}
 
 
-def test_leaves_keep_to_the_budget_of_one_surplus_and_one_deficit():
-    words = spelling.Words(["eeeee", "eeeet", "eeett", "eeeeee", "eeetta"])
+def test_leaves_keep_to_the_budget_of_one_surplus_and_then_one_deficit():
+    words = spelling.Words(["eeeee", "eeeet", "eeett", "eeeeee", "eeetta", "ttttee"])
     trie = spelling.Trie(words)
-    reached = {(int(q), int(trie.order[trie.leaf[n]])) for query, leaf in trie.leaves(words.counts) for q, n in zip(query, leaf)}
-    change = words.counts[:, None] - words.counts[None]
-    want = (np.maximum(change, 0).sum(2) <= 1) & (np.maximum(-change, 0).sum(2) <= 1)
+    reached = {(int(q), int(trie.order[trie.leaf[n]])) for query, leaf, _ in trie.leaves(words.counts) for q, n in zip(query, leaf)}
+    change = words.counts[None] - words.counts[:, None]
+    first = np.take_along_axis(change, (change != 0).argmax(2)[..., None], 2)[..., 0]
+    want = (np.maximum(change, 0).sum(2) <= 1) & (np.maximum(-change, 0).sum(2) <= 1) & (first >= 0)
     assert reached == {(int(i), int(j)) for i, j in zip(*np.nonzero(want))}
 
 
