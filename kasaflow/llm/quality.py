@@ -203,22 +203,20 @@ def predict(model: dict, X: np.ndarray) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int = HOLD_OUT,
                     balanced: bool = False) -> DataFrame:
-    """(text, y) of at most about ``rows`` labelled documents outside the held-out
-    part, chosen by a fixed hash of the id; with ``balanced`` up to half of
-    them of either label. The chosen ids are few (bounded by ``rows``), so they are broadcast."""
+    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out part, those of the smallest
+    hash of the id; with ``balanced`` at most half of them of either label. An id that several rows have gives
+    one of them (of the smallest hash of the text). The chosen ids are few (bounded by ``rows``), so they are
+    broadcast."""
     lab = (labels.where(doc_bucket(F.col("doc_id"), modulus) > 0).where(F.col(label).isNotNull())
-           .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")))
-    counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
+           .groupBy(F.col("doc_id").alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y")))
+    order = [F.xxhash64("_id", F.lit(5)), F.col("_id")]
     if balanced:
-        part = {y: min(1.0, rows / 2 / n) for y, n in counts.items()}
+        picked = lab.where("y = 0").orderBy(*order).limit(rows // 2).unionAll(lab.where("y = 1").orderBy(*order).limit(rows // 2))
     else:
-        part = {y: min(1.0, rows / max(sum(counts.values()), 1)) for y in counts}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    keep = F.lit(False)
-    for y, p in sorted(part.items()):
-        keep = keep | ((F.col("y") == y) & (draw < p))
-    picked = lab.where(keep).select(F.col("doc_id").alias("_id"), "y")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+        picked = lab.orderBy(*order).limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return (found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+            .select("doc_id", "t.text", "y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> dict:

@@ -3,18 +3,21 @@
 Every word enters as two vectors: an embedding of the word (hashed) and the
 mean embedding of its byte n-grams (characters, with marks at both ends). A
 GRU reads a window of words forwards, another backwards; attention weights
-pool the states, and a linear layer gives the window's logit. Windows overlap,
-all windows of a text are scored, and the text's score is the logistic
-function of its largest window logit.
+pool the states, and a linear layer gives the window's logit. A window starts at
+every word, all windows of a text are scored, and the text's score is the
+logistic function of its largest window logit: where a passage starts makes no
+difference.
 
 Everything is numpy. Training draws a bounded, balanced sample of labelled
-documents (TRAIN_ROWS; never those with crc32(doc_id as text) mod 5 = 0) and,
-as a label holds for a document and not for a window, follows the soft maximum
-of the document's windows. Embedding rows that few training documents use, or
-that occur under both labels alike, stay zero: they would only learn documents
-by heart. For scoring, the input part of the gates is
-computed once for each distinct word of a slice, and all windows of the slice
-step together.
+documents (TRAIN_ROWS at most, one row an id; never those with crc32(doc_id as
+text) mod 5 = 0) and, as a label holds for a document and not for a window,
+follows the soft maximum of the document's windows; each epoch takes every
+TRAIN_STRIDE-th window from another start. Of a labelled text over LONGEST bytes
+the sample holds that many bytes in pieces spread over it. Embedding rows that
+few training documents use, or that occur under both labels alike, stay zero:
+they would only learn documents by heart. For scoring, the input part of the
+gates is computed once for each distinct word of a slice and laid out once a
+word; all windows of a chunk step together over shifted views of it.
 
 Defined cases: a text that is NULL or has no words is scored as one window of
 padding; without usable labels, or with one class only, every score is the
@@ -37,10 +40,11 @@ from kasaflow.llm.textarrays import WORD_BYTES, Flat, as_bytes, slices, word_ngr
 
 TRAIN_ROWS = 6_000
 TRAIN_BYTES, LONGEST = 2_500, 30_000  # training uses the shorter documents, calibration also longer ones
+PIECE = 3_000                # bytes, of the pieces that stand for a longer labelled text
 CALIBRATE = 2_000            # documents of the sample on which the cut is placed
 MIN_STEPS = 250
-WINDOW, STRIDE = 24, 16      # words; neighbouring windows share a third
-HIDDEN, DIM = 8, 8
+WINDOW, TRAIN_STRIDE = 12, 6  # words
+HIDDEN, DIM = 6, 8
 WORD_BITS, GRAM_BITS, GRAM_SIZES = 15, 14, (3, 4, 5)
 EPOCHS, BATCH, RATE = 5, 32, 0.02
 HEAD_START, SHRINK = 1.0, 2.0
@@ -53,11 +57,11 @@ def _sigmoid(x):
 
 
 class Encoded:
-    """Texts as windows of word numbers: the distinct words of a slice (their
-    embedding rows and n-grams) and, for each window, WINDOW word numbers
-    (0: padding) and the text it belongs to."""
+    """The distinct words of some texts (their embedding rows and n-grams), the texts as one line of word
+    numbers (each filled up with 0 to WINDOW words at least), and windows of WINDOW numbers that start at every
+    ``stride``-th word of a text, the first ``shift`` words nearer."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], stride: int = 1, shift: int = 0):
         flat = Flat(texts)
         starts, ends = flat.runs(WORD_BYTES)
         owner = flat.owner(starts)
@@ -67,16 +71,22 @@ class Encoded:
         self.gram_rows, self.gram_word = word_ngrams(flat, starts[first], ends[first], GRAM_SIZES, GRAM_BITS)
         self.gram_word = self.gram_word + 1
         self.grams = np.maximum(np.bincount(self.gram_word, minlength=len(self.word_rows)), 1)
+        self.n = flat.n
         n_words = np.bincount(owner, minlength=flat.n)
-        n_win = np.maximum(1, -(-np.maximum(n_words - WINDOW, 0) // STRIDE) + 1)
+        room = np.maximum(n_words, WINDOW)
+        begin = np.cumsum(room) - room
+        self.line = np.zeros(int(room.sum()), np.int32)
+        self.line[begin[owner] + np.arange(len(owner)) - (np.cumsum(n_words) - n_words)[owner]] = number + 1
+        last = room - WINDOW                                  # of a text's windows starts here
+        n_win = -(-(last + shift) // stride) + 1
         self.window_text = np.repeat(np.arange(flat.n), n_win)
         order = np.arange(len(self.window_text)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        at = (np.cumsum(n_words) - n_words)[self.window_text] + order * STRIDE
-        stop = np.cumsum(n_words)[self.window_text]
-        grid = at[:, None] + np.arange(WINDOW)
-        padded = np.concatenate((number + 1, [0])).astype(np.int32)
-        self.windows = np.where(grid < stop[:, None], padded[np.minimum(grid, len(number))], 0).astype(np.int32)
-        self.n = flat.n
+        at = np.clip(order * stride - shift, 0, last[self.window_text])
+        self.starts = begin[self.window_text] + at
+
+    @property
+    def windows(self) -> np.ndarray:
+        return self.line[self.starts[:, None] + np.arange(WINDOW)]
 
 
 def new_model(seed: int = 1) -> dict:
@@ -133,22 +143,50 @@ def _pool(m: dict, states: np.ndarray, words: np.ndarray):
 
 
 def window_logits(m: dict, e: Encoded) -> np.ndarray:
+    """Logits of the windows from every word of the line; those that run into the next text are scored too and
+    are not among ``e.starts``."""
     x = inputs(m, e)
-    af, ab = _gates(m, x, "f"), _gates(m, x, "b")
-    out = np.empty(len(e.windows), np.float32)
-    for k in range(0, len(out), CHUNK):
-        w = e.windows[k:k + CHUNK]
-        f, _ = _steps(af, m["Uf"], w, False)
-        b, _ = _steps(ab, m["Ub"], w[:, ::-1], False)
-        out[k:k + CHUNK] = _pool(m, np.concatenate((f, b[::-1]), 2), w)[2]
+    sides = []
+    for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+        a, U = _gates(m, x, d), m[f"U{d}"].T.copy()
+        a[:, :2 * HIDDEN] *= 0.5                              # sigmoid(v) = tanh(v / 2) / 2 + 1 / 2
+        U[:2 * HIDDEN] *= 0.5
+        sides.append((a, U, np.stack((m["att"][part], m["out"][part]))))
+    total = len(e.line) - WINDOW + 1
+    out = np.empty(total, np.float32)
+    for k in range(0, total, CHUNK):
+        n = min(CHUNK, total - k)
+        line = e.line[k:k + n + WINDOW - 1]
+        seen = np.zeros((WINDOW, 2, n), np.float32)           # attention and output of each place's states
+        for (a, U, heads), order in zip(sides, (range(WINDOW), range(WINDOW - 1, -1, -1))):
+            gates = np.ascontiguousarray(a[line].T)
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in order:
+                u = U @ h
+                zr = gates[:2 * HIDDEN, t:t + n] + u[:2 * HIDDEN]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                c = u[2 * HIDDEN:]
+                c *= zr[HIDDEN:]
+                c += gates[2 * HIDDEN:, t:t + n]
+                np.tanh(c, out=c)
+                h -= c
+                h *= zr[:HIDDEN]
+                h += c
+                seen[t] += heads @ h
+        s, v = seen[:, 0], seen[:, 1]
+        for t in np.flatnonzero([(line[t:t + n] == 0).any() for t in range(WINDOW)]):
+            s[t, line[t:t + n] == 0] = -30.0
+        w = np.exp(s - s.max(0))
+        out[k:k + n] = (w * v).sum(0) / w.sum(0) + m["bias"][0]
     return out
 
 
 def _text_logits(m: dict, raw: list[bytes]) -> np.ndarray:
     e = Encoded(raw)
-    top = np.full(e.n, -np.inf)
-    np.maximum.at(top, e.window_text, window_logits(m, e))
-    return top
+    first = np.flatnonzero(np.r_[True, e.window_text[1:] != e.window_text[:-1]])
+    return np.maximum.reduceat(window_logits(m, e)[e.starts], first).astype(float) if e.n else np.zeros(0)
 
 
 def text_scores(m: dict, texts: list) -> np.ndarray:
@@ -276,7 +314,8 @@ def train(texts: list, y: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> di
         order = rng.permutation(use)
         for k in range(0, len(order), BATCH):
             part = order[k:k + BATCH]
-            _, g = gradients(m, Encoded([raw[i] for i in part]), y[part], np.ones(len(part)))
+            e = Encoded([raw[i] for i in part], TRAIN_STRIDE, int(rng.integers(TRAIN_STRIDE)))
+            _, g = gradients(m, e, y[part], np.ones(len(part)))
             _apply(m, state, g)
     m["shift"] = _shift(m, raw[:CALIBRATE], y[:CALIBRATE])
     return m
@@ -298,10 +337,24 @@ def _shift(m: dict, raw: list[bytes], y: np.ndarray) -> float:
     return -float((edge[k] + edge[k + 1]) / 2)
 
 
+def pieces(text: str, most: int = LONGEST, size: int = PIECE) -> str:
+    """A text of at most ``most`` bytes as it is; a longer one as that many bytes in evenly spread pieces."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        return text
+    n = most // size
+    step = (len(raw) - size) / (n - 1)
+    return " ".join(raw[int(k * step):int(k * step) + size].decode("utf-8", "ignore") for k in range(n))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
+    """The sample comes to the driver: ``rows`` texts of LONGEST bytes at most."""
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pieces(t) if t is not None else None)
+
     got = labelled_sample(docs, labels, label, rows, balanced=True)
-    # A few very long texts say little about single windows; leaving them out bounds what the driver holds.
-    got = got.where(F.octet_length("text") <= LONGEST).toPandas().sort_values("doc_id", kind="stable")
+    got = got.select("doc_id", cut("text").alias("text"), "y").toPandas().sort_values("doc_id", kind="stable")
     return train(got["text"].tolist(), got["y"].to_numpy(dtype=float))
 
 

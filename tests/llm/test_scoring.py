@@ -101,12 +101,80 @@ def test_gru_gradients_match_differences():
         assert (up - down) / (2 * eps) == pytest.approx(g[k][at], rel=2e-2, abs=1e-7), k
 
 
-def test_windows_overlap_and_cover_the_whole_text():
+def test_a_window_starts_at_every_word():
     words = [f"w{i}" for i in range(100)]
-    e = toxicity.Encoded([" ".join(words).encode(), b"", b"one"])
-    assert list(np.bincount(e.window_text)) == [6, 1, 1]
-    seen = [set(r[r > 0]) for r in e.windows[:6]]
-    assert len(set.union(*seen)) == 100 and all(a & b for a, b in zip(seen, seen[1:]))
+    e = toxicity.Encoded([" ".join(words).encode(), b"", b"one", " ".join(words[:toxicity.WINDOW]).encode()])
+    assert list(np.bincount(e.window_text)) == [101 - toxicity.WINDOW, 1, 1, 1]
+    assert (e.windows[:101 - toxicity.WINDOW] == e.line[np.arange(101 - toxicity.WINDOW)[:, None] + np.arange(toxicity.WINDOW)]).all()
+    for shift in range(toxicity.TRAIN_STRIDE):  # training: fewer, from another start each time, all words covered
+        t = toxicity.Encoded([" ".join(words).encode(), b"one"], toxicity.TRAIN_STRIDE, shift)
+        mine = t.windows[t.window_text == 0]
+        assert len(np.unique(mine)) == 100 and len(mine) < 25 and (t.window_text == 1).sum() >= 1
+
+
+def _plain_logit(m, e, window):
+    """One window, word by word."""
+    x = toxicity.inputs(m, e)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    H, states = toxicity.HIDDEN, {}
+    for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+        h = np.zeros(H)
+        for t in order:
+            if window[t]:
+                a, u = x[window[t]] @ m[f"W{d}"] + m[f"c{d}"], h @ m[f"U{d}"]
+                z, r = sig(a[:H] + u[:H]), sig(a[H:2 * H] + u[H:2 * H])
+                n = np.tanh(a[2 * H:] + r * u[2 * H:])
+                h = (1 - z) * n + z * h
+            states[d, t] = h
+    s = [np.concatenate((states["f", t], states["b", t])) for t in range(len(window))]
+    att = np.array([v @ m["att"] if window[t] else -30.0 for t, v in enumerate(s)])
+    w = np.exp(att - att.max())
+    return float((w / w.sum()) @ np.array(s) @ m["out"] + m["bias"][0])
+
+
+def test_window_logits_equal_a_plain_network_window_by_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    vocab = ["ab", "cde", "fghi", "idiot", "xx", "é", "12"]
+    texts = [" ".join(rng.choice(vocab, size=k)).encode() for k in (0, 1, 5, 12, 13, 40)]
+    m, e = toxicity.new_model(), toxicity.Encoded(texts)
+    got = toxicity.window_logits(m, e)[e.starts]
+    assert got == pytest.approx([_plain_logit(m, e, w) for w in e.windows], abs=1e-4)
+    top = [max(g for g, t in zip(got, e.window_text) if t == k) for k in range(len(texts))]
+    assert toxicity._text_logits(m, texts) == pytest.approx(top)
+
+
+def test_the_score_does_not_depend_on_where_a_passage_starts():
+    rng = np.random.default_rng(5)
+    clean = [" ".join(rng.choice(["the", "of", "and", "reth", "onan", "tion"], 40)) for _ in range(300)]
+    m = toxicity.train(clean + [t + " you moronic fool" for t in clean[:150]], np.array([0] * 300 + [1] * 150))
+    passage = clean[0] + " you moronic fool " + clean[1]
+    scores = toxicity.text_scores(m, [" ".join((clean[2] + " " + clean[3]).split()[:k]) + " " + passage for k in range(25)])
+    assert np.ptp(scores) < 1e-5 and scores.min() >= 0.5
+
+
+def test_long_labelled_texts_are_cut_in_pieces_and_classes_stay(spark):
+    long = "word " * 20_000
+    cut = toxicity.pieces(long)
+    assert len(cut) <= toxicity.LONGEST + 20 and toxicity.pieces("é" * 100) == "é" * 100
+    docs = docs_of(spark, [long + "good"] * 30 + ["moronic " * 9_000] * 30)
+    labels = docs.selectExpr("doc_id", "cast(doc_id >= 30 as int) AS toxic")
+    m = toxicity.fit(docs, labels)
+    low, high = toxicity.text_scores(m, [long, "moronic " * 50])
+    assert low < 0.5 <= high
+
+
+def test_the_label_sample_has_one_row_an_id_and_keeps_its_bound(spark):
+    docs = docs_of(spark, [f"t{i}" for i in range(400)]).unionAll(docs_of(spark, ["same"] * 3_000).withColumn("doc_id", F.lit(7).cast("long")))
+    labels = docs_of(spark, ["x"] * 400).selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) AS toxic")
+    for balanced, most in ((False, 100), (True, 60)):
+        got = quality.labelled_sample(docs, labels, "toxic", most, balanced=balanced).toPandas()
+        assert len(got) == most and got.doc_id.is_unique
+        again = quality.labelled_sample(docs.repartition(7), labels.repartition(3), "toxic", most, balanced=balanced).toPandas()
+        assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
+        assert not balanced or got.y.sum() == 30
+    whole = quality.labelled_sample(docs, labels, "toxic", 10_000).toPandas()
+    assert len(whole) == labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).count()
 
 
 def test_a_toxic_word_at_the_end_of_a_long_text_counts():
