@@ -31,6 +31,7 @@ def _partial_gram(keys: list[str], k: int):
             out = []
             for key, grp in pdf.groupby(keys, sort=False, dropna=False):
                 X = grp[names].to_numpy(dtype=float)
+                X = X[~np.isnan(X).any(axis=1)]
                 G = X.T @ X
                 key = key if isinstance(key, tuple) else (key,)
                 out.extend((*key, i, G[i]) for i in range(k))
@@ -44,7 +45,7 @@ def gram_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     Two-phase aggregate: each task folds its Arrow batches into one partial
     matrix per group with numpy (X^T X, no per-row explosion), then a grouped
     sum over the partial rows finishes it. Rows of one group may sit in any
-    number of tasks.
+    number of tasks; rows with a NULL among ``cols`` take no part.
     """
     k = len(cols)
     sub = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols)])

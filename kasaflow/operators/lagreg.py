@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -121,17 +122,16 @@ def _forecast_one(horizon_col: str):
         key = (pdf["nazwa_kasy"].iloc[0], pdf["measure"].iloc[0])
         if coef is None or H <= 0:
             return pd.DataFrame({"nazwa_kasy": [], "measure": [], "h": [], "pred_diff": []})
-        b = np.asarray(coef[:len(AR_LAGS)], dtype=float)
-        c = np.asarray(coef[len(AR_LAGS):], dtype=float)
-        xs = list(pdf["x"].to_numpy(dtype=float))
-        es = [0.0 if (v is None or (isinstance(v, float) and math.isnan(v))) else float(v) for v in pdf["e"]]
-        T = len(xs)
-        out = []
-        for h in range(1, H + 1):
-            xv = sum(bk * (xs[T + h - 1 - lag] if T + h - 1 - lag >= 0 else 0.0) for bk, lag in zip(b, AR_LAGS))
-            ev = sum(ck * (es[T + h - 1 - lag] if 0 <= T + h - 1 - lag < T else 0.0) for ck, lag in zip(c, MA_LAGS))
-            xs.append(xv + ev)
-            out.append(xv + ev)
+        depth = max(AR_LAGS)
+        b, c = np.zeros(depth), np.zeros(depth)               # by lag, the nearest last
+        b[-np.array(AR_LAGS)], c[-np.array(MA_LAGS)] = coef[:len(AR_LAGS)], coef[len(AR_LAGS):]
+        xs, es = np.zeros(depth + H), np.zeros(depth + H)
+        tail = pdf.iloc[-depth:]
+        xs[depth - len(tail):depth] = np.nan_to_num(tail["x"].to_numpy(dtype=float))
+        es[depth - len(tail):depth] = np.nan_to_num(tail["e"].to_numpy(dtype=float))
+        for h in range(H):
+            xs[depth + h] = b @ xs[h:h + depth] + c @ es[h:h + depth]
+        out = xs[depth:]
         return pd.DataFrame({"nazwa_kasy": key[0], "measure": key[1], "h": np.arange(1, H + 1, dtype="int64"),
                              "pred_diff": out})
     return run
@@ -187,26 +187,39 @@ def seasonal_strength(x: np.ndarray, s: int = SEASON) -> float:
         return 0.0
     trend = np.convolve(x, np.ones(s) / s, "valid")
     detrended = x[s // 2:s // 2 + len(trend)] - trend
-    phase = np.arange(len(detrended)) % s
+    known = np.flatnonzero(~np.isnan(detrended))
+    detrended, phase = detrended[known], known % s
+    if len(np.unique(phase)) < s:
+        return 0.0
     season = np.bincount(phase, detrended, s) / np.bincount(phase, minlength=s)
     total = detrended.var()
     return max(0.0, 1 - (detrended - season[phase]).var() / total) if total > 0 else 0.0
 
 
-def _difference_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One series, differenced as the tests say: (KEYS, Data, rn, x, d, sd)."""
-    pdf = pdf.sort_values("rn")
-    x = pdf["x"].to_numpy(dtype=float)
-    known = np.where(np.isnan(x), 0.0, x)
-    sd = int(seasonal_strength(known) > SEASONAL_STRENGTH)
-    skip = SEASON * sd
-    z = known[skip:] - known[:len(known) - skip] if sd else known
-    d = 0
-    while d < 2 and len(z) > 10 and kpss_level(z) > KPSS_5PCT:
-        z, d = np.diff(z), d + 1
-    kept = pdf.iloc[len(pdf) - len(z):]
-    return pd.DataFrame({"nazwa_kasy": kept["nazwa_kasy"], "measure": kept["measure"], "Data": kept["Data"],
-                         "rn": kept["rn"].astype("int64"), "x": z, "d": np.int32(d), "sd": np.int32(sd)})
+def strong_week(x: np.ndarray) -> bool:
+    return seasonal_strength(x) > SEASONAL_STRENGTH
+
+
+DIFFERENCED = "nazwa_kasy string, measure string, Data date, rn long, x double, d int, sd int"
+
+
+def differencer(weekly: Callable[[np.ndarray], bool]):
+    """One series, differenced as the tests say: (KEYS, Data, rn, x, d, sd). ``weekly`` decides on the seasonal
+    difference, KPSS on the others. Values that are not known take no part: differences that touch them are not
+    known either, and the tests look at the others."""
+    def difference(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        x = pdf["x"].to_numpy(dtype=float)
+        sd = int(weekly(x))
+        z = x[SEASON:] - x[:-SEASON] if sd else x
+        d = 0
+        while d < 2 and (~np.isnan(z)).sum() > 10 and kpss_level(z[~np.isnan(z)]) > KPSS_5PCT:
+            z, d = np.diff(z), d + 1
+        kept = pdf.iloc[len(pdf) - len(z):]
+        return pd.DataFrame({"nazwa_kasy": kept["nazwa_kasy"], "measure": kept["measure"], "Data": kept["Data"],
+                             "rn": kept["rn"].astype("int64"), "x": [None if np.isnan(v) else v for v in z],
+                             "d": np.int32(d), "sd": np.int32(sd)})
+    return difference
 
 
 def candidate_orders() -> list[tuple[int, int, int, int]]:
@@ -245,16 +258,23 @@ def _order_search_one(pdf: pd.DataFrame) -> pd.DataFrame:
                           "n_candidates": tried, "terms": names, "coef": coef}])
 
 
+SEARCH_COLUMNS = [f"x{k}" for k in SEARCH_LAGS] + [f"e{k}" for k in SEARCH_LAGS]
+
+
+def search_gram(z: DataFrame, coef: DataFrame) -> DataFrame:
+    """Gram rows of x and all lags of x and e that a candidate may use, over the rows that have them all (``gram_rows``)."""
+    rows = stage_rows(z, coef, "x", SEARCH_LAGS, SEARCH_LAGS).filter(F.col(f"e{max(SEARCH_LAGS)}").isNotNull())
+    return _gram_with_count(rows, "x", SEARCH_COLUMNS)
+
+
 def order_search(split: DataFrame, x: str = "diff", write=lambda df, name: df) -> DataFrame:
     """Differencing and best (p, q, P, Q) per series with the terms' coefficients.
     ``write`` may store an intermediate table that is used twice."""
     from kasaflow.operators.series import train_series
     start = train_series(split).select(*KEYS, "Data", "rn", F.col(x).alias("x"))
-    z = write(start.groupBy(*KEYS).applyInPandas(
-        _difference_one, "nazwa_kasy string, measure string, Data date, rn long, x double, d int, sd int"), "search-series")
+    z = write(start.groupBy(*KEYS).applyInPandas(differencer(strong_week), DIFFERENCED), "search-series")
     coef = write(stage1_fit(z, "x"), "search-coef")
-    rows = stage_rows(z, coef, "x", SEARCH_LAGS, SEARCH_LAGS).filter(F.col(f"e{max(SEARCH_LAGS)}").isNotNull())
-    g = _gram_with_count(rows, "x", [f"x{k}" for k in SEARCH_LAGS] + [f"e{k}" for k in SEARCH_LAGS])
+    g = search_gram(z, coef)
     orders = z.groupBy(*KEYS).agg(F.max("d").alias("d"), F.max("sd").alias("sd"))
     schema = ("nazwa_kasy string, measure string, p int, d int, q int, sp int, sd int, sq int, s int, aic double, "
               "n_params int, n_candidates int, terms array<string>, coef array<double>")

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from kasaflow.functions import arma
 from kasaflow.functions.arma import Orders
+from kasaflow.operators.diagnostics import eliminated
 from kasaflow.operators.gram import matrix_from_rows, ols_from_gram
-from kasaflow.operators.lagreg import AR_LAGS, MA_LAGS, _gram_with_count, stage2_columns
+from kasaflow.operators.lagreg import (AR_LAGS, DIFFERENCED, MA_LAGS, MAX_ARMA, MAX_SEASONAL, MAX_SUM, SEARCH_LAGS, SEASON,
+                                       _gram_with_count, differencer, search_gram, stage1_fit, stage2_columns)
 from kasaflow.operators.series import KEYS, by_series, running, train_series
 
 SEASONAL = Orders(0, 1, 0, 0, 1, 1, 7)     # on the levels
@@ -40,35 +42,42 @@ SERIES_AT_ONCE = 32
 
 # ---- least squares on the factors ------------------------------------------------------------------
 
-def _lag_coefficients(coefs: np.ndarray) -> np.ndarray:
-    phi, theta = arma.expand(FULL, coefs)
-    return np.hstack([phi[:, np.array(AR_LAGS) - 1], theta[:, np.array(MA_LAGS) - 1]])
+def _lag_coefficients(orders: Orders, coefs: np.ndarray, ar_lags: list[int], ma_lags: list[int]) -> np.ndarray:
+    """The multiplied factors' coefficients of the given lags."""
+    out = []
+    for poly, lags in zip(arma.expand(orders, coefs), (ar_lags, ma_lags)):
+        full = np.zeros((len(poly), max(lags)))
+        full[:, :poly.shape[1]] = poly
+        out.append(full[:, np.array(lags) - 1])
+    return np.hstack(out)
 
 
-def gauss_newton(G: np.ndarray, x: np.ndarray, rounds: int = 100, h: float = 1e-6) -> tuple[np.ndarray, float]:
+def gauss_newton(G: np.ndarray, x: np.ndarray, orders: Orders = FULL, ar_lags: list[int] = AR_LAGS, ma_lags: list[int] = MA_LAGS,
+                 rounds: int = 100, h: float = 1e-6) -> tuple[np.ndarray, float]:
     """Partial autocorrelations of the factors of least residual sum, and that sum, from the Gram matrix of
-    (y, lags): damped Gauss-Newton steps inside the box."""
-    k = FULL.n
-    A, g, total = G[1:14, 1:14], G[1:14, 0], G[0, 0]
+    (y, lags of y, lags of e): damped Gauss-Newton steps inside the box."""
+    k, m = orders.n, 1 + len(ar_lags) + len(ma_lags)
+    A, g, total = G[1:m, 1:m], G[1:m, 0], float(G[0, 0])
+    if k == 0:
+        return x, total
 
     def betas(points: np.ndarray) -> np.ndarray:
-        return _lag_coefficients(arma.coefficients(FULL, points))
+        return _lag_coefficients(orders, arma.coefficients(orders, points), ar_lags, ma_lags)
 
-    def ssr(points: np.ndarray) -> np.ndarray:
-        b = betas(points)
-        return total - 2 * b @ g + np.einsum("ni,ij,nj->n", b, A, b)
+    def ssr(b: np.ndarray) -> float:
+        return float(total - 2 * b @ g + b @ A @ b)
 
-    best, damp = float(ssr(x[None])[0]), 1e-3
+    best, damp = ssr(betas(x[None])[0]), 1e-3
     for _ in range(rounds):
-        both = betas(np.vstack([x + h * np.eye(k), x - h * np.eye(k)]))
-        J = ((both[:k] - both[k:]) / (2 * h)).T
-        down = J.T @ (g - A @ betas(x[None])[0])
+        both = betas(np.vstack([x + h * np.eye(k), x - h * np.eye(k), x[None]]))
+        J = ((both[:k] - both[k:2 * k]) / (2 * h)).T
+        down = J.T @ (g - A @ both[-1])
         square = J.T @ A @ J
         moved = False
         for _ in range(12):
             step = np.linalg.lstsq(square + damp * np.diag(np.maximum(np.diag(square), 1e-12)), down, rcond=None)[0]
             new = np.clip(x + step, -arma.BOUND, arma.BOUND)
-            value = float(ssr(new[None])[0])
+            value = ssr(betas(new[None])[0])
             if value < best:
                 gain, x, best, moved, damp = best - value, new, value, True, damp / 5
                 break
@@ -187,3 +196,117 @@ def exact_forecast(split: DataFrame, fit: DataFrame, x: str) -> DataFrame:
         before = F.coalesce(F.lag("p").over(by_series()), F.col("y_T"))
         out = out.withColumn("pred_diff", F.col("p") - before).withColumn("pred_level", F.col("p"))
     return out.select(*KEYS, "Data", "h", "value", "diff", "y_T", "pred_diff", "pred_level")
+
+
+# ---- order search with refit -------------------------------------------------------------------------
+
+# --- fixed values: published smooth curve of the 5 % point of the seasonal unit-root regression, by season length
+ROOT_CURVE = (-0.2937411, -0.2850853, -0.05983644, 0.7656451, -1.652202)
+ROOT_LAGS = 3
+FIRST_TRIES = [(2, 2, 1, 1), (0, 0, 0, 0), (1, 0, 0, 0), (0, 1, 0, 0), (1, 0, 1, 0), (0, 1, 0, 1)]
+
+
+def root_point(s: int = SEASON) -> float:
+    a, b, c, mid, base = ROOT_CURVE
+    x = np.log(s) - mid
+    return float(a * np.exp(b * x + c * x * x) + base)
+
+
+def seasonal_root(x: np.ndarray, s: int = SEASON) -> float:
+    """t statistic of the seasonal lag in the regression of w = (1 - B)(1 - B^s) x on its own lags, on (1 - B^s) x one
+    day before and on (1 - B) x one season before. Far below 0: no seasonal unit root. NaN: too few values."""
+    d1, ds = x[1:] - x[:-1], x[s:] - x[:-s]
+    w = ds[1:] - ds[:-1]                                      # w[i] is day s + 1 + i
+    i = np.arange(ROOT_LAGS, len(w))
+    if len(i) < 3 * s:
+        return float("nan")
+    X = np.column_stack([*[w[i - k] for k in range(1, ROOT_LAGS + 1)], ds[i], d1[i], w[i]])
+    X = X[~np.isnan(X).any(axis=1)]
+    steps = list(eliminated(X.T @ X, ROOT_LAGS + 1))
+    dof = len(X) - ROOT_LAGS - 2
+    if len(steps) <= ROOT_LAGS + 1 or dof <= 0:
+        return float("nan")
+    (sxx, sxy), (_, syy) = steps[-1][-2:, -2:]
+    ssr = syy - sxy * sxy / sxx if sxx > 0 else 0.0
+    return float(sxy / sxx / np.sqrt(ssr / dof / sxx)) if sxx > 0 and ssr > 0 else float("nan")
+
+
+def has_seasonal_root(x: np.ndarray) -> bool:
+    return seasonal_root(x) > root_point()
+
+
+def neighbours(order: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
+    """Orders one step away: p, q, P or Q by one, or p and q, or P and Q, together."""
+    p, q, P, Q = order
+    moves = [(a, b, c, d) for step in (1, -1) for a, b, c, d in
+             ((step, 0, 0, 0), (0, step, 0, 0), (step, step, 0, 0), (0, 0, step, 0), (0, 0, 0, step), (0, 0, step, step))]
+    found = [(p + a, q + b, P + c, Q + d) for a, b, c, d in moves]
+    return [o for o in found if min(o) >= 0 and max(o[:2]) <= MAX_ARMA and max(o[2:]) <= MAX_SEASONAL and sum(o) <= MAX_SUM]
+
+
+def stepwise(G: np.ndarray, n: float) -> tuple[tuple[int, int, int, int], np.ndarray, int]:
+    """(order, its coefficients, orders tried): from the best of some first tries on to better neighbours, each
+    fitted anew on its factors, by AIC; ends where no neighbour is better."""
+    tried: dict[tuple, tuple[float, np.ndarray]] = {}
+
+    def score(order: tuple) -> float:
+        if order not in tried:
+            p, q, P, Q = order
+            o = Orders(p, 0, q, P, 0, Q, SEASON)
+            starts = [np.zeros(o.n)] + ([np.full(o.n, 0.3)] if o.n else [])
+            x, ssr = min((gauss_newton(G, s, o, SEARCH_LAGS, SEARCH_LAGS) for s in starts), key=lambda f: f[1])
+            aic = n * np.log(max(ssr, 1e-300) / n) + 2.0 * o.n
+            tried[order] = aic, arma.coefficients(o, x[None])[0]
+        return tried[order][0]
+
+    best = min(FIRST_TRIES, key=score)
+    while True:
+        near = min(neighbours(best), key=score)
+        if score(near) >= score(best) - 1e-9:
+            return best, tried[best][1], len(tried)
+        best = near
+
+
+def _stepwise_one(pdf: pd.DataFrame) -> pd.DataFrame:
+    G = matrix_from_rows(pdf["i"], pdf["g"])
+    row = {k: pdf[k].iloc[0] for k in KEYS} | {"p": None, "q": None, "sp": None, "sq": None, "start": None, "n_tried": 0}
+    if G[0, 0] > 0 and G[-1, -1] > 2 * MAX_SUM:
+        order, coefs, tried = stepwise(G, float(G[-1, -1]))
+        row |= dict(zip(("p", "q", "sp", "sq"), order)) | {"start": coefs.tolist(), "n_tried": tried}
+    return pd.DataFrame([row])
+
+
+SEARCH_SCHEMA = ("nazwa_kasy string, measure string, p int, d int, q int, sp int, sd int, sq int, s int, n_tried int, "
+                 "names array<string>, coef array<double>, sigma2 double, llf double, aic double, nobs long, settled boolean")
+
+
+def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Exact likelihood of the chosen order of each series; series of one order and length together."""
+    for pdf in batches:
+        pdf = pdf.assign(length=pdf["y"].map(len))
+        for (p, q, P, Q, _), part in pdf.groupby(["p", "q", "sp", "sq", "length"], sort=True):
+            orders = Orders(int(p), 0, int(q), int(P), 0, int(Q), SEASON)
+            y = np.array([[np.nan if v is None else v for v in row] for row in part["y"]], float)
+            got = arma.fit(y, orders, np.array([np.asarray(c, float) for c in part["start"]]).reshape(len(part), orders.n))
+            out = part[[*KEYS, "p", "d", "q", "sp", "sd", "sq", "n_tried"]].assign(s=SEASON)
+            out["names"] = [orders.names()] * len(part)
+            out["coef"] = [c.tolist() for c in got["coef"]]
+            for c in ("sigma2", "llf", "aic", "nobs", "settled"):
+                out[c] = got[c]
+            yield out[[f.split()[0] for f in SEARCH_SCHEMA.split(", ")]]
+
+
+def order_search_refit(split: DataFrame, x: str = "diff", write=lambda df, name: df) -> DataFrame:
+    """Differencing by the seasonal unit-root regression and KPSS, orders by a stepwise search that fits every
+    candidate anew, and the exact likelihood of the chosen one; one row a series. Series without a Gram matrix to
+    search (too short, constant) have none."""
+    start = train_series(split).select(*KEYS, "Data", "rn", F.col(x).alias("x"))
+    z = write(start.groupBy(*KEYS).applyInPandas(differencer(has_seasonal_root), DIFFERENCED), "refit-series")
+    gram = search_gram(z, write(stage1_fit(z, "x"), "refit-coef"))
+    orders = gram.groupBy(*KEYS).applyInPandas(
+        _stepwise_one, "nazwa_kasy string, measure string, p int, q int, sp int, sq int, start array<double>, n_tried int")
+    orders = write(orders, "refit-orders").where("p IS NOT NULL")
+    taken = z.groupBy(*KEYS).agg(F.max("d").alias("d"), F.max("sd").alias("sd"))
+    rows = series_rows(z, "x").join(orders, KEYS).join(taken, KEYS)
+    tasks = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *KEYS).mapInPandas(_refit, SEARCH_SCHEMA)

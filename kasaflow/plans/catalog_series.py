@@ -226,7 +226,18 @@ def q_forecast_mean_ratio_lag_regression(spark, sf_dir):
 
 @register("order_search")
 def q_order_search(spark, sf_dir):
-    return lower(workspace(spark, sf_dir).order_search)
+    """Chosen orders of every series; their terms as text."""
+    found = workspace(spark, sf_dir).order_search
+    return lower(found.select(*S.KEYS, "p", "d", "q", "sp", "sd", "sq", "s", F.round("aic", 4).alias("aic"), "n_params", "n_candidates",
+                              F.array_join("terms", ",").alias("terms")))
+
+
+@register("order_search_terms")
+def q_order_search_terms(spark, sf_dir):
+    """One row a term of the chosen orders, with its coefficient."""
+    found = workspace(spark, sf_dir).order_search
+    terms = found.select(*S.KEYS, F.explode(F.arrays_zip(F.col("terms").alias("term"), "coef")).alias("t"))
+    return lower(terms.select(*S.KEYS, F.col("t.term").alias("term"), F.round("t.coef", 5).alias("coef")))
 
 
 # ------------------------------------------------ exact likelihood ---
@@ -286,3 +297,11 @@ def q_forecast_exact_full_metrics(spark, sf_dir):
     fc = exact_forecast(spark, sf_dir, model)
     lb = D.with_ljung_box_pvalue(D.ljung_box(FC.residuals(fc))).select(*S.KEYS, "lb_stat", "lb_pvalue")
     return lower(FC.forecast_metrics(fc, model).join(lb, S.KEYS))
+
+
+@register("order_search_refit")
+def q_order_search_refit(spark, sf_dir):
+    """Orders by a stepwise search that fits each candidate anew; exact likelihood of the chosen one."""
+    found = workspace(spark, sf_dir).order_refit
+    return lower(found.select(*S.KEYS, "p", "d", "q", "sp", "sd", "sq", "s", "aic", "llf", "sigma2", "nobs", "n_tried",
+                              F.array_join("names", ",").alias("terms")))

@@ -461,3 +461,77 @@ ts_sql("forecast_exact_seasonal_metrics", EXACT_SEASONAL + """SELECT nazwa_kasy,
   round(1.0 - sum((diff - pred_diff) * (diff - pred_diff)) / NULLIF(sum(dev * dev), 0.0), 4) AS r2,
   'sarima_010_011_7_exact' AS model
   FROM (SELECT *, diff - avg(diff) OVER (PARTITION BY nazwa_kasy, measure) AS dev FROM fc) t GROUP BY 1, 2""")
+
+
+# -------------------------------------------------------------- order search --
+# Differencing by the strength of the week and the KPSS test; then 96 sub-models, each by elimination on the Gram matrix.
+_SL = sorted({i + 7 * j for i in range(6) for j in range(3)} - {0})
+_N = len(_SL)
+
+
+def _lag_set(p: int, P: int) -> list[int]:
+    return sorted({i + 7 * j for i in range(p + 1) for j in range(P + 1)} - {0})
+
+
+_CANDIDATES = [(p, q, P, Q) for p in range(6) for q in range(6) for P in range(3) for Q in range(3) if p + q + P + Q <= 5]
+_CAND_ROWS = ", ".join(
+    "({}, {}, {}, {}, {}, {})".format(p, q, P, Q, [2 + _SL.index(k) for k in _lag_set(p, P)] + [2 + _N + _SL.index(k) for k in _lag_set(q, Q)] or "CAST([] AS INTEGER[])",
+                                      "'" + ",".join([f"x{k}" for k in _lag_set(p, P)] + [f"e{k}" for k in _lag_set(q, Q)]) + "'")
+    for p, q, P, Q in _CANDIDATES)
+
+
+def _kpss(level: int) -> str:
+    """Differences once more where the KPSS statistic around a level exceeds its 5 % point."""
+    u = "list_transform(z, lambda v: v - list_avg(z))"
+    weights = f"""list_sum(list_transform(range(1, CAST(floor(4 * (len(z) / 100.0) ** 0.25) AS BIGINT) + 1), lambda k:
+             (1 - k / (floor(4 * (len(z) / 100.0) ** 0.25) + 1)) * list_dot_product(u[k + 1:], u[:len(z) - k])))"""
+    return f"""
+, ku{level} AS (SELECT *, {u} AS u FROM kz{level})
+, ks{level} AS (SELECT *, (list_dot_product(u, u) + 2 * {weights}) / len(z) AS s2, list_reduce(list_prepend([0.0, 0.0],
+                  list_transform(u, lambda v: [v, 0.0])), lambda a, b: [a[1] + b[1], a[2] + (a[1] + b[1]) ** 2])[2] AS ss FROM ku{level})
+, kz{level + 1} AS (SELECT nazwa_kasy, measure, sd, CASE WHEN go THEN d + 1 ELSE d END AS d, go AS open,
+                  CASE WHEN go THEN list_transform(range(1, len(z)), lambda i: z[i + 1] - z[i]) ELSE z END AS z
+           FROM (SELECT *, open AND len(z) > 10 AND s2 > 0 AND ss / (len(z) * len(z) * s2) > 0.463 AS go FROM ks{level}) t)"""
+
+
+ORDER_SEARCH = f"""
+, ot AS (SELECT nazwa_kasy, measure, data, diff AS x, row_number() OVER w AS rn, avg(diff) OVER near AS trend, count(*) OVER near AS m
+         FROM train WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY data),
+                           near AS (PARTITION BY nazwa_kasy, measure ORDER BY data ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+, od AS (SELECT nazwa_kasy, measure, x - trend AS v, avg(x - trend) OVER (PARTITION BY nazwa_kasy, measure, rn % 7) AS season FROM ot WHERE m = 7)
+, os AS (SELECT nazwa_kasy, measure, CASE WHEN count(*) < 15 OR var_pop(v) = 0 THEN 0 WHEN 1 - var_pop(v - season) / var_pop(v) > 0.64 THEN 1 ELSE 0 END AS sd
+         FROM od GROUP BY 1, 2)
+, ol AS (SELECT nazwa_kasy, measure, list(x ORDER BY rn) AS x FROM ot GROUP BY 1, 2)
+, kz0 AS (SELECT nazwa_kasy, measure, sd, 0 AS d, true AS open,
+                 CASE WHEN sd = 1 THEN list_transform(range(1, len(x) - 6), lambda i: x[i + 7] - x[i]) ELSE x END AS z FROM ol JOIN os USING (nazwa_kasy, measure))
+{_kpss(0)}{_kpss(1)}
+, zr AS (SELECT nazwa_kasy, measure, sd, d, unnest(z) AS x, unnest(range(1, len(z) + 1)) AS rn FROM kz2)
+, lx AS (SELECT nazwa_kasy, measure, rn, x, [x, {_X28}] AS v FROM zr WINDOW w AS (PARTITION BY nazwa_kasy, measure ORDER BY rn))
+, g1 AS (SELECT nazwa_kasy, measure, a.i, b.j, sum(v[a.i] * v[b.j]) AS g
+         FROM lx, range(1, 30) AS a(i), range(1, 30) AS b(j) WHERE v[29] IS NOT NULL GROUP BY 1, 2, 3, 4)
+{_solve("s1", "g1", 28)}
+, le AS (SELECT nazwa_kasy, measure, list(x ORDER BY rn) AS x, list(CASE WHEN v[29] IS NOT NULL THEN x - list_dot_product(b, v[2:29]) ELSE 0.0 END ORDER BY rn) AS e
+         FROM lx JOIN s1_x USING (nazwa_kasy, measure) GROUP BY 1, 2)
+, lc AS (SELECT nazwa_kasy, measure, len(x) - 47 AS n, list_concat([x[48:]],
+             list_concat(list_transform({_SL}, lambda k: x[48 - k:len(x) - k]), list_transform({_SL}, lambda k: e[48 - k:len(x) - k]))) AS c FROM le)
+, lg AS (SELECT nazwa_kasy, measure, n, {_GRAM} AS g FROM lc)
+, lk AS (SELECT nazwa_kasy, measure, n, p, q, sp, sq, terms, len(cols) AS pivots,
+                list_transform(list_append(cols, 1), lambda a: list_transform(list_append(cols, 1), lambda b: g[a][b])) AS g
+         FROM lg, (VALUES {_CAND_ROWS}) AS c(p, q, sp, sq, cols, terms))
+{_eliminate("lq", "lk", "n, p, q, sp, sq, terms,")}
+, lb AS (SELECT nazwa_kasy, measure, n, p, q, sp, sq, terms, pivots, n * ln(g[-1][-1] / n) + 2.0 * pivots AS aic,
+                count(*) OVER (PARTITION BY nazwa_kasy, measure) AS tried FROM lq WHERE k = pivots)
+, lw AS (SELECT * FROM lb QUALIFY row_number() OVER (PARTITION BY nazwa_kasy, measure ORDER BY aic, pivots, p, q, sp, sq) = 1)
+"""
+rec_sql("order_search", ORDER_SEARCH + """SELECT nazwa_kasy, measure, p, CAST(d AS INTEGER) AS d, q, sp, CAST(sd AS INTEGER) AS sd, sq, 7 AS s, round(aic, 4) AS aic,
+  CAST(pivots AS INTEGER) AS n_params, CAST(tried AS INTEGER) AS n_candidates, terms FROM lw JOIN kz2 USING (nazwa_kasy, measure)""")
+rec_sql("order_search_terms", ORDER_SEARCH + """
+, jg AS (SELECT lk.nazwa_kasy, lk.measure, lk.terms, lk.pivots, lk.g FROM lk JOIN lw USING (nazwa_kasy, measure, p, q, sp, sq) WHERE lk.pivots > 0)
+, je AS (
+    SELECT nazwa_kasy, measure, terms, pivots, 0 AS k, g FROM jg
+    UNION ALL
+    SELECT nazwa_kasy, measure, terms, pivots, k + 1, list_transform(g, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+             ELSE list_transform(r, lambda x, j: x - r[k + 1] * g[k + 1][j] / g[k + 1][k + 1]) END)
+    FROM je WHERE k < pivots)
+SELECT nazwa_kasy, measure, unnest(string_split(terms, ',')) AS term,
+  unnest(list_transform(g[:pivots], lambda r: round(r[-1], 5) + 0.0)) AS coef FROM je WHERE k = pivots""")

@@ -31,7 +31,7 @@ from kasaflow.operators.deadlines import deadline_calendar, dense_calendar
 from kasaflow.operators.enrich import enrich
 from kasaflow.operators.forecast import seasonal_ma_forecast
 from kasaflow.operators.lagreg import forecast_from_rows, order_search, stage1_fit, stage_rows
-from kasaflow.operators.sarma import FULL, SEASONAL, exact_fit, product_fit
+from kasaflow.operators.sarma import FULL, SEASONAL, exact_fit, order_search_refit, product_fit
 from kasaflow.operators.series import series_diff, series_long, train_series, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
@@ -210,6 +210,12 @@ class CashWorkspace:
         """Exact-likelihood fit and forecast of the (2,0,2)(2,0,1,7) model; one row a series."""
         return self._stage("exactfull", lambda: exact_fit(self.series, FULL, "diff", self.factors))
 
+    @property
+    def order_refit(self) -> DataFrame:
+        """Stepwise order search with the chosen model's exact likelihood; one row a series."""
+        return self._stage("orderrefit", lambda: order_search_refit(
+            self.series, write=lambda df, name: self._stage(name, lambda: df)))
+
     @property
     def order_search(self) -> DataFrame:
         return self._stage("orders", lambda: order_search(

@@ -142,7 +142,8 @@ def test_gauss_newton_equals_a_search_over_the_rows():
     x, ssr = sarma.gauss_newton(G, np.zeros(7))
 
     def rows(points, _):
-        return np.array([((X[:, 0] - X[:, 1:14] @ b) ** 2).mean() for b in sarma._lag_coefficients(arma.coefficients(sarma.FULL, points))])
+        return np.array([((X[:, 0] - X[:, 1:14] @ b) ** 2).mean()
+                         for b in sarma._lag_coefficients(sarma.FULL, arma.coefficients(sarma.FULL, points), AR_LAGS, MA_LAGS)])
     best, _ = arma.minimise(rows, x[None].copy())
     assert np.allclose(best[0], x, atol=2e-4) and ssr >= ols_from_gram(G, 0, list(range(1, 14)))[1]
 
@@ -199,3 +200,67 @@ def test_factors_of_every_series_and_their_residual_sums(spark):
     for coefs in by_series.values():
         phi, theta = arma.expand(sarma.FULL, np.array([[coefs[n] for n in sarma.FULL.names()]]))
         assert np.abs(np.roots(np.r_[1, -phi[0]])).max() < 1 and np.abs(np.roots(np.r_[1, theta[0]])).max() < 1
+
+
+# ---- order search with refit -----------------------------------------------------------------------
+
+def test_seasonal_root_regression():
+    rng = np.random.default_rng(10)
+    assert sarma.root_point(12) == pytest.approx(-1.803, abs=2e-3)  # the published curve at monthly data
+    noise = [sarma.seasonal_root(rng.normal(size=400)) for _ in range(100)]
+    walks = [sarma.seasonal_root(undifference(rng.normal(size=(1, 400)), 0, 1, 7)[0]) for _ in range(100)]
+    assert np.mean(np.array(noise) < sarma.root_point()) == 1.0
+    assert np.mean(np.array(walks) > sarma.root_point()) > 0.9
+    x = rng.normal(size=300)
+    d1, ds = np.diff(x), x[7:] - x[:-7]
+    w = np.diff(ds)
+    X = np.array([[w[i - 1], w[i - 2], w[i - 3], ds[i], d1[i]] for i in range(3, len(w))])
+    beta, ssr = np.linalg.lstsq(X, w[3:], rcond=None)[:2]
+    se = np.sqrt(ssr[0] / (len(X) - 5) * np.linalg.inv(X.T @ X)[4, 4])
+    assert sarma.seasonal_root(x) == pytest.approx(beta[4] / se)
+    x[5] = np.nan
+    assert np.isfinite(sarma.seasonal_root(x)) and np.isnan(sarma.seasonal_root(x[:20]))
+
+
+def test_neighbours_stay_within_the_limits():
+    assert set(sarma.neighbours((0, 0, 0, 0))) == {(1, 0, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 1, 1)}
+    assert all(sum(o) <= 5 and o != (3, 2, 0, 0) for o in sarma.neighbours((3, 2, 0, 0)))
+
+
+def test_order_search_finds_planted_orders(spark):
+    planted = {"ar": (Orders(1, 0, 0), [0.7]), "ma": (Orders(0, 0, 1), [0.6]), "sma": (Orders(0, 0, 0, 0, 0, 1, 7), [-0.6]),
+               "sar": (Orders(1, 0, 0, 1, 0, 0, 7), [0.5, 0.6]), "noise": (Orders(0, 0, 0), [])}
+    n, rows = 900, []
+    for k, (name, (orders, coefs)) in enumerate(planted.items()):
+        x = simulate(orders, coefs, 1, n, 20 + k)[0] if coefs else np.random.default_rng(30).normal(size=n)
+        rows += [(name, "m", t, float(v)) for t, v in enumerate(np.cumsum(x))]
+    walk = undifference(simulate(Orders(0, 0, 0, 0, 0, 1, 7), [-0.4], 1, n, 40), 0, 1, 7)[0]
+    rows += [("weekroot", "m", t, float(v)) for t, v in enumerate(np.cumsum(walk))]
+    rows += [("gaps", "m", t, None if t % 211 == 5 else float(v)) for t, v in enumerate(np.cumsum(simulate(*planted["ar"], 1, n, 50)[0]))]
+    rows += [("flat", "m", t, 1.0) for t in range(n)] + [("short", "m", t, float(t % 3)) for t in range(20)]
+    df = spark.createDataFrame(rows, "nazwa_kasy string, measure string, t int, value double")
+    split = train_test_split(series_diff(df.select(*KEYS, F.date_add(F.lit("2020-01-01").cast("date"), "t").alias("Data"), "value")))
+    got = {r.nazwa_kasy: r for r in sarma.order_search_refit(split).collect()}
+    assert set(got) == {*planted, "weekroot", "gaps"}
+    for name, (orders, coefs) in planted.items():
+        r = got[name]
+        assert (r.d, r.sd) == (0, 0) and r.settled and 4 <= r.n_tried <= 96, name
+        z = np.array([v.x for v in _train(split, name)])
+        own = arma.fit(z[None], orders)["aic"][0]
+        assert r.aic <= own + 4, name        # as good as the planted orders
+        assert r.p >= orders.p or r.q > 0, name
+    assert (got["ar"].p, got["ar"].sp + got["ar"].sq) >= (1, 0) and got["sma"].sq + got["sma"].sp >= 1 and got["sar"].sp >= 1
+    assert got["weekroot"].sd == 1 and got["weekroot"].sq >= 1
+    assert got["gaps"].nobs < got["ar"].nobs and abs(got["gaps"].coef[0] - 0.7) < 0.1 and got["gaps"].p >= 1
+
+
+def _train(split, name):
+    from kasaflow.operators.series import train_series
+    return train_series(split).where(F.col("nazwa_kasy") == name).select("rn", F.col("diff").alias("x")).orderBy("rn").collect()
+
+
+def test_missing_values_are_left_out_of_the_gram_matrix(spark):
+    from kasaflow.operators.gram import gram_rows, matrix_from_rows
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 5.0), ("a", 3.0, 1.0)], "k string, x double, y double")
+    rows = gram_rows(df, ["k"], ["x", "y"]).collect()
+    assert matrix_from_rows([r.i for r in rows], [r.g for r in rows]).tolist() == [[10.0, 5.0], [5.0, 5.0]]
