@@ -18,11 +18,16 @@ one explode and one grouped shuffle keyed by date (at most 7 entries per
 group). Due and eve tags are then row expressions over that
 map. Everything is keyed by date, so the work partitions, and a calendar key
 (branch, country) could be added to the grouping key.
+
+By rows (``by="rows"``): a calendar with gaps can also be rolled over its rows, as
+a lag over the ordered dates does: "x-1" is then the row before, whatever its
+date. Rows get a number over the whole calendar without one task that sorts it:
+they are numbered within each month and shifted by the rows of earlier months.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kasaflow.functions.constants import DAY_OFF, DEADLINE_DAYS, ROLL_DEPTH, WORKING_DAY
@@ -68,75 +73,89 @@ def next_day_flag(cal: DataFrame) -> DataFrame:
             .select("data1", "dzien_wolny", "next_dzien_wolny"))
 
 
-def _ahead_flags(cal: DataFrame, span: int) -> DataFrame:
-    """(data1, dzien_wolny, ahead): ``ahead`` = (k, flag) entries of the days
+def row_numbers(cal: DataFrame) -> DataFrame:
+    """``cal`` with ``pos``, the number of each row by date (equal dates by flag, NULL first). A month is sorted by
+    itself; only the months' row counts meet in one row."""
+    month = F.trunc("data1", "MM")
+    own = Window.partitionBy("_month").orderBy("data1", "dzien_wolny")
+    rows = cal.withColumn("_month", month).withColumn("_at", F.row_number().over(own))
+    counts = cal.groupBy(month.alias("_month")).agg(F.count("*").alias("n"))
+    total = F.sort_array(F.collect_list(F.struct("_month", "n")))
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<struct<_month:date,before:bigint>>").alias("out"))
+    summed = F.aggregate(total, start, lambda acc, m: F.struct(
+        (acc["before"] + m["n"]).alias("before"), F.array_append(acc["out"], F.struct(m["_month"], acc["before"].alias("before"))).alias("out")))
+    offsets = counts.agg(summed["out"].alias("o")).select(F.explode("o").alias("o")).select("o.*")
+    return rows.join(offsets, "_month").withColumn("pos", F.col("before") + F.col("_at")).drop("_month", "_at", "before")
+
+
+def _ahead_flags(cal: DataFrame, span: int, by: str = "date") -> DataFrame:
+    """(data1, dzien_wolny, ahead): ``ahead`` = (k, flag, day of the month) entries of the days (or rows)
     k = 0..span later. One explode and one grouped shuffle; a group holds
     span + 1 entries (more only if a date carries several flags). Each of the
     day's own rows (k = 0) is kept, so a date with two flags yields two rows,
     like a join on the date would."""
     k = F.explode(F.sequence(F.lit(0), F.lit(span))).alias("k")
-    spread = cal.select("data1", "dzien_wolny", k)
-    keyed = spread.select(F.date_sub("data1", F.col("k")).alias("day"), "k", "dzien_wolny")
-    grouped = keyed.groupBy("day").agg(F.collect_list(F.struct("k", "dzien_wolny")).alias("ahead"))
+    if by == "rows":
+        spread = row_numbers(cal).select("data1", "dzien_wolny", "pos", k)
+        key = F.col("pos") - F.col("k")
+    else:
+        spread = cal.select("data1", "dzien_wolny", k)
+        key = F.date_sub("data1", F.col("k"))
+    entry = F.struct("k", "dzien_wolny", F.dayofmonth("data1").alias("dom"), "data1")
+    grouped = spread.groupBy(key.alias("at")).agg(F.collect_list(entry).alias("ahead"))
     own = F.explode(F.filter("ahead", lambda e: e["k"] == 0)).alias("own")
-    return (grouped.select("day", "ahead", own)
-            .select(F.col("day").alias("data1"), F.col("own.dzien_wolny").alias("dzien_wolny"), "ahead"))
+    return (grouped.select("ahead", own)
+            .select(F.col("own.data1").alias("data1"), F.col("own.dzien_wolny").alias("dzien_wolny"), "ahead"))
 
 
 def _lookahead_sql(span: int) -> list[str]:
-    """f<k> = flag of day + k, x<k> = day + k is in the calendar (k = 1..span)."""
+    """f<k> = flag of day + k, m<k> = its day of the month (NULL where the calendar has no such day) (k = 1..span)."""
     out = []
     for k in range(1, span + 1):
         out.append(f"try_element_at(filter(ahead, e -> e.k = {k}), 1).dzien_wolny AS f{k}")
-        out.append(f"exists(ahead, e -> e.k = {k}) AS x{k}")
+        out.append(f"try_element_at(filter(ahead, e -> e.k = {k}), 1).dom AS m{k}")
     return out
 
 
-def _flag_sql(k: int) -> str:
-    return "dzien_wolny" if k == 0 else f"f{k}"
-
-
-def _candidate_sql(conds: list[str], nominal_offset: int, suffix: str) -> str:
-    dom = f"dayofmonth(date_add(data1, {nominal_offset}))"
-    days = ", ".join(str(d) for d in DEADLINE_DAYS)
-    exists = [] if nominal_offset == 0 else [f"x{nominal_offset}"]
-    cond = " AND ".join(conds + exists + [f"{dom} IN ({days})"])
-    return (f"CASE WHEN coalesce({cond}, false) THEN named_struct('n', {dom}, "
-            f"'tag', concat('T', CAST({dom} AS STRING), '{suffix}')) END")
-
-
-def _labels_sql(candidates: list[str]) -> str:
-    """Non-NULL (n, tag) candidates ordered by n -> array of tags."""
-    return f"transform(array_sort(filter(array({', '.join(candidates)}), c -> c IS NOT NULL)), c -> c.tag)"
+def _due_sql(j: int, depth: int) -> str:
+    """Nominal days that are due on the day (or row) j later: it works, and only days off lie between."""
+    def at(prefix: str, i: int) -> str:
+        own = {"f": "dzien_wolny", "m": "dayofmonth(data1)"}
+        return own[prefix] if i == 0 else f"{prefix}{i}"
+    days = ", ".join(map(str, DEADLINE_DAYS))
+    cases = []
+    for k in range(depth + 1):
+        conds = [f"{at('f', j)} = '{WORKING_DAY}'", *[f"{at('f', j + i)} = '{DAY_OFF}'" for i in range(1, k + 1)],
+                 f"{at('m', j + k)} IN ({days})"]
+        cases.append(f"CASE WHEN {' AND '.join(conds)} THEN {at('m', j + k)} END")
+    return f"array_sort(array_distinct(filter(array({', '.join(cases)}), n -> n IS NOT NULL)))"
 
 
-def deadline_calendar(cal: DataFrame) -> DataFrame:
+def deadline_calendar(cal: DataFrame, by: str = "date") -> DataFrame:
     """(data1, dzien_wolny, wyk_term, razemD_1, Terminy, tags) for every calendar date.
 
     With f(i) the flag i days after day d:
     * d is the due day of nominal day d+k (k = 0..3) iff f(0) = 'D' and
       f(1..k) are all 'DW';
     * d is the eve of due day d+j (j = 1..3) iff f(0) = 'D', f(1..j-1) are
-      'DW' and d+j is a due day (of nominal day d+j+k).
+      'DW' and d+j is the due day of one nominal day (rows of a calendar with
+      gaps can be due for two: such a label matches none, and has no eve).
     A missing day or a flag other than D/DW ends a search, as does a fourth
     day off. The expressions are generated as SQL text (one call to build the
     projection instead of hundreds of Column objects).
     """
     depth = ROLL_DEPTH
-    ahead = _ahead_flags(cal.select("data1", "dzien_wolny"), 2 * depth)
+    ahead = _ahead_flags(cal.select("data1", "dzien_wolny"), 2 * depth, by)
     ahead = ahead.selectExpr("data1", "dzien_wolny", *_lookahead_sql(2 * depth))
-    work, off = f"'{WORKING_DAY}'", f"'{DAY_OFF}'"
-
-    def all_off(first: int, last: int) -> list[str]:
-        return [f"{_flag_sql(i)} = {off}" for i in range(first, last + 1)]
-
-    due = [_candidate_sql([f"dzien_wolny = {work}"] + all_off(1, k), k, "")
-           for k in range(0, depth + 1)]
-    eve = [_candidate_sql([f"dzien_wolny = {work}"] + all_off(1, j - 1) + [f"{_flag_sql(j)} = {work}"]
-                          + all_off(j + 1, j + k), j + k, "D-1")
-           for j in range(1, depth + 1) for k in range(0, depth + 1)]
-    out = ahead.selectExpr("data1", "dzien_wolny", f"{_labels_sql(due)} AS due_tags",
-                           f"{_labels_sql(eve)} AS eve_tags")
+    due = ahead.selectExpr("data1", "dzien_wolny", *[f"f{j}" for j in range(1, depth + 1)],
+                           *[f"{_due_sql(j, depth)} AS due{j}" for j in range(depth + 1)])
+    eve = []
+    for j in range(1, depth + 1):
+        conds = [f"dzien_wolny = '{WORKING_DAY}'", *[f"f{i} = '{DAY_OFF}'" for i in range(1, j)], f"size(due{j}) = 1"]
+        eve.append(f"CASE WHEN {' AND '.join(conds)} THEN due{j}[0] END")
+    eves = f"array_sort(array_distinct(filter(array({', '.join(eve)}), n -> n IS NOT NULL)))"
+    out = due.selectExpr("data1", "dzien_wolny", "transform(due0, n -> concat('T', n)) AS due_tags",
+                         f"transform({eves}, n -> concat('T', n, 'D-1')) AS eve_tags")
     return out.selectExpr("data1", "dzien_wolny",
                           "array_join(due_tags, ';') AS wyk_term",
                           "array_join(eve_tags, ';') AS razemD_1",

@@ -147,6 +147,13 @@ def q_deadline_calendar(spark, sf_dir):
     return lower(cal.select("data1", "dzien_wolny", "Terminy"))
 
 
+@register("deadline_calendar_rows")
+def q_deadline_calendar_rows(spark, sf_dir):
+    """The calendar of the fact's own dates (with its gaps), rolled over rows as the notebook's lags do."""
+    cal = deadlines.deadline_calendar(deadlines.calendar_from_fact(workspace(spark, sf_dir).fact), by="rows")
+    return cal.select("data1", "dzien_wolny", F.col("Terminy").alias("terminy"))
+
+
 @register("deadline_enrich")
 def q_deadline_enrich(spark, sf_dir):
     ws = workspace(spark, sf_dir)

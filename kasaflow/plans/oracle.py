@@ -163,6 +163,24 @@ sql("deadline_nominal", """SELECT data1, dzien_wolny,
 sql("deadline_due", "SELECT data1, dzien_wolny, wyk_term FROM calendar")
 sql("deadline_eve", "SELECT data1, dzien_wolny, razemd_1 FROM calendar")
 sql("deadline_calendar", "SELECT data1, dzien_wolny, terminy FROM calendar")
+_ROW_DAYS = "[" + ", ".join(["1", "5", "10", "15", "20", "25"]) + "]"
+
+
+def _row_due(j: int) -> str:
+    cases = [f"CASE WHEN f[{j + 1}] = 'D' AND len(list_filter(f[{j + 2}:{j + k + 1}], lambda x: x = 'DW')) = {k} "
+             f"AND list_contains({_ROW_DAYS}, m[{j + k + 1}]) THEN m[{j + k + 1}] END" for k in range(4)]
+    return f"list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)))"
+
+
+_ROW_EVES = ", ".join(f"CASE WHEN f[1] = 'D' AND len(list_filter(f[2:{j}], lambda x: x = 'DW')) = {j - 1} AND len(d{j}) = 1 THEN d{j}[1] END"
+                      for j in (1, 2, 3))
+sql("deadline_calendar_rows", f"""SELECT data1, dzien_wolny, array_to_string(list_transform(d0, lambda n: 'T' || n), ';')
+    || array_to_string(list_transform(list_sort(list_distinct(list_filter([{_ROW_EVES}], lambda x: x IS NOT NULL))), lambda n: 'T' || n || 'D-1'), ';') AS terminy
+  FROM (SELECT *, {", ".join(f"{_row_due(j)} AS d{j}" for j in range(4))} FROM (
+    SELECT data1, dzien_wolny, [{", ".join(f"lead(dzien_wolny, {k}) OVER w" for k in range(7))}] AS f,
+           [{", ".join(f"lead(day(data1), {k}) OVER w" for k in range(7))}] AS m
+    FROM (SELECT DISTINCT data AS data1, dzien_wolny FROM fact) c
+    WINDOW w AS (ORDER BY data1, dzien_wolny NULLS FIRST)) a) b""")
 sql("deadline_enrich", f"""SELECT f.data, f.nazwa_kasy, f.dzien_wolny, {", ".join("f." + m.lower() for m in MEASURES)}, c.terminy
   FROM fact f JOIN calendar c ON f.data = c.data1""")
 sql("monthly_sums", "SELECT miesiac_rok, " + ", ".join(

@@ -176,3 +176,45 @@ def test_month_crossing_roll(spark):
     assert t["2022-04-29"] == "T1"
     assert t["2022-04-28"] == "T1D-1"
     assert t["2022-05-05"] == "T5" and t["2022-05-04"] == "T5D-1"
+
+
+# ---- rolled over rows -------------------------------------------------------------
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(min_value=0, max_value=10_000), st.floats(min_value=0.1, max_value=0.7), st.floats(min_value=0.0, max_value=0.8))
+def test_rows_equal_the_lag_chain_on_calendars_with_gaps(spark, seed, p_off, p_gap):
+    rnd = random.Random(seed)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(300) if rnd.random() >= p_gap]
+    flags = [rnd.choice(["DW"] if rnd.random() < p_off else ["D"]) for _ in days]
+    if days and rnd.random() < 0.3:
+        flags[rnd.randrange(len(flags))] = None
+    rows = list(zip(days, flags))
+    rnd.shuffle(rows)
+    cal = spark.createDataFrame(rows, "data1 date, dzien_wolny string").repartition(5)
+    got = {r.data1: r.Terminy for r in DL.deadline_calendar(cal, by="rows").collect()}
+    assert [got[d] for d in days] == lag_chain_oracle(days, flags)
+
+
+def test_rows_and_dates_agree_without_gaps(spark):
+    cal = DL.dense_calendar(spark.sql("SELECT explode(array(DATE'1999-03-01', DATE'2004-09-30')) AS Data")
+                            .withColumn("dzien_wolny", binding_day_flag(F.col("Data"))))
+    by = [sorted(map(tuple, DL.deadline_calendar(cal, by=b).select("data1", "Terminy").collect())) for b in ("date", "rows")]
+    assert by[0] == by[1] and len(by[0]) == 2041
+
+
+def test_row_numbers_run_over_the_whole_calendar_without_one_task(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=3 * i) for i in range(500)]
+    cal = spark.createDataFrame([(d, "D") for d in days] + [(days[7], None)], "data1 date, dzien_wolny string").repartition(7)
+    numbered = DL.row_numbers(cal)
+    rows = sorted((r.pos, r.data1, r.dzien_wolny) for r in numbered.collect())
+    assert [p for p, _, _ in rows] == list(range(1, 502)) and [d for _, d, _ in rows] == sorted([*days, days[7]])
+    assert rows[7][2] is None and rows[8][2] == "D"
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert not any("SinglePartition" in line and "Window" in plan.splitlines()[max(0, i - 2)] for i, line in enumerate(plan.splitlines()))
+
+
+def test_a_row_due_for_two_days_has_no_eve(spark):
+    rows = [(dt.date(2024, 1, 3), "D"), (dt.date(2024, 1, 4), "D"), (dt.date(2024, 1, 5), "DW"), (dt.date(2024, 1, 10), "DW"), (dt.date(2024, 1, 11), "D")]
+    cal = spark.createDataFrame(rows, "data1 date, dzien_wolny string")
+    got = {r.data1.day: (r.Terminy, r.tags) for r in DL.deadline_calendar(cal, by="rows").collect()}
+    assert got[4] == ("T5;T10", ["T5", "T10"]) and got[3] == ("", [])
