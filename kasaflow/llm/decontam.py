@@ -15,18 +15,20 @@ nothing: d edits destroy at most 3 * d of an item's n - 2 word triples, so a
 window with fewer than n - 2 - 3 * d of the benchmark's word triples holds no
 match (for short items: pairs, n - 1 - 2 * d).
 
-The benchmark is a reference set: blocks of ITEMS_AT_ONCE items (a bounded
-size) are broadcast one after the other and every document meets each block;
-documents never shuffle.
+The benchmark is a reference set. Items of equal words are one in the index and
+get their own rows at the end. Blocks of about ITEMS_AT_ONCE items and
+ITEM_BYTES of text are broadcast, BLOCKS_AT_ONCE of them for one pass over the
+documents (each text is split and hashed once a pass); with more blocks, every
+pass is written before the next. Documents never shuffle.
 
 Words are runs of letters and digits, as ever ending at punctuation, also beyond
 ASCII; in scripts written without spaces each character is a word.
 
 Defined cases: items that are NULL or have no words match nothing; items of
 fewer than MIN_WORDS words match exactly, anywhere in a text, and items without
-an id match like others, under a NULL id (``with_leaks`` without
-``every_item``: short items match only documents of exactly those words, items
-without an id nothing); NULL, empty and short texts simply hold no long window; texts of any length
+an id match like others, under a NULL id (``every_item=False`` asks for less:
+short items then match only documents of exactly those words, items without an
+id nothing); NULL, empty and short texts simply hold no long window; texts of any length
 are read whole; repeated rows are treated alike; an empty benchmark leaves
 every document clean; other columns are carried by ``with_leaks``.
 """
@@ -42,14 +44,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasaflow.llm.common import table
+from kasaflow.llm.common import table, written
 from kasaflow.llm.textarrays import SALTS, WORD_BYTES, Flat, as_bytes, mix64, slices
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
 REPEATS, SAMPLES = 16, 2      # two steps that agree with probability 0.4 each: recall 0.94; measured: tests/llm
 CLASS_RATIO = 1.25            # of the lengths that share walks
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE, ITEM_BYTES = 20_000, 16 << 20
+BLOCKS_AT_ONCE = 4
 VERIFY_AT_ONCE = 2_000
 
 
@@ -167,7 +170,13 @@ class Benchmark:
         self.words = flat.hashes(starts, ends)
         owner = flat.owner(starts)
         n = np.bincount(owner, minlength=len(raw))
-        self.ids, self.n, self.first = ids, n, np.cumsum(n) - n
+        self.n, self.first = n, np.cumsum(n) - n
+        self.names: dict[int, list] = {}                      # of each item that stands for those of its words
+        of: dict[bytes, int] = {}
+        for i in np.flatnonzero(n).tolist():
+            k = of.setdefault(self.words[self.first[i]:self.first[i] + n[i]].tobytes(), i)
+            self.names.setdefault(k, []).append(ids[i])
+        n = np.where(np.isin(np.arange(len(raw)), list(self.names)), n, 0)
         self.whole, self.short = {}, []
         for size in range(1, MIN_WORDS) if short_anywhere else ():
             items = np.flatnonzero(n == size)
@@ -222,107 +231,130 @@ def distances(bench: Benchmark, items: np.ndarray, words: np.ndarray, lo: np.nda
     return best, lo + end
 
 
-def leaks(bench: Benchmark, texts: list) -> list[list[tuple[int, int, int, int]]]:
+class Words:
+    """Some texts as hashes of their words."""
+
+    def __init__(self, raw: list[bytes]):
+        flat = Flat(raw)
+        starts, ends = flat.runs(WORD_BYTES)
+        self.words = flat.hashes(starts, ends)
+        self.owner = flat.owner(starts)
+        self.n = np.bincount(self.owner, minlength=flat.n)
+        self.first = np.cumsum(self.n) - self.n
+        self.stop = self.first + self.n
+
+
+def leaks(bench: Benchmark | list[Benchmark], texts: list) -> list[list[tuple[int, int, int, int]]]:
     """For each text its (item_id, distance, item's words, word at which the match ends), one for each item."""
     out: list[list] = [[] for _ in texts]
     raw = [spaced(t) for t in texts]
     for a, b in slices(raw):
-        flat = Flat(raw[a:b])
-        starts, ends = flat.runs(WORD_BYTES)
-        words = flat.hashes(starts, ends)
-        owner = flat.owner(starts)
-        n_words = np.bincount(owner, minlength=flat.n)
-        first = np.cumsum(n_words) - n_words
-        stop = first + n_words
-        if bench.whole:
-            for i in np.flatnonzero((n_words > 0) & (n_words < MIN_WORDS)):
-                for k in bench.whole.get(words[first[i]:stop[i]].tobytes(), ()):
-                    out[a + i].append((bench.ids[k], 0, int(bench.n[k]), int(n_words[i])))
-        for size, keys, same in bench.short:
-            if len(words) < size:
-                continue
-            g = grams_of(words, size)
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            hit = np.flatnonzero((keys[at] == g) & (owner[size - 1:] == owner[:len(g)]))
-            _, one = np.unique(owner[hit] * len(keys) + at[hit], return_index=True)  # the first place in each text
-            for p in hit[one].tolist():
-                d = int(owner[p])
-                out[a + d] += [(bench.ids[k], 0, size, int(p + size - first[d])) for k in same[at[p]]]
-        if len(words) < MIN_WORDS or not bench.classes:
-            continue
-        before = {g: bench.grams[g].before(words, owner) for g in {c["gram"] for c in bench.classes}}
-        found = set()
-        for c in bench.classes:
-            # a stretch of ``span`` words holds span - gram + 1 n-grams; it may end with the text
-            hits = before[c["gram"]]
-            upto = np.maximum(np.minimum(np.arange(len(words)) + c["span"], stop[owner]) - c["gram"] + 1, 0)
-            start = np.flatnonzero(hits[upto] - hits[:-1] >= c["need"])
-            if not len(start):
-                continue
-            for r in range(REPEATS):
-                key = c["walks"].keys(words, start, stop[owner[start]], r)
-                lo, hi = np.searchsorted(c["keys"][r], key, "left"), np.searchsorted(c["keys"][r], key, "right")
-                for s in np.flatnonzero(hi > lo):
-                    found.update((int(owner[start[s]]), int(k), int(start[s])) for k in c["items"][r][lo[s]:hi[s]])
-        # neighbouring windows of one item are verified together
-        todo, last = [], None
-        for d, k, s in sorted(found):
-            e = int(edits(bench.n[k]))
-            if last is not None and last[0] == d and last[1] == k and s - last[2] <= max(e, 1) and s - todo[-1][2] <= 4 * max(e, 1):
-                todo[-1][3] = s
-            else:
-                todo.append([d, k, s, s])
-            last = (d, k, s)
-        best: dict = {}
-        for v in range(0, len(todo), VERIFY_AT_ONCE):
-            part = np.array(todo[v:v + VERIFY_AT_ONCE], np.int64)
-            d, k = part[:, 0], part[:, 1]
-            e = edits(bench.n[k])
-            lo = np.maximum(part[:, 2] - e, first[d])
-            hi = np.minimum(part[:, 3] + bench.n[k] + e, stop[d])
-            dist, end = distances(bench, k, words, lo, hi)
-            for i in np.flatnonzero(dist <= e):
-                new = (int(dist[i]), int(end[i] - first[d[i]]))
-                key = (int(d[i]), int(k[i]))
-                best[key] = min(best.get(key, new), new)
-        for (d, k), (dist, end) in sorted(best.items()):
-            out[a + d].append((bench.ids[k], dist, int(bench.n[k]), end))
+        held = Words(raw[a:b])
+        for one in bench if isinstance(bench, list) else [bench]:
+            _leaks_of(one, held, out, a)
     return out
 
 
+def _leaks_of(bench: Benchmark, held: Words, out: list[list], a: int) -> None:
+    words, owner, n_words, first, stop = held.words, held.owner, held.n, held.first, held.stop
+
+    def add(d: int, k: int, dist: int, size: int, end: int) -> None:
+        out[a + d] += [(name, dist, size, end) for name in bench.names[k]]
+
+    for i in np.flatnonzero((n_words > 0) & (n_words < MIN_WORDS)) if bench.whole else ():
+        for k in bench.whole.get(words[first[i]:stop[i]].tobytes(), ()):
+            add(i, k, 0, int(bench.n[k]), int(n_words[i]))
+    for size, keys, same in bench.short:
+        if len(words) < size:
+            continue
+        g = grams_of(words, size)
+        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        hit = np.flatnonzero((keys[at] == g) & (owner[size - 1:] == owner[:len(g)]))
+        _, one = np.unique(owner[hit] * len(keys) + at[hit], return_index=True)  # the first place in each text
+        for p in hit[one].tolist():
+            for k in same[at[p]]:
+                add(int(owner[p]), k, 0, size, int(p + size - first[owner[p]]))
+    if len(words) < MIN_WORDS or not bench.classes:
+        return
+    before = {g: bench.grams[g].before(words, owner) for g in {c["gram"] for c in bench.classes}}
+    found = set()
+    for c in bench.classes:
+        # a stretch of ``span`` words holds span - gram + 1 n-grams; it may end with the text
+        hits = before[c["gram"]]
+        upto = np.maximum(np.minimum(np.arange(len(words)) + c["span"], stop[owner]) - c["gram"] + 1, 0)
+        start = np.flatnonzero(hits[upto] - hits[:-1] >= c["need"])
+        if not len(start):
+            continue
+        for r in range(REPEATS):
+            key = c["walks"].keys(words, start, stop[owner[start]], r)
+            lo, hi = np.searchsorted(c["keys"][r], key, "left"), np.searchsorted(c["keys"][r], key, "right")
+            for s in np.flatnonzero(hi > lo):
+                found.update((int(owner[start[s]]), int(k), int(start[s])) for k in c["items"][r][lo[s]:hi[s]])
+    # neighbouring windows of one item are verified together
+    todo, last = [], None
+    for d, k, s in sorted(found):
+        e = int(edits(bench.n[k]))
+        if last is not None and last[0] == d and last[1] == k and s - last[2] <= max(e, 1) and s - todo[-1][2] <= 4 * max(e, 1):
+            todo[-1][3] = s
+        else:
+            todo.append([d, k, s, s])
+        last = (d, k, s)
+    best: dict = {}
+    for v in range(0, len(todo), VERIFY_AT_ONCE):
+        part = np.array(todo[v:v + VERIFY_AT_ONCE], np.int64)
+        d, k = part[:, 0], part[:, 1]
+        e = edits(bench.n[k])
+        lo = np.maximum(part[:, 2] - e, first[d])
+        hi = np.minimum(part[:, 3] + bench.n[k] + e, stop[d])
+        dist, end = distances(bench, k, words, lo, hi)
+        for i in np.flatnonzero(dist <= e):
+            new = (int(dist[i]), int(end[i] - first[d[i]]))
+            key = (int(d[i]), int(k[i]))
+            best[key] = min(best.get(key, new), new)
+    for (d, k), (dist, end) in sorted(best.items()):
+        add(d, k, dist, int(bench.n[k]), end)
+
+
 LEAK = "array<struct<item_id:long,distance:int,item_words:int,word_end:int>>"
 
 
-def _finder(shared):
+def _finder(shared: list):
     @F.pandas_udf(LEAK)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([[dict(zip(("item_id", "distance", "item_words", "word_end"), x)) for x in found]
-                             for found in leaks(shared.value, s.tolist())], index=s.index, dtype=object)
+                             for found in leaks([b.value for b in shared], s.tolist())], index=s.index, dtype=object)
     return find
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column: str = "leaks",
-               every_item: bool = False) -> DataFrame:
-    """``docs`` and an array of the benchmark items that each row's text holds; with ``every_item`` also
-    short items inside longer texts and items without an id."""
+               every_item: bool = True) -> DataFrame:
+    """``docs`` and an array of the benchmark items that each row's text holds: short ones and those without an
+    id too, unless ``every_item`` is False."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     if not every_item:
         items = items.where(F.col("item_id").isNotNull())
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-rows // ITEMS_AT_ONCE), -(-size // ITEM_BYTES))
     out = docs.withColumn(column, F.array().cast(LEAK))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        # a NULL apart from the number: pandas would read ids as doubles
-        block = block.select(F.coalesce("item_id", F.lit(0)).alias("item_id"), F.col("item_id").isNull().alias("nameless"), "text").toPandas()
-        ids = [None if x else int(i) for i, x in zip(block["item_id"], block["nameless"])]
-        shared = spark.sparkContext.broadcast(Benchmark(ids, block["text"].tolist(), every_item))
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        shared = []
+        for k in range(first, min(first + BLOCKS_AT_ONCE, blocks)):
+            block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
+            # a NULL apart from the number: pandas would read ids as doubles
+            block = block.select(F.coalesce("item_id", F.lit(0)).alias("item_id"), F.col("item_id").isNull().alias("nameless"), "text").toPandas()
+            ids = [None if x else int(i) for i, x in zip(block["item_id"], block["nameless"])]
+            shared.append(spark.sparkContext.broadcast(Benchmark(ids, block["text"].tolist(), every_item)))
         out = out.withColumn(column, F.concat(column, _finder(shared)(F.col(text))))
+        if first + BLOCKS_AT_ONCE < blocks:
+            out = written(out, "leaks-pass")
+            for b in shared:
+                b.unpersist()
     return out
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, distance, item_words, word_end): the best match of every leaked item in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_leaks(docs, table(spark, sf_dir, "benchmark"), every_item=True).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

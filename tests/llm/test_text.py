@@ -193,9 +193,11 @@ def test_odd_items_and_texts(spark):
     df = docs_of(spark, ODD_TEXTS + ["Word!", "a b c d", "a b c d e"], extra=True)
     items = spark.createDataFrame([(1, None), (2, ""), (3, "word"), (4, "A b, c d."), (None, "word"), (6, "a b c d x")],
                                   "item_id long, text string")
-    got = {r.doc_id: [x.item_id for x in r.found] for r in decontam.with_leaks(df, items, column="found").collect()}
-    assert got[3] == [3] and got[10] == [3] and got[11] == [4, 6] and got[12] == [6]
-    assert all(not v for k, v in got.items() if k not in (3, 10, 11, 12))
+    def found(**how):
+        rows = decontam.with_leaks(df, items, column="found", **how).collect()
+        return {r.doc_id: sorted((x.item_id for x in r.found), key=str) for r in rows if r.found}
+    assert found() == {3: [3, None], 10: [3, None], 11: [4, 6], 12: [4, 6]}
+    assert found(every_item=False) == {3: [3], 10: [3], 11: [4, 6], 12: [6]}
     assert decontam.with_leaks(df, items.where("false")).where("size(leaks) > 0").count() == 0
     assert decontam.with_leaks(df.where("false"), items).count() == 0
 
@@ -310,3 +312,61 @@ def test_long_units_are_not_kept(pieces):
     cache = {}
     token_counts.count_tokens(["x" * 10_000 + " word"], pieces[0], cache)
     assert all(len(u) <= token_counts.CACHE_LETTERS for u in cache) and " word" in cache
+
+
+# ---- benchmark items: equal ones, blocks, recall by length -------------------------------------------
+
+def test_equal_items_cost_what_one_does_and_all_get_their_rows():
+    import time
+    rng = random.Random(21)
+    passage = " ".join(f"w{rng.randint(0, 500)}" for _ in range(25))
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(300)) + " " + passage for _ in range(5)]
+    one = decontam.Benchmark([0], [passage])
+    many = decontam.Benchmark(list(range(20_000)), [passage] * 10_000 + [passage.upper() + "!"] * 10_000)
+    start = time.time()
+    want = decontam.leaks(one, texts)
+    single = time.time() - start
+    start = time.time()
+    got = decontam.leaks(many, texts)
+    assert time.time() - start < 10 * single + 2
+    for w, g in zip(want, got):
+        assert len(g) == 20_000 and {x[0] for x in g} == set(range(20_000)) and {x[1:] for x in g} == {w[0][1:]}
+
+
+def test_many_blocks_and_passes_find_the_same(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [" ".join(f"w{rng.randint(0, 80)}" for _ in range(rng.choice([2, 4, 6, 9, 20]))) for _ in range(40)]
+    rows = [(None if k % 9 == 0 else k, t) for k, t in enumerate(items + items[:3])]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = docs_of(spark, ODD_TEXTS + [" ".join(rng.choices(["x", "y", *items], k=12)) for _ in range(30)])
+
+    def found():
+        got = decontam.with_leaks(docs, bench).select("doc_id", "leaks").collect()
+        return {r.doc_id: sorted(map(tuple, r.leaks), key=repr) for r in got}
+    whole = found()
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 4)
+    monkeypatch.setattr(decontam, "BLOCKS_AT_ONCE", 2)
+    assert found() == whole and sum(map(len, whole.values())) > 50
+
+
+@pytest.mark.parametrize("words", [5, 6, 7, 8, 9, 10, 11])
+def test_recall_of_short_items_with_as_many_edits_as_allowed(words):
+    rng = random.Random(words)
+    hits = n = 0
+    for _ in range(60):
+        item = [f"k{rng.randint(0, 9999)}" for _ in range(words)]
+        planted = list(item)
+        for at in rng.sample(range(words), int(decontam.edits(words))):
+            planted[at] = "changed"
+        text = " ".join([f"w{rng.randint(0, 300)}" for _ in range(60)] + planted + [f"w{rng.randint(0, 300)}" for _ in range(60)])
+        hits += bool(decontam.leaks(decontam.Benchmark([1], [" ".join(item)]), [text])[0])
+        n += 1
+    assert hits / n >= 0.9
+
+
+def test_very_long_text_with_a_passage_at_its_end():
+    rng = random.Random(23)
+    passage = " ".join(f"k{i}" for i in range(30))
+    text = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(300_000)) + " " + passage
+    found = decontam.leaks(decontam.Benchmark([7], [passage]), [text])[0]
+    assert [(x[0], x[1], x[3]) for x in found] == [(7, 0, 300_030)]
