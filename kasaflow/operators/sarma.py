@@ -244,9 +244,9 @@ def neighbours(order: tuple[int, int, int, int]) -> list[tuple[int, int, int, in
     return [o for o in found if min(o) >= 0 and max(o[:2]) <= MAX_ARMA and max(o[2:]) <= MAX_SEASONAL and sum(o) <= MAX_SUM]
 
 
-def stepwise(G: np.ndarray, n: float) -> tuple[tuple[int, int, int, int], np.ndarray, int]:
-    """(order, its coefficients, orders tried): from the best of some first tries on to better neighbours, each
-    fitted anew on its factors, by AIC; ends where no neighbour is better."""
+def stepwise(G: np.ndarray, n: float, keep: int = 3) -> tuple[list[tuple[tuple[int, int, int, int], np.ndarray]], int]:
+    """The ``keep`` best (order, coefficients) and how many were tried: from the best of some first tries on to
+    better neighbours, each fitted anew on its factors, by AIC; ends where no neighbour is better."""
     tried: dict[tuple, tuple[float, np.ndarray]] = {}
 
     def score(order: tuple) -> float:
@@ -263,17 +263,19 @@ def stepwise(G: np.ndarray, n: float) -> tuple[tuple[int, int, int, int], np.nda
     while True:
         near = min(neighbours(best), key=score)
         if score(near) >= score(best) - 1e-9:
-            return best, tried[best][1], len(tried)
+            break
         best = near
+    return [(o, tried[o][1]) for o in sorted(tried, key=lambda o: (tried[o][0], o))[:keep]], len(tried)
 
 
 def _stepwise_one(pdf: pd.DataFrame) -> pd.DataFrame:
     G = matrix_from_rows(pdf["i"], pdf["g"])
-    row = {k: pdf[k].iloc[0] for k in KEYS} | {"p": None, "q": None, "sp": None, "sq": None, "start": None, "n_tried": 0}
+    found, tried = [], 0
     if G[0, 0] > 0 and G[-1, -1] > 2 * MAX_SUM:
-        order, coefs, tried = stepwise(G, float(G[-1, -1]))
-        row |= dict(zip(("p", "q", "sp", "sq"), order)) | {"start": coefs.tolist(), "n_tried": tried}
-    return pd.DataFrame([row])
+        found, tried = stepwise(G, float(G[-1, -1]))
+    return pd.DataFrame([{k: pdf[k].iloc[0] for k in KEYS} | dict(zip(("p", "q", "sp", "sq"), order))
+                         | {"start": coefs.tolist(), "n_tried": tried} for order, coefs in found],
+                        columns=[*KEYS, "p", "q", "sp", "sq", "start", "n_tried"])
 
 
 SEARCH_SCHEMA = ("nazwa_kasy string, measure string, p int, d int, q int, sp int, sd int, sq int, s int, n_tried int, "
@@ -297,16 +299,19 @@ def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def order_search_refit(split: DataFrame, x: str = "diff", write=lambda df, name: df) -> DataFrame:
-    """Differencing by the seasonal unit-root regression and KPSS, orders by a stepwise search that fits every
-    candidate anew, and the exact likelihood of the chosen one; one row a series. Series without a Gram matrix to
-    search (too short, constant) have none."""
+    """Differencing by the seasonal unit-root regression and KPSS, then orders by a stepwise search that fits every
+    candidate anew; of its three best, the one of the lowest exact AIC; one row a series. Series without a Gram
+    matrix to search (too short, constant) have none."""
     start = train_series(split).select(*KEYS, "Data", "rn", F.col(x).alias("x"))
     z = write(start.groupBy(*KEYS).applyInPandas(differencer(has_seasonal_root), DIFFERENCED), "refit-series")
     gram = search_gram(z, write(stage1_fit(z, "x"), "refit-coef"))
     orders = gram.groupBy(*KEYS).applyInPandas(
         _stepwise_one, "nazwa_kasy string, measure string, p int, q int, sp int, sq int, start array<double>, n_tried int")
-    orders = write(orders, "refit-orders").where("p IS NOT NULL")
+    orders = write(orders, "refit-orders")
     taken = z.groupBy(*KEYS).agg(F.max("d").alias("d"), F.max("sd").alias("sd"))
     rows = series_rows(z, "x").join(orders, KEYS).join(taken, KEYS)
     tasks = int(split.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, *KEYS).mapInPandas(_refit, SEARCH_SCHEMA)
+    fits = rows.repartition(tasks, *KEYS, "p", "q", "sp", "sq").mapInPandas(_refit, SEARCH_SCHEMA)
+    names = [c for c in fits.columns if c not in KEYS]
+    lowest = F.min(F.struct("aic", "p", "q", "sp", "sq", F.struct(*names).alias("fit"))).alias("best")
+    return fits.where("aic = aic").groupBy(*KEYS).agg(lowest).select(*KEYS, "best.fit.*")
