@@ -18,6 +18,7 @@ from kasaflow.operators import deadlines, enrich, reports
 from kasaflow.plans import params as P
 from kasaflow.plans.workspace import workspace
 from kasaflow.session import ship_package
+from kasaflow.plans.publish import publish, published
 from kasaflow.sources.csv_source import bad_counts, bad_rows, read_cash_csv, scan_cash_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +168,15 @@ def q_monthly_sums(spark, sf_dir):
     return lower(reports.monthly_sums(workspace(spark, sf_dir).enriched))
 
 
+@register("monthly_sums_published")
+def q_monthly_sums_published(spark, sf_dir):
+    """The monthly totals kept as a report partitioned by year, read back from the folder."""
+    ws = workspace(spark, sf_dir)
+    rows = reports.monthly_sums(ws.enriched).withColumn("rok", F.year("miesiac_rok"))
+    publish(rows, ws.report_path("monthly"), ["rok"], "whole")
+    return lower(published(spark, ws.report_path("monthly")))
+
+
 @register("monthly_report")
 def q_monthly_report(spark, sf_dir):
     return lower(reports.monthly_report(workspace(spark, sf_dir).enriched))

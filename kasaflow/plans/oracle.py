@@ -185,6 +185,8 @@ sql("deadline_enrich", f"""SELECT f.data, f.nazwa_kasy, f.dzien_wolny, {", ".joi
   FROM fact f JOIN calendar c ON f.data = c.data1""")
 sql("monthly_sums", "SELECT miesiac_rok, " + ", ".join(
     f"round({_xsum(m)}, 2) AS {alias}" for m, alias in _MONTHLY) + " FROM enriched GROUP BY 1")
+sql("monthly_sums_published", "SELECT miesiac_rok, " + ", ".join(
+    f"round({_xsum(m)}, 2) AS {alias}" for m, alias in _MONTHLY) + ", CAST(year(miesiac_rok) AS INTEGER) AS rok FROM enriched GROUP BY 1")
 sql("monthly_report", "SELECT miesiac_rok, " + ", ".join(
     f"format('{{:,.2f}}', round({_xsum(m)}, 2)) AS {alias}" for m, alias in _MONTHLY)
     + " FROM enriched GROUP BY 1")

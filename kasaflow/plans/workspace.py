@@ -32,7 +32,7 @@ from kasaflow.operators.enrich import enrich
 from kasaflow.operators.forecast import seasonal_ma_forecast
 from kasaflow.operators.lagreg import forecast_from_rows, order_search, stage1_fit, stage_rows
 from kasaflow.operators.sarma import FULL, SEASONAL, exact_fit, order_search_refit, product_fit
-from kasaflow.operators.series import series_diff, series_long, train_series, train_test_split
+from kasaflow.operators.series import KEYS, series_diff, series_long, train_series, train_test_split
 from kasaflow.session import ensure_checkpoint_dir
 from kasaflow.sources.binding import cash_fact
 from kasaflow.sources.csv_source import bad_counts, bad_rows, good_rows, read_cash_csv, scan_cash_csv, write_cash_csv
@@ -65,6 +65,18 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
 
 
+def materialize_bucketed(spark: SparkSession, df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Like ``materialize``, in buckets by ``keys`` sorted by ``order``: windows and grouped sums over the keys then
+    need no shuffle. The catalog only lends its name while the table is written."""
+    table = f"kasaflow_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, *keys).write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *order)
+     .option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/kasaflow/{name}").saveAsTable(table))
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 SOURCE_TABLES = ["lineitem", "supplier", "nation", "region"]
 
 
@@ -101,10 +113,12 @@ class CashWorkspace:
         same name does not touch them."""
         return cls(fact.sparkSession, f"{name}-{uuid.uuid4().hex}", "frame", lambda: fact, [])
 
-    def _stage(self, name: str, build: Callable[[], DataFrame]):
+    def _stage(self, name: str, build: Callable[[], DataFrame], keys: list[str] | None = None, order: list[str] | None = None):
         with self._lock:
             if name not in self._made:
-                self._made[name] = materialize(self.spark, build(), f"{name}-{self._tag}")
+                path = f"{name}-{self._tag}"
+                self._made[name] = (materialize(self.spark, build(), path) if keys is None
+                                    else materialize_bucketed(self.spark, build(), path, keys, order or []))
             return self._made[name]
 
     @property
@@ -150,6 +164,10 @@ class CashWorkspace:
                 self._made["oddcsv"] = path
             return self._made["oddcsv"]
 
+    def report_path(self, name: str) -> str:
+        """Where the reports of this workspace are published in the shared folder."""
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/kasaflow/reports-{self._tag}/{name}"
+
     @property
     def span(self) -> tuple[str, str]:
         """(first, last) date of the fact as ISO strings (one tiny aggregate)."""
@@ -170,8 +188,9 @@ class CashWorkspace:
     @property
     def series(self) -> DataFrame:
         """Daily series of every (branch, measure), differenced and split
-        (KEYS, Data, value, diff, rn, n, n_test, split); days x series rows."""
-        return self._stage("series", lambda: train_test_split(series_diff(series_long(self.fact, *self.span))))
+        (KEYS, Data, value, diff, rn, n, n_test, split); days x series rows, in
+        buckets by series and sorted by day."""
+        return self._stage("series", lambda: train_test_split(series_diff(series_long(self.fact, *self.span))), KEYS, ["Data"])
 
     @property
     def enriched(self) -> DataFrame:
