@@ -416,7 +416,7 @@ for _name, _columns in (("undiff_forecast_lag_regression", "CAST(CAST(pred_level
 
 def _exact_level(level: int, candidates: str) -> str:
     return f"""
-, xcand{level} AS (SELECT DISTINCT nazwa_kasy, measure, greatest(-0.999, least(0.999, theta)) AS theta FROM ({candidates}) c)
+, xcand{level} AS (SELECT DISTINCT nazwa_kasy, measure, CAST(greatest(-0.999, least(0.999, theta)) AS DOUBLE) AS theta FROM ({candidates}) c)
 , xend{level} AS (
     SELECT nazwa_kasy, measure, phase, m, theta, list_reduce(list_prepend([0.0, 'infinity'::DOUBLE, 0.0, 0.0], ws), lambda a, b:
         [b[1] - theta * a[1] / a[2], 1 + theta * theta - theta * theta / a[2],
