@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kasaflow.session import ensure_checkpoint_dir, ship_package
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+COPIES = 1_000                # rows alike that may share one order key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,38 @@ def doc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
+def with_batch(df: DataFrame, by: list[str], at: str, column: str) -> DataFrame:
+    """``df`` plus a batch number for rows alike in ``by``: their copy number (from 0) divided by
+    COPIES, which is 0 wherever at most COPIES rows are alike. So the batches, as a set, follow from
+    the rows alone, and no key with the batch added has more than COPIES rows.
+
+    ``at`` is a stored ``monotonically_increasing_id``. Copies are numbered per partition that wrote
+    them and shifted by the counts of earlier ones; no task holds all copies of a row. Only keys with
+    more than COPIES rows are numbered: the table of these has at most a COPIES-th of the rows, and
+    Spark broadcasts it only where its files are small."""
+    names = [f"_{i}_alike" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names)]
+    many = written(df.groupBy(*keys).count().where(F.col("count") > COPIES).select(*names), "alike")
+    same = F.lit(True)
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    part = F.shiftright(at, 33)
+    hot = df.join(many, same, "left_semi").withColumn("_part", part)
+    before = Window.partitionBy(*names).orderBy("_writer").rowsBetween(Window.unboundedPreceding, -1)
+    base = (hot.groupBy(*keys, F.col("_part").alias("_writer")).agg(F.count("*").alias("_m"))
+            .select(*names, "_writer", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_base")))
+    nth = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(at)) - 1
+    hot = hot.withColumn("_nth", nth).join(base, same & (F.col("_part") == F.col("_writer")))
+    batch = F.floor((F.col("_base") + F.col("_nth")) / COPIES).cast("long")
+    rest = df.join(many, same, "left_anti").withColumn(column, F.lit(0).cast("long"))
+    return rest.unionByName(hot.select(*df.columns, batch.alias(column)))
+
+
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows known to the driver, parsed from one literal on the JVM (no Python worker)."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def binary_search(values: list[int], key: Column) -> Column:
     """How many of the sorted ``values`` are <= ``key``; a fold over
     log2(len(values)) halvings of a constant array, all on the JVM."""

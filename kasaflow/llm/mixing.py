@@ -12,13 +12,15 @@ to the word.
 
 Hot sources: order and running totals are computed per (source, hash chunk),
 and chunk totals are added up in a second, small step; no task holds a source.
+Where more than COPIES rows are alike in id, source and size (rows without ids,
+say), every further batch of COPIES of them has an order key, so a chunk, of its own.
 
 The number of sources is the number of distinct values of the source column;
 their totals come to the driver to work out the targets (one small row each).
 
 Defined cases: NULL text or a text without words has size 0 and gives 0 words;
-NULL source is a source of its own, last in order; repeated rows are separate
-documents; an empty table gives an empty result; other columns are carried.
+NULL source is a source of its own, last in order; repeated rows and rows
+without ids are separate documents; an empty table gives an empty result; other columns are carried.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kasaflow.llm.common import WORD_PATTERN, binary_search, table, written
+from kasaflow.llm.common import WORD_PATTERN, binary_search, literal_rows, table, with_batch, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -56,9 +58,11 @@ def targets(sizes: dict, weights=WEIGHTS, repeats: int = MAX_REPEATS) -> dict:
     return got
 
 
-def shuffle_key(doc_id: str, size: str):
-    """60 bits of the md5 of id and size: a fixed shuffle that any SQL engine can repeat."""
-    text = F.concat_ws("-", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string"))
+def shuffle_key(doc_id: str, size: str, batch: str):
+    """60 bits of the md5 of id and size (and of the batch of copies, from the second on): a fixed
+    shuffle that any SQL engine can repeat."""
+    text = F.concat_ws("-", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string"),
+                       F.when(F.col(batch) > 0, F.col(batch).cast("string")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long")
 
 
@@ -105,7 +109,7 @@ def schedule(spark, plan: list[dict]) -> DataFrame:
     within = Window.partitionBy("c", "k").orderBy("id")
     ranked = (slots.withColumn("r", F.row_number().over(within) - 1).join(base, ["c", "k"])
               .select(F.col("id").alias("slot"), "k", (F.col("base") + F.col("r")).alias("rank")))
-    info = spark.createDataFrame([(p["k"], p["slots"]) for p in plan], "k int, slots long")
+    info = literal_rows(spark, [{"k": p["k"], "slots": p["slots"]} for p in plan], "k int, slots long")
     got = counts.groupBy("k").agg(F.sum("m").alias("got"))
     missing = (info.join(got, "k", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("slots > got")
                .select("k", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank"))
@@ -113,20 +117,32 @@ def schedule(spark, plan: list[dict]) -> DataFrame:
     return ranked.join(F.broadcast(info), "k").where("rank < slots").drop("slots").unionByName(missing.select("slot", "k", "rank"))
 
 
+ADDED = ["size", "source_size", "target", "taken"]
+
+
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK_WORDS,
         carry: bool = True) -> DataFrame:
     """Columns of ``df`` (or only the id) plus size, source_size, target, taken."""
+    df = df.drop(*ADDED)
+    if not carry:
+        return _mixed(df, None, text, source, doc_id, block).select(F.col("_id").alias(doc_id), *ADDED)
+    return _mixed(df, df.columns, text, source, doc_id, block).select("_row.*", *ADDED)
+
+
+def _mixed(df: DataFrame, kept: list[str] | None, text: str, source: str, doc_id: str, block: int) -> DataFrame:
+    """_id and the ADDED columns; with ``kept``, _row (these columns as one) in place of _id."""
     spark = df.sparkSession
-    added = ["size", "source_size", "target", "taken"]
-    df = df.drop(*added)
-    packed = with_size(df.select(*([F.struct(*df.columns).alias("_row")] if carry else []), F.col(doc_id).alias("_id"),
+    packed = with_size(df.select(*([F.struct(*kept).alias("_row")] if kept else []), F.col(doc_id).alias("_id"),
                                  F.col(source).alias("_source"), F.col(text).alias("_text")), "_text").drop("_text")
-    packed = packed.withColumn("_order", shuffle_key("_id", "_size"))
-    sized = written(packed.drop("_row"), "mix-sized")
-    plan = plan_sources(sized, "_source", block)
-    rows = sized.count()
-    info = spark.createDataFrame(
-        [(p["k"], p["source"], p["size"], p["target"], p["take"], p["blocks"]) for p in plan],
+    # written once with row numbers: every pass sees the same ones, and words are counted once
+    packed = written(packed.withColumn("_at", F.monotonically_increasing_id()), "mix-packed")
+    sized = with_batch(packed.drop("_row"), ["_id", "_source", "_size"], "_at", "_batch")
+    sized = sized.withColumn("_order", shuffle_key("_id", "_size", "_batch")).drop("_batch")
+    plan = plan_sources(packed, "_source", block)
+    rows = packed.count()
+    info = literal_rows(
+        spark, [{"k": p["k"], "s": p["source"], "source_size": p["size"], "target": p["target"], "take": p["take"],
+                 "blocks": p["blocks"]} for p in plan],
         "k int, s string, source_size long, target double, take long, blocks long")
     chunk_bits = max(6, (rows // ROWS_PER_CHUNK).bit_length())
     sized = (sized.join(F.broadcast(info), F.col("_source").eqNullSafe(F.col("s"))).drop("s")
@@ -134,15 +150,12 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     per = sized.groupBy("k", "_chunk").agg(F.sum("_size").alias("w"))
     before = Window.partitionBy("k").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("k", "_chunk", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_base"))
-    upto = Window.partitionBy("k", "_chunk").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    # Rows alike in id, source and size are interchangeable: they get one place each, numbered by _copy.
-    alike = Window.partitionBy("k", "_chunk", "_order", "_id", "_size").orderBy("_size")
-    line = (sized.withColumn("_upto", F.sum("_size").over(upto)).withColumn("_copy", F.row_number().over(alike))
-            .join(base, ["k", "_chunk"])
+    # Rows alike in id, source and size are interchangeable; many of them have an order key a batch.
+    upto = Window.partitionBy("k", "_chunk").orderBy("_order", "_id", "_size", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    line = (sized.withColumn("_upto", F.sum("_size").over(upto)).join(base, ["k", "_chunk"])
             .withColumn("start", F.col("_base") + F.col("_upto") - F.col("_size"))
             .withColumn("end", F.col("_base") + F.col("_upto")))
-    line = written(line.select("_id", "_source", "_size", "_order", "_copy", "k", "start", "end", "blocks",
-                               "source_size", "target"), "mix-line")
+    line = written(line.select("_id", "_at", "_size", "k", "start", "end", "blocks", "source_size", "target"), "mix-line")
 
     slots = schedule(spark, plan).join(F.broadcast(info.select("k", "take", "blocks", "source_size")), "k")
     turn, blk = F.floor(F.col("rank") / F.col("blocks")), F.col("rank") % F.col("blocks")
@@ -157,24 +170,19 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
              .agg(F.sum(words).cast("long").alias("taken")))  # start and end are unique where words are
     done = (line.join(taken, ["k", "start", "end"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
             .withColumnRenamed("_size", "size"))
-    if not carry:
-        return done.select(F.col("_id").alias(doc_id), *added)
-    done = done.select("_id", "_source", "_order", "_copy", *added)
-    w = Window.partitionBy("_id", "_source", "_order").orderBy("_order")
-    mine = packed.withColumn("_copy", F.row_number().over(w))
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("_id", "_source", "_order", "_copy")]
-    cond = same[0] & same[1] & same[2] & same[3]
-    return mine.alias("m").join(done.alias("d"), cond).select("m._row.*", *[f"d.{c}" for c in added])
+    if not kept:
+        return done.select("_id", *ADDED)
+    return packed.select("_at", "_row").join(done.select("_at", *ADDED), "_at").select("_row", *ADDED)
 
 
-def mixed_documents(df: DataFrame, **how) -> DataFrame:
+def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
+                    block: int = BLOCK_WORDS) -> DataFrame:
     """The mix in whole documents: every row as many times as the schedule takes it (a row at a
     source's cut counts if half of it or more is taken; rows without words are not in a mix of words)."""
-    names = df.columns
-    mixed = mix(df.select(F.struct(*names).alias("_doc"), "text", "source", "doc_id"), **how)
+    mixed = _mixed(df, df.columns, text, source, doc_id, block)
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     return (mixed.withColumn("_n", copies).where("_n > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*"))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

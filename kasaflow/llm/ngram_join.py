@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kasaflow.llm.common import connected_components, table, written
+from kasaflow.llm.common import WORD_PATTERN, connected_components, table, written
 from kasaflow.llm.textarrays import as_bytes, mix64, shingle_sets, slices
 
 WIDTH, NUM, DEN = 3, 90, 100   # of the op9 contract; the operator's own default is WIDTH 5, 80 / 100
@@ -351,15 +351,22 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     """``docs`` with one row of each group: the one of the smallest id (NULL ids last). Rows without
     n-grams belong to no group and all stay."""
     groups = similar_groups(docs.select(doc_id, text), text, doc_id, **how)
-    groups = groups.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), "cid", "n_shingles", "group_key")
-    stay = (groups.where("n_shingles > 0").groupBy("group_key").agg(F.min(F.struct("id", "cid")).alias("k"))
-            .select("k.id", "k.cid", F.lit(False).alias("empty")))
-    stay = stay.unionByName(groups.where("n_shingles = 0").select("id", "cid", F.lit(True).alias("empty")).distinct())
+    groups = groups.where("n_shingles > 0").select(F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), "cid", "group_key")
+    counted = written(groups.groupBy("group_key", "id", "cid").agg(F.count("*").alias("n")), "join-counted")
+    stay = counted.groupBy("group_key").agg(F.min(F.struct("id", "cid")).alias("k")).select("k.id", "k.cid")
+    repeats = written(counted.where("n > 1").select(F.col("id").alias("again_id"), F.col("cid").alias("again_cid")), "join-repeats")
+    body = F.coalesce(F.col(text), F.lit(""))
+    has_words = F.col("_text").rlike(WORD_PATTERN)  # exactly the texts with n-grams
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
-                        _class_id(F.coalesce(F.col(text), F.lit(""))).alias("cid"))
-    again = Window.partitionBy("id", "cid").orderBy("empty")  # rows with the same id and text
-    return (keyed.join(stay, ["id", "cid"]).withColumn("_nth", F.row_number().over(again))
-            .where("empty or _nth = 1").select("_row.*"))
+                        body.alias("_text"))
+    bare = keyed.where(~has_words)
+    keyed = keyed.where(has_words).withColumn("cid", _class_id(F.col("_text")))
+    # Rows with the same id and text: one stays, picked in every task before the exchange.
+    same = (F.col("id") == F.col("again_id")) & (F.col("cid") == F.col("again_cid"))
+    once = keyed.join(repeats, same, "left_anti").join(stay, ["id", "cid"]).select("_row")
+    picked = (keyed.join(repeats, same, "left_semi").groupBy("id", "cid").agg(F.first("_row").alias("_row"))
+              .join(stay, ["id", "cid"]).select("_row"))
+    return bare.select("_row").unionByName(once).unionByName(picked).select("_row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+-- rows alike in id, source and size are interchangeable: every 1000 of them have an order of their own
+dealt AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id, source, size) - 1) // 1000 AS batch FROM sized),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w,
@@ -22,9 +25,9 @@ goal AS (
 line AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, least(floor(g.target + 0.5)::BIGINT, 3 * g.source_size) AS take,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY
-      ('0x' || substr(md5(concat(coalesce(s.doc_id::VARCHAR, ''), '-', s.size::VARCHAR)), 1, 15))::BIGINT, s.doc_id NULLS FIRST, s.size
+      ('0x' || substr(md5(concat(coalesce(s.doc_id::VARCHAR, ''), '-', s.size::VARCHAR, if(s.batch > 0, '-' || s.batch, ''))), 1, 15))::BIGINT, s.doc_id NULLS FIRST, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS stop
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+  FROM dealt s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0
        ELSE (take // source_size) * size + greatest(0, least(size, take % source_size - (stop - size))) END::BIGINT AS taken

@@ -204,7 +204,7 @@ def _search(dim: int, k: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K,
-          one_per_id: bool = True) -> DataFrame:
+          one_per_id: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best for every id with ``is_query`` (an expression on vec_id)."""
     spark = vectors.sparkSession
     clean = written(quantised(vectors, vec_id, vector, one_per_id), "topk-vectors")
@@ -276,4 +276,4 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return top_k(vectors, F.col("vec_id") % EVERY == 0, one_per_id=False)
+    return top_k(vectors, F.col("vec_id") % EVERY == 0)

@@ -112,3 +112,64 @@ def test_mixed_documents_repeat_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_doc", F.lit(1))
     got = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
     assert max(got.values()) <= 3 and sum(v for k, v in got.items() if k >= 1000) == 60
+
+
+def test_many_equal_rows_are_dealt_over_ranges(spark, monkeypatch):
+    seen = []
+    real = sharding.written
+
+    def watched(df, name):
+        out = real(df, name)
+        seen.append((name, out))
+        return out
+    monkeypatch.setattr(sharding, "written", watched)
+    df = spark.range(30_000).selectExpr(
+        "IF(id % 2 = 0, 7L, id) AS doc_id", "IF(id % 2 = 0, 'the same row', concat('text ', id)) AS text", "id % 5 AS extra").repartition(6)
+    out = sharding.shard_records(df)
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text, r.extra) for r in rows) == Counter((r.doc_id, r.text, r.extra) for r in df.collect())
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) for part in by.values())
+    total = sum(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in part) - total / 16) <= 0.02 * total / 16 + 40 for part in by.values())
+    # 15,000 equal rows come in 15 batches with a tie-break each, so their sub-ranges hold a batch or two
+    placed = dict(seen)["shard-placed"]
+    ties = [r["count"] for r in placed.where("_id = 7 AND size = 13").groupBy("_tie").count().collect()]
+    assert sorted(ties) == [1000] * 15
+    cells = dict(seen)["shard-cells"].where("_sub LIKE 'k%'").count()
+    assert cells >= 10
+
+
+def test_rows_without_ids_have_many_order_keys_and_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from kasaflow.llm.sql import MIXING
+
+    df = spark.range(40_000).selectExpr(
+        "IF(id % 3 = 0, id, NULL) AS doc_id", "IF(id % 9 = 1, NULL, repeat('w ', CAST(id % 2 + 1 AS INT))) AS text",
+        "IF(id % 4 < 3, 'a', NULL) AS source")
+    df.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op4_mixing(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    want = db.execute(MIXING).fetchall()
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert len({r.taken for r in got if r.doc_id is None and r["size"] == 2}) > 1  # the cut falls among rows alike
+    mixed = mixing.mixed_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert mixed.columns == df.columns and mixed.count() > 0
+
+
+def test_batches_number_the_copies_exactly(spark):
+    from kasaflow.llm.common import COPIES, with_batch, written
+
+    df = spark.range(12_000).selectExpr("IF(id % 4 > 0, NULL, id) AS a", "IF(id % 2 = 0, 'x', NULL) AS b")
+    df = written(df.repartition(7).withColumn("at", F.monotonically_increasing_id()), "batches")
+    got = Counter((r.a, r.b, r.batch) for r in with_batch(df, ["a", "b"], "at", "batch").collect())
+    want = Counter()
+    for (a, b), n in Counter((r.a, r.b) for r in df.collect()).items():
+        for i in range(n):
+            want[a, b, i // COPIES] += 1
+    assert got == want

@@ -1,6 +1,7 @@
 """Top-k search and the n-gram join against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from conftest import ODD_TEXTS, docs_of
@@ -22,7 +23,7 @@ def _brute_top(vectors, is_query, k):
 
 def _run(spark, rows, every, k=5):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    return {tuple(r) for r in topk.top_k(df, F.col("vec_id") % every == 0, k=k).collect()}
+    return {tuple(r) for r in topk.top_k(df, F.col("vec_id") % every == 0, k=k, one_per_id=True).collect()}
 
 
 def test_top_k_over_many_buckets_and_lengths(spark, monkeypatch):
@@ -65,7 +66,7 @@ def test_top_k_of_long_vectors_and_repeated_ids(spark, monkeypatch):
     rows += [(400, [1.0, 2.0, 3.0, 4.0])] * 12 + [(401, [1e300, 0.0, 0.0, 0.0]), (410, [0.0, 1.0, 0.0, 0.0]),
                                                 (2 ** 60, [5e6, 1.0, 0.0, 0.0]), (2 ** 60 + 2, [5e6, 1.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, one_per_id=False).collect()
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5).collect()
     assert sorted(map(tuple, got)) == _brute_pairs(rows, lambda a: a % 10 == 0, 5)
 
 
@@ -212,6 +213,17 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(df.where("false")).count() == 0
 
 
+def test_one_of_each_of_many_equal_rows(spark):
+    """Rows of one id and text, and rows without an id: one stays of each group, and every row without words."""
+    same, other = "one text that comes up again and again in the table", "quite another text that has rows of its own id only"
+    df = docs_of(spark, [same, other, None, " "]).unionByName(
+        spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"IF(id % 3 = 0, '', '{same}') AS text", "'en' AS lang",
+                                     "'s' AS source", "0L AS n_chars")).unionByName(
+        spark.range(3000).selectExpr("1L AS doc_id", f"'{other}' AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars"))
+    got = Counter((r.doc_id, (r.text or "").strip()) for r in ngram_join.one_of_each(df).collect())
+    assert got == {(0, same): 1, (1, other): 1, (2, ""): 1, (3, ""): 1, (None, ""): 1000}
+
+
 def test_odd_texts(spark):
     df = docs_of(spark, ODD_TEXTS, extra=True)
     got = {r.doc_id: r for r in ngram_join.similar_groups(df).collect()}
