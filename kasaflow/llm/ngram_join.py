@@ -22,8 +22,8 @@ computed, block by block:
    the way. A unit returns a spanning forest of its links, not its pairs.
 5. Connected components of the links are the groups.
 
-Nothing is capped, sampled or sent to the driver but counts. N-grams are
-64-bit hashes. The postings of step 2 use the hash's upper 32 bits (64 where
+Nothing is capped, sampled or sent to the driver but counts. Classes are told
+apart by 128 bits of hash, n-grams by 64. The postings of step 2 use the hash's upper 32 bits (64 where
 there are more than 2**29 n-grams): clashes there only add candidates.
 
 Defined cases: NULL texts and texts without words have no n-grams and link
@@ -293,14 +293,30 @@ def _class_id(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def _with_class(df: DataFrame, clashes: DataFrame, text: str | None = None) -> DataFrame:
+    """``df`` with its class id ``cid``: 64 bits of hash, and where these clash, of both hashes together."""
+    if text is not None:
+        df = df.withColumn("cid", _class_id(F.col(text))).withColumn("twin", F.xxhash64(F.lit(1), F.col(text)))  # another seed
+    df = df.join(clashes, F.col("cid") == F.col("clash"), "left")
+    return df.withColumn("cid", F.when(F.col("clash").isNotNull(), F.xxhash64("cid", "twin")).otherwise(F.col("cid"))).drop("clash", "twin")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, num: int = 80,
                    den: int = 100) -> DataFrame:
-    """(doc_id, cid, n_shingles, component_id, group_key) for every row: ``cid`` is the hash of the row's
-    text (its class), ``component_id`` the smallest id of its group, ``group_key`` the group's smallest cid."""
+    """(doc_id, cid, n_shingles, component_id, group_key) for every row: ``cid`` is the row's class (equal
+    texts), ``component_id`` the smallest id of its group, ``group_key`` the group's smallest cid."""
+    return _grouped(docs, text, doc_id, width, num, den)[0]
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str, width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The groups, and the class hashes that stand for more than one text."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = source.select("id", "text", _class_id(F.col("text")).alias("cid"))
-    digest = written(source.select("id", "cid", F.octet_length("text").alias("bytes")), "join-digest")
+    digest = written(source.select("id", _class_id(F.col("text")).alias("cid"), F.xxhash64(F.lit(1), F.col("text")).alias("twin"),
+                                   F.octet_length("text").alias("bytes")), "join-digest")
+    clashes = written(digest.groupBy("cid").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b")
+                      .select(F.col("cid").alias("clash")), "join-clashes")  # a few in 10**10 texts
+    digest, source = _with_class(digest, clashes), _with_class(source, clashes, "text")
     classes = digest.groupBy("cid").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.first("bytes").alias("bytes"))
     size, rows = classes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     grams = size // BYTES_PER_WORD
@@ -342,15 +358,16 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = (classes.select("cid", "least").join(sizes.distinct(), "cid").join(groups, "cid", "left")
           .select("cid", "n", F.coalesce("component.least", "least").alias("low"), F.coalesce("component.cid", "cid").alias("component")))
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("low") < NO_ID, F.col("low")))
-    return digest.select("id", "cid").join(of, "cid").select(
+    groups = digest.select("id", "cid").join(of, "cid").select(
         F.col("id").alias(doc_id), "cid", F.col("n").alias("n_shingles"), name.alias("component_id"),
         F.col("component").alias("group_key"))
+    return groups, clashes
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest id (NULL ids last). Rows without
     n-grams belong to no group and all stay."""
-    groups = similar_groups(docs.select(doc_id, text), text, doc_id, **how)
+    groups, clashes = _grouped(docs.select(doc_id, text), text, doc_id, **how)
     groups = groups.where("n_shingles > 0").select(F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), "cid", "group_key")
     counted = written(groups.groupBy("group_key", "id", "cid").agg(F.count("*").alias("n")), "join-counted")
     stay = counted.groupBy("group_key").agg(F.min(F.struct("id", "cid")).alias("k")).select("k.id", "k.cid")
@@ -360,7 +377,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
                         body.alias("_text"))
     bare = keyed.where(~has_words)
-    keyed = keyed.where(has_words).withColumn("cid", _class_id(F.col("_text")))
+    keyed = _with_class(keyed.where(has_words), clashes, "_text")
     # Rows with the same id and text: one stays, picked in every task before the exchange.
     same = (F.col("id") == F.col("again_id")) & (F.col("cid") == F.col("again_cid"))
     once = keyed.join(repeats, same, "left_anti").join(stay, ["id", "cid"]).select("_row")

@@ -213,6 +213,17 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(df.where("false")).count() == 0
 
 
+def test_texts_of_clashing_class_hashes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_class_id", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    rows = _corpus(3, families=6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.similar_groups(df).collect()]
+    want = [(str(d), n, str(g)) for d, n, g in _brute_groups(rows, 5, 80, 100)]
+    assert sorted(got) == sorted(want)
+    kept = [str(r.doc_id) for r in ngram_join.one_of_each(df).collect()]
+    assert len([d for d, n, g in want if n and d == g]) == len([d for d, n, _ in want if n and d in kept])
+
+
 def test_one_of_each_of_many_equal_rows(spark):
     """Rows of one id and text, and rows without an id: one stays of each group, and every row without words."""
     same, other = "one text that comes up again and again in the table", "quite another text that has rows of its own id only"
