@@ -121,6 +121,48 @@ def test_file_checkpoint_folder_is_refused_on_a_cluster(spark):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
 
 
+def _as_cluster(monkeypatch, spark, folder):
+    """The session as one of a cluster whose ``spark.checkpoint.dir`` is ``folder``."""
+    from types import SimpleNamespace
+    sc = spark.sparkContext
+    monkeypatch.setattr(sc, "master", "spark://host:7077")
+    monkeypatch.setattr(sc, "getConf", lambda: SimpleNamespace(
+        get=lambda k, d=None: folder if k == "spark.checkpoint.dir" else d))
+
+
+def test_file_checkpoint_folder_that_executors_see_is_used_on_a_cluster(spark, monkeypatch):
+    from kasaflow.llm.common import written
+    from kasaflow.plans.workspace import CashWorkspace
+    from kasaflow.session import ensure_checkpoint_dir
+    from kasaflow.sources.csv_source import read_cash_csv
+    current = spark.sparkContext.getCheckpointDir()
+    want = sorted(map(tuple, CashWorkspace(spark, SF).fact.collect()))
+    _as_cluster(monkeypatch, spark, os.path.dirname(current))
+    assert ensure_checkpoint_dir(spark) == current
+    assert written(spark.range(5), "cluster").count() == 5
+    ws = CashWorkspace(spark, SF)
+    assert sorted(map(tuple, ws.fact.collect())) == want
+    assert read_cash_csv(spark, ws.csv_path).count() == len(want)
+    left = os.listdir(current.removeprefix("file:"))
+    assert not any(name.startswith("kasaflow-shared-") for name in left)
+
+
+def test_checkpoint_folder_without_whole_tables_is_refused_on_a_cluster(spark, monkeypatch, tmp_path):
+    import pytest
+    from kasaflow import session
+    (tmp_path / "file").write_text("no folder")
+    for folder in (f"file:{tmp_path}/file", "file:/proc/none"):
+        with pytest.raises(RuntimeError, match="cannot see it"):
+            session._require_shared(spark, folder)
+    # a reader that finds fewer files than tasks wrote
+    class Fewer:
+        sparkContext = spark.sparkContext
+        range = staticmethod(lambda lo, hi, step, n: spark.range(lo, hi - 1, step, n))
+        read = spark.read
+    with pytest.raises(RuntimeError, match="rows came back"):
+        session._require_shared(Fewer, f"file:{tmp_path}/part")
+
+
 def test_shuffle_join_fallback_equals_broadcast(spark):
     """Above the supplier bound the join is a sort-merge join; same rows."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
