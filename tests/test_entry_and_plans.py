@@ -136,11 +136,12 @@ def test_file_checkpoint_folder_that_executors_see_is_used_on_a_cluster(spark, m
     from kasaflow.session import ensure_checkpoint_dir
     from kasaflow.sources.csv_source import read_cash_csv
     current = spark.sparkContext.getCheckpointDir()
-    want = sorted(map(tuple, CashWorkspace(spark, SF).fact.collect()))
+    fact = cash_fact(spark, SF)
+    want = sorted(map(tuple, fact.collect()))
     _as_cluster(monkeypatch, spark, os.path.dirname(current))
     assert ensure_checkpoint_dir(spark) == current
     assert written(spark.range(5), "cluster").count() == 5
-    ws = CashWorkspace(spark, SF)
+    ws = CashWorkspace.from_fact(fact, "cluster")
     assert sorted(map(tuple, ws.fact.collect())) == want
     assert read_cash_csv(spark, ws.csv_path).count() == len(want)
     left = os.listdir(current.removeprefix("file:"))
