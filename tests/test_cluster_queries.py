@@ -18,6 +18,7 @@ from oracle_check import rows_of  # noqa: E402
 NAMES = [
     "op1_sharding",
     "op4_mixing",
+    "op7_topk",
 ]
 
 
