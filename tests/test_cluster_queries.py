@@ -19,6 +19,7 @@ NAMES = [
     "op1_sharding",
     "op4_mixing",
     "op7_topk",
+    "op9_ngram_join",
 ]
 
 
