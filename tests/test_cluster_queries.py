@@ -20,6 +20,7 @@ NAMES = [
     "op4_mixing",
     "op7_topk",
     "op9_ngram_join",
+    "op11_spelling",
 ]
 
 
