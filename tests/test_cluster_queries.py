@@ -21,6 +21,7 @@ NAMES = [
     "op7_topk",
     "op9_ngram_join",
     "op11_spelling",
+    "op12_line_dedup",
 ]
 
 
