@@ -22,6 +22,7 @@ NAMES = [
     "op9_ngram_join",
     "op11_spelling",
     "op12_line_dedup",
+    "op13_lexical",
 ]
 
 
