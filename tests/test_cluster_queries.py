@@ -23,6 +23,7 @@ NAMES = [
     "op11_spelling",
     "op12_line_dedup",
     "op13_lexical",
+    "acf",
 ]
 
 
