@@ -24,6 +24,7 @@ NAMES = [
     "op12_line_dedup",
     "op13_lexical",
     "acf",
+    "acf_bounds",
 ]
 
 
