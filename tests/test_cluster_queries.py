@@ -25,6 +25,7 @@ NAMES = [
     "op13_lexical",
     "acf",
     "acf_bounds",
+    "adf_gram",
 ]
 
 
