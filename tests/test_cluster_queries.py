@@ -26,6 +26,7 @@ NAMES = [
     "acf",
     "acf_bounds",
     "adf_gram",
+    "adf_test",
 ]
 
 
