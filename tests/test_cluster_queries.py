@@ -27,6 +27,7 @@ NAMES = [
     "acf_bounds",
     "adf_gram",
     "adf_test",
+    "branch_month_detail",
 ]
 
 
