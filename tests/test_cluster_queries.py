@@ -28,6 +28,7 @@ NAMES = [
     "adf_gram",
     "adf_test",
     "branch_month_detail",
+    "calendar_distinct",
 ]
 
 
