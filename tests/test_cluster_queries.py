@@ -29,6 +29,7 @@ NAMES = [
     "adf_test",
     "branch_month_detail",
     "calendar_distinct",
+    "calendar_head",
 ]
 
 
