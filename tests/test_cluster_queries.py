@@ -30,6 +30,7 @@ NAMES = [
     "branch_month_detail",
     "calendar_distinct",
     "calendar_head",
+    "csv_scan",
 ]
 
 
