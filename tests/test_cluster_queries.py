@@ -31,6 +31,7 @@ NAMES = [
     "calendar_distinct",
     "calendar_head",
     "csv_scan",
+    "csv_scan_checked",
 ]
 
 
