@@ -32,6 +32,7 @@ NAMES = [
     "calendar_head",
     "csv_scan",
     "csv_scan_checked",
+    "csv_rejected",
 ]
 
 
