@@ -33,6 +33,7 @@ NAMES = [
     "csv_scan",
     "csv_scan_checked",
     "csv_rejected",
+    "calendar_next_flag",
 ]
 
 
