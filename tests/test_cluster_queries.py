@@ -34,6 +34,7 @@ NAMES = [
     "csv_scan_checked",
     "csv_rejected",
     "calendar_next_flag",
+    "csv_scan_inferred",
 ]
 
 
