@@ -35,6 +35,7 @@ NAMES = [
     "csv_rejected",
     "calendar_next_flag",
     "csv_scan_inferred",
+    "daily_pivot_nad_pl",
 ]
 
 
