@@ -36,6 +36,7 @@ NAMES = [
     "calendar_next_flag",
     "csv_scan_inferred",
     "daily_pivot_nad_pl",
+    "daily_pivot_nad_kz",
 ]
 
 
