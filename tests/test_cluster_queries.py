@@ -37,6 +37,7 @@ NAMES = [
     "csv_scan_inferred",
     "daily_pivot_nad_pl",
     "daily_pivot_nad_kz",
+    "daily_long",
 ]
 
 
