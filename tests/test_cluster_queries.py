@@ -38,6 +38,7 @@ NAMES = [
     "daily_pivot_nad_pl",
     "daily_pivot_nad_kz",
     "daily_long",
+    "daily_pivot_top5",
 ]
 
 
