@@ -39,6 +39,7 @@ NAMES = [
     "daily_pivot_nad_kz",
     "daily_long",
     "daily_pivot_top5",
+    "daily_pivot_top5_zas_pl_r",
 ]
 
 
