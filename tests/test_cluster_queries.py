@@ -40,6 +40,7 @@ NAMES = [
     "daily_long",
     "daily_pivot_top5",
     "daily_pivot_top5_zas_pl_r",
+    "daily_pivot_top5_zas_kz_r",
 ]
 
 
