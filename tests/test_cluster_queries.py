@@ -45,6 +45,7 @@ NAMES = [
     "daily_pivot_top5_zas_kz_w",
     "daily_pivot_top5_zas_pl_w",
     "daily_pivot_zas_pl_w",
+    "daily_pivot_zas_kz_r",
 ]
 
 
