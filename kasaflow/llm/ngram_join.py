@@ -5,17 +5,20 @@ incidence matrix; the product of the matrix with its transpose holds the
 overlap of every pair. Only the part of the product that can hold links is
 computed, block by block:
 
-1. Equal texts form a class; one text of each class goes on.
-2. Postings travel once, packed as arrays by bucket of the n-gram's hash, so
-   that each n-gram learns in how many texts it occurs. N-grams of one text
-   only cannot overlap. A pair with Jaccard >= t overlaps in at least t * n
+1. Equal texts form a class, told by hashes; no text travels for it.
+2. Postings are made where the texts are read, from one text of each class in
+   a task, and travel once, packed as arrays by bucket of the n-gram's hash, so
+   that each n-gram learns in how many texts it occurs (a class that several
+   tasks read counts more than once, which changes the order of rarity alone).
+   N-grams of one text only cannot overlap. A pair with Jaccard >= t overlaps in at least t * n
    n-grams of either side, so of each text only the first n - ceil(t * n) + 1
    n-grams in order of rarity must be looked at (the size-derived bound), and
    of these only the shared ones.
 3. Texts that share such an n-gram and whose sizes fit are put in one
    candidate component through a leader for each (n-gram, size band): as many
    edges as postings, never pairs.
-4. Each component's matrix is multiplied in tasks: small components many to a
+4. One text of each class in a component travels by its class. Each
+   component's matrix is multiplied in tasks: small components many to a
    task, large ones cut into blocks of BLOCK texts by size band, and each
    fitting pair of blocks is a unit. In a unit the product is summed up over
    chunks of columns and pairs that fall below their bound are discarded on
@@ -41,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +75,15 @@ PACKED = "bucket int, block long, a binary, b binary, c binary"
 
 def _postings(width: int, buckets: int, wide: bool):
     """(cid, text) rows to packed rows: for each block of texts and bucket, the n-grams and the texts'
-    numbers in the block; and one row (bucket below 0) with the block's class ids and sizes. A block is
-    named by its first class id: rows come sorted by class, so a task run again makes the same blocks.
+    numbers in the block; and one row (bucket below 0) with the block's class ids and sizes. Rows come sorted
+    by class: copies follow one another and only the first goes on, and a task run again makes the same blocks.
+    A block is named by its partition and its place there, as another task may read the same classes.
     Blocks grow with the number of buckets (PER_ROW n-grams a row), up to what fits in a task."""
     dtype, shift = (np.uint64, 0) if wide else (np.uint32, 32)
 
     limit = max(LEAST_IN_BLOCK, min(MOST_IN_BLOCK, buckets * PER_ROW))
 
-    def block(cids: np.ndarray, sets: list[np.ndarray]) -> pd.DataFrame:
+    def block(name: int, cids: np.ndarray, sets: list[np.ndarray]) -> pd.DataFrame:
         n = np.array([len(s) for s in sets], np.int64)
         grams = np.concatenate(sets)
         text = np.repeat(np.arange(len(sets), dtype=np.int32), n)
@@ -88,27 +93,30 @@ def _postings(width: int, buckets: int, wide: bool):
         token, text, bucket = token[order], text[order], bucket[order]
         used, first = np.unique(bucket, return_index=True)
         cut = np.append(first, len(bucket))
-        name = int(cids[0])
         meta = -1 - int(mix64(np.array([name], np.int64).astype(np.uint64))[0] % np.uint64(buckets))
         rows = [(meta, name, cids.tobytes(), n.tobytes(), b"")]
         rows += [(int(k), name, token[cut[i]:cut[i + 1]].tobytes(), text[cut[i]:cut[i + 1]].tobytes(), b"") for i, k in enumerate(used)]
         return pd.DataFrame(rows, columns=["bucket", "block", "a", "b", "c"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cids, sets, held = [], [], 0
+        cids, sets, held, last = [], [], 0, None
+        name = TaskContext.get().partitionId() << 32
         for pdf in batches:
-            raw = [as_bytes(t, "ascii") for t in pdf["text"]]
             ids = pdf["cid"].to_numpy(np.int64)
+            new = np.r_[last is None or ids[0] != last, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
+            last = ids[-1] if len(ids) else last
+            ids = ids[new]
+            raw = [as_bytes(t, "ascii") for t in pdf["text"][new]]
             for lo, hi in slices(raw):
                 got = shingle_sets(raw[lo:hi], width)
                 cids.append(ids[lo:hi])
                 sets += got
                 held += sum(map(len, got))
                 if held >= limit:
-                    yield block(np.concatenate(cids), sets)
-                    cids, sets, held = [], [], 0
+                    yield block(name, np.concatenate(cids), sets)
+                    cids, sets, held, name = [], [], 0, name + 1
         if sets:
-            yield block(np.concatenate(cids), sets)
+            yield block(name, np.concatenate(cids), sets)
     return pack
 
 
@@ -323,15 +331,11 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, width: int = 5, num: int =
     wide = grams > WIDE_FROM
     buckets = int(max(MIN_BUCKETS, min(MAX_BUCKETS, grams // POSTINGS_PER_BUCKET)))
 
-    # One row of each class, also where rows repeat or ids are NULL: blocks are named by their first class.
-    # Repeats collapse before the exchange; sorted, so that a repeated task packs the same slices.
-    chosen = (source.groupBy("cid", F.coalesce("id", F.lit(NO_ID)).alias("least")).agg(F.min("text").alias("text"))
-              .join(classes.select("cid", "least"), ["cid", "least"], "left_semi").select("cid", "least", "text"))
-    packed = chosen.select("cid", "text").sortWithinPartitions("cid").mapInPandas(_postings(width, buckets, wide), PACKED)
+    packed = source.select("cid", "text").sortWithinPartitions("cid").mapInPandas(_postings(width, buckets, wide), PACKED)
     shared = packed.groupBy("bucket").applyInPandas(_shared(wide), PACKED)
     stage = written(shared.groupBy("block").applyInPandas(_prefixes(num, den, wide), "cid long, n long, token long, is_text boolean"),
                     "join-prefixes")
-    sizes = stage.where("is_text").select("cid", "n")
+    sizes = stage.where("is_text").select("cid", "n").distinct()  # a row for each block that holds the class
 
     # candidate components through leaders: sizes fit only within a band or between neighbouring bands
     band = F.floor(F.log("n") / F.lit(math.log(den / num) if num < den else 1.0) + 1e-9).cast("int")
@@ -342,20 +346,23 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, width: int = 5, num: int =
     leaders = post.groupBy("token", "hub").agg(F.min("cid").alias("leader"), F.max("cid").alias("other")).where("leader <> other")
     edges = post.join(leaders, ["token", "hub"]).where("cid <> leader").select("cid", "leader").distinct()
     candidates = connected_components(edges, "cid", "leader").select(F.col("node").alias("cid"), F.col("component").alias("cc"))
-    candidates = candidates.join(sizes.distinct(), "cid").withColumn("band", band)
+    candidates = candidates.join(sizes, "cid").withColumn("band", band)
     counts = candidates.groupBy("cc", "band").agg(F.count("*").alias("k"))
     counts = counts.groupBy("cc").agg(F.sum("k").alias("members"),
                                       F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("sizes"))  # an entry a band
-    members = candidates.select("cid", "cc", "band").join(counts, "cc")
+    members = candidates.select("cid", "cc", "band").join(counts, "cc").join(classes.select("cid", "least"), "cid")
 
-    texts = chosen.join(members, "cid").select("cc", "cid", "least", "band", "members", "sizes", "text")
+    # One row of each class, also where rows repeat or ids are NULL; repeats collapse before the exchange, which
+    # is the only one of texts: the join meets them as they are dealt.
+    chosen = source.groupBy("cid", F.coalesce("id", F.lit(NO_ID)).alias("least")).agg(F.min("text").alias("text"))
+    texts = chosen.join(members, ["cid", "least"]).select("cc", "cid", "least", "band", "members", "sizes", "text")
     links = written(_units(texts, width, num, den, max(MIN_UNITS, int(rows // TEXTS_PER_UNIT))), "join-links")
     # A node is (smallest id, class), so a group's smallest node names the group's smallest id at once:
     # no join on the group, which may hold a large part of all classes.
     links = links.select(F.struct(F.col("x_least").alias("least"), F.col("x").alias("cid")).alias("x"),
                          F.struct(F.col("y_least").alias("least"), F.col("y").alias("cid")).alias("y"))
     groups = connected_components(links, "x", "y").select(F.col("node.cid").alias("cid"), "component")
-    of = (classes.select("cid", "least").join(sizes.distinct(), "cid").join(groups, "cid", "left")
+    of = (classes.select("cid", "least").join(sizes, "cid").join(groups, "cid", "left")
           .select("cid", "n", F.coalesce("component.least", "least").alias("low"), F.coalesce("component.cid", "cid").alias("component")))
     name = F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("low") < NO_ID, F.col("low")))
     groups = digest.select("id", "cid").join(of, "cid").select(

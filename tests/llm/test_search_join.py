@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from conftest import ODD_TEXTS, docs_of
 from pyspark.sql import functions as F
 
@@ -202,6 +203,22 @@ def test_join_with_classes_of_many_rows(spark):
     assert name == {(1, 1), (None, None)} | {(10 + i, 10 + i - i % 2) for i in range(200)}
 
 
+def test_texts_stay_where_they_are_read_until_components_are_known(spark, monkeypatch):
+    """No exchange by class before the postings; copies in several tasks, and tasks that read the same rows."""
+    plans, keep = {}, ngram_join.written
+
+    def noting(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+    monkeypatch.setattr(ngram_join, "written", noting)
+    rows = _corpus(5, families=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    again = df.union(df).union(df.selectExpr("doc_id + 50000", "text").repartition(3))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.similar_groups(again, width=3, num=90, den=100).collect())
+    assert got == _brute_groups(rows + rows + [(d + 50000, t) for d, t in rows], 3, 90, 100)
+    assert "hashpartitioning(bucket" in plans["join-prefixes"] and "hashpartitioning(cid" not in plans["join-prefixes"]
+
+
 def test_one_of_each(spark):
     rows = _corpus(4, families=5) + [(5, None), (6, ""), (5, None), (None, "solo text without a number"), (None, "solo text without a number")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("kept")).withColumn("id", F.lit(1))
