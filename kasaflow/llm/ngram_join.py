@@ -59,6 +59,7 @@ MIN_BUCKETS, MAX_BUCKETS = 16, 65_536
 PER_ROW, LEAST_IN_BLOCK, MOST_IN_BLOCK = 2_000, 100_000, 4_000_000  # n-grams
 TEXTS_PER_UNIT, MIN_UNITS = 1_500, 16   # of small components
 BYTES_PER_WORD = 6
+SLICE = 500_000                # bytes of text whose n-grams are made at once: some 80 bytes of arrays a byte
 WIDE_FROM = 1 << 29
 NO_ID = (1 << 63) - 1
 
@@ -107,7 +108,7 @@ def _postings(width: int, buckets: int, wide: bool):
             last = ids[-1] if len(ids) else last
             ids = ids[new]
             raw = [as_bytes(t, "ascii") for t in pdf["text"][new]]
-            for lo, hi in slices(raw):
+            for lo, hi in slices(raw, SLICE):
                 got = shingle_sets(raw[lo:hi], width)
                 cids.append(ids[lo:hi])
                 sets += got
@@ -265,7 +266,7 @@ def _sets(width: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [as_bytes(t, "ascii") for t in pdf["text"]]
-            for lo, hi in slices(raw):
+            for lo, hi in slices(raw, SLICE):
                 got = shingle_sets(raw[lo:hi], width)
                 part = pdf.iloc[lo:hi][["cc", "cid", "least", "band", "members", "sizes"]].copy()
                 part["grams"] = [g.tobytes() for g in got]

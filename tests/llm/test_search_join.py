@@ -219,6 +219,15 @@ def test_texts_stay_where_they_are_read_until_components_are_known(spark, monkey
     assert "hashpartitioning(bucket" in plans["join-prefixes"] and "hashpartitioning(cid" not in plans["join-prefixes"]
 
 
+def test_ngrams_are_made_of_small_slices(spark, monkeypatch):
+    packed, make = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, width: (packed.append(sum(map(len, texts))), make(texts, width))[1])
+    pdf = pd.DataFrame({"cc": 1, "cid": range(40), "least": 0, "band": 1, "members": 40, "sizes": None,
+                        "text": [f"word{i} " * 8_000 for i in range(40)]})
+    out = pd.concat(ngram_join._sets(3)(iter([pdf])))
+    assert list(out["cid"]) == list(range(40)) and max(packed) <= 500_000 < sum(packed)
+
+
 def test_one_of_each(spark):
     rows = _corpus(4, families=5) + [(5, None), (6, ""), (5, None), (None, "solo text without a number"), (None, "solo text without a number")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("kept")).withColumn("id", F.lit(1))
