@@ -5,7 +5,7 @@ incidence matrix; the product of the matrix with its transpose holds the
 overlap of every pair. Only the part of the product that can hold links is
 computed, block by block:
 
-1. Equal texts form a class, told by hashes; no text travels for it.
+1. Equal texts form a class, told by hashes; no text travels for it yet.
 2. Postings are made where the texts are read, from one text of each class in
    a task, and travel once, packed as arrays by bucket of the n-gram's hash, so
    that each n-gram learns in how many texts it occurs (a class that several
@@ -17,8 +17,8 @@ computed, block by block:
 3. Texts that share such an n-gram and whose sizes fit are put in one
    candidate component through a leader for each (n-gram, size band): as many
    edges as postings, never pairs.
-4. One text of each class in a component travels by its class. Each
-   component's matrix is multiplied in tasks: small components many to a
+4. Texts travel once, by class and id, to meet the components; one text of
+   each class in a component goes on. Each component's matrix is multiplied in tasks: small components many to a
    task, large ones cut into blocks of BLOCK texts by size band, and each
    fitting pair of blocks is a unit. In a unit the product is summed up over
    chunks of columns and pairs that fall below their bound are discarded on
